@@ -17,6 +17,12 @@ URL_RULES = (
 )
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestrata.llm.suffix_dedup import dedup_report
+
+    return dedup_report(table(spark, sf_dir, "documents"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestrata.llm.token_counts import token_counts
 
