@@ -80,3 +80,24 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+#: Bytes that stand in words: all but the six blanks; and letters, digits and what lies beyond ASCII.
+NOT_BLANK = np.array([not (b == 32 or 9 <= b <= 13) for b in range(256)])
+ALNUM = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
+ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def word_hashes(texts: list[bytes], in_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash) of the words of all texts, in order; a word is a run of bytes for which `in_word` holds."""
+    b = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    own = in_word[b]
+    edge = np.diff(np.r_[False, own].astype(np.int8))
+    first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    if not len(first):
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    width = last - first
+    at = np.flatnonzero(own)
+    powers = np.multiply.accumulate(np.full(int(width.max()), ODD, dtype=np.uint64))
+    h = mix64(np.add.reduceat((b[at].astype(np.uint64) + np.uint64(1)) * powers[at - np.repeat(first, width)], np.cumsum(width) - width))
+    return np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), first, side="right"), h

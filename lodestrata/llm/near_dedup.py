@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import checkpoint, groups_of, materialise, mix64, short_batches
+from lodestrata.llm.common import NOT_BLANK, ODD, checkpoint, groups_of, materialise, mix64, short_batches, word_hashes
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 32, 6
@@ -34,7 +34,6 @@ REGISTERS = BANDS * ROWS
 #: Bytes of text whose shingles are made together.
 BLOCK = 1_000_000
 LAST_ID = (1 << 63) - 1
-ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 # ---------------------------------------------------------------- shingles and signatures
@@ -43,19 +42,9 @@ ODD = np.uint64(0x9E3779B97F4A7C15)
 def shingles(texts: list[bytes], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, hash, weight) of the distinct shingles of each text, sorted by text and hash."""
     none = np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)
-    b = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-    blank = (b == 32) | ((b >= 9) & (b <= 13))
-    edge = np.diff(np.r_[True, blank].astype(np.int8))
-    first, last = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    if not len(first):
+    doc, word = word_hashes(texts, NOT_BLANK)
+    if not len(word):
         return none
-    width = last - first
-    at = np.arange(len(b))[~blank]
-    offset = at - np.repeat(first, width)
-    powers = np.multiply.accumulate(np.full(int(width.max()), ODD, dtype=np.uint64))
-    word = mix64(np.add.reduceat((b[at].astype(np.uint64) + np.uint64(1)) * powers[offset], np.cumsum(width) - width))
-    ends = np.cumsum([len(t) + 1 for t in texts])
-    doc = np.searchsorted(ends, first, side="right")
     left = np.searchsorted(doc, doc, side="right") - np.arange(len(doc))  # words from here to the text's end
     n_words = np.bincount(doc, minlength=len(texts))[doc]
     own = (left >= size) | ((n_words < size) & (left == n_words))  # a short text is one shingle
