@@ -53,6 +53,29 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def map_texts(docs: DataFrame, run, columns: str, id_col: str, text_col: str) -> DataFrame:
+    """run over pandas batches of the id and the text `t` (null: empty); it returns the id and `columns`.
+
+    Ids travel as text, so that null and large ones come back as they were.
+    """
+    short_batches(docs.sparkSession)
+    kind = docs.schema[id_col].dataType
+    rows = docs.select(F.col(id_col).cast("string").alias(id_col), F.coalesce(text_col, F.lit("")).alias("t"))
+    out = rows.mapInPandas(run, f"`{id_col}` string, {columns}")
+    return out.select(F.col(id_col).cast(kind).alias(id_col), *out.columns[1:])
+
+
+def map_rows(docs: DataFrame, text_col: str, change) -> DataFrame:
+    """Whole rows, as Arrow batches: change(batch, texts with null as empty) gives the batch that goes on."""
+    short_batches(docs.sparkSession)
+
+    def run(batches):
+        for b in batches:
+            yield change(b, [t or "" for t in b.column(b.schema.get_field_index(text_col)).to_pylist()])
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def crc_mod(col: str, n: int):
     """crc32 of an id as text, modulo n; null ids count as the text ''."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % n

@@ -21,10 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import ALNUM, ODD, groups_of, mix64, short_batches, word_hashes
+from lodestrata.llm.common import ALNUM, ODD, groups_of, map_rows, map_texts, mix64, short_batches, word_hashes
 
 GRAM, STRETCH = 3, 4
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -173,8 +174,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
     """(document, item, score, seeds) of all pairs whose score reaches the threshold."""
     short_batches(docs.sparkSession)
     kinds = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
-    schema = f"{id_col} {kinds[0]}, {item_col} {kinds[1]}, score double, n_seeds bigint"
-    out = docs.sparkSession.createDataFrame([], schema)
+    columns = f"{item_col} {kinds[1]}, score double, n_seeds bigint"
+    out = docs.sparkSession.createDataFrame([], f"{id_col} {kinds[0]}, {columns}")
     for items in item_blocks(benchmark, item_col, text_col):
         items.choose(count_grams(docs, items, text_col))
 
@@ -187,7 +188,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
                 if rows:
                     yield pd.DataFrame({id_col: b[id_col].iloc[[d for d, _ in rows]].to_numpy(), item_col: [i for _, i in rows], "score": [s for s, _ in rows.values()], "n_seeds": [n for _, n in rows.values()]})
 
-        out = out.unionByName(docs.select(F.col(id_col), F.coalesce(text_col, F.lit("")).alias("t")).mapInPandas(run, schema))
+        out = out.unionByName(map_texts(docs, run, columns, id_col, text_col))
     return out
 
 
@@ -197,11 +198,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float =
     for items in item_blocks(benchmark, item_col, text_col):
         items.choose(count_grams(docs, items, text_col))
 
-        def run(batches: Iterator[pd.DataFrame], items: Items = items) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                texts = [t if isinstance(t, str) else "" for t in b[text_col]]
-                bad = {d for d, _, s, _ in scored(texts, items) if s >= threshold}
-                yield b[[i not in bad for i in range(len(b))]]
+        def change(b: pa.RecordBatch, texts: list[str], items: Items = items) -> pa.RecordBatch:
+            bad = {d for d, _, s, _ in scored(texts, items) if s >= threshold}
+            return b.filter(pa.array([i not in bad for i in range(len(texts))], pa.bool_()))
 
-        docs = docs.mapInPandas(run, docs.schema)
+        docs = map_rows(docs, text_col, change)
     return docs

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import crc_mod, groups_of, mix64, short_batches
+from lodestrata.llm.common import crc_mod, groups_of, map_texts, mix64
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Hash buckets of features, words of a chain, characters labelled together, words of a language's lexicon.
@@ -194,19 +194,17 @@ def predict(model: ChainField | None, texts: list[str]) -> Iterator[tuple[str, f
 
 def identify(docs: DataFrame, model: ChainField | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """lang_pred and score, per document."""
-    short_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             got = list(predict(model, b["t"].tolist()))
             yield pd.DataFrame({id_col: b[id_col], "lang_pred": [x for x, _ in got], "score": [s for _, s in got]})
 
-    return docs.selectExpr(id_col, f"coalesce({text_col}, '') AS t").mapInPandas(run, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double")
+    return map_texts(docs, run, "lang_pred string, score double", id_col, text_col)
 
 
 def label_code_switches(docs: DataFrame, model: ChainField, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per word: its position, the word, its language and the marginal of that language."""
-    short_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -220,7 +218,7 @@ def label_code_switches(docs: DataFrame, model: ChainField, id_col: str = "doc_i
                     "lang": np.array(model.languages, dtype=object)[got.argmax(1)], "score": got.max(1),
                 })
 
-    return docs.selectExpr(id_col, f"coalesce({text_col}, '') AS t").mapInPandas(run, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, position bigint, word string, lang string, score double")
+    return map_texts(docs, run, "position bigint, word string, lang string, score double", id_col, text_col)
 
 
 def identify_languages(docs: DataFrame, folds: int = 3, held: int = 1, id_col: str = "doc_id") -> DataFrame:

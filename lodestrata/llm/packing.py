@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import materialise, short_batches
+from lodestrata.llm.common import map_texts, materialise
 
 #: Entries of a task's stores of chunks and of words; a full store starts anew.
 STORE = 400_000
@@ -92,9 +92,6 @@ class IdBytes:
 
 def pieces_of(docs: DataFrame, tokenizer_file: str, size: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
     """One row per piece: the document, where the piece starts, its length and checksum, the document's tokens."""
-    short_batches(docs.sparkSession)
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"{id_col} {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -111,7 +108,7 @@ def pieces_of(docs: DataFrame, tokenizer_file: str, size: int, end_id: int, id_c
             out.insert(0, id_col, b[id_col].to_numpy()[at])
             yield out
 
-    return docs.selectExpr(id_col, f"coalesce({text_col}, '') AS t").mapInPandas(run, schema)
+    return map_texts(docs, run, "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint", id_col, text_col)
 
 
 def pack_histogram(counts: dict[int, int], size: int) -> list[tuple[int, list[int]]]:
@@ -182,8 +179,8 @@ def pack(docs: DataFrame, tokenizer_file: str, size: int = 2048, end_id: int = 1
     within = Window.partitionBy("length", "bucket").orderBy(id_col, "start", "ids_crc32")
     ranked = pieces.withColumn("r", F.row_number().over(within)).join(bases, ["length", "bucket"]).withColumn("rank", F.col("base") + F.col("r") - 1)
     keep = [id_col, "start", "length", "ids_crc32", "doc_tokens"]
-    kinds = {f.name: f.dataType.simpleString() for f in pieces.schema}
-    schema = ", ".join([f"{c} {kinds[c]}" for c in keep] + ["sequence_id bigint", "offset bigint"])
+    kind = pieces.schema[id_col].dataType
+    schema = ", ".join([f"`{id_col}` string", *[f"{c} bigint" for c in [*keep[1:], "sequence_id", "offset"]]])
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -196,4 +193,5 @@ def pack(docs: DataFrame, tokenizer_file: str, size: int = 2048, end_id: int = 1
                 seq[at], off[at] = firsts[k] + rank[at] - ranks[k], offsets[k]
             yield b[keep].assign(sequence_id=seq, offset=off)
 
-    return ranked.select(*keep, "rank").mapInPandas(place, schema)
+    placed = ranked.select(F.col(id_col).cast("string").alias(id_col), *keep[1:], "rank").mapInPandas(place, schema)
+    return placed.select(F.col(id_col).cast(kind).alias(id_col), *keep[1:], "sequence_id", "offset")

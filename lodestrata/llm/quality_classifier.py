@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import crc_mod, short_batches
+from lodestrata.llm.common import crc_mod, map_texts, short_batches
 
 #: Characters of a passage.
 PASSAGE = 400
@@ -134,14 +134,13 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_docs: int = 8000, id_col
 
 def score_quality(docs: DataFrame, model: Attention | None, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """score and predicted, per document."""
-    short_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             score = model.score([passage_features(t) for t in b["t"]]) if model else np.full(len(b), 0.5)
             yield pd.DataFrame({id_col: b[id_col], "score": score, "predicted": (score >= threshold).astype("int32")})
 
-    return docs.selectExpr(id_col, f"coalesce({text_col}, '') AS t").mapInPandas(run, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, score double, predicted int")
+    return map_texts(docs, run, "score double, predicted int", id_col, text_col)
 
 
 def classify_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, id_col: str = "doc_id") -> DataFrame:

@@ -21,9 +21,11 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from lodestrata.llm.common import short_batches
+from lodestrata.llm.common import map_rows, map_texts
 
 # The base kinds of the contract, in its order, with their least lengths.
 BASE = ("assign", "access", "hex")
@@ -118,8 +120,6 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: the spans of all kinds, as `spans array<struct<kind,start,end>>`."""
-    short_batches(docs.sparkSession)
-    schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, found array<struct<kind:string,start:bigint,end:bigint>>"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = automaton()
@@ -127,13 +127,11 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found = [[{"kind": k, "start": s, "end": e} for s, e, k in scan(t, words)] for t in b["t"]]
             yield pd.DataFrame({id_col: b[id_col], "found": found})
 
-    return docs.selectExpr(id_col, f"coalesce({text_col}, '') AS t").mapInPandas(run, schema)
+    return map_texts(docs, run, "found array<struct<kind:string,start:bigint,end:bigint>>", id_col, text_col)
 
 
 def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Counts of the base kinds, the digest of the base spans and the list of all spans, per document."""
-    short_batches(docs.sparkSession)
-    schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = automaton()
@@ -147,7 +145,7 @@ def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             out.insert(0, id_col, b[id_col].to_numpy())
             yield out
 
-    return docs.selectExpr(id_col, f"coalesce({text_col}, '') AS t").mapInPandas(run, schema)
+    return map_texts(docs, run, "n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string", id_col, text_col)
 
 
 def redact_text(text: str, words: ahocorasick.Automaton) -> str:
@@ -162,16 +160,16 @@ def redact_text(text: str, words: ahocorasick.Automaton) -> str:
 
 def redact(docs: DataFrame, text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
     """The same rows and columns, secrets replaced; `size_col`, where there is one, is recounted for changed texts."""
-    short_batches(docs.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def change(b: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
         words = automaton()
-        for b in batches:
-            old = b[text_col].tolist()
-            new = [redact_text(t, words) if isinstance(t, str) else None for t in old]
-            b[text_col] = new
-            if size_col in b:
-                b[size_col] = pd.array([len(n) if n is not None and n != o else (None if pd.isna(v) else int(v)) for n, o, v in zip(new, old, b[size_col], strict=True)], dtype="Int64")
-            yield b
-
-    return docs.mapInPandas(run, docs.schema)
+        new = [redact_text(t, words) for t in texts]
+        changed = [n != t for n, t in zip(new, texts, strict=True)]
+        if any(changed):
+            for name, values in ((text_col, new), (size_col, [len(n) for n in new])):
+                if (i := b.schema.get_field_index(name)) >= 0:
+                    old = b.column(i)
+                    b = b.set_column(i, b.schema.field(i), pc.if_else(pa.array(changed), pa.array(values).cast(old.type), old))
+        return b
+
+    return map_rows(docs, text_col, change)

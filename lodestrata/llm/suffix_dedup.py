@@ -417,9 +417,14 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return keyed.join(spans, ["id", "key"], "left").select(F.col("own_id").alias(id_col), "text", "spans")
 
 
+def _with_ids(docs: DataFrame, run, columns: str, id_col: str, text_col: str) -> DataFrame:
+    spans = repeated_spans(docs, id_col, text_col)
+    out = spans.withColumn(id_col, F.col(id_col).cast("string")).mapInPandas(run, f"`{id_col}` string, {columns}")
+    return out.select(F.col(id_col).cast(docs.schema[id_col].dataType).alias(id_col), *out.columns[1:])
+
+
 def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Size, removed bytes and spans, and the digest of what is left, per document."""
-    schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -436,7 +441,7 @@ def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             out.insert(0, id_col, b[id_col].to_numpy())
             yield out
 
-    return repeated_spans(docs, id_col, text_col).mapInPandas(run, schema)
+    return _with_ids(docs, run, "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string", id_col, text_col)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -453,4 +458,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 texts.append(b"".join([*kept, text[at:]]).decode("utf-8", "ignore"))
             yield pd.DataFrame({id_col: b[id_col], text_col: texts})
 
-    return repeated_spans(docs, id_col, text_col).mapInPandas(run, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, {text_col} string")
+    return _with_ids(docs, run, f"`{text_col}` string", id_col, text_col)

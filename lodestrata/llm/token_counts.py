@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from lodestrata.llm.common import groups_of, short_batches
+from lodestrata.llm.common import groups_of, map_texts
 
 MARK = "▁"
 UNKNOWN = -30.0
@@ -86,8 +86,6 @@ def pre_tokens(text: str) -> list[str]:
 
 def token_counts(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: n_pretokens, n_tokens, and the log score of its best segmentation."""
-    short_batches(docs.sparkSession)
-    schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, n_pretokens bigint, n_tokens bigint, score double"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         trie, store = TrieCounter(unigram_scores(model_file)), {}
@@ -118,4 +116,4 @@ def token_counts(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_
         if held:
             yield from count(held)
 
-    return docs.selectExpr(id_col, f"coalesce({text_col}, '') AS t").mapInPandas(run, schema)
+    return map_texts(docs, run, "n_pretokens bigint, n_tokens bigint, score double", id_col, text_col)
