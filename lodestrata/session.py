@@ -22,3 +22,13 @@ def get_session(app: str = "lodestrata", cpus: int | None = None, **conf: str) -
     for k, v in (base | conf).items():
         b = b.config(k, v)
     return b.getOrCreate()
+
+
+def checkpoint(df):
+    """Cut a plan's lineage in the folder that all executors share; one of our own only where none is set."""
+    import tempfile
+
+    spark = df.sparkSession
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestrata-"))
+    return df.checkpoint()
