@@ -24,20 +24,19 @@ def short_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = jdir.get() if jdir.isDefined() else f"file://{tempfile.mkdtemp(prefix='lodestrata-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    """The folder that all executors share, as the session names it; one of our own only where it names none."""
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    kept = sc._jsc.sc().getCheckpointDir()
+    if not kept.isDefined():
+        sc.setCheckpointDir(found or f"file://{tempfile.mkdtemp(prefix='lodestrata-')}")
+        kept = sc._jsc.sc().getCheckpointDir()
+    return found or kept.get()
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage in the shared folder."""
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
