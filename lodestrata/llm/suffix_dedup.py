@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,8 +38,8 @@ SPAN, GRAM = 50, 20
 #: Anchors that a window has room for, and the most bytes before an anchor that a window holds.
 ROOM = SPAN - GRAM + 1
 BEFORE = SPAN - GRAM
-#: Bytes hashed at once, bytes whose anchors are grouped in a task, bytes of text that a bucket's anchors come from.
-BLOCK, GROUP, PER_BUCKET = 1_000_000, 8_000_000, 12_000_000
+#: Bytes hashed at once, bytes whose anchors and whose suffixes are grouped in a task, bytes of text that a bucket's anchors come from.
+BLOCK, GROUP, RUN_GROUP, PER_BUCKET = 1_000_000, 8_000_000, 4_000_000, 12_000_000
 LAST_ID = (1 << 63) - 1
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -92,13 +93,21 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.array(long)[doc], at - (ends - sizes)[doc], h[at]
 
 
+def shrunk(b: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(b)
+
+
+def grown(b: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(b)
+
+
 def planes(x: np.ndarray) -> bytes:
-    """32-bit values as four planes of bytes: the high ones are mostly zero and compress."""
-    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+    """32-bit values as four planes of bytes, compressed: the high ones are mostly zero."""
+    return shrunk(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
 
 
 def unplanes(b: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    return np.ascontiguousarray(np.frombuffer(grown(b), np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
 def grouped(batches: Iterator[pd.DataFrame], text: str, most: int) -> Iterator[pd.DataFrame]:
@@ -141,7 +150,7 @@ def anchor_blocks(buckets: int):
 
             def add(bucket: int, known: bool, at: np.ndarray) -> None:
                 used, local = np.unique(doc[at], return_inverse=True)
-                rows.append((bucket, known, ids[used].tobytes(), keys[used].tobytes(), local.astype("<u4").tobytes(), planes(pos[at]), (full[at] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes()))
+                rows.append((bucket, known, ids[used].tobytes(), keys[used].tobytes(), planes(local), planes(pos[at]), planes(np.diff(full[at] & np.uint64(0xFFFFFFFF), prepend=np.uint64(0)))))
 
             if shared.any():
                 add(int(mix64(keys[:1].view(np.uint64))[0] % np.uint64(buckets)), True, np.flatnonzero(shared))
@@ -159,12 +168,12 @@ def shared_anchors(pdf: pd.DataFrame) -> pd.DataFrame:
     out = []
     parts = [[], [], [], []]
     for r in pdf.itertuples():
-        local = np.frombuffer(r.doc, "<u4")
+        local = unplanes(r.doc)
         ids, keys, pos = np.frombuffer(r.ids, np.int64)[local], np.frombuffer(r.keys, np.int64)[local], unplanes(r.pos)
         if r.shared:
             out.append(pd.DataFrame({"id": ids, "key": keys, "pos": pos.astype(np.int32)}))
         else:
-            for x, y in zip(parts, (ids, keys, pos, np.frombuffer(r.gram, "<u4")), strict=True):
+            for x, y in zip(parts, (ids, keys, pos, np.cumsum(unplanes(r.gram), dtype=np.uint32)), strict=True):
                 x.append(y)
     if parts[0]:
         ids, keys, pos, gram = map(np.concatenate, parts)
@@ -179,7 +188,7 @@ def shared_anchors(pdf: pd.DataFrame) -> pd.DataFrame:
 
 # ---------------------------------------------------------------- front-coded runs
 
-RUNS = "bucket int, n int, shared binary, fresh binary, before binary, room binary, ids binary, keys binary, doc binary, pos binary"
+RUNS = "bucket int, shared binary, fresh binary, before binary, room binary, ids binary, keys binary, doc binary, pos binary"
 
 
 def front_code(m: np.ndarray) -> tuple[np.ndarray, bytes]:
@@ -205,7 +214,7 @@ def sorted_runs(buckets: int):
     """Front-coded runs of a task's suffixes at shared anchors, and spans that are known already (bucket -1)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in grouped(batches, "text", 2 * GROUP):
+        for b in grouped(batches, "text", RUN_GROUP):
             pos = [np.unique(np.asarray(p, dtype=np.int64)) for p in b["at"]]
             sizes = np.array([len(p) for p in pos])
             texts = [bytes(t) for t in b["text"]]
@@ -214,9 +223,9 @@ def sorted_runs(buckets: int):
             starts = BEFORE + np.cumsum(lengths + SPAN) - (lengths + SPAN)
             doc, at = np.repeat(np.arange(len(b)), sizes), np.concatenate(pos)
             here = starts[doc] + at
-            after = flat[here[:, None] + np.arange(SPAN)]
+            after = np.lib.stride_tricks.sliding_window_view(flat, SPAN)[here]
             left, right = np.minimum(at, BEFORE), np.minimum(lengths[doc] - at, SPAN)
-            prior = flat[here[:, None] - 1 - np.arange(BEFORE)]
+            prior = np.lib.stride_tricks.sliding_window_view(flat, BEFORE)[here - BEFORE][:, ::-1].copy()
             prior[np.arange(BEFORE) >= left[:, None]] = 0
             room = np.stack([left, right], axis=1).astype(np.uint8)
             ids, keys = b["id"].to_numpy(np.int64), b["key"].to_numpy(np.int64)
@@ -232,7 +241,8 @@ def sorted_runs(buckets: int):
 
             def add(bucket: int, pick: np.ndarray, same: np.ndarray, fresh: bytes) -> None:
                 used, local = np.unique(doc[pick], return_inverse=True)
-                rows.append((bucket, len(pick), same.tobytes(), fresh, prior[pick].tobytes() if bucket >= 0 else b"", room[pick].tobytes(), ids[used].tobytes(), keys[used].tobytes(), local.astype("<u4").tobytes(), planes(at[pick])))
+                before = prior[pick].tobytes() if bucket >= 0 else b""
+                rows.append((bucket, shrunk(same.tobytes()), shrunk(fresh), shrunk(before), shrunk(room[pick].tobytes()), ids[used].tobytes(), keys[used].tobytes(), planes(local), planes(at[pick])))
 
             if len(known):
                 add(-1 - int(mix64(keys[:1].view(np.uint64))[0] % np.uint64(buckets)), known, np.empty(0, np.uint8), b"")
@@ -355,8 +365,8 @@ def merged_spans(pdf: pd.DataFrame) -> pd.DataFrame:
     """Removed spans from a bucket's runs."""
     each = []
     for r in pdf.itertuples():
-        local = np.frombuffer(r.doc, "<u4")
-        room = np.frombuffer(r.room, np.uint8).reshape(-1, 2).astype(np.int64)
+        local = unplanes(r.doc)
+        room = np.frombuffer(grown(r.room), np.uint8).reshape(-1, 2).astype(np.int64)
         each.append((r.bucket, np.frombuffer(r.ids, np.int64)[local], np.frombuffer(r.keys, np.int64)[local], unplanes(r.pos).astype(np.int64), room, r))
     out = []
     for bucket, ids, keys, pos, room, _ in each:
@@ -366,11 +376,11 @@ def merged_spans(pdf: pd.DataFrame) -> pd.DataFrame:
     each = [x for x in each if x[0] >= 0]
     if each:
         ids, keys, pos, room = (np.concatenate([x[i] for x in each]) for i in (1, 2, 3, 4))
-        prior = np.concatenate([np.frombuffer(x[5].before, np.uint8).reshape(-1, BEFORE) for x in each])
+        prior = np.concatenate([np.frombuffer(grown(x[5].before), np.uint8).reshape(-1, BEFORE) for x in each])
         runs, shared = [], []
         for x in each:
-            same = np.frombuffer(x[5].shared, np.uint8)
-            flat = front_decode(same, x[5].fresh, SPAN).tobytes()
+            same = np.frombuffer(grown(x[5].shared), np.uint8)
+            flat = front_decode(same, grown(x[5].fresh), SPAN).tobytes()
             runs.append([flat[i : i + SPAN] for i in range(0, len(flat), SPAN)])
             shared.append(same.tolist())
         order, common = merge_runs(runs, shared)
