@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from lodestrata.operators.relations import security_map
 from lodestrata.operators.stats import count_all
+from lodestrata.session import checkpoint
 from lodestrata.sources.entities import extract
 from lodestrata.sources.labels import inline_labels, read_label_files
-from lodestrata.sources.tree import descriptors, parse_tree, read_files
+from lodestrata.sources.tree import PARSED, descriptors, parse_tree, read_files
 
 SCHEMA_VERSION = 1
 RUNS = "run_id string, started_utc timestamp, model string, elapsed_ms bigint, n_objects bigint, is_custom boolean"
@@ -25,6 +26,20 @@ OBJECT_KINDS = {
 }
 
 
+#: Tables that don't come from objects alone.
+OTHER_SCHEMAS = {
+    "models": "name string, publisher string, layer string, is_custom boolean, model string",
+    "model_dependencies": "target string, model string",
+    "labels": "label_file string, language string, key string, value string, model string",
+    "unreadable": "source_path string, error string, model string",
+}
+
+
+def schemas(spark: SparkSession) -> dict:
+    """The schema of each table, as the definitions give it for no files."""
+    return {k: v.schema for k, v in extract(spark.createDataFrame([], PARSED)).items()} | OTHER_SCHEMAS
+
+
 class Catalogue:
     """Entity tables by name, from a folder or given as DataFrames."""
 
@@ -32,7 +47,10 @@ class Catalogue:
         self.spark, self.path, self.tables = spark, path, tables or {}
 
     def table(self, name: str) -> DataFrame:
-        return self.tables[name] if name in self.tables else self.spark.read.parquet(f"{self.path}/{name}")
+        """A table that no model fills yet is empty, so the schema comes from the definitions and not from files."""
+        if name not in self.tables:
+            self.tables[name] = self.spark.read.schema(schemas(self.spark)[name]).parquet(f"{self.path}/{name}")
+        return self.tables[name]
 
     def objects(self) -> DataFrame:
         """kind, name, model, alternatives, source_path of all objects."""
@@ -63,13 +81,13 @@ def replace_by(existing: DataFrame, new: DataFrame, key: str, values: Column | l
 
 def read_tree(spark: SparkSession, root: str, models: list[str] | None = None, languages: list[str] | None = None, custom: Column | None = None) -> dict[str, DataFrame]:
     """All entity tables of a source tree, with models joined to their descriptors."""
-    parsed = parse_tree(spark, root, models)
+    parsed = checkpoint(parse_tree(spark, root, models))  # all tables come from one pass over the files
     tables = extract(parsed)
     found, deps = descriptors(spark, root)
     own = parsed.select(F.col("model").alias("name")).distinct()
     info = found.select(F.lower("name").alias("_n"), "publisher", "layer")
     tables["models"] = own.join(info, F.lower("name") == F.col("_n"), "left").select("name", F.col("name").alias("model"), "publisher", "layer", (custom if custom is not None else F.lit(False)).alias("is_custom"))
-    tables["model_dependencies"] = deps.join(own.select(F.col("name").alias("model")), "model", "left_semi")
+    tables["model_dependencies"] = deps.withColumn("_n", F.lower("model")).drop("model").join(own.select(F.lower("name").alias("_n"), F.col("name").alias("model")), "_n").select("model", "target")
     tables["labels"] = read_label_files(spark, root, languages).unionByName(inline_labels(parsed))
     tables["unreadable"] = parsed.filter("error IS NOT NULL").select("model", "source_path", "error")
     return tables
