@@ -187,3 +187,42 @@ def alias_of(col: Column, names: dict[str, list[str]]) -> Column:
     plain = F.regexp_replace(F.lower(col), r"[\s_-]+", "")
     fold = lambda s: re.sub(r"[\s_-]+", "", s.lower())
     return reduce(lambda out, kv: F.when(plain.isin(*{fold(x) for x in [kv[0], *kv[1]]}), F.lit(kv[0])).otherwise(out), names.items(), F.lit(None).cast("string"))
+
+
+# Table patterns with their other names; form patterns by the parts of a name that tell them, in order.
+TABLE_PATTERNS = {
+    "Main": ["main", "master"],
+    "Transaction": ["transaction", "transactional", "trans"],
+    "Parameter": ["parameter", "parameters", "setup", "config", "configuration"],
+    "Group": ["group", "category"],
+    "WorksheetHeader": ["worksheetheader", "header"],
+    "WorksheetLine": ["worksheetline", "line", "lines"],
+    "Reference": ["reference", "lookup", "ref"],
+    "Framework": ["framework"],
+    "Miscellaneous": ["miscellaneous", "misc"],
+}
+FORM_PATTERNS = (
+    (r"simplelist.*detail|detail.*simplelist", "SimpleListDetails"),
+    (r"simplelist", "SimpleList"),
+    (r"listpage", "ListPage"),
+    (r"details?master|^master$", "DetailsMaster"),
+    (r"details?transaction|^transaction$", "DetailsTransaction"),
+    (r"dialog", "Dialog"),
+    (r"tableofcontents|toc|parameter", "TableOfContents"),
+    (r"lookup", "Lookup"),
+    (r"workspace|panorama|operational", "Workspace"),
+)
+
+
+def table_pattern(col: Column) -> Column:
+    """A table pattern by any of its names; null for others."""
+    return alias_of(F.regexp_replace(col, r"[^\p{L}]", ""), TABLE_PATTERNS)
+
+
+def form_pattern(col: Column) -> Column:
+    """The form pattern that a name tells; SimpleList where it tells none."""
+    plain = F.lower(F.regexp_replace(F.coalesce(col, F.lit("")), r"[^\p{L}]", ""))
+    out: Column = F.lit("SimpleList")
+    for pattern, name in reversed(FORM_PATTERNS):
+        out = F.when(plain.rlike(pattern), name).otherwise(out)
+    return out

@@ -60,13 +60,31 @@ def spread_least(labels: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
+#: Nodes up to which all reachable pairs, their square at most, are written out.
+CLOSURE_NODES = 1000
+
+
+def closure(edges: DataFrame) -> DataFrame:
+    """All (src, dst) with a path between them, by doubling: few rounds, for graphs whose size is checked."""
+    pairs, n = edges, -1
+    while True:
+        longer = pairs.toDF("src", "mid").join(pairs.toDF("mid", "dst"), "mid").select("src", "dst")
+        pairs = checkpoint(pairs.unionByName(longer).distinct().coalesce(1))
+        if (m := pairs.count()) == n:
+            return pairs
+        n = m
+
+
+def strong_components(edges: DataFrame, closure_nodes: int = CLOSURE_NODES) -> DataFrame:
     """(v, comp) of all nodes on a cycle: comp is the least node of the strongly connected component.
 
-    Forward-backward colouring: least labels spread forward give colours; within a colour, what reaches its root
+    Graphs of few nodes (counted first) go by their closure, all others by colours. Forward-backward colouring: least labels spread forward give colours; within a colour, what reaches its root
     backward is the root's component. Found components leave, the rest goes on. No closure of pairs is built.
     """
     edges = checkpoint(edges.select("src", "dst").distinct())
+    if nodes_of(edges).limit(closure_nodes + 1).count() <= closure_nodes:
+        pairs = closure(edges)
+        return pairs.join(pairs.toDF("dst", "src"), ["src", "dst"]).groupBy(F.col("src").alias("v")).agg(F.min("dst").alias("comp"))
     found = None
     while True:
         edges = trimmed(edges)

@@ -169,3 +169,31 @@ def test_stream(spark, tmp_path):
     for _ in range(2):
         ingest_available(spark, root, str(tmp_path / "out"), str(tmp_path / "cp"))
     assert rows(spark.read.parquet(str(tmp_path / "out")), "key", "value") == [("a", "1"), ("b", "2=3")]
+
+
+def test_tools(catalogue):
+    from lodestrata.plans import api
+
+    assert api.call(catalogue, "get_service", name="Nope")["error"]["code"] == "SERVICE_NOT_FOUND"
+    assert api.call(catalogue, "nothing")["error"]["code"] == "UNKNOWN_TOOL" and api.call(catalogue, "get_table")["error"]["code"] == "BAD_INPUT"
+    got = lambda tool, **p: api.call(catalogue, tool, **p)["data"]["items"]
+    assert got("search_table", query="demo")[0]["name"] == "DemoTable"
+    assert got("suggest_names", kind="Table", name="DemoTabel")[0]["name"] == "DemoTable"
+    assert got("search_labels_fts", query="fleet")[0]["id"] == "Fleet/en-us/Title"
+    assert got("analyze_extension_points", target="DemoTable")[0]["strategy"] == "coc"
+    assert {x["v"] for x in got("models_coupling")} >= {"ModelA", "ModelB"}
+    assert got("stats_top_tables")[0] == {"name": "DemoTable", "k": 2}
+    assert got("summarize_form_patterns") == [{"pattern": "SimpleList", "cnt": 1}]
+    per = {x["name"]: x for x in got("stats_per_model")}
+    assert per["ModelA"]["tables"] == 1 and per["ModelA"]["labels"] == 3 and per["ModelB"]["classes"] == 0
+    assert got("resolve_label", token="@Title")[0]["label_file"] == "Fleet"
+    assert {x["name"] for x in got("find_references", name="DemoTable")} == {"update"}
+
+
+def test_patterns(spark):
+    from pyspark.sql import functions as F
+
+    from lodestrata.functions import text
+
+    df = spark.createDataFrame([("Set-Up", "simple list + details"), ("nothing", "ToC"), (None, None)], "t string, f string")
+    assert [tuple(r) for r in df.select(text.table_pattern(F.col("t")), text.form_pattern(F.col("f"))).collect()] == [("Parameter", "SimpleListDetails"), (None, "TableOfContents"), (None, "SimpleList")]
