@@ -121,6 +121,13 @@ def rounded(col: Column, places: int) -> Column:
 # ---------------------------------------------------------------- source code
 
 # Words that may precede a return type; attribute names of handlers and what they handle.
+# Patterns of attributes, of the extended class, of `...Str(object, member)` calls, of event types, of
+# compiler messages.
+ATTRIBUTE = r"\[\s*([A-Z][A-Za-z0-9_]+)\s*(?:\(\s*([^\]]*)\))?\s*\]"
+EXTENSION_OF = r"\[\s*ExtensionOf\s*\(\s*\w+Str\s*\(\s*(\w+)"
+STR_CALL = r"\b\w+Str\s*\(\s*(\w+)\s*(?:,\s*(\w+)\s*)?\)"
+EVENT_TYPE = r"\w+EventType(?:\.|::)(\w+)"
+DIAGNOSTIC = r"^\s*(.+?)\((\d+),(\d+)\)\s*:\s*(?i:(error|warning|info))\s+(\w+)\s*:\s*(.*)$"
 MODIFIERS = ("public", "protected", "private", "static", "final", "abstract", "client", "server")
 HANDLERS = {
     "SubscribesTo": "Delegate",
@@ -149,14 +156,13 @@ def is_static(signature: Column) -> Column:
 
 def attributes(source: Column) -> Column:
     """Attributes [Name(args)] of Pascal-case names, as array of struct(name, args)."""
-    pattern = r"\[\s*([A-Z][A-Za-z0-9_]+)\s*(?:\(\s*([^\]]*)\))?\s*\]"
-    names, args = F.regexp_extract_all(source, F.lit(pattern), F.lit(1)), F.regexp_extract_all(source, F.lit(pattern), F.lit(2))
+    names, args = (F.regexp_extract_all(source, F.lit(ATTRIBUTE), F.lit(i)) for i in (1, 2))
     return F.transform(F.arrays_zip(names.alias("name"), args.alias("args")), lambda x: F.struct(x["name"].alias("name"), F.nullif(x["args"], F.lit("")).alias("args")))
 
 
 def extended_class(declaration: Column, name: Column, extends: Column) -> Column:
     """The class that a declaration extends by attribute, or by its name's ending where it has no base class."""
-    by_attribute = F.regexp_extract(declaration, r"\[\s*ExtensionOf\s*\(\s*\w+Str\s*\(\s*(\w+)", 1)
+    by_attribute = F.regexp_extract(declaration, EXTENSION_OF, 1)
     by_name = F.when(name.endswith("_Extension") & (F.coalesce(extends, F.lit("")) == ""), F.regexp_replace(name, "_Extension$", ""))
     return F.coalesce(F.nullif(by_attribute, F.lit("")), by_name)
 
@@ -167,19 +173,17 @@ def handler(source: Column) -> Column:
     Names come from the attribute's `...Str(object, member)` calls; a subscription takes the delegate of the second.
     """
     kind = F.coalesce(*[F.when(source.rlike(rf"\[[^\]]*\b{a}\s*\("), F.lit(k)) for a, k in HANDLERS.items()])
-    call = r"\b\w+Str\s*\(\s*(\w+)\s*(?:,\s*(\w+)\s*)?\)"
-    objects, members = (F.regexp_extract_all(source, F.lit(call), F.lit(i)) for i in (1, 2))
+    objects, members = (F.regexp_extract_all(source, F.lit(STR_CALL), F.lit(i)) for i in (1, 2))
     none = lambda c: F.nullif(c, F.lit(""))
     member = F.when(kind == "Delegate", F.coalesce(none(F.get(members, 1)), none(F.get(objects, 1)))).otherwise(none(F.get(members, 0)))
-    event = none(F.regexp_extract(source, r"\w+EventType(?:\.|::)(\w+)", 1))
+    event = none(F.regexp_extract(source, EVENT_TYPE, 1))
     return F.when(kind.isNotNull(), F.struct(kind.alias("source_kind"), none(F.get(objects, 0)).alias("source_object"), member.alias("source_member"), event.alias("event_type")))
 
 
 def log_diagnostic(line: Column) -> Column:
     """struct(file, line, col, kind, code, message) of a compiler's log line; null for others."""
-    p = r"^\s*(.+?)\((\d+),(\d+)\)\s*:\s*(?i:(error|warning|info))\s+(\w+)\s*:\s*(.*)$"
-    g = lambda i: F.regexp_extract(line, p, i)
-    return F.when(line.rlike(p), F.struct(g(1).alias("file"), g(2).cast("int").alias("line"), g(3).cast("int").alias("col"), F.lower(g(4)).alias("kind"), g(5).alias("code"), g(6).alias("message")))
+    g = lambda i: F.regexp_extract(line, DIAGNOSTIC, i)
+    return F.when(line.rlike(DIAGNOSTIC), F.struct(g(1).alias("file"), g(2).cast("int").alias("line"), g(3).cast("int").alias("col"), F.lower(g(4)).alias("kind"), g(5).alias("code"), g(6).alias("message")))
 
 
 def alias_of(col: Column, names: dict[str, list[str]]) -> Column:

@@ -159,8 +159,12 @@ def learn_lexicon(texts: list[list[str]], gold: list[int], n: int) -> dict[str,
 
 def fit_languages(docs: DataFrame, max_docs: int = 1200, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ChainField | None:
     """Fit on at most `max_docs` of the given documents that have a text and a language; None without any."""
-    chosen = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(id_col, text_col, lang_col)
-    rows = chosen.orderBy(F.xxhash64(id_col), id_col, F.xxhash64(text_col)).limit(max_docs).collect()
+    usable = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(id_col, text_col, lang_col)
+    # the choice needs ids alone, so only the chosen documents' texts move
+    chosen = usable.select(id_col).orderBy(F.xxhash64(id_col), id_col).limit(max_docs).distinct()
+    rows = usable.join(F.broadcast(chosen), id_col).collect()
+    rows.sort(key=lambda r: (str(r[id_col]), r[text_col], r[lang_col]))
+    rows = rows[:max_docs]  # where rows share an id
     rows = [(words_of(r[text_col]), r[lang_col]) for r in rows]
     languages = sorted({g for t, g in rows if t})
     if not languages:

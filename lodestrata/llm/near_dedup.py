@@ -6,10 +6,12 @@ are later than the last register's, so most shingles of a long text take one ste
 the probability Jaccard similarity of their shingles. `BANDS` groups of `ROWS` registers make candidates.
 
 Equal texts are one from the start: signatures, bands and checks run over distinct texts. In a band's bucket the first
-text leads and all others are compared with it, with their whole shingles. Those that are not near it go on: in each
-round twice as many of them lead, and each leader meets all texts of its bucket that it has not met, until none is
-left. So a bucket of copies costs one comparison a text, no pair of them is emitted, and no link of another text with
-a leader is lost. Verified links join texts into classes by least labels with pointer jumps.
+text leads and all others are compared with it, with their whole shingles. Verified links join texts into classes by
+least labels with pointer jumps. A bucket that is then of one class is done, which is what becomes of large groups of
+copies: a comparison a text, and no pair of them is emitted. The other buckets get another leader, which meets the texts
+of other classes, `TURNS` more times. In what is left every text meets the texts of other classes: registers are counted
+first, and pairs that agree in `HOPEFUL` of them or more (three and a half deviations below the similarity) are verified too.
+Buckets of more than `CHUNK` texts are dealt out by pairs of chunks. The links of all steps make the classes.
 
 Defined results: a null text is empty. A text of fewer than five words is one shingle; a text without words has none
 and is near to equal texts only. The class id is the least id in the class (null ids come last). Repeated rows each
@@ -23,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm.common import NOT_BLANK, ODD, checkpoint, groups_of, materialise, mix64, short_batches, word_hashes
@@ -31,6 +33,8 @@ from lodestrata.llm.common import NOT_BLANK, ODD, checkpoint, groups_of, materia
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 32, 6
 REGISTERS = BANDS * ROWS
+#: Share of equal registers from which a pair is verified; texts of a bucket that meet in one task; leaders after the first.
+HOPEFUL, CHUNK, TURNS = 0.7, 2048, 1
 #: Bytes of text whose shingles are made together.
 BLOCK = 1_000_000
 LAST_ID = (1 << 63) - 1
@@ -123,20 +127,21 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def distinct_texts(keyed: DataFrame) -> DataFrame:
-    """One row per text: a number, its content key, the least id and its band hashes; written once."""
+    """One row per text: a number, its content key, the least id, band hashes and 16 bits a register; written once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             b = b.assign(key=b["key"].map(bytes)).sort_values("id").drop_duplicates("key", ignore_index=True)
             texts = [bytes(t) for t in b["text"]]
-            bands = []
+            bands, short = [], []
             for lo, hi in groups_of([len(t) for t in texts], BLOCK):
                 registers, some = signatures(*shingles(texts[lo:hi]), hi - lo)
                 bands += [h.tolist() if s else [] for h, s in zip(band_hashes(registers), some, strict=True)]
-            yield pd.DataFrame({"key": b["key"], "id": b["id"], "bands": bands})
+                short += [r.astype("<u2").tobytes() for r in registers]
+            yield pd.DataFrame({"key": b["key"], "id": b["id"], "bands": bands, "registers": short})
 
-    made = keyed.mapInPandas(run, "key binary, id bigint, bands array<bigint>")
-    return materialise(made.groupBy("key").agg(F.min("id").alias("id"), F.first("bands").alias("bands")).withColumn("rid", F.monotonically_increasing_id()))
+    made = keyed.mapInPandas(run, "key binary, id bigint, bands array<bigint>, registers binary")
+    return materialise(made.groupBy("key").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("registers").alias("registers")).withColumn("rid", F.monotonically_increasing_id()))
 
 
 # ---------------------------------------------------------------- candidates, round by round
@@ -170,21 +175,55 @@ def find_links(texts: DataFrame, keyed: DataFrame) -> DataFrame:
     needed = members.select("rid").distinct().join(texts.select("rid", "id", "key"), "rid")
     held = materialise(keyed.join(needed, ["id", "key"]).dropDuplicates(["rid"]).select("rid", "text"))
     met = checkpoint(verified(pairs, held))
-    # memberships that no leader of their bucket has taken
-    pending = members.filter("rid > lead").join(met.filter(F.col("similarity") < SIMILAR).select(F.col("a").alias("lead"), F.col("b").alias("rid")), ["lead", "rid"]).select("bucket", "rid")
-    leaders = 2
-    while True:
-        pending = checkpoint(pending)
-        if pending.isEmpty():
-            return met.filter(F.col("similarity") >= SIMILAR).select("a", "b")
-        turn = F.row_number().over(Window.partitionBy("bucket").orderBy("rid"))
-        lead = pending.withColumn("turn", turn).filter(F.col("turn") <= leaders).select("bucket", F.col("rid").alias("lead"))
-        both = members.select("bucket", "rid").join(lead, "bucket").filter("rid <> lead")
-        fresh = both.select(F.least("rid", "lead").alias("a"), F.greatest("rid", "lead").alias("b")).distinct().join(met, ["a", "b"], "left_anti")
-        met = checkpoint(met.unionByName(verified(fresh, held)))
-        near = both.select("bucket", "rid", F.least("rid", "lead").alias("a"), F.greatest("rid", "lead").alias("b")).join(met.filter(F.col("similarity") >= SIMILAR), ["a", "b"]).select("bucket", "rid")
-        pending = pending.join(lead.select("bucket", F.col("lead").alias("rid")), ["bucket", "rid"], "left_anti").join(near, ["bucket", "rid"], "left_anti")
-        leaders *= 2
+    near = met.filter(F.col("similarity") >= SIMILAR).select("a", "b")
+    for turn in range(TURNS):
+        # another leader in each bucket of several classes, for the texts of other classes
+        mixed = _mixed(members, near)
+        first = F.min(F.struct(F.xxhash64("rid", F.lit(turn)), "rid", "root"))
+        lead = mixed.groupBy("bucket").agg(first.alias("l")).select("bucket", F.col("l.rid").alias("lead"), F.col("l.root").alias("lead_root"))
+        across = mixed.join(lead, "bucket").filter("root <> lead_root").select(F.least("rid", "lead").alias("a"), F.greatest("rid", "lead").alias("b")).distinct()
+        more = checkpoint(verified(across.join(met, ["a", "b"], "left_anti"), held))
+        met = met.unionByName(more)
+        near = met.filter(F.col("similarity") >= SIMILAR).select("a", "b")
+    mixed = _mixed(members, near)
+    chunks = F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")
+    rows = mixed.join(mixed.groupBy("bucket").agg(chunks), "bucket").join(texts.select("rid", "registers", "bands"), "rid")
+    own = F.pmod(F.xxhash64("rid"), F.col("chunks")).cast("int")
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rid", "root", "registers", "bands")
+    hopeful = rows.groupBy("bucket", "i", "j").applyInPandas(hopeful_pairs, "a bigint, b bigint").join(met, ["a", "b"], "left_anti")
+    more = verified(hopeful, held).filter(F.col("similarity") >= SIMILAR).select("a", "b")
+    return checkpoint(near.unionByName(more))
+
+
+def _mixed(members: DataFrame, links: DataFrame) -> DataFrame:
+    """(bucket, rid, root) of the buckets whose texts are of several classes by these links."""
+    classed = members.select("bucket", "rid").join(components(links), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
+    several = classed.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("bucket")
+    return checkpoint(classed.join(several, "bucket", "left_semi").select("bucket", "rid", "root"))
+
+
+def hopeful_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of different classes, one of each chunk, whose registers agree often enough.
+
+    A pair that meets in several buckets is given by that of their first common band.
+    """
+    pdf = pdf.sort_values("rid", ignore_index=True)
+    bands, bucket = np.stack([np.asarray(b, dtype=np.int64) for b in pdf["bands"]]), pdf["bucket"].iloc[0]
+    registers = np.stack([np.frombuffer(r, "<u2") for r in pdf["registers"]])
+    rid, root, own = (pdf[c].to_numpy() for c in ("rid", "root", "own"))
+    within = pdf["i"].iloc[0] == pdf["j"].iloc[0]
+    names, count = np.unique(root, return_counts=True)
+    major = names[count.argmax()]
+    a, b = [], []
+    for x in np.flatnonzero(root != major):  # pairs within the largest class need no look
+        others = (root != root[x]) & ((root == major) | (rid > rid[x])) & (within | (own != own[x]))
+        at = np.flatnonzero(others)
+        at = at[(registers[at] == registers[x]).mean(1) >= HOPEFUL]
+        at = at[bands[x][(bands[at] == bands[x]).argmax(1)] == bucket]
+        a.append(np.minimum(rid[x], rid[at]))
+        b.append(np.maximum(rid[x], rid[at]))
+    return pd.DataFrame({"a": np.concatenate(a or [rid[:0]]), "b": np.concatenate(b or [rid[:0]])})
 
 
 # ---------------------------------------------------------------- classes

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import bisect
 import re
+import struct
 import unicodedata
 import zlib
 from collections import defaultdict
@@ -34,6 +35,7 @@ STORE = 400_000
 #: Hash buckets of a length, by which pieces are ranked.
 BUCKETS = 1024
 # The word split of the tokenizer file, where all characters are ASCII, Latin letters or white space.
+LAST_LATIN = "ƺ"
 LATIN = "a-zªµºÀ-ÖØ-öø-ƺ"
 WORD = re.compile(f"[{LATIN}]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|(?:(?!'(?:s|t|re|ve|m|ll|d))[^\\s0-9{LATIN}])[^\\s0-9{LATIN}]*")
 PLAIN = re.compile(f"[\\x21-\\x7e{LATIN}]*")
@@ -69,11 +71,14 @@ class IdBytes:
     def word(self, w: str) -> bytes:
         if (got := self.words.get(w)) is None:
             spelt = w if w.isascii() else w.encode().decode("latin-1").translate(self.letters)
-            got = self.words[w] = np.array([t.id for t in self.model.tokenize(spelt)], dtype="<u4").tobytes()
+            got = self.words[w] = struct.pack(f"<{len(t := self.model.tokenize(spelt))}I", *[x.id for x in t])
         return got
 
     def chunk(self, c: str) -> bytes:
         low = c.lower() if c.isascii() else unicodedata.normalize("NFC", c).replace("Σ", "σ").lower()
+        core = low[:-1] if low[-1] in ".," else low
+        if core.isalpha() and (core.isascii() or max(core) <= LAST_LATIN):  # a word, perhaps with a stop: no split needed
+            return self.word(core) if core is low else self.word(core) + self.word(low[-1])
         return b"".join(map(self.word, WORD.findall(low))) if PLAIN.fullmatch(low) else self.whole(c)
 
     def ids(self, text: str) -> bytes:

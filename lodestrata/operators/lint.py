@@ -34,7 +34,8 @@ def violations(df: DataFrame, rules: dict[str, Column], keep: list[str], name: s
     return df.select(*keep, F.explode(found).alias(name))
 
 
-# The soft limit of names, and the kinds of objects with their own endings.
+# Literal strings, the soft limit of names, and the kinds of objects with their own endings.
+LITERAL = r'@?"[^"\n]{3,}"'
 NAME_LIMIT = 80
 EXTENSION_KINDS, COC_KINDS = ("TableExtension", "FormExtension", "EdtExtension", "EnumExtension"), ("Coc", "CocClass")
 SEVERITY = {
@@ -75,8 +76,7 @@ def review_fields(fields: DataFrame) -> DataFrame:
 
 def review_sources(sources: DataFrame, body: str = "content") -> DataFrame:
     """Literal strings of three characters or more in either form, and queries built from strings."""
-    literal = r'@?"[^"\n]{3,}"'
-    found = sources.select("source_path", F.explode(F.regexp_extract_all(body, F.lit(literal), F.lit(0))).alias("snippet")).select("source_path", F.lit("HARDCODED_STRING").alias("rule"), "snippet")
+    found = sources.select("source_path", F.explode(F.regexp_extract_all(body, F.lit(LITERAL), F.lit(0))).alias("snippet")).select("source_path", F.lit("HARDCODED_STRING").alias("rule"), "snippet")
     built = sources.filter(F.col(body).contains("str2Con(") & F.col(body).contains("new Query")).select("source_path", F.lit("DYNAMIC_QUERY").alias("rule"), F.lit(None).cast("string").alias("snippet"))
     return found.unionByName(built)
 
