@@ -6,12 +6,13 @@ are later than the last register's, so most shingles of a long text take one ste
 the probability Jaccard similarity of their shingles. `BANDS` groups of `ROWS` registers make candidates.
 
 Equal texts are one from the start: signatures, bands and checks run over distinct texts. In a band's bucket the first
-text leads and all others are compared with it, with their whole shingles. Verified links join texts into classes by
-least labels with pointer jumps. A bucket that is then of one class is done, which is what becomes of large groups of
-copies: a comparison a text, and no pair of them is emitted. The other buckets get another leader, which meets the texts
-of other classes, `TURNS` more times. In what is left every text meets the texts of other classes: registers are counted
-first, and pairs that agree in `HOPEFUL` of them or more (three and a half deviations below the similarity) are verified too.
-Buckets of more than `CHUNK` texts are dealt out by pairs of chunks. The links of all steps make the classes.
+text leads. Each text is compared first with the least leader of its buckets, with their whole shingles. Verified links
+join texts into classes by least labels with pointer jumps. A bucket that is then of one class is done, which is what
+becomes of large groups of copies: a comparison a text, and no pair of them is emitted. In the other buckets the first
+text, and then another, meets the texts of other classes. In what is left every text meets the texts of other classes:
+registers are counted first, and pairs that agree in `HOPEFUL` of them or more (three and a half deviations below the
+similarity) are verified too. Buckets of more than `CHUNK` texts are dealt out by pairs of chunks. After each step only
+the classes that a new link joins are labelled again.
 
 Defined results: a null text is empty. A text of fewer than five words is one shingle; a text without words has none
 and is near to equal texts only. The class id is the least id in the class (null ids come last). Repeated rows each
@@ -33,8 +34,8 @@ from lodestrata.llm.common import NOT_BLANK, ODD, checkpoint, groups_of, materia
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 32, 6
 REGISTERS = BANDS * ROWS
-#: Share of equal registers from which a pair is verified; texts of a bucket that meet in one task; leaders after the first.
-HOPEFUL, CHUNK, TURNS = 0.7, 2048, 1
+#: Share of equal registers from which a pair is verified; texts of a bucket that meet in one task; leaders of a bucket.
+HOPEFUL, CHUNK, LEADERS = 0.7, 2048, 2
 #: Bytes of text whose shingles are made together.
 BLOCK = 1_000_000
 LAST_ID = (1 << 63) - 1
@@ -148,7 +149,7 @@ def distinct_texts(keyed: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The similarity of each pair (a, b), from their whole texts."""
+    """The similarity of each pair (a, b) of texts of the classes ra and rb, from their whole texts."""
     full = pairs.join(texts.select(F.col("rid").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("rid").alias("a"), F.col("text").alias("text_a")), "a")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -161,50 +162,62 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 if a not in made:
                     made = {a: shingles([of[a]])[1:]}  # pairs of one leader mostly come together
                 out.append(probability_jaccard(made[a], shingles([bytes(t)])[1:]))
-            yield pd.DataFrame({"a": p["a"], "b": p["b"], "similarity": out})
+            yield p[["a", "b", "ra", "rb"]].assign(similarity=out)
 
-    return full.select("a", "b", "text_a", "text_b").mapInPandas(run, "a bigint, b bigint, similarity double")
+    return full.select("a", "b", "ra", "rb", "text_a", "text_b").mapInPandas(run, "a bigint, b bigint, ra bigint, rb bigint, similarity double")
 
 
-def find_links(texts: DataFrame, keyed: DataFrame) -> DataFrame:
-    """Verified links (a, b) between distinct texts."""
+def find_classes(texts: DataFrame, keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rid and root (the least rid of its class) of all texts that share a bucket, and the pairs that were verified."""
     rows = texts.select("rid", F.explode("bands").alias("bucket"))
     led = rows.groupBy("bucket").agg(F.min("rid").alias("lead"), F.count("*").alias("n")).filter("n > 1")
     members = materialise(rows.join(led, "bucket").select("bucket", "rid", "lead"))
-    pairs = members.filter("rid > lead").select(F.col("lead").alias("a"), F.col("rid").alias("b")).distinct()
-    needed = members.select("rid").distinct().join(texts.select("rid", "id", "key"), "rid")
-    held = materialise(keyed.join(needed, ["id", "key"]).dropDuplicates(["rid"]).select("rid", "text"))
+    needed = members.groupBy("rid").agg(F.min("lead").alias("lead")).join(texts.select("rid", "id", "key"), "rid")
+    held = materialise(keyed.join(needed, ["id", "key"]).dropDuplicates(["rid"]).select("rid", "lead", "text"))
+    pairs = held.filter("rid > lead").select(F.col("lead").alias("a"), F.col("rid").alias("b"), F.col("lead").alias("ra"), F.col("rid").alias("rb"))
     met = checkpoint(verified(pairs, held))
-    near = met.filter(F.col("similarity") >= SIMILAR).select("a", "b")
-    for turn in range(TURNS):
-        # another leader in each bucket of several classes, for the texts of other classes
-        mixed = _mixed(members, near)
-        first = F.min(F.struct(F.xxhash64("rid", F.lit(turn)), "rid", "root"))
+    labels = relabelled(held.select("rid", F.col("rid").alias("root")), met)
+    for turn in range(LEADERS):
+        mixed = _mixed(members, labels)
+        first = F.min(F.struct(F.xxhash64("rid", F.lit(turn)) if turn else F.col("rid").alias("h"), "rid", "root"))
         lead = mixed.groupBy("bucket").agg(first.alias("l")).select("bucket", F.col("l.rid").alias("lead"), F.col("l.root").alias("lead_root"))
-        across = mixed.join(lead, "bucket").filter("root <> lead_root").select(F.least("rid", "lead").alias("a"), F.greatest("rid", "lead").alias("b")).distinct()
+        across = mixed.join(lead, "bucket").filter("root <> lead_root")
+        across = across.select(F.least("rid", "lead").alias("a"), F.greatest("rid", "lead").alias("b"), F.least("root", "lead_root").alias("ra"), F.greatest("root", "lead_root").alias("rb")).distinct()
         more = checkpoint(verified(across.join(met, ["a", "b"], "left_anti"), held))
         met = met.unionByName(more)
-        near = met.filter(F.col("similarity") >= SIMILAR).select("a", "b")
-    mixed = _mixed(members, near)
+        labels = relabelled(labels, more)
+    mixed = _mixed(members, labels)
     chunks = F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")
     rows = mixed.join(mixed.groupBy("bucket").agg(chunks), "bucket").join(texts.select("rid", "registers", "bands"), "rid")
     own = F.pmod(F.xxhash64("rid"), F.col("chunks")).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rid", "root", "registers", "bands")
-    hopeful = rows.groupBy("bucket", "i", "j").applyInPandas(hopeful_pairs, "a bigint, b bigint").join(met, ["a", "b"], "left_anti")
-    more = verified(hopeful, held).filter(F.col("similarity") >= SIMILAR).select("a", "b")
-    return checkpoint(near.unionByName(more))
+    hopeful = rows.groupBy("bucket", "i", "j").applyInPandas(hopeful_pairs, "a bigint, b bigint, ra bigint, rb bigint").join(met, ["a", "b"], "left_anti")
+    more = checkpoint(verified(hopeful, held))
+    return relabelled(labels, more), met.unionByName(more)
+
+
+def find_links(texts: DataFrame, keyed: DataFrame) -> DataFrame:
+    """Verified links (a, b) between distinct texts, which join the same texts as all links do."""
+    return find_classes(texts, keyed)[1].filter(F.col("similarity") >= SIMILAR).select("a", "b")
+
+
+def relabelled(labels: DataFrame, met: DataFrame) -> DataFrame:
+    """The labels (rid, root) after the pairs that are similar have joined their classes ra and rb."""
+    links = met.filter(F.col("similarity") >= SIMILAR).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
+    moved = components(links).select(F.col("rid").alias("root"), F.col("root").alias("joined"))
+    return checkpoint(labels.join(moved, "root", "left").select("rid", F.coalesce("joined", "root").alias("root")))
 
 
-def _mixed(members: DataFrame, links: DataFrame) -> DataFrame:
-    """(bucket, rid, root) of the buckets whose texts are of several classes by these links."""
-    classed = members.select("bucket", "rid").join(components(links), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
+def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(bucket, rid, root) of the buckets whose texts are of several classes by these labels."""
+    classed = members.select("bucket", "rid").join(labels, "rid")
     several = classed.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("bucket")
     return checkpoint(classed.join(several, "bucket", "left_semi").select("bucket", "rid", "root"))
 
 
 def hopeful_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of different classes, one of each chunk, whose registers agree often enough.
+    """Pairs of different classes, one of each chunk, whose registers agree often enough, with their classes.
 
     A pair that meets in several buckets is given by that of their first common band.
     """
@@ -215,7 +228,7 @@ def hopeful_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
     within = pdf["i"].iloc[0] == pdf["j"].iloc[0]
     names, count = np.unique(root, return_counts=True)
     major = names[count.argmax()]
-    a, b = [], []
+    a, b, ra, rb = [], [], [], []
     for x in np.flatnonzero(root != major):  # pairs within the largest class need no look
         others = (root != root[x]) & ((root == major) | (rid > rid[x])) & (within | (own != own[x]))
         at = np.flatnonzero(others)
@@ -223,7 +236,9 @@ def hopeful_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
         at = at[bands[x][(bands[at] == bands[x]).argmax(1)] == bucket]
         a.append(np.minimum(rid[x], rid[at]))
         b.append(np.maximum(rid[x], rid[at]))
-    return pd.DataFrame({"a": np.concatenate(a or [rid[:0]]), "b": np.concatenate(b or [rid[:0]])})
+        ra.append(np.minimum(root[x], root[at]))
+        rb.append(np.maximum(root[x], root[at]))
+    return pd.DataFrame({k: np.concatenate(v or [rid[:0]]) for k, v in (("a", a), ("b", b), ("ra", ra), ("rb", rb))})
 
 
 # ---------------------------------------------------------------- classes
@@ -248,7 +263,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     short_batches(docs.sparkSession)
     keyed = _keyed(docs, id_col, text_col)
     texts = distinct_texts(keyed)
-    roots = components(find_links(texts, keyed))
+    roots, _ = find_classes(texts, keyed)
     known = texts.select("rid", "key", "id").join(roots, "rid", "left").withColumn("root", F.coalesce("root", "rid"))
     first = known.groupBy("root").agg(F.min(F.struct("id", "key")).alias("first"))
     return known.join(first, "root").select("key", "id", F.col("first.id").alias("class_id"), F.col("first.key").alias("class_key"))
