@@ -9,10 +9,11 @@ Equal texts are one from the start: signatures, bands and checks run over distin
 text leads. Each text is compared first with the least leader of its buckets, with their whole shingles. Verified links
 join texts into classes by least labels with pointer jumps. A bucket that is then of one class is done, which is what
 becomes of large groups of copies: a comparison a text, and no pair of them is emitted. In the other buckets the first
-text, and then another, meets the texts of other classes. In what is left every text meets the texts of other classes:
-registers are counted first, and pairs that agree in `HOPEFUL` of them or more (three and a half deviations below the
-similarity) are verified too. Buckets of more than `CHUNK` texts are dealt out by pairs of chunks. After each step only
-the classes that a new link joins are labelled again.
+text meets the texts of other classes. In what is left registers are counted, and pairs of different classes that agree
+in `HOPEFUL` of them or more (three and a half deviations below the similarity) go on: first those of a maximum spanning
+forest of a bucket's classes, of which there are fewer than texts and which join nearly all that belongs together, and
+then every pair whose classes are still different. Buckets of more than `CHUNK` texts are dealt out by pairs of chunks.
+After each step only the classes that a new link joins are labelled again.
 
 Defined results: a null text is empty. A text of fewer than five words is one shingle; a text without words has none
 and is near to equal texts only. The class id is the least id in the class (null ids come last). Repeated rows each
@@ -34,8 +35,8 @@ from lodestrata.llm.common import NOT_BLANK, ODD, checkpoint, groups_of, materia
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 32, 6
 REGISTERS = BANDS * ROWS
-#: Share of equal registers from which a pair is verified; texts of a bucket that meet in one task; leaders of a bucket.
-HOPEFUL, CHUNK, LEADERS = 0.7, 2048, 2
+#: Share of equal registers from which a pair is verified; texts of a bucket that meet in one task.
+HOPEFUL, CHUNK = 0.7, 2048
 #: Bytes of text whose shingles are made together.
 BLOCK = 1_000_000
 LAST_ID = (1 << 63) - 1
@@ -177,24 +178,18 @@ def find_classes(texts: DataFrame, keyed: DataFrame) -> tuple[DataFrame, DataFra
     pairs = held.filter("rid > lead").select(F.col("lead").alias("a"), F.col("rid").alias("b"), F.col("lead").alias("ra"), F.col("rid").alias("rb"))
     met = checkpoint(verified(pairs, held))
     labels = relabelled(held.select("rid", F.col("rid").alias("root")), met)
-    for turn in range(LEADERS):
-        mixed = _mixed(members, labels)
-        first = F.min(F.struct(F.xxhash64("rid", F.lit(turn)) if turn else F.col("rid").alias("h"), "rid", "root"))
-        lead = mixed.groupBy("bucket").agg(first.alias("l")).select("bucket", F.col("l.rid").alias("lead"), F.col("l.root").alias("lead_root"))
-        across = mixed.join(lead, "bucket").filter("root <> lead_root")
-        across = across.select(F.least("rid", "lead").alias("a"), F.greatest("rid", "lead").alias("b"), F.least("root", "lead_root").alias("ra"), F.greatest("root", "lead_root").alias("rb")).distinct()
-        more = checkpoint(verified(across.join(met, ["a", "b"], "left_anti"), held))
-        met = met.unionByName(more)
-        labels = relabelled(labels, more)
     mixed = _mixed(members, labels)
-    chunks = F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")
-    rows = mixed.join(mixed.groupBy("bucket").agg(chunks), "bucket").join(texts.select("rid", "registers", "bands"), "rid")
-    own = F.pmod(F.xxhash64("rid"), F.col("chunks")).cast("int")
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rid", "root", "registers", "bands")
-    hopeful = rows.groupBy("bucket", "i", "j").applyInPandas(hopeful_pairs, "a bigint, b bigint, ra bigint, rb bigint").join(met, ["a", "b"], "left_anti")
-    more = checkpoint(verified(hopeful, held))
-    return relabelled(labels, more), met.unionByName(more)
+    lead = mixed.groupBy("bucket").agg(F.min(F.struct("rid", "root")).alias("l")).select("bucket", F.col("l.rid").alias("lead"), F.col("l.root").alias("lead_root"))
+    led = mixed.join(lead, "bucket").filter("root <> lead_root")
+    led = led.select(F.least("rid", "lead").alias("a"), F.greatest("rid", "lead").alias("b"), F.least("root", "lead_root").alias("ra"), F.greatest("root", "lead_root").alias("rb"))
+    more = checkpoint(verified(led.distinct().join(met, ["a", "b"], "left_anti"), held))
+    met, labels = met.unionByName(more), relabelled(labels, more)
+    for pick in (forest_pairs, hopeful_pairs):
+        dealt = _dealt(_mixed(members, labels), texts)
+        across = dealt.groupBy("bucket", "i", "j").applyInPandas(pick, "a bigint, b bigint, ra bigint, rb bigint")
+        more = checkpoint(verified(across.join(met, ["a", "b"], "left_anti"), held))
+        met, labels = met.unionByName(more), relabelled(labels, more)
+    return labels, met
 
 
 def find_links(texts: DataFrame, keyed: DataFrame) -> DataFrame:
@@ -216,8 +211,17 @@ def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
     return checkpoint(classed.join(several, "bucket", "left_semi").select("bucket", "rid", "root"))
 
 
-def hopeful_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of different classes, one of each chunk, whose registers agree often enough, with their classes.
+def _dealt(mixed: DataFrame, texts: DataFrame) -> DataFrame:
+    """The texts of each bucket with their registers, once for each pair (i, j) of its chunks."""
+    chunks = F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")
+    rows = mixed.join(mixed.groupBy("bucket").agg(chunks), "bucket").join(texts.select("rid", "registers", "bands"), "rid")
+    own = F.pmod(F.xxhash64("rid"), F.col("chunks")).cast("int")
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    return rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rid", "root", "registers", "bands")
+
+
+def _hopeful(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of different classes, one of each chunk, whose registers agree often enough, with classes and agreement.
 
     A pair that meets in several buckets is given by that of their first common band.
     """
@@ -228,17 +232,44 @@ def hopeful_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
     within = pdf["i"].iloc[0] == pdf["j"].iloc[0]
     names, count = np.unique(root, return_counts=True)
     major = names[count.argmax()]
-    a, b, ra, rb = [], [], [], []
+    one, two, agree = [rid[:0].astype(np.int64)], [rid[:0].astype(np.int64)], [np.empty(0)]
     for x in np.flatnonzero(root != major):  # pairs within the largest class need no look
         others = (root != root[x]) & ((root == major) | (rid > rid[x])) & (within | (own != own[x]))
         at = np.flatnonzero(others)
-        at = at[(registers[at] == registers[x]).mean(1) >= HOPEFUL]
-        at = at[bands[x][(bands[at] == bands[x]).argmax(1)] == bucket]
-        a.append(np.minimum(rid[x], rid[at]))
-        b.append(np.maximum(rid[x], rid[at]))
-        ra.append(np.minimum(root[x], root[at]))
-        rb.append(np.maximum(root[x], root[at]))
-    return pd.DataFrame({k: np.concatenate(v or [rid[:0]]) for k, v in (("a", a), ("b", b), ("ra", ra), ("rb", rb))})
+        share = (registers[at] == registers[x]).mean(1)
+        at, share = at[share >= HOPEFUL], share[share >= HOPEFUL]
+        mine = bands[x][(bands[at] == bands[x]).argmax(1)] == bucket
+        one.append(np.full(int(mine.sum()), x))
+        two.append(at[mine])
+        agree.append(share[mine])
+    x, y = np.concatenate(one), np.concatenate(two)
+    return pd.DataFrame({
+        "a": np.minimum(rid[x], rid[y]), "b": np.maximum(rid[x], rid[y]),
+        "ra": np.minimum(root[x], root[y]), "rb": np.maximum(root[x], root[y]), "agree": np.concatenate(agree),
+    })
+
+
+def hopeful_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+    return _hopeful(pdf)[["a", "b", "ra", "rb"]]
+
+
+def forest_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of the hopeful pairs, those of a maximum spanning forest of the classes: best agreement first."""
+    pairs = _hopeful(pdf).sort_values(["agree", "a", "b"], ascending=[False, True, True]).drop_duplicates(["ra", "rb"], ignore_index=True)
+    parent: dict[int, int] = {}
+
+    def top(r: int) -> int:
+        while (up := parent.get(r, r)) != r:
+            parent[r] = r = parent.get(up, up)
+        return r
+
+    chosen = []
+    for k, (ra, rb) in enumerate(zip(pairs["ra"].tolist(), pairs["rb"].tolist(), strict=True)):
+        ra, rb = top(ra), top(rb)
+        if ra != rb:
+            parent[rb] = ra
+            chosen.append(k)
+    return pairs.loc[chosen, ["a", "b", "ra", "rb"]]
 
 
 # ---------------------------------------------------------------- classes
