@@ -1,9 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: n-gram seeds find passages, Smith-Waterman alignment scores them.
 
-Words are lower-cased runs of letters and digits. One pass over the corpus counts in how many documents each n-gram of
-the items occurs. Of every `STRETCH` consecutive n-grams of an item the rarest is a seed, so each part of an item has
-one and common phrases are used only where an item has nothing rarer. A second pass looks for seeds, cuts out the
-passages around them (with room for insertions, overlaps joined) and aligns each with its item, all where the text is.
+Words are lower-cased runs of letters and digits. Every n-gram of an item is a seed, however common: a choice of rare
+ones would prefer those that an edited copy lacks. One pass over the corpus looks for seeds, cuts out the passages
+around them (with room for insertions, overlaps joined) and aligns each with its item, all where the text is. Only a
+passage that shares too few words with its item to reach the threshold is left out before, which loses none.
 The score is the best local alignment's, as a share of what the whole item would get: 1 is a copy, and each changed
 word costs a little.
 
@@ -27,12 +27,12 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm.common import ALNUM, ODD, groups_of, map_rows, map_texts, mix64, short_batches, word_hashes
 
-GRAM, STRETCH = 3, 4
+GRAM = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Least score that counts as contaminated.
 THRESHOLD = 0.5
-#: Characters of a text block, characters of items sent to tasks at once, pairs aligned together.
-BLOCK, ITEM_CHARS, PAIRS = 1_000_000, 8_000_000, 256
+#: Characters of a text block, characters of items sent to tasks at once, words of passages aligned together.
+BLOCK, ITEM_CHARS, WORDS = 1_000_000, 8_000_000, 32_768
 
 
 def hashed_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -52,37 +52,31 @@ def grams(doc: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Items:
-    """A block of items: their words and n-grams, and, once counted, their seeds."""
+    """A block of items: their words, how often each has a word, and all their n-grams as seeds."""
 
     def __init__(self, ids: list, texts: list[str]):
         doc, word = hashed_words(texts)
         edges = np.searchsorted(doc, np.arange(len(texts) + 1))
         self.ids, self.words = ids, [word[edges[i] : edges[i + 1]] for i in range(len(texts))]
         at, gram = grams(doc, word)
-        self.item, self.offset, self.gram = doc[at], at - edges[doc[at]], gram
-        self.known = np.unique(gram)
-
-    def choose(self, counts: dict[int, int]) -> None:
-        """Keep the rarest n-gram of each stretch as seeds; ties go to the smaller hash."""
-        often = np.array([counts.get(int(g), 0) for g in self.known.view(np.int64)])
-        value = often[np.searchsorted(self.known, self.gram)]
-        seeds = set()
-        for i in range(len(self.ids)):
-            own = np.flatnonzero(self.item == i)
-            for s in range(max(1, len(own) - STRETCH + 1) if len(own) else 0):
-                part = own[s : s + STRETCH]
-                seeds.add(int(part[np.lexsort((self.gram[part], value[part]))[0]]))
-        pick = np.array(sorted(seeds), dtype=np.int64)
-        order = pick[np.argsort(self.gram[pick], kind="stable")]
-        self.seed, self.seed_item, self.seed_offset = self.gram[order], self.item[order], self.offset[order]
+        item, offset = doc[at], at - edges[doc[at]]
+        order = np.lexsort((offset, item, gram))
+        gram, item, offset = gram[order], item[order], offset[order]
+        new = np.ones(len(gram) + 1, dtype=bool)
+        new[1:-1] = (gram[1:] != gram[:-1]) | (item[1:] != item[:-1])
+        ends = np.flatnonzero(new[:-1] | new[1:])  # of an item's equal n-grams the first and the last, whose passages meet
+        self.seed, self.seed_item, self.seed_offset = gram[ends], item[ends], offset[ends]
+        self.size = np.diff(edges)
+        self.vocabulary, code = np.unique(word, return_inverse=True)
+        self.held, self.times = np.unique(doc * len(self.vocabulary) + code, return_counts=True)  # (item, word) and how often
 
 
 def align(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """Best local alignment score of each (item words, passage words), as a share of the item's own."""
     out = np.zeros(len(pairs))
     order = sorted(range(len(pairs)), key=lambda i: (len(pairs[i][1]), len(pairs[i][0])))
-    for lo in range(0, len(order), PAIRS):
-        pick = order[lo : lo + PAIRS]
+    for lo, hi in groups_of([len(pairs[i][1]) for i in order], WORDS):
+        pick = order[lo:hi]
         m, n = max(len(pairs[i][0]) for i in pick), max(len(pairs[i][1]) for i in pick)
         x, y = np.zeros((len(pick), m), np.uint64), np.zeros((len(pick), n), np.uint64)  # no word has hash 0 in practice
         for k, i in enumerate(pick):
@@ -101,27 +95,46 @@ def align(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     return out
 
 
-def find_passages(items: Items, doc: np.ndarray, word: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-    """(text, item, first word, end word, seeds) of passages around seeds; words numbered through all texts."""
+def find_passages(items: Items, doc: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(text, item, first word, end word, seeds) of passages around seeds, as columns; words numbered through all texts."""
     at, gram = grams(doc, word)
     lo, hi = np.searchsorted(items.seed, gram, side="left"), np.searchsorted(items.seed, gram, side="right")
     hit = np.flatnonzero(hi > lo)
     times = hi[hit] - lo[hit]
     which = np.repeat(lo[hit], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
     at, item = np.repeat(at[hit], times), items.seed_item[which]
-    size = np.array([len(w) for w in items.words], dtype=np.int64)[item]
+    start = at - items.seed_offset[which]
+    order = np.lexsort((start, item, doc[at]))
+    at, item, start = at[order], item[order], start[order]
+    text, size = doc[at], items.size[item]
     room = size // 2 + 3
-    first = np.maximum(at - items.seed_offset[which] - room, np.searchsorted(doc, doc[at]))
-    last = np.minimum(at - items.seed_offset[which] + size + room, np.searchsorted(doc, doc[at], side="right"))
-    order = np.lexsort((first, item, doc[at]))
-    found: list[list[int]] = []
-    for d, i, s, e in zip(doc[at][order].tolist(), item[order].tolist(), first[order].tolist(), last[order].tolist(), strict=True):
-        if found and found[-1][0] == d and found[-1][1] == i and s <= found[-1][3]:
-            found[-1][3] = max(found[-1][3], e)
-            found[-1][4] += 1
-        else:
-            found.append([d, i, s, e, 1])
-    return [tuple(x) for x in found]
+    first = np.maximum(start - room, np.searchsorted(doc, text))
+    last = np.minimum(start + size + room, np.searchsorted(doc, text, side="right"))
+    # of one text and item, both ends grow with `start`, so a passage begins where one starts beyond the end before it
+    new = np.ones(len(at), dtype=bool)
+    new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (first[1:] > last[:-1])
+    begin = np.flatnonzero(new)
+    seeds = np.diff(np.r_[begin, len(at)])
+    return text[begin], item[begin], first[begin], last[begin + seeds - 1], seeds
+
+
+def most_matches(items: Items, word: np.ndarray, item: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Upper bound of the words that each passage can match with its item: those it shares, as often as both have them."""
+    code = np.minimum(np.searchsorted(items.vocabulary, word), len(items.vocabulary) - 1)
+    own = np.flatnonzero(items.vocabulary[code] == word)
+    code = code[own]
+    lo, hi = np.searchsorted(own, first), np.searchsorted(own, last)
+    most = np.zeros(len(item), dtype=np.int64)
+    for a, b in groups_of((hi - lo).tolist(), BLOCK):
+        n = hi[a:b] - lo[a:b]
+        which = np.repeat(np.arange(b - a), n)
+        k = code[np.repeat(lo[a:b], n) + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)]
+        wanted = item[a:b][which] * len(items.vocabulary) + k
+        place = np.minimum(np.searchsorted(items.held, wanted), len(items.held) - 1)
+        both = items.held[place] == wanted
+        found, count = np.unique(which[both] * len(items.held) + place[both], return_counts=True)
+        most[a:b] = np.bincount(found // len(items.held), weights=np.minimum(count, items.times[found % len(items.held)]), minlength=b - a)
+    return most
 
 
 def item_blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[Items]:
@@ -132,40 +145,23 @@ def item_blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[
         part = items if n == 1 else items.filter(F.pmod(F.xxhash64("id", "t"), F.lit(n)) == k)
         rows = sorted(part.collect(), key=lambda r: (r["t"], str(r["id"])))  # about ITEM_CHARS characters
         block = Items([r["id"] for r in rows], [r["t"] for r in rows])
-        if len(block.known):
+        if len(block.seed):
             yield block
 
 
-def count_grams(docs: DataFrame, items: Items, text_col: str) -> dict[int, int]:
-    """Documents that hold each n-gram of the block, over the whole corpus."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(len(items.known), dtype=np.int64)
-        for b in batches:
-            texts = b["t"].tolist()
-            for lo, hi in groups_of([len(t) for t in texts], BLOCK):
-                doc, word = hashed_words(texts[lo:hi])
-                at, gram = grams(doc, word)
-                k = np.minimum(np.searchsorted(items.known, gram), len(items.known) - 1)
-                hit = items.known[k] == gram
-                once = np.unique(doc[at[hit]] * len(items.known) + k[hit]) % len(items.known)
-                np.add.at(total, once, 1)
-        held = np.flatnonzero(total)
-        yield pd.DataFrame({"gram": items.known[held].view(np.int64), "n": total[held]})
-
-    counted = docs.select(F.coalesce(text_col, F.lit("")).alias("t")).mapInPandas(run, "gram bigint, n bigint")
-    return {r["gram"]: r["n"] for r in counted.groupBy("gram").agg(F.sum("n").alias("n")).collect()}  # a row per n-gram of the block
-
-
-def scored(texts: list[str], items: Items) -> Iterator[tuple[int, int, float, int]]:
-    """(text, item, score, seeds), the best passage of each pair."""
+def scored(texts: list[str], items: Items, threshold: float) -> Iterator[tuple[int, int, float, int]]:
+    """(text, item, score, seeds), the best passage of each pair whose score reaches the threshold."""
     for lo, hi in groups_of([len(t) for t in texts], BLOCK):
         doc, word = hashed_words(texts[lo:hi])
-        found = find_passages(items, doc, word)
-        scores = align([(items.words[i], word[s:e]) for _, i, s, e, _ in found])
+        text, item, first, last, seeds = find_passages(items, doc, word)
+        # each match gives MATCH and nothing else gives anything, so the score is at most the share of words matched
+        able = np.flatnonzero(most_matches(items, word, item, first, last) >= threshold * items.size[item])
+        scores = align([(items.words[item[k]], word[first[k] : last[k]]) for k in able])
         best: dict[tuple[int, int], tuple[float, int]] = defaultdict(lambda: (0.0, 0))
-        for (d, i, _, _, n), s in zip(found, scores, strict=True):
-            best[d, i] = max(best[d, i], (float(s), n))
+        for k, s in zip(able.tolist(), scores.tolist(), strict=True):
+            if s >= threshold:
+                pair = int(text[k]), int(item[k])
+                best[pair] = max(best[pair], (s, int(seeds[k])))
         for (d, i), (s, n) in best.items():
             yield d + lo, i, s, n
 
@@ -177,14 +173,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
     columns = f"{item_col} {kinds[1]}, score double, n_seeds bigint"
     out = docs.sparkSession.createDataFrame([], f"{id_col} {kinds[0]}, {columns}")
     for items in item_blocks(benchmark, item_col, text_col):
-        items.choose(count_grams(docs, items, text_col))
-
         def run(batches: Iterator[pd.DataFrame], items: Items = items) -> Iterator[pd.DataFrame]:
             for b in batches:
                 rows: dict[tuple[int, object], tuple[float, int]] = {}
-                for d, i, s, n in scored(b["t"].tolist(), items):
-                    if s >= threshold:
-                        rows[d, items.ids[i]] = max(rows.get((d, items.ids[i]), (0.0, 0)), (s, n))
+                for d, i, s, n in scored(b["t"].tolist(), items, threshold):
+                    rows[d, items.ids[i]] = max(rows.get((d, items.ids[i]), (0.0, 0)), (s, n))
                 if rows:
                     yield pd.DataFrame({id_col: b[id_col].iloc[[d for d, _ in rows]].to_numpy(), item_col: [i for _, i in rows], "score": [s for s, _ in rows.values()], "n_seeds": [n for _, n in rows.values()]})
 
@@ -196,10 +189,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float =
     """The rows that hold no item, with all their columns."""
     short_batches(docs.sparkSession)
     for items in item_blocks(benchmark, item_col, text_col):
-        items.choose(count_grams(docs, items, text_col))
-
         def change(b: pa.RecordBatch, texts: list[str], items: Items = items) -> pa.RecordBatch:
-            bad = {d for d, _, s, _ in scored(texts, items) if s >= threshold}
+            bad = {d for d, *_ in scored(texts, items, threshold)}
             return b.filter(pa.array([i not in bad for i in range(len(texts))], pa.bool_()))
 
         docs = map_rows(docs, text_col, change)

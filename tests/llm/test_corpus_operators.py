@@ -126,6 +126,32 @@ def test_decontamination(spark):
     assert dc.contamination(empty(spark), bench).count() == 0 and dc.drop_contaminated(docs(spark, rows), bench.limit(0)).count() == len(rows)
 
 
+@pytest.mark.parametrize("exact", [0, 3])
+def test_copies_edited_every_few_words_are_found(spark, exact):
+    r = random.Random(8)
+    vocabulary = [f"word{i}" for i in range(3000)]
+    items = [(i, [r.choice(vocabulary) for _ in range(r.randint(15, 50))]) for i in range(9)]
+    rows, want = [], set()
+    for d in range(54):
+        item, copy = items[d % 9]
+        gap, at = 4 + d % 3, d // 9 % 4
+        edited = [w if k % gap != at else f"edit{d}x{k}" for k, w in enumerate(copy)]
+        words = [r.choice(vocabulary) for _ in range(120)]
+        words[60:60] = edited
+        score = smith_waterman(copy, words)
+        assert score >= 0.5
+        rows.append((d, " ".join(words)))
+        want.add((d, item, round(score, 9)))
+    whole = [(100 + 10 * i + k, " ".join(w)) for i, w in items for k in range(exact)]
+    common = [(500 + k, " ".join(w[4:7])) for k in range(50) for _, w in items]  # n-grams of items that many documents hold
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    got = dc.contamination(docs(spark, rows + whole + common), bench).collect()
+    assert {(x["doc_id"], x["item_id"], round(x["score"], 9)) for x in got if x["doc_id"] < 100} == want
+    assert {x["doc_id"] for x in got if x["doc_id"] >= 100} == {i for i, _ in whole}
+    kept = dc.drop_contaminated(docs(spark, rows + whole + common), bench)
+    assert {x["doc_id"] for x in kept.collect()} == {i for i, _ in common}
+
+
 # ---------------------------------------------------------------- urls
 
 
