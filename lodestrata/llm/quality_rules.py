@@ -5,8 +5,9 @@ that no match leaves its document; only suffixes that still tie are sorted again
 the longest common prefix of neighbours. The intervals of equal prefixes of at least `min_repeat` words are the
 repeated substrings: a suffix's longest one is the larger of its two neighbouring values, and it is maximal where the
 suffix one word earlier does not have a longer one that covers it. The union of their spans is the covered part. A text
-is rejected where more than `max_covered` of its words, or a single repeat longer than `max_longest` words that also
-makes up more than `long_share` of the text, is repeated.
+is rejected where more than `max_covered` of its words are repeated, or where a single repeat is longer than
+`max_longest` words, however long the text is. Repeats of `min_repeat` words lie within the base rule's repeated windows,
+so `max_covered` acts only below that rule's share.
 
 Defined results: null, empty and blank texts have no words, so the base rule rejects them. Repeated rows each keep a
 row. Empty tables give empty results. Other columns are kept by `reject_low_quality` and not read otherwise.
@@ -129,11 +130,11 @@ def measure(texts: list[str], min_repeat: int) -> dict[str, np.ndarray]:
     return out | {"n_maximal": count(maximal)}
 
 
-def verdicts(m: dict[str, np.ndarray], max_covered: float, max_longest: int, long_share: float) -> tuple[np.ndarray, np.ndarray]:
+def verdicts(m: dict[str, np.ndarray], max_covered: float, max_longest: int) -> tuple[np.ndarray, np.ndarray]:
     n = m["n_words"]
     base_failed = (n < LEAST_WORDS) | (100 * m["n_repeat_words"] > REPEAT_PERCENT * n)
     too_much = m["repeat_covered"] > max_covered * n
-    too_long = (m["longest_repeat"] > max_longest) & (m["longest_repeat"] > long_share * n)
+    too_long = m["longest_repeat"] > max_longest
     return base_failed, ~(base_failed | too_much | too_long)
 
 
@@ -142,12 +143,12 @@ def _measured(texts: list[str], min_repeat: int) -> dict[str, np.ndarray]:
     return {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
 
 
-#: Words of a repeat; the share of words that repeats may cover; the longest repeat and the share at which it counts.
-MIN_REPEAT, MAX_COVERED, MAX_LONGEST, LONG_SHARE = 8, 0.2, 50, 0.1
+#: Words of a repeat; the share of words that repeats may cover (less than REPEAT_PERCENT); the longest repeat.
+MIN_REPEAT, MAX_COVERED, MAX_LONGEST = 8, 0.12, 50
 
 
 def quality_report(docs: DataFrame, min_repeat: int = MIN_REPEAT, max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST,
-                   long_share: float = LONG_SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Counts and verdict per document."""
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     more = ["repeat_covered", "longest_repeat", "n_maximal"]
@@ -156,17 +157,16 @@ def quality_report(docs: DataFrame, min_repeat: int = MIN_REPEAT, max_covered: f
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             m = _measured(b["t"].tolist(), min_repeat)
-            failed, kept = verdicts(m, max_covered, max_longest, long_share)
+            failed, kept = verdicts(m, max_covered, max_longest)
             yield pd.DataFrame({id_col: b[id_col].to_numpy()} | {c: m[c] for c in names} | {"base_failed": failed, "kept": kept} | {c: m[c] for c in more})
 
     return map_texts(docs, run, columns, id_col, text_col)
 
 
-def reject_low_quality(docs: DataFrame, min_repeat: int = MIN_REPEAT, max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST,
-                       long_share: float = LONG_SHARE, text_col: str = "text") -> DataFrame:
+def reject_low_quality(docs: DataFrame, min_repeat: int = MIN_REPEAT, max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST, text_col: str = "text") -> DataFrame:
     """The rows that the rules keep, with all their columns."""
 
     def change(b: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
-        return b.filter(pa.array(verdicts(_measured(texts, min_repeat), max_covered, max_longest, long_share)[1]))
+        return b.filter(pa.array(verdicts(_measured(texts, min_repeat), max_covered, max_longest)[1]))
 
     return map_rows(docs, text_col, change)

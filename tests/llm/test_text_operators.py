@@ -168,6 +168,20 @@ def test_quality_report(spark):
     assert len(rows) == qr.quality_report(df).count()
 
 
+def test_each_limit_rejects_what_the_base_rule_keeps(spark):
+    words = lambda p, n: " ".join(f"{p}{i}" for i in range(n))
+    twice = lambda n, total: f"{words('r', n)} {words('a', total - 2 * n)} {words('r', n)}"
+    texts = {"covered": twice(20, 300), "longest": twice(60, 4000), "long text": twice(900, 20_000), "short repeat": twice(50, 4000), "little": twice(9, 300), "none": words("c", 300)}
+    df, _ = frame(spark, list(texts.values()))
+    got = {name: r for name, r in zip(texts, sorted((r for r in qr.quality_report(df).collect() if 100 <= (r["doc_id"] or 0) < 200), key=lambda r: r["doc_id"]), strict=True)}
+    assert not any(r["base_failed"] for r in got.values())
+    assert {name for name, r in got.items() if not r["kept"]} == {"covered", "longest", "long text"}
+    assert (got["covered"]["repeat_covered"], got["covered"]["longest_repeat"]) == (40, 20)
+    assert (got["longest"]["repeat_covered"], got["longest"]["longest_repeat"]) == (120, 60)
+    kept = {r["doc_id"] for r in qr.reject_low_quality(df).collect()}
+    assert kept & set(range(100, 106)) == {103, 104, 105}
+
+
 # ---------------------------------------------------------------- models
 
 
