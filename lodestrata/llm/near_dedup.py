@@ -9,10 +9,10 @@ Equal texts are one from the start: signatures, bands and checks run over distin
 text leads. Each text is compared first with the least leader of its buckets, with their whole shingles. Verified links
 join texts into classes by least labels with pointer jumps. A bucket that is then of one class is done, which is what
 becomes of large groups of copies: a comparison a text, and no pair of them is emitted. In the other buckets the first
-text meets the texts of other classes. In what is left registers are counted, and pairs of different classes that agree
-in `HOPEFUL` of them or more (three and a half deviations below the similarity) go on: first those of a maximum spanning
-forest of a bucket's classes, of which there are fewer than texts and which join nearly all that belongs together, and
-then every pair whose classes are still different. Buckets of more than `CHUNK` texts are dealt out by pairs of chunks.
+text meets the texts of other classes. In what is left a pair of different classes goes on unless an upper bound of its
+similarity, from the weight of the shingles in `BINS` bins, shows that it is not near: first the pairs of a maximum
+spanning forest of a bucket's classes, of which there are fewer than texts and which join nearly all that belongs
+together, and then every pair whose classes are still different. Buckets of more than `CHUNK` texts are dealt out by pairs of chunks.
 After each step only the classes that a new link joins are labelled again.
 
 Defined results: a null text is empty. A text of fewer than five words is one shingle; a text without words has none
@@ -35,8 +35,8 @@ from lodestrata.llm.common import NOT_BLANK, ODD, checkpoint, groups_of, materia
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 32, 6
 REGISTERS = BANDS * ROWS
-#: Share of equal registers from which a pair is verified; texts of a bucket that meet in one task.
-HOPEFUL, CHUNK = 0.7, 2048
+#: Bins of a text's shingles; what rounding may take from a bound; pairs bounded together; texts of a bucket in one task.
+BINS, ROUNDING, PAIRS, CHUNK = 1024, 1e-4, 256, 2048
 #: Bytes of text whose shingles are made together.
 BLOCK = 1_000_000
 LAST_ID = (1 << 63) - 1
@@ -101,6 +101,32 @@ def band_hashes(registers: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+def binned(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n: int) -> list[bytes]:
+    """The weight of each text's shingles in each bin, in the least width that holds them."""
+    sums = np.bincount(doc * BINS + (element % np.uint64(BINS)).astype(np.int64), weights=weight, minlength=n * BINS).reshape(n, BINS)
+    return [x.astype(np.min_scalar_type(int(x.max())).newbyteorder("<")).tobytes() for x in sums]
+
+
+def shares(bins: bytes) -> np.ndarray:
+    x = np.frombuffer(bins, f"<u{len(bins) // BINS}").astype(np.float64)
+    return (x / max(x.sum(), 1)).astype(np.float32)
+
+
+def most_similar(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Upper bound of the similarity of a text with each row of `q`, from the shares of their bins.
+
+    Joining elements never lowers probability Jaccard: an element's term is at most g(p_i, q_i) with g(x, y) = 1 / sum of
+    max(P / x, Q / y) over the bins, and g is concave and of degree 1, so the terms of a bin sum to at most g of its sums.
+    A bin's term is at most the lesser share, and at most the larger one over the sum of max(P, Q).
+    """
+    out = np.empty(len(q))
+    for lo in range(0, len(q), PAIRS):
+        low, high = np.minimum(q[lo : lo + PAIRS], p), np.maximum(q[lo : lo + PAIRS], p)
+        high /= high.sum(1, keepdims=True)
+        out[lo : lo + PAIRS] = np.minimum(low, high).sum(1)
+    return out
+
+
 def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Exact probability Jaccard similarity of two sorted (hash, weight) sets."""
     if not len(a[0]) or not len(b[0]):
@@ -129,21 +155,22 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def distinct_texts(keyed: DataFrame) -> DataFrame:
-    """One row per text: a number, its content key, the least id, band hashes and 16 bits a register; written once."""
+    """One row per text: a number, its content key, the least id, band hashes and bins; written once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             b = b.assign(key=b["key"].map(bytes)).sort_values("id").drop_duplicates("key", ignore_index=True)
             texts = [bytes(t) for t in b["text"]]
-            bands, short = [], []
+            bands, bins = [], []
             for lo, hi in groups_of([len(t) for t in texts], BLOCK):
-                registers, some = signatures(*shingles(texts[lo:hi]), hi - lo)
+                made = shingles(texts[lo:hi])
+                registers, some = signatures(*made, hi - lo)
                 bands += [h.tolist() if s else [] for h, s in zip(band_hashes(registers), some, strict=True)]
-                short += [r.astype("<u2").tobytes() for r in registers]
-            yield pd.DataFrame({"key": b["key"], "id": b["id"], "bands": bands, "registers": short})
+                bins += binned(*made, hi - lo)
+            yield pd.DataFrame({"key": b["key"], "id": b["id"], "bands": bands, "bins": bins})
 
-    made = keyed.mapInPandas(run, "key binary, id bigint, bands array<bigint>, registers binary")
-    return materialise(made.groupBy("key").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("registers").alias("registers")).withColumn("rid", F.monotonically_increasing_id()))
+    made = keyed.mapInPandas(run, "key binary, id bigint, bands array<bigint>, bins binary")
+    return materialise(made.groupBy("key").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("bins").alias("bins")).withColumn("rid", F.monotonically_increasing_id()))
 
 
 # ---------------------------------------------------------------- candidates, round by round
@@ -212,40 +239,40 @@ def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _dealt(mixed: DataFrame, texts: DataFrame) -> DataFrame:
-    """The texts of each bucket with their registers, once for each pair (i, j) of its chunks."""
+    """The texts of each bucket with their bins, once for each pair (i, j) of its chunks."""
     chunks = F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")
-    rows = mixed.join(mixed.groupBy("bucket").agg(chunks), "bucket").join(texts.select("rid", "registers", "bands"), "rid")
+    rows = mixed.join(mixed.groupBy("bucket").agg(chunks), "bucket").join(texts.select("rid", "bins", "bands"), "rid")
     own = F.pmod(F.xxhash64("rid"), F.col("chunks")).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    return rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rid", "root", "registers", "bands")
+    return rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rid", "root", "bins", "bands")
 
 
 def _hopeful(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of different classes, one of each chunk, whose registers agree often enough, with classes and agreement.
+    """Pairs of different classes, one of each chunk, that the bound doesn't exclude, with classes and bound.
 
     A pair that meets in several buckets is given by that of their first common band.
     """
     pdf = pdf.sort_values("rid", ignore_index=True)
     bands, bucket = np.stack([np.asarray(b, dtype=np.int64) for b in pdf["bands"]]), pdf["bucket"].iloc[0]
-    registers = np.stack([np.frombuffer(r, "<u2") for r in pdf["registers"]])
+    share = np.stack([shares(b) for b in pdf["bins"]])
     rid, root, own = (pdf[c].to_numpy() for c in ("rid", "root", "own"))
     within = pdf["i"].iloc[0] == pdf["j"].iloc[0]
     names, count = np.unique(root, return_counts=True)
     major = names[count.argmax()]
-    one, two, agree = [rid[:0].astype(np.int64)], [rid[:0].astype(np.int64)], [np.empty(0)]
+    one, two, most = [rid[:0].astype(np.int64)], [rid[:0].astype(np.int64)], [np.empty(0)]
     for x in np.flatnonzero(root != major):  # pairs within the largest class need no look
         others = (root != root[x]) & ((root == major) | (rid > rid[x])) & (within | (own != own[x]))
         at = np.flatnonzero(others)
-        share = (registers[at] == registers[x]).mean(1)
-        at, share = at[share >= HOPEFUL], share[share >= HOPEFUL]
-        mine = bands[x][(bands[at] == bands[x]).argmax(1)] == bucket
-        one.append(np.full(int(mine.sum()), x))
-        two.append(at[mine])
-        agree.append(share[mine])
+        at = at[bands[x][(bands[at] == bands[x]).argmax(1)] == bucket]
+        bound = most_similar(share[x], share[at])
+        able = bound >= SIMILAR - ROUNDING
+        one.append(np.full(int(able.sum()), x))
+        two.append(at[able])
+        most.append(bound[able])
     x, y = np.concatenate(one), np.concatenate(two)
     return pd.DataFrame({
         "a": np.minimum(rid[x], rid[y]), "b": np.maximum(rid[x], rid[y]),
-        "ra": np.minimum(root[x], root[y]), "rb": np.maximum(root[x], root[y]), "agree": np.concatenate(agree),
+        "ra": np.minimum(root[x], root[y]), "rb": np.maximum(root[x], root[y]), "most": np.concatenate(most),
     })
 
 
@@ -254,8 +281,8 @@ def hopeful_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def forest_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of the hopeful pairs, those of a maximum spanning forest of the classes: best agreement first."""
-    pairs = _hopeful(pdf).sort_values(["agree", "a", "b"], ascending=[False, True, True]).drop_duplicates(["ra", "rb"], ignore_index=True)
+    """Of the hopeful pairs, those of a maximum spanning forest of the classes: largest bound first."""
+    pairs = _hopeful(pdf).sort_values(["most", "a", "b"], ascending=[False, True, True]).drop_duplicates(["ra", "rb"], ignore_index=True)
     parent: dict[int, int] = {}
 
     def top(r: int) -> int:

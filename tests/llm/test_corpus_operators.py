@@ -282,6 +282,40 @@ def test_large_group_emits_few_pairs(spark):
     assert links.count() < 40 * 300
 
 
+def unlucky_pair(seed):
+    """Two texts of similarity 0.806."""
+    words = [f"s{seed}w{i}" for i in range(60)]
+    return " ".join(words), " ".join(["x0" if i == 59 else "x1" if i == 30 else w for i, w in enumerate(words)])
+
+
+def test_similar_pairs_with_few_equal_registers_are_verified(spark):
+    a, b = unlucky_pair(2729)
+    assert 0.8 <= similarity(counted(a), counted(b)) < 0.81
+    registers, _ = nd.signatures(*nd.shingles([a.encode(), b.encode()]), 2)
+    assert (registers[0] == registers[1]).mean() < 0.7
+    far = " ".join(a.split()[:30] + ["z"] * 30)
+    keyed = nd._keyed(docs(spark, [(1, a), (2, b), (3, far)]), "doc_id", "text")
+    texts = nd.distinct_texts(keyed).cache()
+    rid = {r["id"]: r["rid"] for r in texts.collect()}
+    mixed = texts.selectExpr("rid", "rid AS root", "explode(bands) AS bucket").select("bucket", "rid", "root")
+    mixed = mixed.join(mixed.groupBy("bucket").count().filter("count > 1").select("bucket"), "bucket")
+    for pick in (nd.hopeful_pairs, nd.forest_pairs):
+        got = nd._dealt(mixed, texts).groupBy("bucket", "i", "j").applyInPandas(pick, "a bigint, b bigint, ra bigint, rb bigint").collect()
+        assert [(r["a"], r["b"]) for r in got] == [(min(rid[1], rid[2]), max(rid[1], rid[2]))]
+
+
+def test_bound_is_never_below_the_similarity():
+    r = random.Random(6)
+    texts = [" ".join(r.choice("abcdefgh"[: r.randint(1, 8)]) for _ in range(r.randint(1, 400))) for _ in range(60)]
+    base = [f"y{i}" for i in range(3000)]
+    texts += [" ".join(w if r.random() > e else "z" for w in base[:n]) for n in (100, 1000, 3000) for e in (0, 0.01, 0.02, 0.05)] + [" ".join(base[:100] * 400)]
+    d, h, w = nd.shingles([t.encode() for t in texts])
+    share = np.stack([nd.shares(x) for x in nd.binned(d, h, w, len(texts))])
+    for i in range(len(texts)):
+        exact = [nd.probability_jaccard((h[d == i], w[d == i]), (h[d == j], w[d == j])) for j in range(len(texts))]
+        assert (nd.most_similar(share[i], share) >= np.array(exact) - nd.ROUNDING).all()
+
+
 # ---------------------------------------------------------------- pipeline
 
 
