@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -93,9 +94,21 @@ def read_tree(spark: SparkSession, root: str, models: list[str] | None = None, l
     return tables
 
 
-def write_models(tables: dict[str, DataFrame], path: str) -> None:
-    """Replace the models in the new tables and leave all others: one overwrite of partitions per table."""
+def drop_models(spark: SparkSession, names: list[str], path: str, models: list[str]) -> None:
+    """Remove the partitions of the models from the tables that exist."""
+    for name in names:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+        fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        for found in fs.listStatus(folder) if fs.exists(folder) else []:
+            column, _, value = found.getPath().getName().partition("=")
+            if column == "model" and unquote(value) in models:
+                fs.delete(found.getPath(), True)
+
+
+def write_models(tables: dict[str, DataFrame], path: str, models: list[str]) -> None:
+    """Replace the models' rows and leave all others: an overwrite of partitions leaves those without new rows, so they go first."""
     for name, df in tables.items():
+        drop_models(df.sparkSession, [name], path, models)
         df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model").parquet(f"{path}/{name}")
 
 
@@ -138,26 +151,34 @@ def ensure_schema(spark: SparkSession, path: str) -> bool:
 
 
 def refresh(spark: SparkSession, root: str, path: str, force: bool = False, since: datetime.datetime | None = None, languages: list[str] | None = None) -> list[str]:
-    """Read the models that changed, replace their rows, and record fingerprints and the run; their names."""
+    """Read the models that changed, replace their rows, drop those of models without files, and record fingerprints and the run; their names.
+
+    A model that changed has no fingerprint until its rows are written, and one without files keeps its until they are
+    gone, so a refresh that breaks off is made up for by the next.
+    """
     started = datetime.datetime.now(datetime.UTC).replace(tzinfo=None)
     ensure_schema(spark, path)
     now = fingerprint_files(spark, root)
     try:
-        stored = spark.read.parquet(f"{path}/fingerprints")
+        stored = spark.read.schema("fingerprint string, model string").parquet(f"{path}/fingerprints")
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         stored = spark.createDataFrame([], "model string, fingerprint string")
     todo = [r["model"] for r in changed_models(now, stored, since, force).filter("model <> 'Descriptor'").select("model").collect()]  # one name a model
-    if not todo:
+    gone = [r["model"] for r in stored.join(now, "model", "left_anti").select("model").distinct().collect()]
+    if not todo and not gone:
         return []
-    tables = read_tree(spark, root, todo, languages)
-    write_models({k: v.filter(F.col("model").isin(todo)) for k, v in tables.items()}, path)
-    now.filter(F.col("model").isin(todo)).select("model", "fingerprint").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model").parquet(f"{path}/fingerprints")
+    drop_models(spark, list(schemas(spark)), path, gone)
+    drop_models(spark, ["fingerprints"], path, todo + gone)
+    if todo:
+        tables = read_tree(spark, root, todo, languages)
+        write_models({k: v.filter(F.col("model").isin(todo)) for k, v in tables.items()}, path, todo)
+        now.filter(F.col("model").isin(todo)).select("model", "fingerprint").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model").parquet(f"{path}/fingerprints")
     ms = int((datetime.datetime.now(datetime.UTC).replace(tzinfo=None) - started).total_seconds() * 1000)
     per = {r["model"]: r["n"] for r in now.filter(F.col("model").isin(todo)).select("model", "n").collect()}
-    record_run(spark, path, [(f"{m}-{started.isoformat()}", started, m, ms, per.get(m, 0), False) for m in todo])
-    return sorted(todo)
+    record_run(spark, path, [(f"{m}-{started.isoformat()}", started, m, ms, per.get(m, 0), False) for m in todo + gone])
+    return sorted(todo + gone)
 
 
 def update_labels(labels: DataFrame, changes: DataFrame) -> DataFrame:

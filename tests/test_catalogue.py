@@ -163,6 +163,27 @@ def test_refresh_reads_what_changed(spark, tmp_path):
     assert not cat.ensure_schema(spark, path) and spark.read.parquet(f"{path}/extraction_runs").count() >= 3
 
 
+def test_refresh_drops_what_is_gone(spark, tmp_path, monkeypatch):
+    root, path = str(tmp_path / "tree"), str(tmp_path / "store")
+    write(root, {"P/A b/AxForm/F.xml": FORM, "P/A b/AxTable/T.xml": TABLE, "P/B/AxForm/G.xml": FORM, "P/C/AxTable/U.xml": TABLE})
+    kinds = {"AxForm": "forms", "AxTable": "tables"}
+
+    def read_tree(spark, root, models, languages):
+        found = [(kinds[k], m) for m in models for k in os.listdir(f"{root}/P/{m}") if os.listdir(f"{root}/P/{m}/{k}")]
+        return {t: spark.createDataFrame([(k, m) for k, m in found if k == t], "name string, model string") for t in kinds.values()}
+
+    monkeypatch.setattr(cat, "read_tree", read_tree)
+    held = lambda m: {t for t in os.listdir(path) if f"model={m}" in os.listdir(f"{path}/{t}")}
+    assert cat.refresh(spark, root, path) == ["A b", "B", "C"]
+    assert held("A b") == {"forms", "tables", "fingerprints"} and held("C") == {"tables", "fingerprints"}
+    os.remove(f"{root}/P/A b/AxForm/F.xml")
+    os.remove(f"{root}/P/C/AxTable/U.xml")
+    assert cat.refresh(spark, root, path) == ["A b", "C"]
+    assert held("A b") == {"tables", "fingerprints"} and held("B") == {"forms", "fingerprints"} and held("C") == set()
+    assert rows(spark.read.parquet(f"{path}/forms"), "model") == [("B",)]
+    assert cat.refresh(spark, root, path) == []
+
+
 def test_stream(spark, tmp_path):
     root = str(tmp_path / "in")
     write(root, {"L.en.label.txt": "a=1\n;c\nb=2=3\n"})
