@@ -16,6 +16,8 @@ save those filled to a power of two.
 from __future__ import annotations
 
 import bisect
+import functools
+import json
 import re
 import struct
 import unicodedata
@@ -25,21 +27,37 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import map_texts, materialise
+from lodestrata.llm.common import materialise, short_batches
 
-#: Entries of a task's stores of chunks and of words; a full store starts anew.
-STORE = 400_000
-#: Hash buckets of a length, by which pieces are ranked.
-BUCKETS = 1024
+#: Entries of a worker's store of words, a full store starts anew; bytes of texts whose ids are made together.
+STORE, GROUP = 500_000, 8_000_000
+#: Hash buckets of a length, by which pieces are ranked: so many at least, and so many pieces in one at most.
+BUCKETS, PER_BUCKET = 1024, 50_000
 # The word split of the tokenizer file, where all characters are ASCII, Latin letters or white space.
-LAST_LATIN = "ƺ"
 LATIN = "a-zªµºÀ-ÖØ-öø-ƺ"
 WORD = re.compile(f"[{LATIN}]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|(?:(?!'(?:s|t|re|ve|m|ll|d))[^\\s0-9{LATIN}])[^\\s0-9{LATIN}]*")
 PLAIN = re.compile(f"[\\x21-\\x7e{LATIN}]*")
-ODD = re.compile("[\x1c-\x1f]|<\\|")
+SIMPLE = "^[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?$"
+ODD = "[\x1c-\x1f]|<\\|"
+# The tokenizer file's steps before its merges.
+STEPS = [
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    ["<|startoftext|>", "<|endoftext|>"],
+]
+
+
+def steps_of(tokenizer) -> list:
+    """A tokenizer's normaliser, its split into words and its special tokens."""
+    d = json.loads(tokenizer.to_str())
+    return [d["normalizer"], d["pre_tokenizer"], [x["content"] for x in d["added_tokens"]]]
 
 
 def byte_letters() -> dict[int, str]:
@@ -50,11 +68,11 @@ def byte_letters() -> dict[int, str]:
 
 
 class IdBytes:
-    """The ids of a text as little-endian unsigned 32-bit bytes, as the tokenizer file gives them.
+    """The ids of texts as little-endian unsigned 32-bit numbers, as the tokenizer file gives them.
 
     The file's steps (composed characters, lower case, word split, merges within a word) never look across white
-    space, so ids are stored by chunk and by word. Texts with special-token marks or odd separators, and chunks with
-    characters beyond Latin, go through the tokenizer whole.
+    space, so ids are stored by word. Texts with special-token marks or odd separators, and chunks with
+    characters beyond Latin, go through the tokenizer whole; so do all texts where a file has other steps.
     """
 
     def __init__(self, tokenizer_file: str):
@@ -62,58 +80,125 @@ class IdBytes:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.model, self.letters = self.tokenizer.model, byte_letters()
-        self.chunks: dict[str, bytes] = {}
+        self.known_steps = steps_of(self.tokenizer) == STEPS
         self.words: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def word(self, w: str) -> bytes:
-        if (got := self.words.get(w)) is None:
-            spelt = w if w.isascii() else w.encode().decode("latin-1").translate(self.letters)
-            got = self.words[w] = struct.pack(f"<{len(t := self.model.tokenize(spelt))}I", *[x.id for x in t])
+    def fresh(self, w: str) -> bytes:
+        spelt = w if w.isascii() else w.encode().decode("latin-1").translate(self.letters)
+        got = self.words[w] = struct.pack(f"<{len(t := self.model.tokenize(spelt))}I", *[x.id for x in t])
         return got
 
+    def of_words(self, words: list[str]) -> list[bytes]:
+        """The ids of each of these words."""
+        return [self.fresh(w) if x is None else x for w, x in zip(words, map(self.words.get, words), strict=True)]
+
     def chunk(self, c: str) -> bytes:
         low = c.lower() if c.isascii() else unicodedata.normalize("NFC", c).replace("Σ", "σ").lower()
-        core = low[:-1] if low[-1] in ".," else low
-        if core.isalpha() and (core.isascii() or max(core) <= LAST_LATIN):  # a word, perhaps with a stop: no split needed
-            return self.word(core) if core is low else self.word(core) + self.word(low[-1])
-        return b"".join(map(self.word, WORD.findall(low))) if PLAIN.fullmatch(low) else self.whole(c)
-
-    def ids(self, text: str) -> bytes:
-        if ODD.search(text):
-            return self.whole(text)
-        if len(self.chunks) > STORE:
-            self.chunks = {}
+        return b"".join(self.of_words(WORD.findall(low))) if PLAIN.fullmatch(low) else self.whole(c)
+
+    def parts(self, distinct: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of these distinct chunks laid end to end, number of ids of each)."""
         if len(self.words) > STORE:
             self.words = {}
-        parts, got = text.split(), self.chunks
-        for c in {*parts}:
-            if c not in got:
-                got[c] = self.chunk(c)
-        return b"".join(map(got.__getitem__, parts))
+        simple = pc.match_substring_regex(distinct, SIMPLE)  # a word, perhaps with a stop: no split needed
+        low = pc.utf8_lower(pc.if_else(simple, distinct, ""))
+        coded = pc.ascii_rtrim(low, ".,").dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        made = self.of_words([*words, ".", ","])
+        core, last, none = coded.indices.to_numpy().copy(), len(words), len(made)
+        tail = np.select([pc.ends_with(low, x).to_numpy(zero_copy_only=False) for x in (".", ",")], [last, last + 1], none)
+        made.append(b"")
+        for i in np.flatnonzero(~simple.to_numpy(zero_copy_only=False)):
+            core[i] = len(made)
+            made.append(self.chunk(distinct[i].as_py()))
+        return laid_out(made, np.stack([core, tail], axis=1))
+
+    def ids(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts laid end to end, number of ids of each text)."""
+        odd = np.ones(len(texts), dtype=bool)
+        if self.known_steps:
+            odd = pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False)
+        split = pc.utf8_split_whitespace(pc.if_else(pa.array(odd), "", texts))
+        coded = split.flatten().dictionary_encode()
+        made, size = self.parts(coded.dictionary)
+        flat, n = gathered_parts(made, size, coded.indices.to_numpy())
+        count = np.diff(np.r_[0, np.cumsum(n)][split.offsets.to_numpy() - split.offsets[0].as_py()])
+        if odd.any():
+            pieces = np.split(flat, np.cumsum(count)[:-1])
+            for i in np.flatnonzero(odd):
+                pieces[i] = np.frombuffer(self.whole(texts[i].as_py()), "<u4")
+            flat, count = np.concatenate(pieces), np.array([len(x) for x in pieces])
+        return flat, count
+
+
+def gathered_parts(flat: np.ndarray, size: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the parts of these numbers laid end to end, the size of each), from all parts laid end to end."""
+    n, first = size[code], (np.cumsum(size) - size)[code]
+    ends = np.cumsum(n)
+    return flat[np.arange(n.sum()) + np.repeat(first - ends + n, n)], n
+
+
+def laid_out(made: list[bytes], rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, sizes) of rows that are each several of the parts in `made`."""
+    size = np.fromiter(map(len, made), dtype=np.int64, count=len(made)) // 4
+    flat, n = gathered_parts(np.frombuffer(b"".join(made), "<u4"), size, rows.ravel())
+    return flat, n.reshape(rows.shape).sum(1)
+
+
+@functools.lru_cache(1)
+def coder(tokenizer_file: str) -> IdBytes:
+    """One for all tasks of a worker, so that its stores last."""
+    return IdBytes(tokenizer_file)
 
 
 def pieces_of(docs: DataFrame, tokenizer_file: str, size: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
     """One row per piece: the document, where the piece starts, its length and checksum, the document's tokens."""
-    end = np.array([end_id], dtype="<u4").tobytes()
+    short_batches(docs.sparkSession)
+    kind = docs.schema[id_col].dataType
+    names = [id_col, "start", "length", "ids_crc32", "doc_tokens"]
+
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        flat, count = coder(tokenizer_file).ids(batch.column(1))
+        tokens = count + 1
+        ends = np.cumsum(tokens)
+        ids = np.empty(len(flat) + len(tokens), dtype="<u4")
+        last = np.zeros(len(ids), dtype=bool)
+        last[ends - 1] = True
+        ids[last], ids[~last] = end_id, flat
+        pieces = -(-tokens // size)
+        doc = np.repeat(np.arange(len(tokens)), pieces)
+        start = (np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * size
+        length = np.minimum(size, tokens[doc] - start)
+        at = (ends - tokens)[doc] + start
+        view = memoryview(ids).cast("B")
+        crc = [zlib.crc32(view[4 * a : 4 * (a + n)]) for a, n in zip(at.tolist(), length.tolist(), strict=True)]
+        columns = [batch.column(0).take(pa.array(doc)), *(pa.array(x, pa.int64()) for x in (start, length, crc, tokens[doc]))]
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in gathered(batches, GROUP):
+            yield cut(group)
+
+    rows = docs.select(F.col(id_col).cast("string").alias(id_col), F.coalesce(text_col, F.lit("")).alias("t"))
+    out = rows.mapInArrow(run, ", ".join([f"`{id_col}` string", *[f"{c} bigint" for c in names[1:]]]))
+    return out.select(F.col(id_col).cast(kind).alias(id_col), *names[1:])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = IdBytes(tokenizer_file)
-        for b in batches:
-            at, rows = [], []
-            for i, t in enumerate(b["t"]):
-                ids = coder.ids(t) + end
-                for s in range(0, len(ids), 4 * size):
-                    part = ids[s : s + 4 * size]
-                    at.append(i)
-                    rows.append((s // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4))
-            out = pd.DataFrame(rows, columns=["start", "length", "ids_crc32", "doc_tokens"])
-            out.insert(0, id_col, b[id_col].to_numpy()[at])
-            yield out
 
-    return map_texts(docs, run, "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint", id_col, text_col)
+def gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Batches joined until they hold `most` bytes."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size >= most:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
 def pack_histogram(counts: dict[int, int], size: int) -> list[tuple[int, list[int]]]:
@@ -171,16 +256,15 @@ def slots_of(patterns: list[tuple[int, list[int]]]) -> dict[int, list[np.ndarray
 
 def pack(docs: DataFrame, tokenizer_file: str, size: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces with their sequence and offset."""
-    pieces = materialise(
-        pieces_of(docs, tokenizer_file, size, end_id, id_col, text_col)
-        .withColumn("bucket", F.pmod(F.xxhash64(id_col, "start", "ids_crc32"), F.lit(BUCKETS)).cast("int"))
-    )
+    pieces = materialise(pieces_of(docs, tokenizer_file, size, end_id, id_col, text_col))
+    buckets = max(BUCKETS, pieces.count() // PER_BUCKET)
+    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64(id_col, "start", "ids_crc32"), F.lit(buckets)).cast("int"))
     by_bucket = pieces.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     # bounded: `size` lengths at most
     counts = {r["length"]: r["n"] for r in by_bucket.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     slots = slots_of(pack_histogram(counts, size))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bases = by_bucket.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))  # BUCKETS rows a length at most
+    bases = by_bucket.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))  # a row a bucket at most
     within = Window.partitionBy("length", "bucket").orderBy(id_col, "start", "ids_crc32")
     ranked = pieces.withColumn("r", F.row_number().over(within)).join(bases, ["length", "bucket"]).withColumn("rank", F.col("base") + F.col("r") - 1)
     keep = [id_col, "start", "length", "ids_crc32", "doc_tokens"]

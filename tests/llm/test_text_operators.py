@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from lodestrata.llm import language_id as lang
@@ -248,7 +249,18 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 @pytest.mark.parametrize("text", ["It's 'sdon't ''s <|endoftext|> a", "a\x1cb ΑΣ Σ. é é", "ça va? “quoted” ½ ² x² 日本語 İ ŉ ß", "", "  ", "'re 've''ll--'d", "a. b, c.d ., . ,, é. É, Aƻ. ǆ. x²."])
 def test_ids_are_the_tokenizers(text):
     c = packing.IdBytes(TOKENIZER)
-    assert c.ids(text) == c.whole(text)
+    texts = [text, "", f"x {text} y", text]
+    flat, count = c.ids(pa.array(texts))
+    assert [x.tobytes() for x in np.split(flat, np.cumsum(count)[:-1])] == [c.whole(t) for t in texts]
+
+
+def test_a_file_with_other_steps_gets_its_own_ids(spark):
+    other = public_tokenizers.path("byte_bpe_50k.json")
+    c = packing.IdBytes(other)
+    flat, count = c.ids(pa.array(["The cat  sat", "", "É"]))
+    assert not c.known_steps and [x.tobytes() for x in np.split(flat, np.cumsum(count)[:-1])] == [c.whole(t) for t in ["The cat  sat", "", "É"]]
+    df, rows = frame(spark, ["The cat  sat"] * 3)
+    assert sum(r["length"] for r in packing.pack(df, other, size=64).collect()) == sum(len(c.whole(t or "")) // 4 + 1 for _, t in rows)
 
 
 @pytest.mark.parametrize("seed", range(5))
@@ -271,7 +283,7 @@ def test_packing(spark):
     coder = packing.IdBytes(TOKENIZER)
     want = Counter()
     for i, t in rows:
-        ids = coder.ids(t or "") + (1).to_bytes(4, "little")
+        ids = coder.whole(t or "") + (1).to_bytes(4, "little")
         for s in range(0, len(ids), 512):
             want[i, s // 4, len(ids[s : s + 512]) // 4, zlib.crc32(ids[s : s + 512]), len(ids) // 4] += 1
     assert Counter((r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in got) == want
