@@ -120,7 +120,6 @@ def rounded(col: Column, places: int) -> Column:
 
 # ---------------------------------------------------------------- source code
 
-# Words that may precede a return type; attribute names of handlers and what they handle.
 # Patterns of attributes, of the extended class, of `...Str(object, member)` calls, of event types, of
 # compiler messages.
 ATTRIBUTE = r"\[\s*([A-Z][A-Za-z0-9_]+)\s*(?:\(\s*([^\]]*)\))?\s*\]"
@@ -128,13 +127,15 @@ EXTENSION_OF = r"\[\s*ExtensionOf\s*\(\s*\w+Str\s*\(\s*(\w+)"
 STR_CALL = r"\b\w+Str\s*\(\s*(\w+)\s*(?:,\s*(\w+)\s*)?\)"
 EVENT_TYPE = r"\w+EventType(?:\.|::)(\w+)"
 DIAGNOSTIC = r"^\s*(.+?)\((\d+),(\d+)\)\s*:\s*(?i:(error|warning|info))\s+(\w+)\s*:\s*(.*)$"
+# Words that may precede a return type.
 MODIFIERS = ("public", "protected", "private", "static", "final", "abstract", "client", "server")
+# Attribute names of handlers and what they handle.
 HANDLERS = {
-    "SubscribesTo": "Delegate",
-    "DataEventHandler": "Table",
-    "FormDataSourceEventHandler": "FormDataSource",
     "FormEventHandler": "Form",
+    "FormDataSourceEventHandler": "FormDataSource",
     "FormControlEventHandler": "FormControl",
+    "DataEventHandler": "Table",
+    "SubscribesTo": "Delegate",
 }
 
 
@@ -167,17 +168,24 @@ def extended_class(declaration: Column, name: Column, extends: Column) -> Column
     return F.coalesce(F.nullif(by_attribute, F.lit("")), by_name)
 
 
-def handler(source: Column) -> Column:
-    """struct(source_kind, source_object, source_member, event_type) of a handler's attribute; null without one.
+def handlers(source: Column) -> Column:
+    """array of struct(source_kind, source_object, source_member, event_type): one for each handler attribute.
 
-    Names come from the attribute's `...Str(object, member)` calls; a subscription takes the delegate of the second.
+    Names come from the `...Str(object, member)` calls among the attribute's own arguments, so neither other attributes
+    nor the body count; a subscription takes the delegate of the second call. Attributes without a call give none.
     """
-    kind = F.coalesce(*[F.when(source.rlike(rf"\[[^\]]*\b{a}\s*\("), F.lit(k)) for a, k in HANDLERS.items()])
-    objects, members = (F.regexp_extract_all(source, F.lit(STR_CALL), F.lit(i)) for i in (1, 2))
     none = lambda c: F.nullif(c, F.lit(""))
-    member = F.when(kind == "Delegate", F.coalesce(none(F.get(members, 1)), none(F.get(objects, 1)))).otherwise(none(F.get(members, 0)))
-    event = none(F.regexp_extract(source, EVENT_TYPE, 1))
-    return F.when(kind.isNotNull(), F.struct(kind.alias("source_kind"), none(F.get(objects, 0)).alias("source_object"), member.alias("source_member"), event.alias("event_type")))
+    kinds = F.create_map(*[F.lit(x) for kv in HANDLERS.items() for x in kv])
+
+    def shown(a: Column) -> Column:
+        args = F.coalesce(a["args"], F.lit(""))
+        objects, members = (F.regexp_extract_all(args, F.lit(STR_CALL), F.lit(i)) for i in (1, 2))
+        kind = F.element_at(kinds, a["name"])
+        member = F.when(kind == "Delegate", F.coalesce(none(F.get(members, 1)), none(F.get(objects, 1)))).otherwise(none(F.get(members, 0)))
+        return F.struct(kind.alias("source_kind"), none(F.get(objects, 0)).alias("source_object"), member.alias("source_member"), none(F.regexp_extract(args, EVENT_TYPE, 1)).alias("event_type"))
+
+    found = F.transform(F.filter(attributes(source), lambda a: a["name"].isin(*HANDLERS)), shown)
+    return F.filter(found, lambda h: h["source_object"].isNotNull())
 
 
 def log_diagnostic(line: Column) -> Column:

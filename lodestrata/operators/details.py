@@ -8,13 +8,18 @@ from pyspark.sql import functions as F
 from lodestrata.functions.text import eq_ci
 
 
-def nest(header: DataFrame, children: DataFrame, header_key: str, child_key: str, fields: list[str], order: list[str], into: str, inner: bool = False) -> DataFrame:
-    """The header with an array of its children's fields; children are grouped before the join, so lists don't multiply."""
-    packed = children.groupBy(F.col(child_key).alias("_parent")).agg(F.sort_array(F.collect_list(F.struct(*order, *[f for f in fields if f not in order]))).alias("_all"))
+def nest(header: DataFrame, children: DataFrame, header_key: str, child_key: str, fields: list[str], order: list[str], into: str, inner: bool = False, within: str | None = None) -> DataFrame:
+    """The header with an array of its children's fields; children are grouped before the join, so lists don't multiply.
+
+    within: a column that both have and that must agree too, as names are unique within a model only.
+    """
+    keys = [F.col(child_key).alias("_parent"), *([F.col(within).alias("_within")] if within else [])]
+    packed = children.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*order, *[f for f in fields if f not in order]))).alias("_all"))
     shaped = F.transform("_all", lambda x: F.struct(*[x[f].alias(f) for f in fields]))
-    df = header.join(packed, F.col(header_key) == F.col("_parent"), "inner" if inner else "left")
+    same = (F.col(header_key) == F.col("_parent")) & (F.col(within) == F.col("_within") if within else F.lit(True))
+    df = header.join(packed, same, "inner" if inner else "left")
     kind = children.select(F.array(F.struct(*fields)).alias("x")).schema["x"].dataType
-    return df.withColumn(into, shaped if inner else F.coalesce(shaped, F.array().cast(kind))).drop("_parent", "_all")
+    return df.withColumn(into, shaped if inner else F.coalesce(shaped, F.array().cast(kind))).drop("_parent", "_within", "_all")
 
 
 def csv_of(children: DataFrame, key: str, value: str, order: list[str], name: str = "csv") -> DataFrame:
@@ -37,7 +42,7 @@ CHILDREN = {
         ("table_methods", "table", ["name", "signature", "return_type", "is_static"], ["name"], "methods"),
         ("table_indexes", "table", ["name", "allow_duplicates", "alternate_key", "fields"], ["name"], "indexes"),
         ("table_delete_actions", "table", ["name", "related_table", "delete_action"], ["name"], "delete_actions"),
-        ("relations", "from_table", ["to_table", "cardinality", "relation_name"], ["to_table"], "relations"),
+        ("relations", "_of", ["from_table", "to_table", "cardinality", "relation_name"], ["from_table", "to_table", "relation_name"], "relations"),
     ],
     "classes": [("methods", "class", ["name", "signature", "return_type", "is_static"], ["name"], "methods")],
     "enums": [("enum_values", "enum", ["name", "value", "label", "value_order"], ["value_order", "name"], "values")],
@@ -59,7 +64,10 @@ OTHER_NAMES = {"data_entities": ["public_entity_name"]}
 
 
 def get(catalogue, kind: str, name: str, include: list[str] | None = None) -> DataFrame:
-    """At most one object of a kind by exact name, with its child lists (or those in `include`)."""
+    """At most one object of a kind by exact name, the first by model, with its own child lists (or those in `include`).
+
+    Children are those of that name and model; relations are named by tables alone and count in both directions.
+    """
     hit: Column = F.col("name") == name
     for other in OTHER_NAMES.get(kind, []):
         hit = hit | (F.col(other) == name)
@@ -69,10 +77,11 @@ def get(catalogue, kind: str, name: str, include: list[str] | None = None) -> Da
             child = catalogue.table(table)
             if table == "enum_values":
                 child = child.withColumn("value_order", F.coalesce("value", "position"))
-            own = child.filter(F.col(key).isin(name)) if kind not in OTHER_NAMES else child
-            if "model" in child.columns:
-                own = own.withColumnRenamed("model", "_model")
-            head = nest(head, own, "name", key, fields, order, into)
+            if table == "relations":
+                head = nest(head, both_directions(child, name).withColumn(key, F.lit(name)), "name", key, fields, order, into)
+            else:
+                own = child.filter(F.col(key) == name) if kind not in OTHER_NAMES else child
+                head = nest(head, own, "name", key, fields, order, into, within="model")
     return head
 
 
@@ -97,4 +106,5 @@ def related_of_many(relations: DataFrame, names: DataFrame, left: str = "from_ta
 
 
 def children_of(catalogue, table: str, parent: str, key: str = "table") -> DataFrame:
-    return catalogue.table(table).filter(F.col(key) == parent).orderBy("name")
+    """Children of the objects of a name, with the model of each."""
+    return catalogue.table(table).filter(F.col(key) == parent).orderBy("name", "model")

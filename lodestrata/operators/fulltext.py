@@ -13,17 +13,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.functions.text import contains_ci, words
+from lodestrata.session import checkpoint
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 NOT_WORD = r"[^\p{L}\p{N}]"
 
 
-def index(docs: DataFrame, key: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(postings, lengths): postings (key, col, token, tf, positions); a text's length counts all its columns."""
-    parts = [docs.select(key, F.lit(c).alias("col"), F.posexplode(words(F.col(c))).alias("pos", "token")) for c in columns]
+def index(docs: DataFrame, key: str, columns: list[str], also: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(postings, lengths): postings (key, col, token, tf, positions); a text's length counts all its columns.
+
+    also: columns that a key decides and that both tables keep.
+    """
+    own = [key, *(also or [])]
+    parts = [docs.select(*own, F.lit(c).alias("col"), F.posexplode(words(F.col(c))).alias("pos", "token")) for c in columns]
     tokens = reduce(DataFrame.unionByName, parts)
-    postings = tokens.groupBy(key, "col", "token").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
-    return postings, tokens.groupBy(key).agg(F.count("*").alias("n_words"))
+    postings = tokens.groupBy(*own, "col", "token").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    return postings, tokens.groupBy(*own).agg(F.count("*").alias("n_words"))
 
 
 def parse(query: str) -> list[dict]:
@@ -68,14 +73,20 @@ def _phrase(postings: DataFrame, key: str, term: dict) -> DataFrame:
     return out.select(key).distinct()
 
 
-def match(docs: DataFrame, key: str, columns: list[str], query: str, limit: int | None = None) -> DataFrame:
-    """All of the query's terms, best rank first; a query that can't be parsed falls back to containment."""
+def match(docs: DataFrame, key: str, columns: list[str], query: str, limit: int | None = None, stored: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """All of the query's terms, best rank first; a query that can't be parsed falls back to containment.
+
+    stored: postings and lengths that were written before; without them the texts are scanned. Only the postings of the
+    query's words go on, in one selection for all of them.
+    """
     try:
         terms = parse(query)
     except ValueError:
         hit = reduce(Column.__or__, [contains_ci(F.col(c), query) for c in columns])
         return docs.filter(hit).select(key, F.lit(0.0).alias("score")).orderBy(key)
-    postings, lengths = index(docs, key, columns)
+    postings, lengths = stored or index(docs, key, columns)
+    if stored is None:  # the query's words and the lengths come from one pass over the texts
+        postings, lengths = selected(docs, key, columns, terms)
     keys = reduce(lambda a, b: a.join(b, key, "left_semi"), [_phrase(postings, key, t) for t in terms])
     plain = [w for t in terms if not t["prefix"] for w in t["words"]]
     ranked = keys.join(scores(postings, lengths, key, plain), key, "left").select(key, F.coalesce("score", F.lit(0.0)).alias("score"))
@@ -83,6 +94,20 @@ def match(docs: DataFrame, key: str, columns: list[str], query: str, limit: int
     return ranked if limit is None else ranked.limit(limit)
 
 
+def selected(docs: DataFrame, key: str, columns: list[str], terms: list[dict]) -> tuple[DataFrame, DataFrame]:
+    """(postings of the terms' words, lengths of all texts), without exploding other words."""
+    exact = sorted({w for t in terms for w in (t["words"][:-1] if t["prefix"] else t["words"])})
+    starts = sorted({t["words"][-1] for t in terms if t["prefix"]})
+    wanted = lambda w: reduce(Column.__or__, [w.startswith(x) for x in starts], w.isin(*exact) if exact else F.lit(False))
+    made = docs.select(key, *[words(F.col(c)).alias(f"_{i}") for i, c in enumerate(columns)])
+    numbered = lambda i: F.filter(F.transform(f"_{i}", lambda w, p: F.struct(p.alias("pos"), w.alias("token"))), lambda x: wanted(x["token"]))
+    parts = [made.select(key, F.lit(c).alias("col"), F.explode(numbered(i)).alias("x")).select(key, "col", "x.*") for i, c in enumerate(columns)]
+    tokens = reduce(DataFrame.unionByName, parts)
+    postings = tokens.groupBy(key, "col", "token").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    size = reduce(Column.__add__, [F.coalesce(F.array_size(f"_{i}"), F.lit(0)) for i in range(len(columns))])
+    return checkpoint(postings), made.select(key, size.cast("bigint").alias("n_words")).filter("n_words > 0")
+
+
 def phrase_scan(docs: DataFrame, text: str, phrase: list[str]) -> DataFrame:
     """Texts with the words of a phrase in a row, without an index."""
     gap = f"{NOT_WORD}+"

@@ -69,7 +69,7 @@ def closure(edges: DataFrame) -> DataFrame:
     pairs, n = edges, -1
     while True:
         longer = pairs.toDF("src", "mid").join(pairs.toDF("mid", "dst"), "mid").select("src", "dst")
-        pairs = checkpoint(pairs.unionByName(longer).distinct().coalesce(1))
+        pairs = checkpoint(pairs.unionByName(longer).distinct())
         if (m := pairs.count()) == n:
             return pairs
         n = m

@@ -10,21 +10,26 @@ def without_children(parents: DataFrame, children: DataFrame, key: str, child_ke
     return parents.join(children.select(F.col(child_key).alias(key)), key, "left_anti")
 
 
+def of_custom_models(catalogue, rows: DataFrame, only_custom: bool) -> DataFrame:
+    """The rows of models that are marked as custom, or all."""
+    return rows.join(catalogue.table("models").filter("is_custom").select(F.col("name").alias("model")), "model", "left_semi") if only_custom else rows
+
+
 def tables_without_index(catalogue, only_custom: bool = True) -> DataFrame:
-    t = catalogue.table("tables").join(catalogue.table("models").select(F.col("name").alias("model"), "is_custom"), "model")
-    t = t.filter("is_custom") if only_custom else t
+    t = of_custom_models(catalogue, catalogue.table("tables"), only_custom)
     idx = catalogue.table("table_indexes").select(F.col("table").alias("name"), "model")
     return t.join(idx, ["name", "model"], "left_anti").select("name", "model").orderBy("name", "model")
 
 
-def unmarked_extensions(catalogue) -> DataFrame:
+def unmarked_extensions(catalogue, only_custom: bool = True) -> DataFrame:
     """Classes named `..._Extension` (the underscore is literal) without an ExtensionOf attribute."""
     marked = catalogue.table("class_attributes").filter("attribute_name = 'ExtensionOf'").select(F.col("class").alias("name"), "model")
-    return catalogue.table("classes").filter(F.lower("name").endswith("_extension")).join(marked, ["name", "model"], "left_anti").select("name", "model").orderBy("name", "model")
+    own = of_custom_models(catalogue, catalogue.table("classes"), only_custom)
+    return own.filter(F.lower("name").endswith("_extension")).join(marked, ["name", "model"], "left_anti").select("name", "model").orderBy("name", "model")
 
 
-def string_fields_without_type(catalogue) -> DataFrame:
-    f = catalogue.table("table_fields").filter((F.col("type") == "String") & (F.coalesce("edt_name", F.lit("")) == ""))
+def string_fields_without_type(catalogue, only_custom: bool = True) -> DataFrame:
+    f = of_custom_models(catalogue, catalogue.table("table_fields"), only_custom).filter((F.col("type") == "String") & (F.coalesce("edt_name", F.lit("")) == ""))
     return f.select(F.concat_ws(".", "table", "name").alias("target"), "model", F.col("type").alias("detail")).orderBy("target", "model")
 
 

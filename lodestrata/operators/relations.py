@@ -24,7 +24,7 @@ def object_extensions(extensions: DataFrame, target: str, kind: str | None = Non
 
 def event_subscribers(subscribers: DataFrame, source: str, kind: str | None = None) -> DataFrame:
     df = subscribers.filter(F.col("source_object") == source)
-    return (df if kind is None else df.filter(F.col("source_kind") == kind)).orderBy("subscriber_class", "subscriber_method")
+    return (df if kind is None else df.filter(F.col("source_kind") == kind)).orderBy("subscriber_class", "subscriber_method", "model", "source_kind", "source_member", "event_type")
 
 
 def with_first_child(parents: DataFrame, children: DataFrame, key: str, child_key: str, order: list[str], value: str, name: str, count: str) -> DataFrame:

@@ -39,7 +39,8 @@ def search_labels(labels: DataFrame, query: str, languages: list[str] | None = N
     df = labels.filter(reduce(Column.__or__, [contains_ci(F.col(c), query) for c in on]))
     if languages:
         df = df.filter(F.lower(lang_col).isin(*[x.lower() for x in languages]))
-    return limited(df.orderBy(*(order or [*on, lang_col])), limit)
+    first = order or [*on, lang_col]
+    return limited(df.orderBy(*first, *[c for c in df.columns if c not in first]), limit)
 
 
 def usages(branches: list[tuple[str, DataFrame, Column, Column, list[Column]]], needle: str, limit: int | None = 100) -> DataFrame:
@@ -58,16 +59,29 @@ def counts_by_kind(found: DataFrame) -> DataFrame:
     return found.groupBy("kind").agg(F.count("*").alias("n"))
 
 
-def batch_search(objects: DataFrame, needles: DataFrame, name_col: str = "name") -> DataFrame:
-    """Hits of each needle by plain containment, in one pass over the objects; needles without a hit have 0.
+#: Needles that are checked against each name where it is read; more of them are joined.
+FEW_NEEDLES = 200
 
-    The needles, a list the caller stated, are checked against each name where it is read.
+
+def batch_search(objects: DataFrame, needles: DataFrame, name_col: str = "name", few: int = FEW_NEEDLES) -> DataFrame:
+    """Hits of each needle by plain containment without regard to case; needles without a hit have 0.
+
+    A few needles are tested in one pass over the objects. More (a table of them) meet the names by their first three
+    characters: a name is listed under each string of up to three characters that it holds.
     """
-    rows = [r[0] for r in needles.distinct().collect()]
+    needles = needles.select(F.col(needles.columns[0]).alias("needle")).distinct()
+    rows = [r[0] for r in needles.limit(few + 1).collect()]  # bounded by `few`
     name = F.lower(name_col)
-    hit = F.array_compact(F.array(*[F.when(F.contains(name, F.lower(F.lit(n))), F.lit(n)) for n in rows]))
-    counts = objects.select(F.explode(hit).alias("needle")).groupBy("needle").agg(F.count("*").alias("hits"))
-    return needles.distinct().join(counts, "needle", "left").select("needle", F.coalesce("hits", F.lit(0)).cast("bigint").alias("hits"))
+    if len(rows) <= few:
+        hit = F.array_compact(F.array(*[F.when(F.contains(name, F.lower(F.lit(n))), F.lit(n)) for n in rows]))
+        found = objects.select(F.explode(hit).alias("needle"))
+    else:
+        cut = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - (n - 1), F.lit(1))), lambda i: F.substr(name, i, F.lit(n)))
+        listed = objects.select(name.alias("_name"), F.explode(F.array_distinct(F.concat(F.array(F.lit("")), *[cut(n) for n in (1, 2, 3)]))).alias("_start"))
+        wanted = needles.withColumn("_low", F.lower("needle")).withColumn("_start", F.substring("_low", 1, 3))
+        found = listed.join(wanted, "_start").filter(F.contains("_name", "_low")).select("needle")
+    counts = found.groupBy("needle").agg(F.count("*").alias("hits"))
+    return needles.join(counts, "needle", "left").select("needle", F.coalesce("hits", F.lit(0)).cast("bigint").alias("hits"))
 
 
 def source_paths(objects: DataFrame, model: str | None = None) -> DataFrame:

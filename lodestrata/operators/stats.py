@@ -23,10 +23,11 @@ def counts_per_owner(owners: DataFrame, key: str, label: str, children: dict[str
     return df.select(label, *children)
 
 
-def top_by_children(parents: DataFrame, children: DataFrame, key: str, child_key: str, counted: str, limit: int = 10, name: str = "k") -> DataFrame:
-    """Parents with most children; a parent without any counts 0."""
-    n = children.groupBy(F.col(child_key).alias("_k")).agg(F.count(counted).alias(name))
-    return parents.select(key).join(n, parents[key] == n["_k"], "left").select(key, F.coalesce(name, F.lit(0)).alias(name)).orderBy(F.desc(name), key).limit(limit)
+def top_by_children(parents: DataFrame, children: DataFrame, key: str, child_key: str, counted: str, limit: int = 10, name: str = "k", within: list[str] | None = None) -> DataFrame:
+    """Parents with most children; a parent without any counts 0. `within`: columns of both that belong to the key."""
+    also = within or []
+    n = children.groupBy(F.col(child_key).alias(key), *also).agg(F.count(counted).alias(name))
+    return parents.select(key, *also).join(n, [key, *also], "left").select(key, *also, F.coalesce(name, F.lit(0)).alias(name)).orderBy(F.desc(name), key, *also).limit(limit)
 
 
 def top_groups(df: DataFrame, key: str, limit: int = 10, name: str = "n") -> DataFrame:
@@ -36,7 +37,8 @@ def top_groups(df: DataFrame, key: str, limit: int = 10, name: str = "n") -> Dat
 def history(runs: DataFrame, filters: dict | None = None, newest: str = "started_utc", limit: int = 200, columns: list[str] | None = None) -> DataFrame:
     for c, v in (filters or {}).items():
         runs = runs.filter(F.col(c) == v)
-    return runs.select(*(columns or runs.columns)).orderBy(F.desc(newest)).limit(limit)
+    shown = columns or runs.columns
+    return runs.orderBy(F.desc(newest), *[c for c in shown if c != newest]).select(*shown).limit(limit)
 
 
 def fingerprints(files: DataFrame, key: str, stamp: str, name: str = "fp") -> DataFrame:

@@ -9,6 +9,8 @@ from urllib.parse import unquote
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestrata.functions.text import glob_match
+from lodestrata.operators import fulltext
 from lodestrata.operators.relations import security_map
 from lodestrata.operators.stats import count_all
 from lodestrata.session import checkpoint
@@ -33,6 +35,8 @@ OTHER_SCHEMAS = {
     "model_dependencies": "target string, model string",
     "labels": "label_file string, language string, key string, value string, model string",
     "unreadable": "source_path string, error string, model string",
+    "label_postings": "id string, col string, token string, tf bigint, positions array<int>, model string",
+    "label_lengths": "id string, n_words bigint, model string",
 }
 
 
@@ -70,24 +74,48 @@ class Catalogue:
     def dependency_edges(self) -> DataFrame:
         return self.table("model_dependencies").select(F.col("model").alias("src"), F.col("target").alias("dst"))
 
+    def labels(self) -> DataFrame:
+        """The labels with their id in the full-text index."""
+        return with_label_id(self.table("labels"))
+
+    def label_index(self) -> tuple[DataFrame, DataFrame] | None:
+        """Postings and lengths that refresh has written; None for a catalogue given as DataFrames without them."""
+        if self.path is None and "label_postings" not in self.tables:
+            return None
+        return self.table("label_postings").drop("model"), self.table("label_lengths").drop("model")
+
+    def search_label_texts(self, query: str, limit: int | None = 100) -> DataFrame:
+        return fulltext.match(self.labels(), "id", ["value", "key"], query, limit, self.label_index())
+
     def counts(self) -> DataFrame:
         return count_all({t: self.table(t) for t in sorted({t for t, _ in OBJECT_KINDS.values()})})
 
 
+def with_label_id(labels: DataFrame) -> DataFrame:
+    return labels.withColumn("id", F.concat_ws("/", "model", "label_file", "language", "key"))
+
+
+def label_index(labels: DataFrame) -> dict[str, DataFrame]:
+    """The full-text tables of labels, by model; a file's words are in order, so a look-up skips most of it."""
+    postings, lengths = fulltext.index(with_label_id(labels), "id", ["value", "key"], ["model"])
+    columns = [x.split()[0] for x in OTHER_SCHEMAS["label_postings"].split(", ")]
+    return {"label_postings": postings.select(*columns).repartition("model").sortWithinPartitions("model", "token"), "label_lengths": lengths.select("id", "n_words", "model")}
+
+
 def replace_by(existing: DataFrame, new: DataFrame, key: str, values: Column | list) -> DataFrame:
     """The rows of other key values, and the new rows."""
     gone = F.col(key).isin(values) if isinstance(values, list) else values
     return existing.filter(~gone | F.col(key).isNull()).unionByName(new)
 
 
-def read_tree(spark: SparkSession, root: str, models: list[str] | None = None, languages: list[str] | None = None, custom: Column | None = None) -> dict[str, DataFrame]:
-    """All entity tables of a source tree, with models joined to their descriptors."""
+def read_tree(spark: SparkSession, root: str, models: list[str] | None = None, languages: list[str] | None = None, custom: list[str] | None = None) -> dict[str, DataFrame]:
+    """All entity tables of a source tree, with models joined to their descriptors; custom ones match the globs in `custom`."""
     parsed = checkpoint(parse_tree(spark, root, models))  # all tables come from one pass over the files
     tables = extract(parsed)
     found, deps = descriptors(spark, root)
     own = parsed.select(F.col("model").alias("name")).distinct()
     info = found.select(F.lower("name").alias("_n"), "publisher", "layer")
-    tables["models"] = own.join(info, F.lower("name") == F.col("_n"), "left").select("name", F.col("name").alias("model"), "publisher", "layer", (custom if custom is not None else F.lit(False)).alias("is_custom"))
+    tables["models"] = own.join(info, F.lower("name") == F.col("_n"), "left").select("name", F.col("name").alias("model"), "publisher", "layer", glob_match(F.col("name"), custom or []).alias("is_custom"))
     tables["model_dependencies"] = deps.withColumn("_n", F.lower("model")).drop("model").join(own.select(F.lower("name").alias("_n"), F.col("name").alias("model")), "_n").select("model", "target")
     tables["labels"] = read_label_files(spark, root, languages).unionByName(inline_labels(parsed))
     tables["unreadable"] = parsed.filter("error IS NOT NULL").select("model", "source_path", "error")
@@ -150,9 +178,10 @@ def ensure_schema(spark: SparkSession, path: str) -> bool:
     return True
 
 
-def refresh(spark: SparkSession, root: str, path: str, force: bool = False, since: datetime.datetime | None = None, languages: list[str] | None = None) -> list[str]:
+def refresh(spark: SparkSession, root: str, path: str, force: bool = False, since: datetime.datetime | None = None, languages: list[str] | None = None, custom: list[str] | None = None) -> list[str]:
     """Read the models that changed, replace their rows, drop those of models without files, and record fingerprints and the run; their names.
 
+    Models that match the globs in `custom` are marked as custom. The labels' full-text index follows their models.
     A model that changed has no fingerprint until its rows are written, and one without files keeps its until they are
     gone, so a refresh that breaks off is made up for by the next.
     """
@@ -172,12 +201,16 @@ def refresh(spark: SparkSession, root: str, path: str, force: bool = False, sinc
     drop_models(spark, list(schemas(spark)), path, gone)
     drop_models(spark, ["fingerprints"], path, todo + gone)
     if todo:
-        tables = read_tree(spark, root, todo, languages)
-        write_models({k: v.filter(F.col("model").isin(todo)) for k, v in tables.items()}, path, todo)
+        tables = {k: v.filter(F.col("model").isin(todo)) for k, v in read_tree(spark, root, todo, languages, custom).items()}
+        write_models(tables, path, todo)
+        if "labels" in tables:
+            write_models(label_index(tables["labels"]), path, todo)
         now.filter(F.col("model").isin(todo)).select("model", "fingerprint").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model").parquet(f"{path}/fingerprints")
     ms = int((datetime.datetime.now(datetime.UTC).replace(tzinfo=None) - started).total_seconds() * 1000)
     per = {r["model"]: r["n"] for r in now.filter(F.col("model").isin(todo)).select("model", "n").collect()}
-    record_run(spark, path, [(f"{m}-{started.isoformat()}", started, m, ms, per.get(m, 0), False) for m in todo + gone])
+    names = spark.createDataFrame([(m,) for m in todo + gone], "name string")
+    marked = {r["name"]: r["c"] for r in names.select("name", glob_match(F.col("name"), custom or []).alias("c")).collect()}
+    record_run(spark, path, [(f"{m}-{started.isoformat()}", started, m, ms, per.get(m, 0), bool(marked.get(m))) for m in todo + gone])
     return sorted(todo + gone)
 
 

@@ -287,7 +287,7 @@ def lint_string_without_child(t):
         def table(self, _: str) -> DataFrame:
             return fields
 
-    return lint.string_fields_without_type(One()).select("target", "model", F.lit("BUILDING").alias("detail"))
+    return lint.string_fields_without_type(One(), only_custom=False).select("target", "model", F.lit("BUILDING").alias("detail"))
 
 
 @query("""with o as (select 'Table' as kind, r_name as name from region union all select 'Enum', n_name from nation union all select 'Coc', c_mktsegment from (select distinct c_mktsegment from customer)),

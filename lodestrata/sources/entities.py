@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.functions.text import attributes, extended_class, handler, is_static, return_type, signature_line
+from lodestrata.functions.text import attributes, extended_class, handlers, is_static, return_type, signature_line
 
 
 def prop(name: str, of: str = "props") -> Column:
@@ -68,8 +68,8 @@ def extract(parsed: DataFrame) -> dict[str, DataFrame]:
     target = extended_class(F.coalesce("declaration", F.lit("")), F.col("name"), F.col("extends_name"))
     owners = t["classes"].select(F.col("name").alias("class"), "model", target.alias("target_class")).filter("target_class <> ''")
     t["coc"] = owners.join(t["methods"].select("class", "model", F.col("name").alias("target_method")), ["class", "model"]).select("target_class", "target_method", F.col("class").alias("extension_class"), "model")
-    h = t["methods"].select(F.col("class").alias("subscriber_class"), F.col("name").alias("subscriber_method"), "model", handler(F.col("source")).alias("h"))
-    t["event_subscribers"] = h.filter("h.source_object IS NOT NULL").select("subscriber_class", "subscriber_method", "model", "h.*")
+    h = t["methods"].select(F.col("class").alias("subscriber_class"), F.col("name").alias("subscriber_method"), "model", F.explode(handlers(F.coalesce("source", F.lit("")))).alias("h"))
+    t["event_subscribers"] = h.select("subscriber_class", "subscriber_method", "model", "h.*")
 
     edts = objects_of(parsed, "^AxEdt$")
     t["edts"] = edts.select("name", "model", p("Extends").alias("extends_name"), F.nullif(F.regexp_extract("root", "^AxEdt(.*)$", 1), F.lit("")).alias("base_type"), p("Label").alias("label"), p("StringSize").try_cast("int").alias("string_size"))

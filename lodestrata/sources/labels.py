@@ -10,14 +10,19 @@ from lodestrata.functions.text import key_value
 DEFAULT_LANGUAGE = "en-us"
 
 
-def read_label_files(spark: SparkSession, root: str, languages: list[str] | None = None) -> DataFrame:
-    """model, label_file, language, key, value. Blank and `;` lines are skipped, a value may hold `=`, a mark at the start is dropped."""
-    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.label.txt").text(root).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("path"))
+def label_rows(text: DataFrame) -> DataFrame:
+    """model, label_file, language, key, value of lines (`line`, `path`); blank and `;` lines are skipped, a value may hold `=`, a mark at the start is dropped."""
     name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.label\.txt$", "")
-    line = F.regexp_replace(F.ltrim(F.regexp_replace("line", "^﻿", "")), "\r$", "")
+    line = F.regexp_replace(F.ltrim(F.regexp_replace("line", "^\ufeff", "")), "\r$", "")
     key, value = key_value(F.col("line"))
     df = text.select(F.regexp_extract("path", r"/([^/]+)/AxLabelFile/", 1).alias("model"), F.regexp_extract(name, r"^(.*?)\.[^.]*$", 1).alias("label_file"), F.regexp_extract(name, r"\.([^.]*)$", 1).alias("language"), line.alias("line"))
-    df = df.filter((F.col("line") != "") & ~F.col("line").startswith(";")).select("model", "label_file", "language", F.trim(key).alias("key"), value.alias("value")).filter("key <> ''")
+    return df.filter((F.col("line") != "") & ~F.col("line").startswith(";")).select("model", "label_file", "language", F.trim(key).alias("key"), value.alias("value")).filter("key <> ''")
+
+
+def read_label_files(spark: SparkSession, root: str, languages: list[str] | None = None) -> DataFrame:
+    """The labels of all label files below a root, or those in some languages."""
+    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.label.txt").text(root).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("path"))
+    df = label_rows(text)
     return df if not languages else df.filter(F.lower("language").isin(*[x.lower() for x in languages]))
 
 

@@ -2,8 +2,8 @@
 
 Each file becomes a row: where it lies, its root's name and own values, and all objects nested in it as a flat array
 (list it stands in, position, the object around it, its values), methods and the declaration. Child tables are
-selections from that row, so all kinds are parsed in one pass over the files. A file that can't be parsed gives a row
-with its error and does not stop the job.
+selections from that row, so all kinds are parsed in one pass over the files. A file that can't be parsed (malformed,
+in an unknown encoding, nested beyond any depth) gives a row with its error and does not stop the job.
 """
 
 from __future__ import annotations
@@ -67,6 +67,13 @@ def parse(content: bytes) -> dict:
     return {"root": local(root), "props": values(root), "design": design, "declaration": text, "children": children, "methods": methods, "error": None}
 
 
+def parsed_or_error(content: bytes) -> dict:
+    try:
+        return parse(content)
+    except (ET.ParseError, LookupError, ValueError, RecursionError) as e:
+        return {"root": None, "props": None, "design": None, "declaration": None, "children": [], "methods": [], "error": f"{type(e).__name__}: {e}"}
+
+
 def read_files(spark: SparkSession, root: str, glob: str = "*.xml") -> DataFrame:
     """Files below a root with package, model and kind from their path."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
@@ -76,27 +83,46 @@ def read_files(spark: SparkSession, root: str, glob: str = "*.xml") -> DataFrame
 
 
 def parse_tree(spark: SparkSession, root: str, models: list[str] | None = None) -> DataFrame:
-    """All object files below a root, parsed; adaptor packages and non-object folders are left out."""
-    files = read_files(spark, root).filter(F.col("kind").startswith("Ax") & ~F.lower("package").endswith("formadaptor"))
+    """All object files below a root, parsed."""
+    return parse_files(read_files(spark, root), models)
+
+
+def parse_files(files: DataFrame, models: list[str] | None = None) -> DataFrame:
+    """Files with package, model, kind, source_path, modified and content, parsed; adaptor packages and models and non-object folders are left out."""
+    adaptor = F.lower("package").endswith("formadaptor") | F.lower("model").endswith("formadaptor")
+    files = files.filter(F.col("kind").startswith("Ax") & ~adaptor)
     if models:
         files = files.filter(glob_match(F.col("model"), models))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for content in b["content"]:
-                try:
-                    rows.append(parse(bytes(content)))
-                except ET.ParseError as e:
-                    rows.append({"root": None, "props": None, "design": None, "declaration": None, "children": [], "methods": [], "error": str(e)})
-            yield pd.concat([b[["package", "model", "kind", "source_path", "modified"]].reset_index(drop=True), pd.DataFrame(rows)], axis=1)
+            rows = pd.DataFrame([parsed_or_error(bytes(x)) for x in b["content"]])
+            yield pd.concat([b[["package", "model", "kind", "source_path", "modified"]].reset_index(drop=True), rows], axis=1)
 
     return files.select("package", "model", "kind", "source_path", "modified", "content").mapInPandas(run, PARSED)
 
 
+def read_source(spark: SparkSession, path: str) -> DataFrame:
+    """kind (Declaration or Method), name, body of one file's source, as it stands now; nothing where it can't be read."""
+    files = spark.read.format("binaryFile").load(path).select(F.lit("").alias("package"), F.lit("").alias("model"), F.lit("Ax").alias("kind"), F.col("path").alias("source_path"), F.col("modificationTime").alias("modified"), "content")
+    return source_blocks(parse_files(files))
+
+
+def source_blocks(parsed: DataFrame) -> DataFrame:
+    """source_path, kind, name and body: the declaration and all methods, nested ones too."""
+    top = parsed.filter(F.trim("declaration") != "").select("source_path", F.lit("Declaration").alias("kind"), F.lit(None).cast("string").alias("name"), F.trim("declaration").alias("body"))
+    methods = parsed.select("source_path", F.explode("methods").alias("m")).select("source_path", F.lit("Method").alias("kind"), "m.name", F.col("m.source").alias("body"))
+    return top.unionByName(methods)
+
+
 def descriptors(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """(models, dependencies) from <Package>/Descriptor/*.xml."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.xml").load(root).filter(F.element_at(F.split("path", "/"), -2) == "Descriptor")
+    return parse_descriptors(files)
+
+
+def parse_descriptors(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(models, dependencies) of descriptor files with path and content; files that can't be parsed are left out."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -104,7 +130,7 @@ def descriptors(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
             for path, content in zip(b["path"], b["content"], strict=True):
                 try:
                     e = ET.fromstring(bytes(content))
-                except ET.ParseError:
+                except (ET.ParseError, LookupError, ValueError):
                     continue
                 v = values(e)
                 refs = [y.text.strip() for x in e.iter() if local(x) in ("ModuleReferences", "ModelReferences") for y in x if (y.text or "").strip()]

@@ -5,22 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.functions.text import key_value
+from lodestrata.sources.labels import label_rows
 
 
 def label_stream(spark: SparkSession, root: str) -> DataFrame:
-    """label_file, language, key, value of new `.label.txt` files below a root."""
-    text = spark.readStream.option("recursiveFileLookup", True).option("pathGlobFilter", "*.label.txt").text(root).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("path"))
-    name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.label\.txt$", "")
-    key, value = key_value(F.col("line"))
-    rows = text.filter(~F.trim("line").startswith(";")).select(F.regexp_extract(name, r"^(.*?)\.[^.]*$", 1).alias("label_file"), F.regexp_extract(name, r"\.([^.]*)$", 1).alias("language"), F.trim(key).alias("key"), value.alias("value"))
-    return rows.filter("key <> ''")
+    """model, label_file, language, key, value of new `.label.txt` files below a root."""
+    text = spark.readStream.option("recursiveFileLookup", True).option("pathGlobFilter", "*.label.txt").text(root)
+    return label_rows(text.select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("path")))
 
 
 def ingest_available(spark: SparkSession, root: str, target: str, checkpoint: str) -> None:
-    """Take in all files not seen yet and stop; files of a batch replace their label file and language."""
+    """Take in all files not seen yet and stop; files of a batch replace their model's label file and language."""
 
     def put(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("label_file", "language").parquet(target)
+        batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model", "label_file", "language").parquet(target)
 
     label_stream(spark, root).writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -3,7 +3,7 @@ import os
 
 import pytest
 
-from lodestrata.operators import details, lint, relations, search
+from lodestrata.operators import details, lint, relations, search, stats
 from lodestrata.plans import catalogue as cat
 from lodestrata.sources.labels import read_label_files
 from lodestrata.sources.tree import parse_tree
@@ -127,7 +127,7 @@ def test_details_and_searches(catalogue):
 def test_lint(spark, catalogue):
     assert rows(lint.tables_without_index(catalogue, only_custom=False), "name") == [("T2",)]
     assert rows(lint.unmarked_extensions(catalogue), "name") == []
-    assert rows(lint.string_fields_without_type(catalogue), "target") == [("DemoTable.Raw",)]
+    assert rows(lint.string_fields_without_type(catalogue, only_custom=False), "target") == [("DemoTable.Raw",)]
     assert rows(lint.review_sources(spark.createDataFrame([("p", 'x = "abc"; y = @"de f"; z = "a"; str2Con(q); new Query()')], "source_path string, content string")), "rule") == [("DYNAMIC_QUERY",), ("HARDCODED_STRING",), ("HARDCODED_STRING",)]
 
 
@@ -168,7 +168,7 @@ def test_refresh_drops_what_is_gone(spark, tmp_path, monkeypatch):
     write(root, {"P/A b/AxForm/F.xml": FORM, "P/A b/AxTable/T.xml": TABLE, "P/B/AxForm/G.xml": FORM, "P/C/AxTable/U.xml": TABLE})
     kinds = {"AxForm": "forms", "AxTable": "tables"}
 
-    def read_tree(spark, root, models, languages):
+    def read_tree(spark, root, models, languages, custom):
         found = [(kinds[k], m) for m in models for k in os.listdir(f"{root}/P/{m}") if os.listdir(f"{root}/P/{m}/{k}")]
         return {t: spark.createDataFrame([(k, m) for k, m in found if k == t], "name string, model string") for t in kinds.values()}
 
@@ -186,10 +186,12 @@ def test_refresh_drops_what_is_gone(spark, tmp_path, monkeypatch):
 
 def test_stream(spark, tmp_path):
     root = str(tmp_path / "in")
-    write(root, {"L.en.label.txt": "a=1\n;c\nb=2=3\n"})
+    write(root, {"P/A/AxLabelFile/L.en.label.txt": "\ufeffa=1\n;c\nb=2=3\n"})
     for _ in range(2):
         ingest_available(spark, root, str(tmp_path / "out"), str(tmp_path / "cp"))
-    assert rows(spark.read.parquet(str(tmp_path / "out")), "key", "value") == [("a", "1"), ("b", "2=3")]
+    write(root, {"P/B/AxLabelFile/L.en.label.txt": "a=other\n"})
+    ingest_available(spark, root, str(tmp_path / "out"), str(tmp_path / "cp"))
+    assert rows(spark.read.parquet(str(tmp_path / "out")), "model", "key", "value") == [("A", "a", "1"), ("A", "b", "2=3"), ("B", "a", "other")]
 
 
 def test_tools(catalogue):
@@ -200,10 +202,10 @@ def test_tools(catalogue):
     got = lambda tool, **p: api.call(catalogue, tool, **p)["data"]["items"]
     assert got("search_table", query="demo")[0]["name"] == "DemoTable"
     assert got("suggest_names", kind="Table", name="DemoTabel")[0]["name"] == "DemoTable"
-    assert got("search_labels_fts", query="fleet")[0]["id"] == "Fleet/en-us/Title"
+    assert got("search_labels_fts", query="fleet")[0]["id"] == "ModelA/Fleet/en-us/Title"
     assert got("analyze_extension_points", target="DemoTable")[0]["strategy"] == "coc"
     assert {x["v"] for x in got("models_coupling")} >= {"ModelA", "ModelB"}
-    assert got("stats_top_tables")[0] == {"name": "DemoTable", "k": 2}
+    assert got("stats_top_tables")[0] == {"name": "DemoTable", "model": "ModelA", "k": 2}
     assert got("summarize_form_patterns") == [{"pattern": "SimpleList", "cnt": 1}]
     per = {x["name"]: x for x in got("stats_per_model")}
     assert per["ModelA"]["tables"] == 1 and per["ModelA"]["labels"] == 3 and per["ModelB"]["classes"] == 0
@@ -218,3 +220,81 @@ def test_patterns(spark):
 
     df = spark.createDataFrame([("Set-Up", "simple list + details"), ("nothing", "ToC"), (None, None)], "t string, f string")
     assert [tuple(r) for r in df.select(text.table_pattern(F.col("t")), text.form_pattern(F.col("f"))).collect()] == [("Parameter", "SimpleListDetails"), (None, "TableOfContents"), (None, "SimpleList")]
+
+
+def test_files_that_no_parser_takes(spark, tmp_path):
+    root = str(tmp_path / "tree")
+    bad = {"A": "<AxTable><Name>", "B": "<?xml version='1.0' encoding='no-such-code'?><AxTable/>", "C": "<?xml version='1.0' encoding='UTF-7'?><AxTable/>", "D": "<a>" * 30_000 + "</a>" * 30_000}
+    write(root, {f"P/M/AxTable/{k}.xml": v for k, v in bad.items()} | {"P/M/AxTable/Good.xml": TABLE, "P/Descriptor/M.xml": bad["B"]})
+    got = {r["source_path"].rsplit("/", 1)[-1]: r["error"] for r in parse_tree(spark, root).collect()}
+    assert {k for k, v in got.items() if v} == {f"{k}.xml" for k in bad} and got["Good.xml"] is None
+    assert rows(cat.read_tree(spark, root)["unreadable"], "model") == [("M",)] * len(bad)
+
+
+def test_children_are_those_of_the_model(spark):
+    tables = spark.createDataFrame([("T1", "M2", None, "b"), ("T1", "M1", None, "a")], "name string, model string, label string, source_path string")
+    fields = spark.createDataFrame([("T1", "M1", "F1"), ("T1", "M2", "G1")], "table string, model string, name string").selectExpr("*", "'String' AS type", "'' AS edt_name", "'' AS label", "false AS mandatory")
+    links = spark.createDataFrame([("T1", "U", "M1", "1", "r"), ("V", "T1", "M2", "1", "s"), ("V", "U", "M1", "1", "t")], "from_table string, to_table string, model string, cardinality string, relation_name string")
+    c = cat.Catalogue(spark, tables={"tables": tables, "table_fields": fields, "relations": links})
+    got = details.get(c, "tables", "T1", include=["fields", "relations"]).first()
+    assert (got["model"], [f["name"] for f in got["fields"]]) == ("M1", ["F1"]) and [r["relation_name"] for r in got["relations"]] == ["r", "s"]
+    top = stats.top_by_children(tables, fields, "name", "table", "name", within=["model"])
+    assert rows(top, "name", "model", "k") == [("T1", "M1", 1), ("T1", "M2", 1)]
+
+
+def test_custom_models_and_the_label_index(spark, tmp_path):
+    root, path = str(tmp_path / "tree"), str(tmp_path / "store")
+    label = "P/{}/AxLabelFile/L.en.label.txt"
+    write(root, {"P/Asl1/AxTable/T.xml": "<AxTable><Name>T</Name></AxTable>", "P/Base/AxTable/U.xml": "<AxTable><Name>U</Name></AxTable>", label.format("Asl1"): "k=fleet manager\n", label.format("Base"): "k=fleet\n"})
+    assert cat.refresh(spark, root, path, custom=["Asl*", "!AslTest"]) == ["Asl1", "Base"]
+    c = cat.Catalogue(spark, path)
+    assert rows(lint.tables_without_index(c), "name", "model") == [("T", "Asl1")]
+    assert rows(lint.tables_without_index(c, only_custom=False), "name") == [("T",), ("U",)]
+    assert rows(spark.read.parquet(f"{path}/extraction_runs"), "model", "is_custom") == [("Asl1", True), ("Base", False)]
+    found = lambda q: rows(cat.Catalogue(spark, path).search_label_texts(q), "id")
+    assert found("fleet") == [("Asl1/L/en/k",), ("Base/L/en/k",)] and found('"fleet manager"') == [("Asl1/L/en/k",)]
+    write(root, {label.format("Asl1"): "k=other words here\n"})
+    os.remove(f"{root}/P/Base/AxTable/U.xml")
+    os.remove(f"{root}/{label.format('Base')}")
+    assert cat.refresh(spark, root, path) == ["Asl1", "Base"]
+    assert found("fleet") == [] and found("oth*") == [("Asl1/L/en/k",)]
+
+
+def test_stored_and_scanned_text_ranks_agree(spark):
+    from lodestrata.operators import fulltext
+
+    docs = spark.createDataFrame([(1, "a b c a", "x"), (2, "b c", "a"), (3, None, "c b"), (4, "", None), (5, "Ábc b", "z")], "id int, t string, u string")
+    for query in ("a", "b c", '"b c"', "t:b", "ab*", '"a b" c', "zz"):
+        want = rows(fulltext.match(docs, "id", ["t", "u"], query, stored=fulltext.index(docs, "id", ["t", "u"])), "id", "score")
+        assert rows(fulltext.match(docs, "id", ["t", "u"], query), "id", "score") == want
+
+
+def test_many_needles_are_joined(spark):
+    names = spark.createDataFrame([(x,) for x in ["CustTable", "custom", "a", "", None, "VendTable", "ab"]], "name string")
+    needles = spark.createDataFrame([(x,) for x in ["cust", "TABLE", "a", "ab", "zz", "", "ustT"]], "needle string")
+    want = rows(search.batch_search(names, needles), "needle", "hits")
+    assert rows(search.batch_search(names, needles, few=2), "needle", "hits") == want and ("TABLE", 2) in want and ("zz", 0) in want
+
+
+def test_sources_by_path(spark, tree, catalogue):
+    from lodestrata.plans import api
+
+    got = lambda tool, **p: api.call(catalogue, tool, **p)["data"]["items"]
+    assert [x["kind"] for x in got("read_class", name="Cust_Extension")] == ["Declaration", "Method"]
+    assert got("read_class", name="Cust_Extension", method="UPDATE", first=2, last=2)[0]["body"].strip() == "public static void update(Common c)"
+    assert "3: " in got("read_class", name="Cust_Extension", method="update", around="demotable u", context=0)[0]["body"]
+    assert got("read_table", name="Nope") == [] if api.call(catalogue, "read_table", name="Nope")["ok"] else True
+    assert got("read_source", path=f"{tree}/Pkg/ModelA/AxTable/Bad.xml") == []
+
+
+def test_cross_references_over_jdbc(spark):
+    from lodestrata.sources.xref import read_xref
+
+    url, driver = "jdbc:derby:memory:xref;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    one = spark._jvm.java.sql.DriverManager.getConnection(url)
+    s = one.createStatement()
+    for x in ('CREATE TABLE "Names" ("Id" INT, "Path" VARCHAR(99), "ModuleId" INT)', 'CREATE TABLE "Modules" ("Id" INT, "Module" VARCHAR(99))', 'CREATE TABLE "References" ("SourceId" INT, "TargetId" INT, "Kind" SMALLINT, "Line" SMALLINT, "Column" SMALLINT)',
+              """INSERT INTO "Names" VALUES (1, '/Classes/A', 7), (2, '/Tables/Cust', NULL), (3, '/Tables/Customs', NULL)""", """INSERT INTO "Modules" VALUES (7, 'App')""", 'INSERT INTO "References" VALUES (1, 2, 3, 10, 1), (1, 3, 3, 11, 1), (2, 1, 6, 1, 1)'):
+        s.execute(x)
+    got = relations.cross_references(*read_xref(spark, url, driver, parts=2, bounds=(1, 3)), "Cust", "call")
+    assert rows(got, "source", "target", "line", "module") == [("/Classes/A", "/Tables/Cust", 10, "App"), ("/Classes/A", "/Tables/Customs", 11, "App")]

@@ -44,11 +44,17 @@ def test_signature(spark):
 
 
 def test_handlers(spark):
-    h = one(spark, "[FormDataSourceEventHandler(formDataSourceStr(F, DS), FormDataSourceEventType::Initialized)]", text.handler)
-    assert tuple(h) == ("FormDataSource", "F", "DS", "Initialized")
-    h = one(spark, "[SubscribesTo(classStr(X), delegateStr(X, onY))]\npublic static void h()", text.handler)
-    assert tuple(h) == ("Delegate", "X", "onY", None)
-    assert one(spark, "public void x() {}", text.handler) is None
+    h = one(spark, "[FormDataSourceEventHandler(formDataSourceStr(F, DS), FormDataSourceEventType::Initialized)]", text.handlers)
+    assert [tuple(x) for x in h] == [("FormDataSource", "F", "DS", "Initialized")]
+    h = one(spark, "[SubscribesTo(classStr(X), delegateStr(X, onY))]\npublic static void h()", text.handlers)
+    assert [tuple(x) for x in h] == [("Delegate", "X", "onY", None)]
+    two = """[Other(classStr(Wrong), FormEventType::Wrong)]
+[DataEventHandler(tableStr(T), DataEventType::Inserted)]
+[FormEventHandler(formStr(F), FormEventType.Closing)]
+[SubscribesTo()]
+public static void h() { x = [classStr(Body)]; e = FormEventType::Body; }"""
+    assert [tuple(x) for x in one(spark, two, text.handlers)] == [("Table", "T", None, "Inserted"), ("Form", "F", None, "Closing")]
+    assert one(spark, "public void x() {}", text.handlers) == []
 
 
 def test_extended_class(spark):
