@@ -7,15 +7,9 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import fuzzy, text
 from lodestrata.operators import details, fulltext, graph, lint, relations, search, stats
+from lodestrata.plans import tree_queries
 from lodestrata.plans.catalogue import merge_fingerprints, replace_by, update_labels
-
-
-class Tables:
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
-
-    def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+from lodestrata.plans.tables import Tables
 
 
 QUERIES: dict = {}
@@ -468,8 +462,8 @@ def reachable(t):
 
 
 def queries() -> dict:
-    return dict(QUERIES)
+    return QUERIES | tree_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return SQL | tree_queries.SQL

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(app: str = "lodestrata", cpus: int | None = None, **conf: str) -> SparkSession:
@@ -24,11 +25,23 @@ def get_session(app: str = "lodestrata", cpus: int | None = None, **conf: str) -
     return b.getOrCreate()
 
 
-def checkpoint(df):
-    """Cut a plan's lineage in the folder that all executors share; one of our own only where none is set."""
-    import tempfile
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share, as the session names it.
 
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestrata-"))
+    Only a local session may do without one: a folder of its own machine is then everybody's.
+    """
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    kept = sc._jsc.sc().getCheckpointDir()
+    if not kept.isDefined():
+        if not found and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(found or f"file://{tempfile.mkdtemp(prefix='lodestrata-')}")
+        kept = sc._jsc.sc().getCheckpointDir()
+    return found or kept.get()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut a plan's lineage in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
