@@ -1,9 +1,14 @@
 """Secret scans: a keyword automaton first, regular expressions anchored at its hits, then embedded checksums.
 
-One Aho-Corasick pass over the ASCII-lower-cased text finds where a pattern may begin; each pattern is then tried at
-those places only. Runs of hex digits have no keyword: one scan for long runs finds them. The method's own kinds carry
-a check of their own contents: token families that end in a CRC-32 of their body, JSON web tokens whose header decodes
-to JSON with an algorithm, card numbers that pass the Luhn sum, and armoured private keys that close as they open.
+One Aho-Corasick pass over the ASCII-lower-cased text finds where a pattern may begin, and where armour may close; each
+pattern is then tried at those places only. The keywords of cards are the pairs of digits that a number may begin with.
+Runs of hex digits have no keyword: one scan for long runs finds them. The method's own kinds carry a check of their
+own contents: token families that end in a CRC-32 of their body, JSON web tokens whose header decodes to JSON with an
+algorithm, card numbers that pass the Luhn sum, and armoured private keys that close as they open.
+
+The work is in proportion to the text, whatever it repeats: a run of characters that many hits lie in is measured once,
+and an opening finds its closing among the hits of the same pass. A header that is nested beyond what JSON readers take
+is no token.
 
 Defined results: a null text is empty. Spans count code points, end exclusive. A text without secrets has zero counts,
 the digest of the empty string and an empty list of spans. Repeated rows each keep a row. Other columns are not read.
@@ -13,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import hashlib
 import json
 import re
@@ -35,8 +41,10 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 LEAST_ASSIGN, LEAST_ACCESS = 12, 18
 # Formats with an embedded check.
 CRC_TOKEN = re.compile(r"(?a:(?:gh[pousr]|npm)_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9]))")
-JWT = re.compile(r"(?a:(eyJ[A-Za-z0-9_-]{8,})\.(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+)")
-ARMOUR = re.compile(r"-----BEGIN ((?:[A-Z]+ )*PRIVATE KEY)-----[A-Za-z0-9+/=\s,:-]+?-----END \1-----")
+JWT_PART = re.compile(r"(?a:[A-Za-z0-9_-]*)")
+LEAST_JWT_HEAD = 11
+ARMOUR = re.compile(r"-----(?:BEGIN|END) ((?:[A-Z]+ )*PRIVATE KEY)-----")
+NOT_ARMOURED = re.compile(r"[^A-Za-z0-9+/=\s,:-]")
 CARD = re.compile(r"(?a:(?<![0-9])[3-6][0-9]{3}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9]))")
 KINDS = (*BASE, "crc_token", "jwt", "private_key", "card")
 KEYWORDS = {
@@ -45,9 +53,10 @@ KEYWORDS = {
     "crc_token": ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "npm_"),
     "jwt": ("eyj",),
     "private_key": ("-----begin ",),
+    "armour_end": ("-----end ",),
+    "card": tuple(map(str, range(30, 70))),
 }
 DIGITS62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
-CARD_HINT = re.compile(r"(?a:[3-6][0-9]{3}[ -]?[0-9]{4})")
 
 
 def automaton() -> ahocorasick.Automaton:
@@ -67,12 +76,50 @@ def _crc_ok(m: re.Match) -> bool:
     return got == m[2]
 
 
-def _jwt_ok(m: re.Match) -> bool:
+def _jwt_ok(head: str) -> bool:
     try:
-        head = json.loads(base64.urlsafe_b64decode(m[1] + "=" * (-len(m[1]) % 4)))
-    except (ValueError, binascii.Error):
+        got = json.loads(base64.urlsafe_b64decode(head + "=" * (-len(head) % 4)))
+    except (ValueError, binascii.Error, RecursionError):
         return False
-    return isinstance(head, dict) and "alg" in head
+    return isinstance(got, dict) and "alg" in got
+
+
+def jwt_spans(text: str, at: list[int]) -> Iterator[tuple[int, int]]:
+    """Three dotted runs, the first two of which begin like JSON, whose header decodes; a failing one takes its place too."""
+    free, end, last = 0, -1, None
+    for p in at:
+        if p < free or not text.startswith("eyJ", p):
+            continue
+        if p >= end:  # all hits of one run share what follows it
+            end, last = JWT_PART.match(text, p).end(), None
+            if text.startswith(".eyJ", end):
+                mid = JWT_PART.match(text, end + 1).end()
+                if mid > end + 4 and text.startswith(".", mid) and (to := JWT_PART.match(text, mid + 1).end()) > mid + 1:
+                    last = to
+        if last is not None and end - p >= LEAST_JWT_HEAD:
+            free = last
+            if _jwt_ok(text[p:end]):
+                yield p, last
+
+
+def armour_spans(text: str, opens: list[int], closes: list[int]) -> Iterator[tuple[int, int]]:
+    """From an opening line to the first closing one of the same label, with nothing but armoured text between."""
+    ends: dict[str, list[tuple[int, int]]] = {}
+    for p in closes:
+        if m := ARMOUR.match(text, p):
+            ends.setdefault(m[1], []).append((m.start(), m.end()))
+    free, odd = 0, -1
+    for p in opens:
+        if p < free or not (m := ARMOUR.match(text, p)) or m[1] not in ends:
+            continue
+        body = m.end()
+        k = bisect.bisect_left(ends[m[1]], (body + 1, 0))
+        if odd < body:
+            found = NOT_ARMOURED.search(text, body)
+            odd = found.start() if found else len(text)
+        if k < len(ends[m[1]]) and ends[m[1]][k][0] <= odd:
+            free = ends[m[1]][k][1]
+            yield p, free
 
 
 def luhn_ok(text: str) -> bool:
@@ -86,8 +133,7 @@ PATTERNS = {
     "assign": (ASSIGN, lambda m: len(m[2]) >= LEAST_ASSIGN),
     "access": (ACCESS, lambda m: len(m[0]) >= LEAST_ACCESS),
     "crc_token": (CRC_TOKEN, _crc_ok),
-    "jwt": (JWT, _jwt_ok),
-    "private_key": (ARMOUR, lambda m: True),
+    "card": (CARD, lambda m: luhn_ok(m[0])),
 }
 
 
@@ -101,16 +147,16 @@ def scan(text: str, words: ahocorasick.Automaton) -> list[tuple[int, int, str]]:
     for end, (kind, n) in words.iter(ascii_lower(text)):
         starts.setdefault(kind, []).append(end - n + 1)
     found = [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
-    for kind, at in starts.items():
-        pattern, holds = PATTERNS[kind]
+    found += [(s, e, "jwt") for s, e in jwt_spans(text, starts.get("jwt", []))]
+    if "private_key" in starts:
+        found += [(s, e, "private_key") for s, e in armour_spans(text, starts["private_key"], starts.get("armour_end", []))]
+    for kind, (pattern, holds) in PATTERNS.items():
         free = 0
-        for p in sorted(at):
+        for p in sorted(starts.get(kind, [])):
             if p >= free and (m := pattern.match(text, p)):
                 free = m.end()  # a match that fails its check still takes its place
                 if holds(m):
                     found.append((m.start(), free, kind))
-    if CARD_HINT.search(text):
-        found += [(m.start(), m.end(), "card") for m in CARD.finditer(text) if luhn_ok(m[0])]
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
 

@@ -5,6 +5,7 @@ import hashlib
 import json
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -113,6 +114,42 @@ def test_checks_inside_secrets():
     assert "private_key" in kinds("-----BEGIN RSA PRIVATE KEY-----\nabc=\n-----END RSA PRIVATE KEY-----")
 
 
+JWT_PLAIN = re.compile(r"(?a:(eyJ[A-Za-z0-9_-]{8,})\.(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+)")
+ARMOUR_PLAIN = re.compile(r"-----BEGIN ((?:[A-Z]+ )*PRIVATE KEY)-----[A-Za-z0-9+/=\s,:-]+?-----END \1-----")
+
+
+def own_brute(t):
+    out = [(m.start(), m.end(), "jwt") for m in JWT_PLAIN.finditer(t) if ss._jwt_ok(m[1])]
+    out += [(m.start(), m.end(), "private_key") for m in ARMOUR_PLAIN.finditer(t)]
+    out += [(m.start(), m.end(), "card") for m in ss.CARD.finditer(t) if ss.luhn_ok(m[0])]
+    return sorted(out)
+
+
+def test_own_spans_equal_plain_regular_expressions():
+    r = random.Random(9)
+    head = JWT.split(".")[0]
+    parts = ["eyJ", head, head, ".", ".", "-", "x", " ", "é", "eyJzdWIi", "-----BEGIN ", "-----END ", "PRIVATE KEY", "RSA ", "-----", "\n", "abc=", "4111", "1111", "1111 ", "41111111", "4111 1111 1111 1111", "5", "-----BEGIN PRIVATE KEY-----", "-----END PRIVATE KEY-----", "!", f"{head}.eyJzdWIi.x"]
+    auto, seen = ss.automaton(), Counter()
+    for _ in range(60_000):
+        t = "".join(r.choice(parts) for _ in range(r.randint(0, 16)))
+        got = sorted(x for x in ss.scan(t, auto) if x[2] in ("jwt", "private_key", "card"))
+        assert got == own_brute(t), t
+        seen.update(k for *_, k in got)
+    assert min(seen[k] for k in ("jwt", "private_key", "card")) > 5
+
+
+@pytest.mark.parametrize("unit", ["-----BEGIN PRIVATE KEY-----", "-----END PRIVATE KEY-----", "eyJ", "eyJabcdefgh.", "password", "token=", "secret ", "AKIA", "ghp_", "4111 ", "4111", "a1", "-----BEGIN A PRIVATE KEY-----x"])
+def test_long_repeats_take_time_in_proportion(unit):
+    began = time.process_time()
+    ss.scan(unit * (10_000_000 // len(unit)), ss.automaton())
+    assert time.process_time() - began < 30
+
+
+def test_a_deeply_nested_header_is_no_token():
+    head = base64.urlsafe_b64encode(b'{"a":' + b"[" * 200_000).decode().rstrip("=")
+    assert [k for *_, k in ss.scan(f"{head}.eyJzdWIi.c2ln", ss.automaton()) if k == "jwt"] == []
+
+
 def test_secret_report_and_redaction(spark):
     texts = [f"é password = abcdefghijklmnop and {GOOD}", "0123456789abcdef0123", "clean"]
     df, rows = frame(spark, texts)
