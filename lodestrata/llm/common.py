@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
+from lodestrata.session import checkpoint, shared_dir
+
+__all__ = ["checkpoint", "shared_dir"]
 #: Rows of an Arrow batch. Texts may be megabytes long, so batches are short.
 BATCH_ROWS = 256
 
@@ -18,36 +21,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def short_batches(spark: SparkSession) -> None:
-    """Bound what a Python worker holds at once: long texts come in short Arrow batches."""
+    """Bound what a Python worker holds at once: long texts come in short Arrow batches.
+
+    Spark reads the setting when a plan runs, so it stays in the session.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as the session names it; one of our own only where it names none."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    kept = sc._jsc.sc().getCheckpointDir()
-    if not kept.isDefined():
-        sc.setCheckpointDir(found or f"file://{tempfile.mkdtemp(prefix='lodestrata-')}")
-        kept = sc._jsc.sc().getCheckpointDir()
-    return found or kept.get()
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def materialise(df: DataFrame) -> DataFrame:
-    """Write a table in the shared folder and read it again: compressed, and safe from lost executors."""
+    """Write a table in the shared folder and read it again: compressed, and safe from lost executors; it goes with the session."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def id_ranks(docs: DataFrame, id_col: str) -> DataFrame | None:
+    """`_id` and `_rank`: an integer for each id that isn't one, in the same order; None where ids are integers."""
+    if isinstance(docs.schema[id_col].dataType, IntegralType):
+        return None
+    ids = docs.select(F.col(f"`{id_col}`").alias("_id")).filter("_id IS NOT NULL").distinct().orderBy("_id")
+    return materialise(ids.withColumn("_rank", F.monotonically_increasing_id()))  # partitions are in order, and so are rows in them
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

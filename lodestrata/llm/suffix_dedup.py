@@ -13,10 +13,15 @@ Removed is every byte covered by a `SPAN`-byte string that also starts in a docu
    the longer prefix wins without looking at the texts, equal ones are compared beyond it, and the result is the
    common prefix that the loser keeps. The output is a suffix array with common prefixes.
 4. Verdicts. In that order the suffixes that share SPAN - o bytes are intervals; within one, those with the same o
-   bytes before them hold the same window. All but the smallest document's are removed.
+   bytes before them (compared in full, by their own order and common prefixes) hold the same window. All but the
+   smallest document's are removed.
 5. Spans come back to their documents, overlaps are joined, and the rest is hashed.
 
-Defined results: texts are UTF-8; a null text is empty. Texts shorter than SPAN lose nothing. Of equal texts all but the
+Hot anchors. A string that very many documents hold with other bytes around it would fill one bucket with different
+suffixes. Such strings are counted first; theirs go as the windows around them, each a suffix of its own in the bucket
+of all its bytes, where equal ones are again sent once by a task.
+
+Defined results: texts are UTF-8; a null text is empty. Ids that aren't integers are compared in their own order. Texts shorter than SPAN lose nothing. Of equal texts all but the
 smallest id's go. Rows with the same id don't remove each other's bytes; identical rows each keep a row. Null ids come
 after all others. Empty tables give empty results. Other columns are not read.
 """
@@ -32,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import groups_of, mix64, partitions, short_batches
+from lodestrata.llm.common import groups_of, id_ranks, mix64, partitions, short_batches
 
 SPAN, GRAM = 50, 20
 #: Anchors that a window has room for, and the most bytes before an anchor that a window holds.
@@ -40,6 +45,8 @@ ROOM = SPAN - GRAM + 1
 BEFORE = SPAN - GRAM
 #: Bytes hashed at once, bytes whose anchors and whose suffixes are grouped in a task, bytes of text that a bucket's anchors come from.
 BLOCK, GROUP, RUN_GROUP, PER_BUCKET = 1_000_000, 8_000_000, 4_000_000, 12_000_000
+#: A hot anchor: occurrences in all texts at least, and the most of them that are told apart; occurrences in GROUP bytes that count.
+HOT, HOT_MOST, HOT_LOCAL = 20_000, 500_000, 8
 LAST_ID = (1 << 63) - 1
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -122,6 +129,24 @@ def grouped(batches: Iterator[pd.DataFrame], text: str, most: int) -> Iterator[p
         yield pd.concat(held, ignore_index=True)
 
 
+def frequent_anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(gram, n) of the anchors that are frequent in a group of texts."""
+    for b in grouped(batches, "text", GROUP):
+        texts = [bytes(t) for t in b["text"]]
+        found = [anchors(texts[lo:hi])[2] for lo, hi in groups_of([len(t) for t in texts], BLOCK)]
+        gram, n = np.unique(np.concatenate(found), return_counts=True)
+        often = n >= HOT_LOCAL
+        if often.any():
+            yield pd.DataFrame({"gram": gram[often].view(np.int64), "n": n[often]})
+
+
+def hot_anchors(keyed: DataFrame, total: int) -> np.ndarray:
+    """Hashes of the hot anchors, HOT_MOST at most by the threshold: of `total` bytes about one in 15 starts an anchor."""
+    least = max(HOT, total // 15 // HOT_MOST)
+    counts = keyed.select("text").mapInPandas(frequent_anchors, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    return np.sort(np.array([r["gram"] for r in counts.filter(F.col("n") >= least).select("gram").collect()], dtype=np.int64).view(np.uint64))
+
+
 ANCHORS = "bucket int, shared boolean, ids binary, keys binary, doc binary, pos binary, gram binary"
 
 
@@ -210,7 +235,7 @@ def front_decode(same: np.ndarray, fresh: bytes, width: int) -> np.ndarray:
     return m[source, np.arange(width)]
 
 
-def sorted_runs(buckets: int):
+def sorted_runs(buckets: int, hot: np.ndarray):
     """Front-coded runs of a task's suffixes at shared anchors, and spans that are known already (bucket -1)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -222,9 +247,14 @@ def sorted_runs(buckets: int):
             flat = np.frombuffer(b"".join([bytes(BEFORE), *(t + bytes(SPAN) for t in texts)]), np.uint8)
             starts = BEFORE + np.cumsum(lengths + SPAN) - (lengths + SPAN)
             doc, at = np.repeat(np.arange(len(b)), sizes), np.concatenate(pos)
+            windows = np.lib.stride_tricks.sliding_window_view(flat, SPAN)
+            spread = np.isin(gram_hash(windows[starts[doc] + at], GRAM), hot) if len(hot) else np.zeros(len(at), dtype=bool)
+            own_doc, own_at = windows_around(doc[spread], at[spread], lengths)
+            alone = np.repeat([False, True], [int((~spread).sum()), len(own_at)])
+            doc, at = np.r_[doc[~spread], own_doc], np.r_[at[~spread], own_at]
             here = starts[doc] + at
-            after = np.lib.stride_tricks.sliding_window_view(flat, SPAN)[here]
-            left, right = np.minimum(at, BEFORE), np.minimum(lengths[doc] - at, SPAN)
+            after = windows[here]
+            left, right = np.where(alone, 0, np.minimum(at, BEFORE)), np.minimum(lengths[doc] - at, SPAN)
             prior = np.lib.stride_tricks.sliding_window_view(flat, BEFORE)[here - BEFORE][:, ::-1].copy()
             prior[np.arange(BEFORE) >= left[:, None]] = 0
             room = np.stack([left, right], axis=1).astype(np.uint8)
@@ -247,7 +277,8 @@ def sorted_runs(buckets: int):
             if len(known):
                 add(-1 - int(mix64(keys[:1].view(np.uint64))[0] % np.uint64(buckets)), known, np.empty(0, np.uint8), b"")
             first = order[ids[doc][order] == least]
-            bucket = _gram_bucket(after[first], buckets)
+            shown = np.where(np.arange(SPAN) < np.where(alone[first], SPAN, GRAM)[:, None], after[first], 0)
+            bucket = (gram_hash(shown, SPAN) % np.uint64(buckets)).astype(np.int64)
             by = np.argsort(bucket, kind="stable")
             edges = np.searchsorted(bucket[by], np.arange(buckets + 1))
             for k in np.flatnonzero(np.diff(edges)):
@@ -258,11 +289,20 @@ def sorted_runs(buckets: int):
     return run
 
 
-def _gram_bucket(after: np.ndarray, buckets: int) -> np.ndarray:
-    h = np.zeros(len(after), dtype=np.uint64)
-    for j in range(GRAM):
-        h = h * ODD + after[:, j] + np.uint64(1)
-    return (mix64(h) % np.uint64(buckets)).astype(np.int64)
+def gram_hash(rows: np.ndarray, k: int) -> np.ndarray:
+    """Hash of the first k bytes of each row, the same as that of `gram_hashes`."""
+    h, each = np.zeros(len(rows), dtype=np.uint64), mix64(np.arange(1, 257, dtype=np.uint64))
+    for j in range(k):
+        h = h * ODD + each[rows[:, j]]
+    return mix64(h)
+
+
+def windows_around(doc: np.ndarray, at: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(document, start) of all windows that hold the GRAM bytes at these places, each once."""
+    doc, start = np.repeat(doc, ROOM), (at[:, None] - np.arange(ROOM)).ravel()
+    fits = (start >= 0) & (start + SPAN <= lengths[doc])
+    both = np.unique(np.stack([doc[fits], start[fits]], axis=1), axis=0)
+    return both[:, 0], both[:, 1]
 
 
 # ---------------------------------------------------------------- loser tree
@@ -339,17 +379,20 @@ def window_spans(common: np.ndarray, prior: np.ndarray, left: np.ndarray, right:
     """
     n = len(ids)
     low, high = np.full(n, SPAN), np.full(n, -1)
-    h = np.zeros(n, dtype=np.uint64)
+    # rows in the order of the bytes before them, and how many of these each has in common with the row before
+    by_prior = np.argsort(np.ascontiguousarray(prior).view(f"V{BEFORE}").ravel(), kind="stable")
+    differs = prior[by_prior[1:]] != prior[by_prior[:-1]]
+    same = np.r_[0, np.where(differs.any(1), differs.argmax(1), BEFORE)] if n else np.zeros(0, dtype=np.int64)
+    alike = np.zeros(n, dtype=np.int64)
     for o in range(BEFORE + 1):
-        if o:
-            h = mix64(h + prior[:, o - 1] + np.uint64(o << 8))
+        alike[by_prior] = np.cumsum(same < o)  # equal numbers: the same o bytes before
         need = SPAN - o
         joined = common >= need
         near = joined | np.r_[joined[1:], False]
         at = np.flatnonzero(near & (left >= o) & (right >= need))
         if not len(at):
             continue
-        key = mix64(np.cumsum(~joined)[at].astype(np.uint64)) ^ h[at]
+        key = np.cumsum(~joined)[at] * (n + 1) + alike[at]
         order = np.argsort(key, kind="stable")
         start = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
         least = np.repeat(np.minimum.reduceat(ids[at][order], start), np.diff(np.r_[start, len(at)]))
@@ -413,16 +456,16 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Each row's id, UTF-8 text and the spans (array of first, last) that smaller documents hold too."""
     spark = docs.sparkSession
     short_batches(spark)
-    keyed = docs.select(
-        F.col(id_col).alias("own_id"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST_ID)).alias("id"),
-        F.encode(F.coalesce(text_col, F.lit("")), "UTF-8").alias("text"),
-    ).withColumn("key", F.xxhash64("text"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("own_id"), F.encode(F.coalesce(text_col, F.lit("")), "UTF-8").alias("text"))
+    ranks = id_ranks(docs, id_col)
+    rows = rows.withColumn("id", F.col("own_id").cast("bigint")) if ranks is None else rows.join(ranks, F.col("own_id") == F.col("_id"), "left").withColumnRenamed("_rank", "id")
+    keyed = rows.select("own_id", F.coalesce("id", F.lit(LAST_ID)).alias("id"), "text", F.xxhash64("text").alias("key"))
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     buckets = max(partitions(spark), total // PER_BUCKET + 1)
     found = keyed.select("id", "key", "text").mapInPandas(anchor_blocks(buckets), ANCHORS).groupBy("bucket").applyInPandas(shared_anchors, "id bigint, key bigint, pos int")
     at = found.groupBy("id", "key").agg(F.collect_list("pos").alias("at"))
     # both joins deal `keyed` out by the same key, so the texts move once
-    runs = keyed.join(at, ["id", "key"]).select("own_id", "id", "key", "text", "at").mapInPandas(sorted_runs(buckets), RUNS)
+    runs = keyed.join(at, ["id", "key"]).select("own_id", "id", "key", "text", "at").mapInPandas(sorted_runs(buckets, hot_anchors(keyed, total)), RUNS)
     spans = runs.groupBy("bucket").applyInPandas(merged_spans, SPANS).groupBy("id", "key").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     return keyed.join(spans, ["id", "key"], "left").select(F.col("own_id").alias(id_col), "text", "spans")
 

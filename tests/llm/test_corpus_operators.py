@@ -78,6 +78,38 @@ def test_suffix_dedup(spark, seed):
     assert sorted((tuple(r) for r in sd.dedup_report(docs(spark, rows)).collect()), key=key) == removed(rows)
 
 
+@pytest.mark.parametrize("hot", [1, 30])
+def test_suffix_dedup_with_hot_anchors(spark, hot, monkeypatch):
+    """Anchors count as hot from a few occurrences on; a phrase stands in most texts with other bytes around it."""
+    monkeypatch.setattr(sd, "HOT", hot)
+    monkeypatch.setattr(sd, "HOT_LOCAL", 1)
+    r = random.Random(hot)
+    phrase = "the same long phrase in the middle of it, over and over again"
+    more = [(1000 + i, "".join(r.choice("abcd") for _ in range(r.randint(0, 70))) + phrase[r.randint(0, 20) :] + "".join(r.choice("abcd") for _ in range(r.randint(0, 70)))) for i in range(60)]
+    rows = repeated_texts(hot) + more
+    keyed = docs(spark, rows).selectExpr("encode(coalesce(text, ''), 'UTF-8') AS text")
+    assert len(sd.hot_anchors(keyed, 0)) > 0
+    assert sorted((tuple(r) for r in sd.dedup_report(docs(spark, rows)).collect()), key=key) == removed(rows)
+
+
+def test_suffix_dedup_takes_ids_of_any_type(spark):
+    rows = [("b", "x" * 60), ("a", "x" * 60), (None, "x" * 60), ("c", "plain")]
+    got = {r["doc_id"]: r["n_removed"] for r in sd.dedup_report(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {"a": 0, "b": 60, None: 60, "c": 0}
+
+
+def test_windows_differ_by_any_byte_before_the_anchor():
+    r = np.random.default_rng(1)
+    n = 400
+    prior = r.integers(0, 2, (n, sd.BEFORE), dtype=np.uint8)
+    prior[:, :12] = 0
+    ids = r.integers(0, 50, n)
+    low, high = sd.window_spans(np.r_[0, np.full(n - 1, sd.SPAN)], prior, np.full(n, sd.BEFORE), np.full(n, sd.SPAN), ids)
+    for i in range(n):
+        gone = [o for o in range(sd.BEFORE + 1) if any(ids[j] < ids[i] and (prior[j, :o] == prior[i, :o]).all() for j in range(n))]
+        assert (low[i], high[i]) == ((min(gone), max(gone)) if gone else (sd.SPAN, -1))
+
+
 def test_suffix_dedup_texts(spark):
     rows = [(1, "a" * 60 + "end"), (2, "start" + "a" * 55)]
     got = {r["doc_id"]: r["text"] for r in sd.remove_repeats(docs(spark, rows)).collect()}
