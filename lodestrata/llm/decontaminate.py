@@ -1,7 +1,9 @@
 """Benchmark decontamination: n-gram seeds find passages, Smith-Waterman alignment scores them.
 
-Words are lower-cased runs of letters and digits. Every n-gram of an item is a seed, however common: a choice of rare
-ones would prefer those that an edited copy lacks. One pass over the corpus looks for seeds, cuts out the passages
+Words are lower-cased runs of letters and digits. Every n-gram of an item is a seed, however common: a choice by count
+would prefer those that an edited copy lacks. Three words in a row are rare enough to be a seed alone; pairs, which a
+copy keeps that is edited every third word, are so where two of an item stand about as far apart as in it. Short items
+have their words as seeds, half of which a passage must hold, and those of one or two words themselves. One pass over the corpus looks for seeds, cuts out the passages
 around them (with room for insertions, overlaps joined) and aligns each with its item, all where the text is. Only a
 passage that shares too few words with its item to reach the threshold is left out before, which loses none.
 The score is the best local alignment's, as a share of what the whole item would get: 1 is a copy, and each changed
@@ -9,8 +11,8 @@ word costs a little.
 
 Items come in blocks of bounded size, each a stated query set against all documents; nothing else is sent to tasks.
 
-Defined results: null texts have no words. Items of fewer than `GRAM` words are ignored; of items with one id each
-counts, and the best score is reported. Repeated documents each have their rows. Empty tables give empty results. Other
+Defined results: null texts have no words. Items without words are ignored, and of those of one or two words whole
+copies are found; of items with one id each counts, and the best score is reported. Repeated documents each have their rows. Empty tables give empty results. Other
 columns are kept by `drop_contaminated` and not read otherwise.
 """
 
@@ -27,7 +29,8 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm.common import ALNUM, ODD, groups_of, map_rows, map_texts, mix64, short_batches, word_hashes
 
-GRAM = 3
+#: Words of a seed that counts alone, and from how many words on an item has such seeds and pairs instead of words.
+GRAM, LONG_ITEM = 3, 8
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Least score that counts as contaminated.
 THRESHOLD = 0.5
@@ -39,34 +42,45 @@ def hashed_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return word_hashes([t.lower().encode("utf-8", "surrogatepass") for t in texts], ALNUM)
 
 
-def grams(doc: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(word index, hash) of all n-grams that stay in one text."""
-    n = len(word) - GRAM + 1
+def grams(doc: np.ndarray, word: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(word index, hash) of all n-grams of `size` words that stay in one text."""
+    n = len(word) - size + 1
     if n <= 0:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
     h = np.zeros(n, dtype=np.uint64)
-    for j in range(GRAM):
+    for j in range(size):
         h = h * ODD + word[j : j + n]
-    at = np.flatnonzero(doc[:n] == doc[GRAM - 1 :])
+    at = np.flatnonzero(doc[:n] == doc[size - 1 :])
     return at, mix64(h[at])
 
 
-class Items:
-    """A block of items: their words, how often each has a word, and all their n-grams as seeds."""
+class Seeds:
+    """The n-grams of one size of some items, in order, and how many of an item must lie in a passage."""
 
-    def __init__(self, ids: list, texts: list[str]):
-        doc, word = hashed_words(texts)
-        edges = np.searchsorted(doc, np.arange(len(texts) + 1))
-        self.ids, self.words = ids, [word[edges[i] : edges[i + 1]] for i in range(len(texts))]
-        at, gram = grams(doc, word)
-        item, offset = doc[at], at - edges[doc[at]]
+    def __init__(self, size: int, gram: np.ndarray, item: np.ndarray, offset: np.ndarray, least: np.ndarray):
         order = np.lexsort((offset, item, gram))
         gram, item, offset = gram[order], item[order], offset[order]
         new = np.ones(len(gram) + 1, dtype=bool)
         new[1:-1] = (gram[1:] != gram[:-1]) | (item[1:] != item[:-1])
         ends = np.flatnonzero(new[:-1] | new[1:])  # of an item's equal n-grams the first and the last, whose passages meet
-        self.seed, self.seed_item, self.seed_offset = gram[ends], item[ends], offset[ends]
+        self.size, self.gram, self.item, self.offset, self.least = size, gram[ends], item[ends], offset[ends], least
+
+
+class Items:
+    """A block of items: their words, how often each has a word, and their n-grams as seeds."""
+
+    def __init__(self, ids: list, texts: list[str]):
+        doc, word = hashed_words(texts)
+        edges = np.searchsorted(doc, np.arange(len(texts) + 1))
+        self.ids, self.words = ids, [word[edges[i] : edges[i + 1]] for i in range(len(texts))]
         self.size = np.diff(edges)
+        self.seeds: list[Seeds] = []
+        long, pair = self.size >= LONG_ITEM, self.size == 2
+        for n, whose, least in ((1, ~(long | pair), (self.size + 1) // 2), (2, long | pair, np.where(pair, 1, 2)), (GRAM, long, np.ones_like(self.size))):
+            at, gram = grams(doc, word, n)
+            at, gram = at[whose[doc[at]]], gram[whose[doc[at]]]
+            if len(at):
+                self.seeds.append(Seeds(n, gram, doc[at], at - edges[doc[at]], least))
         self.vocabulary, code = np.unique(word, return_inverse=True)
         self.held, self.times = np.unique(doc * len(self.vocabulary) + code, return_counts=True)  # (item, word) and how often
 
@@ -97,13 +111,20 @@ def align(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
 
 def find_passages(items: Items, doc: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, ...]:
     """(text, item, first word, end word, seeds) of passages around seeds, as columns; words numbered through all texts."""
-    at, gram = grams(doc, word)
-    lo, hi = np.searchsorted(items.seed, gram, side="left"), np.searchsorted(items.seed, gram, side="right")
+    none = [(np.empty(0, np.int64),) * 5]
+    return tuple(map(np.concatenate, zip(*none, *(passages_of(s, items, doc, word) for s in items.seeds), strict=True)))
+
+
+def passages_of(seeds: Seeds, items: Items, doc: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, ...]:
+    at, gram = grams(doc, word, seeds.size)
+    lo = np.searchsorted(seeds.gram, gram, side="left")
+    near = np.flatnonzero(seeds.gram[np.minimum(lo, len(seeds.gram) - 1)] == gram)
+    at, lo, hi = at[near], lo[near], np.searchsorted(seeds.gram, gram[near], side="right")
     hit = np.flatnonzero(hi > lo)
     times = hi[hit] - lo[hit]
     which = np.repeat(lo[hit], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-    at, item = np.repeat(at[hit], times), items.seed_item[which]
-    start = at - items.seed_offset[which]
+    at, item = np.repeat(at[hit], times), seeds.item[which]
+    start = at - seeds.offset[which]
     order = np.lexsort((start, item, doc[at]))
     at, item, start = at[order], item[order], start[order]
     text, size = doc[at], items.size[item]
@@ -114,8 +135,10 @@ def find_passages(items: Items, doc: np.ndarray, word: np.ndarray) -> tuple[np.n
     new = np.ones(len(at), dtype=bool)
     new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (first[1:] > last[:-1])
     begin = np.flatnonzero(new)
-    seeds = np.diff(np.r_[begin, len(at)])
-    return text[begin], item[begin], first[begin], last[begin + seeds - 1], seeds
+    held = np.diff(np.r_[begin, len(at)])
+    many = held >= seeds.least[item[begin]]
+    begin, held = begin[many], held[many]
+    return text[begin], item[begin], first[begin], last[begin + held - 1], held
 
 
 def most_matches(items: Items, word: np.ndarray, item: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -145,7 +168,7 @@ def item_blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[
         part = items if n == 1 else items.filter(F.pmod(F.xxhash64("id", "t"), F.lit(n)) == k)
         rows = sorted(part.collect(), key=lambda r: (r["t"], str(r["id"])))  # about ITEM_CHARS characters
         block = Items([r["id"] for r in rows], [r["t"] for r in rows])
-        if len(block.seed):
+        if block.seeds:
             yield block
 
 

@@ -139,7 +139,7 @@ def test_alignment_equals_the_plain_recurrence():
 def test_decontamination(spark):
     r = random.Random(3)
     vocabulary = [f"word{i}" for i in range(3000)]
-    items = [(i, " ".join(r.choice(vocabulary) for _ in range(r.randint(15, 50)))) for i in range(12)] + [(98, None), (99, "too short"), (None, " ".join(vocabulary[:20]))]
+    items = [(i, " ".join(r.choice(vocabulary) for _ in range(r.randint(15, 50)))) for i in range(12)] + [(98, None), (99, "tooshort item"), (None, " ".join(vocabulary[:20]))]
     rows, want = [], set()
     for d in range(80):
         words = [r.choice(vocabulary) for _ in range(r.randint(0, 300))]
@@ -184,6 +184,32 @@ def test_copies_edited_every_few_words_are_found(spark, exact):
     assert {x["doc_id"] for x in kept.collect()} == {i for i, _ in common}
 
 
+@pytest.mark.parametrize("size", [3, 6, 8, 12, 20, 40])
+def test_seeds_find_what_alignment_of_all_pairs_finds(size):
+    """Recall against the alignment of every pair, for copies with every k-th word changed, words dropped or put in."""
+    r = random.Random(size)
+    vocabulary = [f"word{i}" for i in range(2000)] + ["the", "of", "and"] * 100
+    for k in (3, 4, 5, 6):
+        items = [[r.choice(vocabulary) for _ in range(size)] for _ in range(40)]
+        texts = []
+        for w in items:
+            first, how = r.randrange(k), r.choice(["change", "drop", "insert"])
+            copy = [x for i, x in enumerate(w) for x in ((x,) if i % k != first else ("odd",) if how == "change" else () if how == "drop" else (x, "odd"))]
+            texts.append([r.choice(vocabulary) for _ in range(30)] + copy + [r.choice(vocabulary) for _ in range(30)])
+        block = dc.Items(list(range(len(items))), [" ".join(w) for w in items])
+        got = {(d, i): s for d, i, s, _ in dc.scored([" ".join(t) for t in texts], block, 0.5)}
+        want = {(d, i): s for d, t in enumerate(texts) for i, w in enumerate(items) if (s := smith_waterman(w, t)) >= 0.5}
+        found = sum(p in got for p in want)
+        assert len(want) >= 20 and found >= 0.9 * len(want), (size, k, found, len(want))
+        assert all(abs(got[p] - want[p]) < 1e-9 for p in got) and set(got) <= set(want)
+
+
+def test_items_of_one_and_two_words(spark):
+    bench = spark.createDataFrame([(1, "alpha"), (2, "beta gamma"), (3, ""), (4, "--")], "item_id long, text string")
+    got = dc.contamination(docs(spark, [(1, "x Alpha y"), (2, "beta x gamma"), (3, "beta gamma")]), bench)
+    assert {(x["doc_id"], x["item_id"], x["score"]) for x in got.collect()} == {(1, 1, 1.0), (3, 2, 1.0)}
+
+
 # ---------------------------------------------------------------- urls
 
 
