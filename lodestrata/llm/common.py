@@ -47,6 +47,27 @@ def id_ranks(docs: DataFrame, id_col: str) -> DataFrame | None:
     return materialise(ids.withColumn("_rank", F.monotonically_increasing_id()))  # partitions are in order, and so are rows in them
 
 
+def free_names(docs: DataFrame, *names: str) -> list[str]:
+    """These names, lengthened until no column has them (names are compared without case)."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for n in names:
+        while n in taken:
+            n += "_"
+        taken.add(n)
+        out.append(n)
+    return out
+
+
+def with_number(docs: DataFrame, id_col: str, ranks: DataFrame | None, into: str, last: int) -> DataFrame:
+    """The rows with an integer that orders their ids as `into`; null ids get `last`."""
+    own = F.col(f"`{id_col}`")
+    if ranks is None:
+        return docs.withColumn(into, F.coalesce(own.cast("bigint"), F.lit(last)))
+    key = free_names(docs, "_ranked_id")[0]
+    joined = docs.join(ranks.select(F.col("_id").alias(key), F.col("_rank").alias(into)), own == F.col(key), "left").drop(key)
+    return joined.withColumn(into, F.coalesce(into, F.lit(last)))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -5,8 +5,10 @@ Each word has affix features (first and last one to three letters), letter bigra
 neighbours, and forward-backward gives each word its distribution over languages, so code-switched texts get a label
 per word. A text's language is the one with the largest mean of its words' marginals, weighted by word length.
 
-The fit reads whole texts of a bounded sample: `max_docs` training documents, chosen by a hash of their id. Labelling
-covers every word of every document. Chains are cut at every `CHAIN` words, so that all chains advance in step.
+The fit reads whole texts of a bounded sample: `max_docs` training documents of `max_chars` characters at most, equally
+many of each language and one at least, so that a rare one is learned too, chosen by a hash of their id; of rows with
+one id and language the least text trains. Labelling covers every word of every document. Chains are cut at every
+`CHAIN` words, so that all chains advance in step, and a long text is labelled in parts of whole chains.
 
 Defined results: a null text, or one without a letter, is `und` with score 0. Rows without a language don't train;
 without any training row every text is `und`. Repeated rows each keep a row. Other columns are not read.
@@ -20,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.llm.common import crc_mod, groups_of, map_texts, mix64
@@ -28,6 +30,8 @@ from lodestrata.llm.common import crc_mod, groups_of, map_texts, mix64
 WORD = re.compile(r"[^\W\d_]+")
 #: Hash buckets of features, words of a chain, characters labelled together, words of a language's lexicon.
 BUCKETS, CHAIN, BLOCK_CHARS, LEXICON = 1 << 16, 64, 1_500_000, 400
+#: Words of a text that are labelled at once: whole chains.
+PART = CHAIN * 4096
 UNDETERMINED = "und"
 
 
@@ -157,14 +161,18 @@ def learn_lexicon(texts: list[list[str]], gold: list[int], n: int) -> dict[str,
     return out
 
 
-def fit_languages(docs: DataFrame, max_docs: int = 1200, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ChainField | None:
-    """Fit on at most `max_docs` of the given documents that have a text and a language; None without any."""
-    usable = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(id_col, text_col, lang_col)
-    # the choice needs ids alone, so only the chosen documents' texts move
-    chosen = usable.select(id_col).orderBy(F.xxhash64(id_col), id_col).limit(max_docs).distinct()
-    rows = usable.join(F.broadcast(chosen), id_col).collect()
+def fit_languages(docs: DataFrame, max_docs: int = 1200, max_chars: int = 100_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ChainField | None:
+    """Fit on at most `max_docs` (or one a language) of the given documents that have a text and a language; None without any."""
+    usable = docs.filter(F.col(lang_col).isNotNull() & (F.length(text_col) <= max_chars)).select(id_col, text_col, lang_col)
+    found = usable.select(F.countDistinct(lang_col)).first()[0]
+    if not found:
+        return None
+    # the choice needs ids alone, so only the chosen documents' texts move; each task sends its first rows of a language
+    own = Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col), id_col)
+    ids = usable.filter(F.col(id_col).isNotNull()).select(id_col, lang_col).distinct()
+    chosen = ids.withColumn("_n", F.row_number().over(own)).filter(F.col("_n") <= max(1, max_docs // found)).drop("_n")
+    rows = usable.join(F.broadcast(chosen), [id_col, lang_col]).groupBy(id_col, lang_col).agg(F.min(text_col).alias(text_col)).collect()
     rows.sort(key=lambda r: (str(r[id_col]), r[text_col], r[lang_col]))
-    rows = rows[:max_docs]  # where rows share an id
     rows = [(words_of(r[text_col]), r[lang_col]) for r in rows]
     languages = sorted({g for t, g in rows if t})
     if not languages:
@@ -187,12 +195,17 @@ def predict(model: ChainField | None, texts: list[str]) -> Iterator[tuple[str, f
     for lo, hi in groups_of([len(t) for t in texts], BLOCK_CHARS):
         words = [words_of(t) for t in texts[lo:hi]]
         words = [w if any(c.isalpha() for x in w for c in x) else [] for w in words]
-        for w, m in zip(words, label_words(model, words) if model else words, strict=True):
+        parts = [w[k : k + PART] for w in words for k in range(0, len(w), PART)] if model else []
+        total = np.zeros((len(words), len(model.languages) if model else 1))
+        whose = np.repeat(np.arange(len(words)), [-(-len(w) // PART) for w in words]).tolist()
+        for a, b in groups_of([len(p) for p in parts], PART):
+            for i, p, m in zip(whose[a:b], parts[a:b], label_words(model, parts[a:b]), strict=True):
+                total[i] += np.fromiter(map(len, p), dtype=np.float64, count=len(p)) @ m
+        for w, t in zip(words, total, strict=True):
             if not w or model is None:
                 yield UNDETERMINED, 0.0
                 continue
-            weight = np.fromiter(map(len, w), dtype=np.float64, count=len(w))
-            share = weight @ m / weight.sum()
+            share = t / sum(map(len, w))
             yield model.languages[int(share.argmax())], float(min(1.0, share.max()))
 
 

@@ -17,7 +17,7 @@ After each step only the classes that a new link joins are labelled again.
 
 Defined results: a null text is empty. A text of fewer than five words is one shingle; a text without words has none
 and is near to equal texts only. The class id is the least id in the class (null ids come last). Repeated rows each
-keep a row in `near_duplicate_classes` and one row in `keep_first`. Empty tables give empty results. Other columns are
+keep a row in `near_duplicate_classes` and one row in `keep_first`. Ids that aren't integers are compared in their own order. Empty tables give empty results. Other columns are
 kept by `keep_first` and not read otherwise.
 """
 
@@ -27,10 +27,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import NOT_BLANK, ODD, checkpoint, groups_of, materialise, mix64, short_batches, word_hashes
+from lodestrata.llm.common import NOT_BLANK, ODD, checkpoint, free_names, groups_of, id_ranks, materialise, mix64, short_batches, with_number, word_hashes
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 32, 6
@@ -149,9 +149,13 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
 # ---------------------------------------------------------------- distinct texts
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = F.encode(F.coalesce(text_col, F.lit("")), "UTF-8")
-    return docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST_ID)).alias("id"), F.unhex(F.md5(text)).alias("key"), text.alias("text"))
+def _text(text_col: str) -> Column:
+    return F.encode(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), "UTF-8")
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str, ranks: DataFrame | None = None) -> DataFrame:
+    rows = docs.select(F.col(f"`{id_col}`").alias("own_id"), _text(text_col).alias("text"))
+    return with_number(rows, "own_id", ranks, "id", LAST_ID).select("own_id", "id", F.unhex(F.md5("text")).alias("key"), "text")
 
 
 def distinct_texts(keyed: DataFrame) -> DataFrame:
@@ -169,7 +173,7 @@ def distinct_texts(keyed: DataFrame) -> DataFrame:
                 bins += binned(*made, hi - lo)
             yield pd.DataFrame({"key": b["key"], "id": b["id"], "bands": bands, "bins": bins})
 
-    made = keyed.mapInPandas(run, "key binary, id bigint, bands array<bigint>, bins binary")
+    made = keyed.drop("own_id").mapInPandas(run, "key binary, id bigint, bands array<bigint>, bins binary")
     return materialise(made.groupBy("key").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("bins").alias("bins")).withColumn("rid", F.monotonically_increasing_id()))
 
 
@@ -201,7 +205,7 @@ def find_classes(texts: DataFrame, keyed: DataFrame) -> tuple[DataFrame, DataFra
     led = rows.groupBy("bucket").agg(F.min("rid").alias("lead"), F.count("*").alias("n")).filter("n > 1")
     members = materialise(rows.join(led, "bucket").select("bucket", "rid", "lead"))
     needed = members.groupBy("rid").agg(F.min("lead").alias("lead")).join(texts.select("rid", "id", "key"), "rid")
-    held = materialise(keyed.join(needed, ["id", "key"]).dropDuplicates(["rid"]).select("rid", "lead", "text"))
+    held = materialise(keyed.drop("own_id").join(needed, ["id", "key"]).dropDuplicates(["rid"]).select("rid", "lead", "text"))
     pairs = held.filter("rid > lead").select(F.col("lead").alias("a"), F.col("rid").alias("b"), F.col("lead").alias("ra"), F.col("rid").alias("rb"))
     met = checkpoint(verified(pairs, held))
     labels = relabelled(held.select("rid", F.col("rid").alias("root")), met)
@@ -316,10 +320,9 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def classes(keyed: DataFrame) -> DataFrame:
     """One row per distinct text: key, the least id that has it (`id`), and its class's least id and that id's key."""
-    short_batches(docs.sparkSession)
-    keyed = _keyed(docs, id_col, text_col)
+    short_batches(keyed.sparkSession)
     texts = distinct_texts(keyed)
     roots, _ = find_classes(texts, keyed)
     known = texts.select("rid", "key", "id").join(roots, "rid", "left").withColumn("root", F.coalesce("root", "rid"))
@@ -329,21 +332,25 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each row's class id, the least id of equal texts, and whether the row is the one that stands for its class."""
-    found = classes(docs, id_col, text_col)
-    text = F.encode(F.coalesce(text_col, F.lit("")), "UTF-8")
-    rows = docs.select(F.col(id_col), F.unhex(F.md5(text)).alias("key"))
+    ranks = id_ranks(docs, id_col)
+    keyed = _keyed(docs, id_col, text_col, ranks)
+    found = classes(keyed).withColumnRenamed("id", "text_id")
+    rows = keyed.select("own_id", "id", "key").join(found, "key")
+    rows = rows.withColumn("is_first", (F.col("id") == F.col("class_id")) & (F.col("key") == F.col("class_key")))
     shown = lambda c: F.when(F.col(c) != LAST_ID, F.col(c))
-    return rows.join(found, "key").select(
-        F.col(id_col), shown("class_id").alias("class_id"), shown("id").alias("text_id"),
-        ((F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST_ID)) == F.col("class_id")) & (F.col("key") == F.col("class_key"))).alias("is_first"),
-    )
+    if ranks is not None:
+        for c in ("class_id", "text_id"):
+            rows = rows.join(ranks.select(F.col("_rank").alias(c), F.col("_id").alias(f"{c}_own")), c, "left").drop(c).withColumnRenamed(f"{c}_own", c)
+        shown = F.col
+    return rows.select(F.col("own_id").alias(id_col), shown("class_id").alias("class_id"), shown("text_id").alias("text_id"), "is_first")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each class, the one of least id, with all its columns."""
-    found = classes(docs, id_col, text_col)
-    stay = found.filter((F.col("id") == F.col("class_id")) & (F.col("key") == F.col("class_key"))).select(F.col("id").alias("_stay_id"), F.col("key").alias("_stay_key"))
-    text = F.encode(F.coalesce(text_col, F.lit("")), "UTF-8")
+    ranks = id_ranks(docs, id_col)
+    found = classes(_keyed(docs, id_col, text_col, ranks))
+    number, key = free_names(docs, "_stay_id", "_stay_key")
+    stay = found.filter((F.col("id") == F.col("class_id")) & (F.col("key") == F.col("class_key"))).select(F.col("id").alias(number), F.col("key").alias(key))
     # the key of both steps is one row's, so no text's copies meet in one task
-    rows = docs.withColumn("_stay_id", F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST_ID))).withColumn("_stay_key", F.unhex(F.md5(text)))
-    return rows.join(stay, ["_stay_id", "_stay_key"], "left_semi").dropDuplicates(["_stay_id", "_stay_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = with_number(docs, id_col, ranks, number, LAST_ID).withColumn(key, F.unhex(F.md5(_text(text_col))))
+    return rows.join(stay, [number, key], "left_semi").dropDuplicates([number, key]).select(*[F.col(f"`{c}`") for c in docs.columns])

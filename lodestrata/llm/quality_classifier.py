@@ -4,8 +4,8 @@ A document is a bag of passages, only some of which show why it was marked. Ever
 features, encoded by a learned layer, weighted by gated attention (a tanh and a sigmoid branch) and the weighted sum
 of the bag is scored by a logistic unit. Only document labels train it; the weights of passages come out of that.
 
-The fit reads a bounded sample: `max_docs` labelled documents, chosen by a hash of their id, whose passage features
-(not texts) reach the driver. Scoring reads every passage of every document where the document is.
+The fit reads a bounded sample: `max_docs` labelled documents of `max_chars` characters at most, chosen by a hash of
+their id, whose passage features (not texts) reach the driver; of rows with one id the least text trains. Scoring reads every passage of every document where the document is.
 
 Defined results: a null or empty text is one passage without features and gets a score like any other. Null labels and
 labels of unknown documents don't train; a document with several labels trains by their mean. Without any label the
@@ -111,14 +111,15 @@ class Attention:
 N_FEATURES = passage_features("").shape[1]
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, max_docs: int = 8000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Attention | None:
-    """Fit on at most `max_docs` of the labelled documents given; None without any."""
+def fit_quality(docs: DataFrame, labels: DataFrame, max_docs: int = 8000, max_chars: int = 40_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Attention | None:
+    """Fit on at most `max_docs` of the labelled documents given that have `max_chars` characters or fewer; None without any."""
     spark = docs.sparkSession
     short_batches(spark)
     marked = labels.select(id_col, F.col(label_col).cast("double").alias("y")).dropna().groupBy(id_col).agg(F.avg("y").alias("y"))
     # the choice needs ids alone, so only the chosen documents' texts move
-    chosen = docs.select(id_col).join(marked, id_col).orderBy(F.xxhash64(id_col), id_col).limit(max_docs)
-    sample = docs.select(id_col, F.coalesce(text_col, F.lit("")).alias("t")).join(F.broadcast(chosen), id_col)
+    usable = docs.filter(F.coalesce(F.length(text_col), F.lit(0)) <= max_chars)
+    chosen = usable.select(id_col).join(marked, id_col).distinct().orderBy(F.xxhash64(id_col), id_col).limit(max_docs)
+    sample = usable.select(id_col, F.coalesce(text_col, F.lit("")).alias("t")).join(F.broadcast(chosen), id_col).groupBy(id_col, "y").agg(F.min("t").alias("t"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

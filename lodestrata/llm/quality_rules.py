@@ -35,7 +35,7 @@ def suffix_levels(symbols: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     n = len(symbols)
     order = np.argsort(symbols, kind="stable")
     first = np.flatnonzero(np.r_[True, np.diff(symbols[order]) != 0])
-    rank = np.empty(n, dtype=np.int64)
+    rank = np.empty(n, dtype=np.int32 if n < 1 << 31 else np.int64)  # one a doubling is kept
     rank[order] = np.repeat(first, np.diff(np.r_[first, n]))
     levels, k = [rank], 1
     place = np.arange(n)

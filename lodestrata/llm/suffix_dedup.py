@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import groups_of, id_ranks, mix64, partitions, short_batches
+from lodestrata.llm.common import groups_of, id_ranks, mix64, partitions, short_batches, with_number
 
 SPAN, GRAM = 50, 20
 #: Anchors that a window has room for, and the most bytes before an anchor that a window holds.
@@ -457,9 +457,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     short_batches(spark)
     rows = docs.select(F.col(f"`{id_col}`").alias("own_id"), F.encode(F.coalesce(text_col, F.lit("")), "UTF-8").alias("text"))
-    ranks = id_ranks(docs, id_col)
-    rows = rows.withColumn("id", F.col("own_id").cast("bigint")) if ranks is None else rows.join(ranks, F.col("own_id") == F.col("_id"), "left").withColumnRenamed("_rank", "id")
-    keyed = rows.select("own_id", F.coalesce("id", F.lit(LAST_ID)).alias("id"), "text", F.xxhash64("text").alias("key"))
+    keyed = with_number(rows, "own_id", id_ranks(docs, id_col), "id", LAST_ID).select("own_id", "id", "text", F.xxhash64("text").alias("key"))
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     buckets = max(partitions(spark), total // PER_BUCKET + 1)
     found = keyed.select("id", "key", "text").mapInPandas(anchor_blocks(buckets), ANCHORS).groupBy("bucket").applyInPandas(shared_anchors, "id bigint, key bigint, pos int")

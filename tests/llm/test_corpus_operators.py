@@ -312,6 +312,37 @@ def test_near_duplicates(spark, seed):
     assert nd.near_duplicate_classes(empty(spark)).count() == nd.keep_first(empty(spark)).count() == 0
 
 
+def test_near_duplicates_take_ids_and_columns_of_any_name_and_type(spark):
+    near = [" ".join(f"n{i}" for i in range(100)), " ".join(f"n{i}" for i in range(98)) + " x y"]
+    rows = [("b", near[0], "mine", 7), ("a", near[1], "mine", 8), (None, near[0], "own", 9), ("c", "alone", "own", None)]
+    df = spark.createDataFrame(rows, "id string, text string, _STAY_ID string, _rank int")
+    got = {r["id"]: (r["class_id"], r["text_id"], r["is_first"]) for r in nd.near_duplicate_classes(df, "id").collect()}
+    assert got == {"a": ("a", "a", True), "b": ("a", "b", False), None: ("a", "b", False), "c": ("c", "c", True)}
+    kept = nd.keep_first(df, "id")
+    assert kept.schema == df.schema and sorted(tuple(r) for r in kept.collect()) == [rows[1], rows[3]]
+    clash = spark.createDataFrame([(2, near[0], "mine"), (1, near[1], "own")], "doc_id int, text string, _stay_key string")
+    assert [tuple(r) for r in nd.keep_first(clash).collect()] == [(1, near[1], "own")]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_borderline_pairs_are_found(spark, seed):
+    """Recall over pairs of a similarity of 0.80 to 0.85, each alone in its class."""
+    r = random.Random(seed)
+    rows, want = [], set()
+    while len(want) < 120:
+        n = r.randint(40, 200)
+        a = [f"s{seed}p{len(want)}w{i}" for i in range(n)]
+        b = list(a)
+        for i in r.sample(range(n), max(1, n // 55)):
+            b[i] = "edit"
+        if 0.80 <= similarity(counted(" ".join(a)), counted(" ".join(b))) <= 0.85:
+            k = 2 * len(want)
+            rows += [(k, " ".join(a)), (k + 1, " ".join(b))]
+            want.add((k, k + 1))
+    got = {r["doc_id"]: r["class_id"] for r in nd.near_duplicate_classes(docs(spark, rows)).collect()}
+    assert sum(got[b] == a for a, b in want) >= 0.99 * len(want)
+
+
 def test_probability_jaccard_and_registers():
     r = random.Random(5)
     texts = [" ".join(r.choice("abcd") for _ in range(r.randint(0, 40))) for _ in range(30)]

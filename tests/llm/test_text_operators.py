@@ -236,6 +236,52 @@ def test_attention_finds_the_bad_passage():
     assert ((m.score(bags[1000:]) > 0.5) == (np.array(y[1000:]) > 0.5)).mean() > 0.9
 
 
+def test_attention_learns_down_its_gradient():
+    """The fit's step against the loss measured at two near points, for every weight."""
+    r = np.random.default_rng(4)
+    bags, y = [r.normal(size=(k, qc.N_FEATURES)) for k in (1, 3, 2, 5)], np.array([1.0, 0.0, 1.0, 0.0])
+    m = qc.Attention(qc.N_FEATURES)
+    flat = np.concatenate(bags)
+    m.mean, m.scale = flat.mean(0), flat.std(0) + 1e-3
+
+    def loss():
+        s = m.score(bags)
+        return -(y * np.log(s) + (1 - y) * np.log(1 - s)).mean()
+
+    before, old = loss(), {k: v.copy() for k, v in m.p.items()}
+    m.fit(bags, y, epochs=1, batch=4, rate=1e-5, decay=0)  # Adam's first step is the sign of the gradient
+    step = {k: m.p[k] - old[k] for k in old}
+    assert loss() < before
+    m.p.update({k: v.copy() for k, v in old.items()})
+    for k in old:
+        for at in list(np.ndindex(old[k].shape))[:: max(1, old[k].size // 12)]:
+            m.p[k][at] = old[k][at] + 1e-5
+            up = loss()
+            m.p[k][at] = old[k][at] - 1e-5
+            slope = (up - loss()) / 2e-5
+            m.p[k][at] = old[k][at]
+            assert abs(slope) < 1e-6 or np.sign(slope) == -np.sign(step[k][at]), (k, at, slope)
+
+
+def test_rare_languages_and_repeated_ids_train(spark):
+    rows = [(i, f"wort{i % 7} und nicht das", "de") for i in range(3000)] + [(5000, "kaksi yksi ja hyvä on ei kyllä", "fi")] + [(7, "wort und", "de")] * 500
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = lang.fit_languages(docs, max_docs=100)
+    assert model.languages == ["de", "fi"] and next(lang.predict(model, ["hyvä kyllä kaksi yksi"]))[0] == "fi"
+    labels = spark.createDataFrame([(7, 1)] * 40 + [(8, 0)], "doc_id long, quality int")
+    assert qc.fit_quality(docs, labels, max_docs=10) is not None
+
+
+def test_long_texts_are_labelled_in_parts(monkeypatch):
+    m = lang.ChainField(["a", "b"], {})
+    m.weights[:] = np.random.default_rng(2).normal(size=m.weights.shape)
+    text = " ".join(f"{chr(97 + i % 26)}{chr(97 + i % 7)}x" for i in range(3000))
+    want = list(lang.predict(m, [text, "", text[:500]]))
+    monkeypatch.setattr(lang, "PART", lang.CHAIN * 3)
+    got = list(lang.predict(m, [text, "", text[:500]]))
+    assert [x for x, _ in got] == [x for x, _ in want] and np.allclose([s for _, s in got], [s for _, s in want])
+
+
 def test_quality_classifier(spark, sf_dir):
     got = queries.op5_quality_classifier(spark, "/root/testdata/sf0.01")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
