@@ -6,8 +6,10 @@ prefix alone. Visiting the distinct pre-tokens in sorted order walks the trie de
 prefix stay on the stack, only the new characters are computed, and the terminal's token count is stored with the
 pre-token. Texts then add up terminal counts. Nothing is shuffled: each task has a trie of what its batches hold.
 
-The pieces and their order come from a public vocabulary file; nothing is trained. A piece of rank r has the score
--ln(r + 2) - 1, an estimate from rank by Zipf's law. A character that no piece covers is one unknown token.
+The pieces come from a public vocabulary file; nothing is trained. A caller may give the log probabilities of the
+pieces. Else those of the file count, if it has any; in a file of merges, whose scores are only an order, a piece of
+rank r has the score -ln(r + 2) - 1, an estimate from rank by Zipf's law. A character that no piece covers is one
+unknown token.
 
 Defined results: null or blank texts have no pre-tokens and no tokens. Repeated rows each keep a row. Other columns
 are not read.
@@ -32,12 +34,14 @@ TRIE_CHARS = 4_000_000
 
 
 def unigram_scores(model_file: str) -> dict[str, float]:
-    """Scores of the pieces of a public vocabulary, from their ranks."""
+    """Scores of the pieces of a public vocabulary: its own log probabilities, or an estimate from ranks where it has none."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
-    pieces = [sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))]
-    return {p: -math.log(r + 2) - 1 for r, p in enumerate(pieces)}
+    plain = [i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))]
+    given = {sp.id_to_piece(i): sp.get_score(i) for i in plain}
+    ranks = all(float(s).is_integer() for s in given.values())
+    return {p: -math.log(r + 2) - 1 for r, p in enumerate(given)} if ranks else given
 
 
 class TrieCounter:
@@ -84,11 +88,11 @@ def pre_tokens(text: str) -> list[str]:
     return text.split()
 
 
-def token_counts(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: n_pretokens, n_tokens, and the log score of its best segmentation."""
+def token_counts(docs: DataFrame, model_file: str, scores: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per document: n_pretokens, n_tokens, and the log score of its best segmentation; `scores`: the pieces' log probabilities."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trie, store = TrieCounter(unigram_scores(model_file)), {}
+        trie, store = TrieCounter(scores if scores is not None else unigram_scores(model_file)), {}
 
         def count(rows: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             nonlocal store

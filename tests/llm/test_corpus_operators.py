@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import re
+import zlib
 from collections import Counter
 
 import duckdb
@@ -11,10 +13,14 @@ import pytest
 import corpus_pipeline
 from lodestrata.llm import decontaminate as dc
 from lodestrata.llm import near_dedup as nd
-from lodestrata.llm import queries
+from lodestrata.llm import packing, queries
+from lodestrata.llm import quality_rules as qr
+from lodestrata.llm import secret_scan as ss
 from lodestrata.llm import suffix_dedup as sd
 from lodestrata.llm import url_filter as uf
-from tests.llm.test_text_operators import SCHEMA, empty, key
+from tests.llm.test_text_operators import GOOD, JWT, SCHEMA, TOKENIZER, base_brute, empty, key, own_brute, repeats_brute
+
+SCHEMA_NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
 
 
 def docs(spark, rows):
@@ -421,8 +427,68 @@ def test_pipeline(spark, sf_dir):
     assert pieces.select("doc_id").distinct().count() == kept[3]
 
 
+def brute_pipeline(rows, items):
+    """The stages' decisions by plain means: (id, text) of the documents that reach packing."""
+    kept = []
+    for i, t in rows:
+        n, _, repeated, longest = repeats_brute(t or "")
+        spans = [x if x >= qr.MIN_REPEAT else 0 for x in longest]
+        within = sum(any(j <= k < j + spans[j] for j in range(n)) for k in range(n))
+        if n >= 10 and 100 * repeated <= 20 * n and within <= qr.MAX_COVERED * n and max(spans, default=0) <= qr.MAX_LONGEST:
+            kept.append((i, t))
+    classes, first = class_of(kept), []
+    for i, t in sorted(kept, key=lambda x: (x[0] is None, x[0])):
+        if classes[t] == i and i not in {x for x, _ in first}:
+            first.append((i, t))
+    split = lambda t: re.findall(r"[^\W_]+", t.lower())
+    clean = [(i, t) for i, t in first if not any(smith_waterman(split(x), split(t)) >= dc.THRESHOLD for x in items)]
+    out = []
+    for i, t in clean:
+        spans = sorted(base_brute(t) + own_brute(t) + [(m.start(), m.end(), "crc_token") for m in ss.CRC_TOKEN.finditer(t) if ss._crc_ok(m)], key=lambda x: (x[0], ss.KINDS.index(x[2]), x[1]))
+        text, at = "", 0
+        for s, e, k in spans:
+            if s >= at:
+                text += t[at:s] + f"<{k}>"
+            at = max(at, e)
+        out.append((i, text + t[at:]))
+    return out
+
+
+def test_pipeline_equals_its_brute_force(spark, tmp_path):
+    r = random.Random(12)
+    vocabulary = [f"word{i}" for i in range(900)]
+    say = lambda n: [r.choice(vocabulary) for _ in range(n)]
+    items, rows = [say(20) for _ in range(4)], []
+    for i in range(60):
+        w = say(r.randint(5, 120))
+        if i % 6 == 1:
+            w[len(w) // 2 : len(w) // 2] = [x if k % 7 else "edited" for k, x in enumerate(items[i % 4])]
+        if i % 6 == 2:
+            w += [GOOD, "password=abcdefghijklmnop", JWT, "4111 1111 1111 1111"]
+        if i % 6 == 3:
+            w += w[:30]
+        if i % 6 == 4:
+            w = rows[-1 - r.randrange(len(rows))][1].split()
+            w[-1] = "changed"
+        rows.append((i, " ".join(w)))
+    rows += [(70, None), (71, ""), (None, " ".join(say(40))), (3, rows[3][1])]
+    spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    want = brute_pipeline(rows, [" ".join(x) for x in items])
+    coder, pieces = packing.IdBytes(TOKENIZER), Counter()
+    for i, t in want:
+        ids = coder.whole(t) + (1).to_bytes(4, "little")
+        for s in range(0, len(ids), 4 * 2048):
+            pieces[i, s // 4, zlib.crc32(ids[s : s + 4 * 2048]), len(ids) // 4] += 1
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter((x["doc_id"], x["start"], x["ids_crc32"], x["doc_tokens"]) for x in got) == pieces and 10 < len(want) < len(rows)
+
+
 def test_pipeline_takes_odd_rows(spark, sf_dir):
     rows = repeated_texts(0)
-    for _, stage in corpus_pipeline.STAGES:
-        stage(spark, docs(spark, rows), sf_dir).count()
-        stage(spark, empty(spark), sf_dir).count()
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs(spark, rows), sf_dir)
+        assert out.columns == SCHEMA_NAMES and Counter(r["doc_id"] for r in out.collect()) <= Counter(i for i, _ in rows)
+        assert stage(spark, empty(spark), sf_dir).count() == 0
+    last = corpus_pipeline.STAGES[-1][1]
+    assert {r["doc_id"] for r in last(spark, docs(spark, rows), sf_dir).collect()} == {i for i, _ in rows} and last(spark, empty(spark), sf_dir).count() == 0

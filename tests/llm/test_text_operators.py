@@ -72,6 +72,9 @@ def test_token_counts(spark):
     long = max(n for *_, n in got)
     assert sorted((g for g in got if g[2] != long), key=key) == sorted((w for w in want if not (w[0] == 10 and w[2] == 0)), key=key)
     assert tc.token_counts(empty(spark), model).count() == 0
+    given = {tc.MARK + "the": -1.0, tc.MARK: -9.0, "c": -1.0, "at": -1.0, "cat": -2.5, "s": -1.0}
+    one = {r["doc_id"]: (r["n_tokens"], r["score"]) for r in tc.token_counts(df, model, given).collect() if r["doc_id"] in (100, 101)}
+    assert one == {100: (7, -1.0 - 11.0 - 11.0), 101: (2, -2.0)}
 
 
 # ---------------------------------------------------------------- secrets
