@@ -30,13 +30,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import NOT_BLANK, ODD, checkpoint, free_names, groups_of, id_ranks, materialise, mix64, short_batches, with_number, word_hashes
+from lodestrata.llm.common import NOT_BLANK, ODD, checkpoint, free_names, groups_of, id_ranks, materialise, mix64, partitions, short_batches, with_number, word_hashes
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 32, 6
 REGISTERS = BANDS * ROWS
 #: Bins of a text's shingles; what rounding may take from a bound; pairs bounded together; texts of a bucket in one task.
 BINS, ROUNDING, PAIRS, CHUNK = 1024, 1e-4, 256, 2048
+#: Bins of the first, cheap bound.
+COARSE = 128
 #: Bytes of text whose shingles are made together.
 BLOCK = 1_000_000
 LAST_ID = (1 << 63) - 1
@@ -216,8 +218,10 @@ def find_classes(texts: DataFrame, keyed: DataFrame) -> tuple[DataFrame, DataFra
     more = checkpoint(verified(led.distinct().join(met, ["a", "b"], "left_anti"), held))
     met, labels = met.unionByName(more), relabelled(labels, more)
     for pick in (forest_pairs, hopeful_pairs):
-        dealt = _dealt(_mixed(members, labels), texts)
-        across = dealt.groupBy("bucket", "i", "j").applyInPandas(pick, "a bigint, b bigint, ra bigint, rb bigint")
+        mixed = _mixed(members, labels)
+        if mixed.isEmpty():
+            break
+        across = picked(mixed, texts, pick)
         more = checkpoint(verified(across.join(met, ["a", "b"], "left_anti"), held))
         met, labels = met.unionByName(more), relabelled(labels, more)
     return labels, met
@@ -231,6 +235,8 @@ def find_links(texts: DataFrame, keyed: DataFrame) -> DataFrame:
 def relabelled(labels: DataFrame, met: DataFrame) -> DataFrame:
     """The labels (rid, root) after the pairs that are similar have joined their classes ra and rb."""
     links = met.filter(F.col("similarity") >= SIMILAR).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
+    if links.isEmpty():
+        return labels
     moved = components(links).select(F.col("rid").alias("root"), F.col("root").alias("joined"))
     return checkpoint(labels.join(moved, "root", "left").select("rid", F.coalesce("joined", "root").alias("root")))
 
@@ -243,50 +249,68 @@ def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _dealt(mixed: DataFrame, texts: DataFrame) -> DataFrame:
-    """The texts of each bucket with their bins, once for each pair (i, j) of its chunks."""
+    """The texts of each bucket with their bins, once for each pair (i, j) of its chunks; small buckets come together.
+
+    `part` is the group's key besides i and j: a bucket of several chunks, or a hash that many small buckets share.
+    """
     chunks = F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")
     rows = mixed.join(mixed.groupBy("bucket").agg(chunks), "bucket").join(texts.select("rid", "bins", "bands"), "rid")
     own = F.pmod(F.xxhash64("rid"), F.col("chunks")).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    return rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rid", "root", "bins", "bands")
+    parts = max(partitions(mixed.sparkSession), mixed.count() // CHUNK)
+    part = F.when(F.col("chunks") > 1, F.col("bucket")).otherwise(F.pmod(F.xxhash64("bucket"), F.lit(parts)))
+    return rows.select(part.alias("part"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "bucket", "own", "rid", "root", "bins", "bands")
+
+
+def picked(mixed: DataFrame, texts: DataFrame, pick) -> DataFrame:
+    """Pairs (a, b) with their classes that `pick` chooses in each bucket."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["bucket", "rid"], ignore_index=True)
+        bands, share = np.stack([np.asarray(b, dtype=np.int64) for b in pdf["bands"]]), np.stack([shares(b) for b in pdf["bins"]])
+        rid, root, own, bucket = (pdf[c].to_numpy() for c in ("rid", "root", "own", "bucket"))
+        within, edges = pdf["i"].iloc[0] == pdf["j"].iloc[0], [*np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]).tolist(), len(pdf)]
+        out = [np.empty((0, 4), dtype=np.int64)]
+        for lo, hi in zip(edges, edges[1:], strict=False):
+            x, y, most = hopeful(rid[lo:hi], root[lo:hi], own[lo:hi], bands[lo:hi], share[lo:hi], bucket[lo], within)
+            r, c = rid[lo:hi], root[lo:hi]
+            pairs = np.stack([np.minimum(r[x], r[y]), np.maximum(r[x], r[y]), np.minimum(c[x], c[y]), np.maximum(c[x], c[y])], axis=1)
+            out.append(pick(pairs, most))
+        return pd.DataFrame(np.concatenate(out), columns=["a", "b", "ra", "rb"])
+
+    return _dealt(mixed, texts).groupBy("part", "i", "j").applyInPandas(run, "a bigint, b bigint, ra bigint, rb bigint")
 
 
-def _hopeful(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of different classes, one of each chunk, that the bound doesn't exclude, with classes and bound.
+def hopeful(rid: np.ndarray, root: np.ndarray, own: np.ndarray, bands: np.ndarray, share: np.ndarray, bucket: int, within: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(x, y, bound) of a bucket's pairs of different classes, one of each chunk, that the bound doesn't exclude.
 
     A pair that meets in several buckets is given by that of their first common band.
     """
-    pdf = pdf.sort_values("rid", ignore_index=True)
-    bands, bucket = np.stack([np.asarray(b, dtype=np.int64) for b in pdf["bands"]]), pdf["bucket"].iloc[0]
-    share = np.stack([shares(b) for b in pdf["bins"]])
-    rid, root, own = (pdf[c].to_numpy() for c in ("rid", "root", "own"))
-    within = pdf["i"].iloc[0] == pdf["j"].iloc[0]
+    coarse = share.reshape(len(share), COARSE, -1).sum(2)
     names, count = np.unique(root, return_counts=True)
     major = names[count.argmax()]
-    one, two, most = [rid[:0].astype(np.int64)], [rid[:0].astype(np.int64)], [np.empty(0)]
+    one, two, most = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)], [np.empty(0)]
     for x in np.flatnonzero(root != major):  # pairs within the largest class need no look
         others = (root != root[x]) & ((root == major) | (rid > rid[x])) & (within | (own != own[x]))
         at = np.flatnonzero(others)
         at = at[bands[x][(bands[at] == bands[x]).argmax(1)] == bucket]
+        at = at[most_similar(coarse[x], coarse[at]) >= SIMILAR - ROUNDING]  # fewer bins bound too, and mostly suffice
         bound = most_similar(share[x], share[at])
         able = bound >= SIMILAR - ROUNDING
         one.append(np.full(int(able.sum()), x))
         two.append(at[able])
         most.append(bound[able])
-    x, y = np.concatenate(one), np.concatenate(two)
-    return pd.DataFrame({
-        "a": np.minimum(rid[x], rid[y]), "b": np.maximum(rid[x], rid[y]),
-        "ra": np.minimum(root[x], root[y]), "rb": np.maximum(root[x], root[y]), "most": np.concatenate(most),
-    })
+    return np.concatenate(one), np.concatenate(two), np.concatenate(most)
 
 
-def hopeful_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-    return _hopeful(pdf)[["a", "b", "ra", "rb"]]
+def hopeful_pairs(pairs: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """All of a bucket's hopeful pairs."""
+    return pairs
 
 
-def forest_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of the hopeful pairs, those of a maximum spanning forest of the classes: largest bound first."""
-    pairs = _hopeful(pdf).sort_values(["most", "a", "b"], ascending=[False, True, True]).drop_duplicates(["ra", "rb"], ignore_index=True)
+def forest_pairs(pairs: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Of a bucket's hopeful pairs, those of a maximum spanning forest of the classes: largest bound first."""
+    order = np.lexsort((pairs[:, 1], pairs[:, 0], -most))
     parent: dict[int, int] = {}
 
     def top(r: int) -> int:
@@ -295,12 +319,12 @@ def forest_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
         return r
 
     chosen = []
-    for k, (ra, rb) in enumerate(zip(pairs["ra"].tolist(), pairs["rb"].tolist(), strict=True)):
+    for k, ra, rb in zip(order.tolist(), pairs[order, 2].tolist(), pairs[order, 3].tolist(), strict=True):
         ra, rb = top(ra), top(rb)
         if ra != rb:
             parent[rb] = ra
             chosen.append(k)
-    return pairs.loc[chosen, ["a", "b", "ra", "rb"]]
+    return pairs[chosen]
 
 
 # ---------------------------------------------------------------- classes

@@ -363,6 +363,13 @@ def test_probability_jaccard_and_registers():
     assert abs((registers[0] == registers[1]).mean() - similarity(counted(" ".join(base)), counted(" ".join(other)))) < 0.04
 
 
+def test_buckets_of_several_chunks_give_the_same_classes(spark, monkeypatch):
+    rows = near_texts(5)
+    monkeypatch.setattr(nd, "CHUNK", 2)
+    want = class_of(rows)
+    assert Counter((r["doc_id"], r["class_id"]) for r in nd.near_duplicate_classes(docs(spark, rows)).collect()) == Counter((i, want[t or ""]) for i, t in rows)
+
+
 def test_large_group_emits_few_pairs(spark):
     r = random.Random(0)
     base = [f"g{i}" for i in range(120)]
@@ -395,7 +402,7 @@ def test_similar_pairs_with_few_equal_registers_are_verified(spark):
     mixed = texts.selectExpr("rid", "rid AS root", "explode(bands) AS bucket").select("bucket", "rid", "root")
     mixed = mixed.join(mixed.groupBy("bucket").count().filter("count > 1").select("bucket"), "bucket")
     for pick in (nd.hopeful_pairs, nd.forest_pairs):
-        got = nd._dealt(mixed, texts).groupBy("bucket", "i", "j").applyInPandas(pick, "a bigint, b bigint, ra bigint, rb bigint").collect()
+        got = nd.picked(mixed, texts, pick).collect()
         assert [(r["a"], r["b"]) for r in got] == [(min(rid[1], rid[2]), max(rid[1], rid[2]))]
 
 
