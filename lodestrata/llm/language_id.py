@@ -164,13 +164,17 @@ def learn_lexicon(texts: list[list[str]], gold: list[int], n: int) -> dict[str,
 def fit_languages(docs: DataFrame, max_docs: int = 1200, max_chars: int = 100_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ChainField | None:
     """Fit on at most `max_docs` (or one a language) of the given documents that have a text and a language; None without any."""
     usable = docs.filter(F.col(lang_col).isNotNull() & (F.length(text_col) <= max_chars)).select(id_col, text_col, lang_col)
-    found = usable.select(F.countDistinct(lang_col)).first()[0]
+    sizes = usable.groupBy(lang_col).agg(F.approx_count_distinct(id_col).alias("_of")).filter("_of > 0")  # a row a language
+    found = sizes.count()
     if not found:
         return None
-    # the choice needs ids alone, so only the chosen documents' texts move; each task sends its first rows of a language
-    own = Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col), id_col)
-    ids = usable.filter(F.col(id_col).isNotNull()).select(id_col, lang_col).distinct()
-    chosen = ids.withColumn("_n", F.row_number().over(own)).filter(F.col("_n") <= max(1, max_docs // found)).drop("_n")
+    each = max(1, max_docs // found)
+    # the choice needs ids alone, so only the chosen documents' texts move; by its hash each language sends some of its
+    # ids, however many it has, and surely more than are wanted
+    ids = usable.select(id_col, lang_col, (F.pmod(F.xxhash64(id_col), F.lit(1 << 31)) / (1 << 31)).alias("_hash")).dropna()
+    some = ids.join(F.broadcast(sizes), lang_col).filter(F.col("_hash") * F.col("_of") < 4 * each + 16).select(id_col, lang_col, "_hash").distinct()
+    first = F.row_number().over(Window.partitionBy(lang_col).orderBy("_hash", id_col))
+    chosen = some.withColumn("_n", first).filter(F.col("_n") <= each).select(id_col, lang_col)
     rows = usable.join(F.broadcast(chosen), [id_col, lang_col]).groupBy(id_col, lang_col).agg(F.min(text_col).alias(text_col)).collect()
     rows.sort(key=lambda r: (str(r[id_col]), r[text_col], r[lang_col]))
     rows = [(words_of(r[text_col]), r[lang_col]) for r in rows]
