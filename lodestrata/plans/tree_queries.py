@@ -135,9 +135,9 @@ def get_table(t):
     return got.select("name", "model", "label", listed("fields", "name").alias("fields"), listed("indexes", "name").alias("indexes"), listed("delete_actions", "related_table", "delete_action").alias("delete_actions"), listed("relations", "from_table", "to_table", "cardinality").alias("relations"))
 
 
-@query("""select name, model, string_agg(x, ',' order by x) as indexes from (select c_name as name, n_name as model, 'I'||o_orderkey as x from customer join nation on n_nationkey=c_nationkey join orders on o_custkey=c_custkey where c_name='Customer#000000011' and o_orderkey%7=0 and o_orderkey in (select l_orderkey from lineitem)) group by all""")
+@query("""select name, model, string_agg(x, ',' order by x) as indexes from (select c_name as name, n_name as model, 'I'||o_orderkey as x from customer join nation on n_nationkey=c_nationkey join orders on o_custkey=c_custkey where c_name='Customer#000000017' and o_orderkey%7=0 and o_orderkey in (select l_orderkey from lineitem)) group by all""")
 def get_table_indexes(t):
-    rows = details.children_of(Catalogue(t.spark, tables=extracted(table_files(t))), "table_indexes", "Customer#000000011")
+    rows = details.children_of(Catalogue(t.spark, tables=extracted(table_files(t))), "table_indexes", "Customer#000000017")
     return rows.groupBy(F.col("table").alias("name"), "model").agg(F.array_join(F.sort_array(F.collect_list("name")), ",").alias("indexes"))
 
 
