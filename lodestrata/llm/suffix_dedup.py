@@ -17,6 +17,11 @@ Removed is every byte covered by a `SPAN`-byte string that also starts in a docu
    smallest document's are removed.
 5. Spans come back to their documents, overlaps are joined, and the rest is hashed.
 
+Two levels. A task that sends straight to each of very many buckets would send runs of a suffix or two, with nothing
+to front-code. So beyond `DIRECT` buckets both exchanges go by way of cells of neighbouring buckets, about as many as a
+cell has buckets. A part of a cell, of bounded size, merges the runs that came to it and deals them to its buckets as
+fewer and longer ones.
+
 Hot anchors. A string that very many documents hold with other bytes around it would fill one bucket with different
 suffixes. Such strings are counted first; theirs go as the windows around them, each a suffix of its own in the bucket
 of all its bytes, where equal ones are again sent once by a task.
@@ -29,6 +34,7 @@ after all others. Empty tables give empty results. Other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,6 +53,8 @@ BEFORE = SPAN - GRAM
 BLOCK, GROUP, RUN_GROUP, PER_BUCKET = 1_000_000, 8_000_000, 4_000_000, 12_000_000
 #: A hot anchor: occurrences in all texts at least, and the most of them that are told apart; occurrences in GROUP bytes that count.
 HOT, HOT_MOST, HOT_LOCAL = 20_000, 500_000, 8
+#: Buckets that a task sends to directly, and bytes of text that a part of a cell comes from.
+DIRECT, PER_PART = 4096, 16_000_000
 LAST_ID = (1 << 63) - 1
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -147,10 +155,72 @@ def hot_anchors(keyed: DataFrame, total: int) -> np.ndarray:
     return np.sort(np.array([r["gram"] for r in counts.filter(F.col("n") >= least).select("gram").collect()], dtype=np.int64).view(np.uint64))
 
 
-ANCHORS = "bucket int, shared boolean, ids binary, keys binary, doc binary, pos binary, gram binary"
+ANCHORS = "bucket int, shared boolean, ids binary, keys binary, doc binary, pos binary, gram binary, fine binary"
+
+
+def names(columns: str) -> list[str]:
+    return [c.split()[0] for c in columns.split(", ")]
+
+
+def anchor_row(bucket: int, shared: bool, ids: np.ndarray, keys: np.ndarray, doc: np.ndarray, pos: np.ndarray, gram: np.ndarray, fine: np.ndarray | None) -> tuple:
+    """A row of ANCHORS; ids and keys are numbered by `doc`, and `fine` is each anchor's bucket within its cell."""
+    used, local = np.unique(doc, return_inverse=True)
+    return bucket, shared, ids[used].tobytes(), keys[used].tobytes(), planes(local), planes(pos), planes(np.diff(gram, prepend=gram[:0].dtype.type(0))), b"" if fine is None else planes(fine)
+
+
+def cells_of(buckets: int) -> int:
+    """Buckets of a cell: 1 where tasks send to buckets directly."""
+    return 1 if buckets <= DIRECT else math.isqrt(buckets - 1) + 1
+
+
+def by_cells(rows: DataFrame, deal, columns: str, total: int, buckets: int) -> DataFrame:
+    """Rows that came by cells, in parts of bounded size, as rows by buckets."""
+    width = cells_of(buckets)
+    if width == 1:
+        return rows
+    parts = total * width // buckets // PER_PART + 1
+    part = F.pmod(F.xxhash64("ids", "keys", "pos"), F.lit(parts)).alias("part")
+    return rows.groupBy("bucket", part).applyInPandas(deal(width), columns)
+
+
+def numbered(pdf: pd.DataFrame) -> tuple[np.ndarray, ...]:
+    """(id, key, position) of everything in these rows, end to end."""
+    each = [(np.frombuffer(r.ids, np.int64)[d], np.frombuffer(r.keys, np.int64)[d], unplanes(r.pos).astype(np.int64)) for r in pdf.itertuples() for d in [unplanes(r.doc)]]
+    return tuple(map(np.concatenate, zip(*each, strict=True)))
+
+
+def pairs_of(ids: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (id, key), and the number of each row's."""
+    both, doc = np.unique(np.stack([ids, keys], axis=1), axis=0, return_inverse=True)
+    return both[:, 0], both[:, 1], doc.ravel()
+
+
+def dealt_anchors(width: int):
+    """The anchors of a part of a cell by bucket; those known to be shared pass."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf[names(ANCHORS)]
+        known, sent = pdf[pdf["shared"]], pdf[~pdf["shared"]]
+        if not len(sent):
+            return known
+        ids, keys, pos = numbered(sent)
+        gram = np.concatenate([np.cumsum(unplanes(x), dtype=np.uint32) for x in sent["gram"]])
+        fine = np.concatenate([unplanes(x) for x in sent["fine"]]).astype(np.int64)
+        order = np.lexsort((gram, fine))
+        ids, keys, doc = pairs_of(ids, keys)
+        doc, pos, gram, fine = doc[order], pos[order], gram[order].astype(np.uint64), fine[order]
+        edges = np.flatnonzero(np.r_[True, fine[1:] != fine[:-1], True])
+        start = int(sent["bucket"].iloc[0]) * width
+        rows = [anchor_row(start + int(fine[lo]), False, ids, keys, doc[lo:hi], pos[lo:hi], gram[lo:hi], None) for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
+        return pd.concat([known, pd.DataFrame(rows, columns=names(ANCHORS))], ignore_index=True)
+
+    return run
 
 
 def anchor_blocks(buckets: int):
+    width = cells_of(buckets)
+    cells = (buckets - 1) // width + 1
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in grouped(batches, "text", GROUP):
             texts = [bytes(t) for t in b["text"]]
@@ -174,16 +244,16 @@ def anchor_blocks(buckets: int):
             rows = []
 
             def add(bucket: int, known: bool, at: np.ndarray) -> None:
-                used, local = np.unique(doc[at], return_inverse=True)
-                rows.append((bucket, known, ids[used].tobytes(), keys[used].tobytes(), planes(local), planes(pos[at]), planes(np.diff(full[at] & np.uint64(0xFFFFFFFF), prepend=np.uint64(0)))))
+                fine = None if width == 1 or known else (full[at] >> np.uint64(32)) % np.uint64(width)
+                rows.append(anchor_row(bucket, known, ids, keys, doc[at], pos[at], full[at] & np.uint64(0xFFFFFFFF), fine))
 
             if shared.any():
                 add(int(mix64(keys[:1].view(np.uint64))[0] % np.uint64(buckets)), True, np.flatnonzero(shared))
             send = np.flatnonzero(~shared | first)
-            edges = np.searchsorted(full[send] >> np.uint64(32), np.arange(buckets + 1).astype(np.uint64))
+            edges = np.searchsorted((full[send] >> np.uint64(32)) // np.uint64(width), np.arange(cells + 1).astype(np.uint64))
             for k in np.flatnonzero(np.diff(edges)):
                 add(int(k), False, send[edges[k] : edges[k + 1]])
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in ANCHORS.split(", ")])
+            yield pd.DataFrame(rows, columns=names(ANCHORS))
 
     return run
 
@@ -213,7 +283,15 @@ def shared_anchors(pdf: pd.DataFrame) -> pd.DataFrame:
 
 # ---------------------------------------------------------------- front-coded runs
 
-RUNS = "bucket int, shared binary, fresh binary, before binary, room binary, ids binary, keys binary, doc binary, pos binary"
+RUNS = "bucket int, shared binary, fresh binary, before binary, room binary, ids binary, keys binary, doc binary, pos binary, fine binary"
+
+
+def run_row(bucket: int, after: np.ndarray, prior: np.ndarray, room: np.ndarray, ids: np.ndarray, keys: np.ndarray, doc: np.ndarray, pos: np.ndarray, fine: np.ndarray | None) -> tuple:
+    """A row of RUNS from suffixes in order; spans that are known already (a bucket below 0) need no bytes."""
+    same, fresh = front_code(after) if bucket >= 0 else (np.empty(0, np.uint8), b"")
+    before = prior.tobytes() if bucket >= 0 else b""
+    used, local = np.unique(doc, return_inverse=True)
+    return bucket, shrunk(same.tobytes()), shrunk(fresh), shrunk(before), shrunk(room.tobytes()), ids[used].tobytes(), keys[used].tobytes(), planes(local), planes(pos), b"" if fine is None else planes(fine)
 
 
 def front_code(m: np.ndarray) -> tuple[np.ndarray, bytes]:
@@ -236,7 +314,9 @@ def front_decode(same: np.ndarray, fresh: bytes, width: int) -> np.ndarray:
 
 
 def sorted_runs(buckets: int, hot: np.ndarray):
-    """Front-coded runs of a task's suffixes at shared anchors, and spans that are known already (bucket -1)."""
+    """Front-coded runs of a task's suffixes at shared anchors, and spans that are known already (buckets below 0)."""
+    width = cells_of(buckets)
+    cells = (buckets - 1) // width + 1
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in grouped(batches, "text", RUN_GROUP):
@@ -269,22 +349,20 @@ def sorted_runs(buckets: int, hot: np.ndarray):
             known = order[ids[doc][order] > least]
             rows = []
 
-            def add(bucket: int, pick: np.ndarray, same: np.ndarray, fresh: bytes) -> None:
-                used, local = np.unique(doc[pick], return_inverse=True)
-                before = prior[pick].tobytes() if bucket >= 0 else b""
-                rows.append((bucket, shrunk(same.tobytes()), shrunk(fresh), shrunk(before), shrunk(room[pick].tobytes()), ids[used].tobytes(), keys[used].tobytes(), planes(local), planes(at[pick])))
+            def add(bucket: int, pick: np.ndarray, fine: np.ndarray | None = None) -> None:
+                rows.append(run_row(bucket, after[pick], prior[pick], room[pick], ids, keys, doc[pick], at[pick], fine))
 
             if len(known):
-                add(-1 - int(mix64(keys[:1].view(np.uint64))[0] % np.uint64(buckets)), known, np.empty(0, np.uint8), b"")
+                add(-1 - int(mix64(keys[:1].view(np.uint64))[0] % np.uint64(buckets)), known)
             first = order[ids[doc][order] == least]
             shown = np.where(np.arange(SPAN) < np.where(alone[first], SPAN, GRAM)[:, None], after[first], 0)
             bucket = (gram_hash(shown, SPAN) % np.uint64(buckets)).astype(np.int64)
-            by = np.argsort(bucket, kind="stable")
-            edges = np.searchsorted(bucket[by], np.arange(buckets + 1))
+            by = np.argsort(bucket // width, kind="stable")
+            edges = np.searchsorted(bucket[by] // width, np.arange(cells + 1))
             for k in np.flatnonzero(np.diff(edges)):
-                pick = first[by[edges[k] : edges[k + 1]]]
-                add(int(k), pick, *front_code(after[pick]))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in RUNS.split(", ")])
+                here = by[edges[k] : edges[k + 1]]
+                add(int(k), first[here], None if width == 1 else bucket[here] % width)
+            yield pd.DataFrame(rows, columns=names(RUNS))
 
     return run
 
@@ -404,36 +482,61 @@ def window_spans(common: np.ndarray, prior: np.ndarray, left: np.ndarray, right:
 SPANS = "id bigint, key bigint, first int, last int"
 
 
+def rooms(pdf: pd.DataFrame) -> np.ndarray:
+    return np.concatenate([np.frombuffer(grown(x), np.uint8).reshape(-1, 2) for x in pdf["room"]])
+
+
+def merged(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(suffixes, bytes before them, order, common prefixes) of the runs in these rows; the first two lie end to end."""
+    runs, shared, decoded = [], [], []
+    for r in pdf.itertuples():
+        same = np.frombuffer(grown(r.shared), np.uint8)
+        decoded.append(front_decode(same, grown(r.fresh), SPAN))
+        flat = decoded[-1].tobytes()
+        runs.append([flat[i : i + SPAN] for i in range(0, len(flat), SPAN)])
+        shared.append(same.tolist())
+    order, common = merge_runs(runs, shared)
+    prior = np.concatenate([np.frombuffer(grown(x), np.uint8).reshape(-1, BEFORE) for x in pdf["before"]])
+    return np.concatenate(decoded), prior, np.array(order), np.array(common)
+
+
+def dealt_runs(width: int):
+    """The runs of a part of a cell, merged, as one run for each of its buckets; known spans pass."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf[names(RUNS)]
+        if int(pdf["bucket"].iloc[0]) < 0:
+            return pdf
+        after, prior, order, _ = merged(pdf)
+        room, (ids, keys, pos) = rooms(pdf), numbered(pdf)
+        ids, keys, doc = pairs_of(ids, keys)
+        fine = np.concatenate([unplanes(x) for x in pdf["fine"]]).astype(np.int64)
+        order = order[np.argsort(fine[order], kind="stable")]
+        edges = np.flatnonzero(np.r_[True, fine[order][1:] != fine[order][:-1], True])
+        start = int(pdf["bucket"].iloc[0]) * width
+        picks = [order[lo:hi] for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
+        rows = [run_row(start + int(fine[k[0]]), after[k], prior[k], room[k], ids, keys, doc[k], pos[k], None) for k in picks]
+        return pd.DataFrame(rows, columns=names(RUNS))
+
+    return run
+
+
 def merged_spans(pdf: pd.DataFrame) -> pd.DataFrame:
     """Removed spans from a bucket's runs."""
-    each = []
-    for r in pdf.itertuples():
-        local = unplanes(r.doc)
-        room = np.frombuffer(grown(r.room), np.uint8).reshape(-1, 2).astype(np.int64)
-        each.append((r.bucket, np.frombuffer(r.ids, np.int64)[local], np.frombuffer(r.keys, np.int64)[local], unplanes(r.pos).astype(np.int64), room, r))
     out = []
-    for bucket, ids, keys, pos, room, _ in each:
-        if bucket < 0:  # a smaller document of the same task has the same bytes here
-            fits = room.sum(1) >= SPAN
-            out.append(pd.DataFrame({"id": ids, "key": keys, "first": pos - room[:, 0], "last": pos + room[:, 1]})[fits])
-    each = [x for x in each if x[0] >= 0]
-    if each:
-        ids, keys, pos, room = (np.concatenate([x[i] for x in each]) for i in (1, 2, 3, 4))
-        prior = np.concatenate([np.frombuffer(grown(x[5].before), np.uint8).reshape(-1, BEFORE) for x in each])
-        runs, shared = [], []
-        for x in each:
-            same = np.frombuffer(grown(x[5].shared), np.uint8)
-            flat = front_decode(same, grown(x[5].fresh), SPAN).tobytes()
-            runs.append([flat[i : i + SPAN] for i in range(0, len(flat), SPAN)])
-            shared.append(same.tolist())
-        order, common = merge_runs(runs, shared)
-        order, common = np.array(order), np.array(common)
+    known, pdf = pdf[pdf["bucket"] < 0], pdf[pdf["bucket"] >= 0]
+    if len(known):  # a smaller document of the same task has the same bytes here
+        (ids, keys, pos), room = numbered(known), rooms(known).astype(np.int64)
+        out.append(pd.DataFrame({"id": ids, "key": keys, "first": pos - room[:, 0], "last": pos + room[:, 1]})[room.sum(1) >= SPAN])
+    if len(pdf):
+        (ids, keys, pos), room = numbered(pdf), rooms(pdf).astype(np.int64)
+        _, prior, order, common = merged(pdf)
         low, high = window_spans(common, prior[order], room[order, 0], room[order, 1], ids[order])
         at = np.flatnonzero(high >= 0)
         pick = order[at]
         out.append(pd.DataFrame({"id": ids[pick], "key": keys[pick], "first": pos[pick] - high[at], "last": pos[pick] - low[at] + SPAN}))
     if not out:
-        return pd.DataFrame({c.split()[0]: [] for c in SPANS.split(", ")}).astype({"id": np.int64, "key": np.int64, "first": np.int32, "last": np.int32})
+        return pd.DataFrame({c: [] for c in names(SPANS)}).astype({"id": np.int64, "key": np.int64, "first": np.int32, "last": np.int32})
     got = pd.concat(out, ignore_index=True).astype({"first": np.int32, "last": np.int32})
     # neighbours of one document join here already, so that fewer rows move
     got = got.sort_values(["id", "key", "first"], ignore_index=True)
@@ -460,10 +563,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keyed = with_number(rows, "own_id", id_ranks(docs, id_col), "id", LAST_ID).select("own_id", "id", "text", F.xxhash64("text").alias("key"))
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     buckets = max(partitions(spark), total // PER_BUCKET + 1)
-    found = keyed.select("id", "key", "text").mapInPandas(anchor_blocks(buckets), ANCHORS).groupBy("bucket").applyInPandas(shared_anchors, "id bigint, key bigint, pos int")
+    found = keyed.select("id", "key", "text").mapInPandas(anchor_blocks(buckets), ANCHORS)
+    found = by_cells(found, dealt_anchors, ANCHORS, total, buckets).groupBy("bucket").applyInPandas(shared_anchors, "id bigint, key bigint, pos int")
     at = found.groupBy("id", "key").agg(F.collect_list("pos").alias("at"))
     # both joins deal `keyed` out by the same key, so the texts move once
     runs = keyed.join(at, ["id", "key"]).select("own_id", "id", "key", "text", "at").mapInPandas(sorted_runs(buckets, hot_anchors(keyed, total)), RUNS)
+    runs = by_cells(runs, dealt_runs, RUNS, total, buckets)
     spans = runs.groupBy("bucket").applyInPandas(merged_spans, SPANS).groupBy("id", "key").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     return keyed.join(spans, ["id", "key"], "left").select(F.col("own_id").alias(id_col), "text", "spans")
 

@@ -8,6 +8,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 import corpus_pipeline
@@ -98,6 +99,37 @@ def test_suffix_dedup_with_hot_anchors(spark, hot, monkeypatch):
     assert sorted((tuple(r) for r in sd.dedup_report(docs(spark, rows)).collect()), key=key) == removed(rows)
 
 
+@pytest.mark.parametrize("hot", [20_000, 1])
+def test_suffix_dedup_by_way_of_cells(spark, hot, monkeypatch):
+    """Few bytes a bucket and few buckets that are sent to directly: runs go by cells, in several parts, and get longer."""
+    for k, v in {"HOT": hot, "HOT_LOCAL": 1, "DIRECT": 3, "PER_BUCKET": 2_000, "PER_PART": 5_000}.items():
+        monkeypatch.setattr(sd, k, v)
+    rows = repeated_texts(7)
+    assert sd.cells_of(100) == 10 and sd.cells_of(101) == 11 and sd.cells_of(3) == 1
+    assert sorted((tuple(r) for r in sd.dedup_report(docs(spark, rows)).collect()), key=key) == removed(rows)
+
+
+def test_dealt_runs_are_fewer_and_longer(monkeypatch):
+    monkeypatch.setattr(sd, "DIRECT", 3)
+    texts = [t.encode() for _, t in repeated_texts(3) if t and len(t) >= sd.SPAN]
+    batch = lambda part, at: pd.DataFrame({"id": np.arange(at, at + len(part)), "key": np.arange(at, at + len(part)) + 7, "text": part, "at": [list(range(len(t) - sd.GRAM + 1)) for t in part]})
+    none = np.empty(0, np.uint64)
+    sent = pd.concat([x for k in range(0, len(texts), 10) for x in sd.sorted_runs(400, none)(iter([batch(texts[k : k + 10], k)]))])
+    sent, width = sent[sent["bucket"] >= 0], sd.cells_of(400)
+    dealt = pd.concat([sd.dealt_runs(width)(g) for _, g in sent.groupby("bucket")])
+
+    def held(rows, fine):
+        out = []
+        for r in rows.itertuples():
+            (ids, keys, pos), where = sd.numbered(pd.DataFrame([r])), sd.unplanes(r.fine) + r.bucket * width if fine else [r.bucket] * len(sd.unplanes(r.pos))
+            text = sd.front_decode(np.frombuffer(sd.grown(r.shared), np.uint8), sd.grown(r.fresh), sd.SPAN)
+            assert [x.tobytes() for x in text] == sorted(x.tobytes() for x in text)
+            out += zip(map(int, where), ids.tolist(), keys.tolist(), pos.tolist(), map(bytes, text), strict=True)
+        return sorted(out)
+
+    assert held(sent, True) == held(dealt, False) and len(dealt) == dealt["bucket"].nunique() > len(sent)
+
+
 def test_suffix_dedup_takes_ids_of_any_type(spark):
     rows = [("b", "x" * 60), ("a", "x" * 60), (None, "x" * 60), ("c", "plain")]
     got = {r["doc_id"]: r["n_removed"] for r in sd.dedup_report(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
