@@ -1,24 +1,26 @@
-"""The catalogue: entity tables as Parquet partitioned by model, replaced by model, refreshed by fingerprint."""
+"""The catalogue: entity tables by model, refreshed from the files that changed, in versions that readers see whole."""
 
 from __future__ import annotations
 
 import datetime
 from functools import reduce
-from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lodestrata.functions.text import glob_match
 from lodestrata.operators import fulltext
 from lodestrata.operators.relations import security_map
 from lodestrata.operators.stats import count_all
+from lodestrata.plans.snapshots import Manifest, Snapshots
 from lodestrata.session import checkpoint
+from lodestrata.sources.changes import STATE, file_changes
 from lodestrata.sources.entities import extract
 from lodestrata.sources.labels import inline_labels, read_label_files
 from lodestrata.sources.tree import PARSED, descriptors, parse_tree, read_files
 
-SCHEMA_VERSION = 1
+SCHEMA_VERSION = 2
 RUNS = "run_id string, started_utc timestamp, model string, elapsed_ms bigint, n_objects bigint, is_custom boolean"
 
 #: Kinds in the object view: table, columns with other names, column with a source path.
@@ -40,21 +42,31 @@ OTHER_SCHEMAS = {
 }
 
 
-def schemas(spark: SparkSession) -> dict:
+#: Tables that are replaced whole: they come from descriptors, and a row a model is little.
+WHOLE = ("models", "model_dependencies", "descriptor_files")
+#: Groups of tables in a version: what models hold, and the files they were read from.
+OBJECTS, FILES = "objects", "files"
+
+
+def schemas(spark: SparkSession) -> dict[str, StructType]:
     """The schema of each table, as the definitions give it for no files."""
-    return {k: v.schema for k, v in extract(spark.createDataFrame([], PARSED)).items()} | OTHER_SCHEMAS
+    given = OTHER_SCHEMAS | {"files": STATE, "descriptor_files": STATE}
+    return {k: v.schema for k, v in extract(spark.createDataFrame([], PARSED)).items()} | {k: StructType.fromDDL(v) for k, v in given.items()}
 
 
 class Catalogue:
-    """Entity tables by name, from a folder or given as DataFrames."""
+    """Entity tables by name, from one version of a folder (the current one by default) or given as DataFrames."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None, tables: dict[str, DataFrame] | None = None):
-        self.spark, self.path, self.tables = spark, path, tables or {}
+    def __init__(self, spark: SparkSession, path: str | None = None, tables: dict[str, DataFrame] | None = None, version: int | None = None):
+        self.spark, self.path, self.tables = spark, path, dict(tables or {})
+        self.store = None if path is None else Snapshots(spark, path)
+        self.version = None if path is None else self.store.manifest(version)
 
     def table(self, name: str) -> DataFrame:
         """A table that no model fills yet is empty, so the schema comes from the definitions and not from files."""
         if name not in self.tables:
-            self.tables[name] = self.spark.read.schema(schemas(self.spark)[name]).parquet(f"{self.path}/{name}")
+            schema = schemas(self.spark)[name]
+            self.tables[name] = self.store.whole(self.version, name, schema) if name in WHOLE else self.store.rows(self.version, name, schema, FILES if name == "files" else OBJECTS)
         return self.tables[name]
 
     def objects(self) -> DataFrame:
@@ -112,42 +124,12 @@ def read_tree(spark: SparkSession, root: str, models: list[str] | None = None, l
     """All entity tables of a source tree, with models joined to their descriptors; custom ones match the globs in `custom`."""
     parsed = checkpoint(parse_tree(spark, root, models))  # all tables come from one pass over the files
     tables = extract(parsed)
-    found, deps = descriptors(spark, root)
-    own = parsed.select(F.col("model").alias("name")).distinct()
-    info = found.select(F.lower("name").alias("_n"), "publisher", "layer")
-    tables["models"] = own.join(info, F.lower("name") == F.col("_n"), "left").select("name", F.col("name").alias("model"), "publisher", "layer", glob_match(F.col("name"), custom or []).alias("is_custom"))
-    tables["model_dependencies"] = deps.withColumn("_n", F.lower("model")).drop("model").join(own.select(F.lower("name").alias("_n"), F.col("name").alias("model")), "_n").select("model", "target")
+    tables["models"], tables["model_dependencies"] = described(parsed.select(F.col("model").alias("name")), *descriptors(spark, root), custom)
     tables["labels"] = read_label_files(spark, root, languages).unionByName(inline_labels(parsed))
     tables["unreadable"] = parsed.filter("error IS NOT NULL").select("model", "source_path", "error")
     return tables
 
 
-def drop_models(spark: SparkSession, names: list[str], path: str, models: list[str]) -> None:
-    """Remove the partitions of the models from the tables that exist."""
-    for name in names:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
-        fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-        for found in fs.listStatus(folder) if fs.exists(folder) else []:
-            column, _, value = found.getPath().getName().partition("=")
-            if column == "model" and unquote(value) in models:
-                fs.delete(found.getPath(), True)
-
-
-def write_models(tables: dict[str, DataFrame], path: str, models: list[str]) -> None:
-    """Replace the models' rows and leave all others: an overwrite of partitions leaves those without new rows, so they go first."""
-    for name, df in tables.items():
-        drop_models(df.sparkSession, [name], path, models)
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model").parquet(f"{path}/{name}")
-
-
-def fingerprint_files(spark: SparkSession, root: str) -> DataFrame:
-    """model, n, newest, fingerprint over all files that are read: objects, labels and descriptors."""
-    objects, labels = read_files(spark, root), read_files(spark, root, "*.label.txt")
-    files = objects.unionByName(labels).drop("content")
-    stamp = F.unix_micros("modified")
-    return files.groupBy("model").agg(F.count("*").alias("n"), F.max("modified").alias("newest"), F.concat(F.count("*").cast("string"), F.lit(":"), F.max(stamp).cast("string"), F.lit(":"), F.sum("length").cast("string")).alias("fingerprint"))
-
-
 def changed_models(now: DataFrame, stored: DataFrame, since: datetime.datetime | None = None, force: bool = False) -> DataFrame:
     """Models to read again: another fingerprint than the stored one, and nothing older than `since`."""
     df = now if force else now.join(stored.select("model", "fingerprint"), ["model", "fingerprint"], "left_anti")
@@ -160,12 +142,30 @@ def merge_fingerprints(stored: DataFrame, new: DataFrame) -> DataFrame:
     return a.join(b, "model", "full").select("model", F.coalesce("_new", "_old").alias("fingerprint"))
 
 
-def record_run(spark: SparkSession, path: str, rows: list[tuple]) -> None:
-    spark.createDataFrame(rows, RUNS).write.mode("append").parquet(f"{path}/extraction_runs")
+def adopt_tables(spark: SparkSession, path: str) -> None:
+    """Step to version 2: tables that lay side by side become the first version of the store; columns they lack are null."""
+    store, write = Snapshots(spark, path), Snapshots.new_write()
+    if store.manifest().number:
+        return
+    first, held = Manifest(1), set()
+    for name, schema in schemas(spark).items():
+        if store.exists(name):
+            df = spark.read.schema(schema).parquet(f"{path}/{name}")
+            held |= set() if name in WHOLE else set(_names(df))
+            store.put(name, df, write, by_model=name not in WHOLE)
+            if name in WHOLE:
+                first.whole[name] = write
+    if held:
+        first.replaced(OBJECTS, held, write)
+        store.commit(first)
+
+
+#: What brings a store to a version; steps run in order, once.
+STEPS = {2: adopt_tables}
 
 
 def ensure_schema(spark: SparkSession, path: str) -> bool:
-    """Write the schema version where it is missing or older; True if it was."""
+    """Bring a store to the present schema version, step by step; True if it was older or new."""
     try:
         have = spark.read.parquet(f"{path}/schema_version").agg(F.max("version")).first()[0]
     except Exception as e:  # no such table yet
@@ -174,44 +174,91 @@ def ensure_schema(spark: SparkSession, path: str) -> bool:
         have = None
     if have is not None and have >= SCHEMA_VERSION:
         return False
-    spark.sql(f"SELECT {SCHEMA_VERSION} AS version, current_timestamp() AS applied_utc").write.mode("append").parquet(f"{path}/schema_version")
+    for version in range(SCHEMA_VERSION if have is None else have + 1, SCHEMA_VERSION + 1):
+        if have is not None and version in STEPS:
+            STEPS[version](spark, path)
+        spark.sql(f"SELECT {version} AS version, current_timestamp() AS applied_utc").write.mode("append").parquet(f"{path}/schema_version")
     return True
 
 
+def record_run(spark: SparkSession, path: str, rows: list[tuple]) -> None:
+    spark.createDataFrame(rows, RUNS).write.mode("append").parquet(f"{path}/extraction_runs")
+
+
+def described(models: DataFrame, found: DataFrame, deps: DataFrame, custom: list[str] | None) -> tuple[DataFrame, DataFrame]:
+    """The tables models and model_dependencies of these models (name), joined to descriptors without regard to case."""
+    info = found.groupBy(F.lower("name").alias("_n")).agg(F.min_by("publisher", F.struct("name", "publisher", "layer")).alias("publisher"), F.min_by("layer", F.struct("name", "publisher", "layer")).alias("layer"))
+    own = models.select("name").distinct()
+    rows = own.join(info, F.lower("name") == F.col("_n"), "left").select("name", "publisher", "layer", glob_match(F.col("name"), custom or []).alias("is_custom"), F.col("name").alias("model"))
+    links = deps.withColumn("_n", F.lower("model")).drop("model").join(own.select(F.lower("name").alias("_n"), F.col("name").alias("model")), "_n")
+    return rows, links.groupBy("model", F.lower("target").alias("_t")).agg(F.min("target").alias("target")).select("target", "model")
+
+
+def _names(df: DataFrame) -> list[str]:
+    """The models in a table; one name a model goes to the driver."""
+    return sorted(r["model"] for r in df.select("model").distinct().collect())
+
+
+def described_otherwise(old: tuple[DataFrame, DataFrame], new: tuple[DataFrame, DataFrame]) -> list[str]:
+    """The models whose row or dependencies differ."""
+    both = [a.select(sorted(a.columns)).exceptAll(b.select(sorted(b.columns))) for x, y in zip(old, new, strict=True) for a, b in ((x, y), (y, x))]
+    return _names(reduce(lambda a, b: a.unionByName(b.select("model")), [x.select("model") for x in both]))
+
+
 def refresh(spark: SparkSession, root: str, path: str, force: bool = False, since: datetime.datetime | None = None, languages: list[str] | None = None, custom: list[str] | None = None) -> list[str]:
-    """Read the models that changed, replace their rows, drop those of models without files, and record fingerprints and the run; their names.
+    """Read the models whose files changed, drop those without files, follow the descriptors; the names of all these models.
 
-    Models that match the globs in `custom` are marked as custom. The labels' full-text index follows their models.
-    A model that changed has no fingerprint until its rows are written, and one without files keeps its until they are
-    gone, so a refresh that breaks off is made up for by the next.
+    Changes are those of files, by content (`sources.changes`); with `since` a model counts whose changed files are not
+    all older, and with `force` all do. A changed descriptor touches the models that it names, and does not read their
+    objects again. Models that match the globs in `custom` are marked as custom. All rows of a refresh become visible
+    together, with the version that it commits; one that breaks off leaves the version before, and the next does its work.
     """
     started = datetime.datetime.now(datetime.UTC).replace(tzinfo=None)
     ensure_schema(spark, path)
-    now = fingerprint_files(spark, root)
-    try:
-        stored = spark.read.schema("fingerprint string, model string").parquet(f"{path}/fingerprints")
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        stored = spark.createDataFrame([], "model string, fingerprint string")
-    todo = [r["model"] for r in changed_models(now, stored, since, force).filter("model <> 'Descriptor'").select("model").collect()]  # one name a model
-    gone = [r["model"] for r in stored.join(now, "model", "left_anti").select("model").distinct().collect()]
-    if not todo and not gone:
+    have = Catalogue(spark, path)
+    store, version = have.store, have.version.following()
+    changes = checkpoint(file_changes(spark, root, have.table("files").unionByName(have.table("descriptor_files")), read_files))
+    own = changes.filter("kind <> 'Descriptor'")
+    seen = _names(own.filter("status <> 'removed'"))
+    new = own.filter(F.col("status").isin("added", "changed", "removed"))
+    touched = new.groupBy("model").agg(F.max("modified").alias("newest"))
+    if since is not None:
+        touched = touched.filter(F.col("newest") >= F.lit(since))
+    todo = sorted(set(seen) if force else set(_names(touched)) & set(seen))
+    gone = sorted(set(have.version.models(OBJECTS)) - set(seen))
+    live = sorted((set(have.version.models(OBJECTS)) | set(todo)) - set(gone))
+    info = described(spark.createDataFrame([(m,) for m in live], "name string"), *descriptors(spark, root), custom)
+    info = tuple(checkpoint(x) for x in info)
+    redescribed = sorted(set(described_otherwise((have.table("models"), have.table("model_dependencies")), info)) - set(gone))
+    looked_at = not changes.filter("status <> 'same'").isEmpty()  # a touched file's new time is kept too
+    names = sorted({*todo, *gone, *redescribed})
+    if not names and not looked_at:
         return []
-    drop_models(spark, list(schemas(spark)), path, gone)
-    drop_models(spark, ["fingerprints"], path, todo + gone)
+    write = store.new_write()
+    counts: dict[str, int] = {}
     if todo:
-        tables = {k: v.filter(F.col("model").isin(todo)) for k, v in read_tree(spark, root, todo, languages, custom).items()}
-        write_models(tables, path, todo)
+        tables = {k: v.filter(F.col("model").isin(todo)) for k, v in read_tree(spark, root, todo, languages, custom).items() if k not in WHOLE}
         if "labels" in tables:
-            write_models(label_index(tables["labels"]), path, todo)
-        now.filter(F.col("model").isin(todo)).select("model", "fingerprint").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model").parquet(f"{path}/fingerprints")
+            tables |= label_index(tables["labels"])
+        for name, df in tables.items():
+            store.put(name, df, write)
+    state = [c.split()[0] for c in STATE.split(", ")]
+    kept = changes.filter("status <> 'removed'").select(*state, "status")
+    read = [*todo, *(m for m in _names(own.filter("status = 'touched'")) if m in live and m not in todo and m not in _names(new))]
+    store.put("files", kept.filter(F.col("kind") != "Descriptor").filter(F.col("model").isin(read)).drop("status"), write)
+    for name, df in (("models", info[0]), ("model_dependencies", info[1]), ("descriptor_files", kept.filter("kind = 'Descriptor'").drop("status"))):
+        store.put(name, df, write, by_model=False)
+    version.replaced(OBJECTS, todo, write, gone)
+    version.replaced(FILES, read, write, gone)
+    version.whole |= dict.fromkeys(WHOLE, write)
+    version.notes = {"committed": datetime.datetime.now(datetime.UTC).isoformat()}
+    store.commit(version)
     ms = int((datetime.datetime.now(datetime.UTC).replace(tzinfo=None) - started).total_seconds() * 1000)
-    per = {r["model"]: r["n"] for r in now.filter(F.col("model").isin(todo)).select("model", "n").collect()}
-    names = spark.createDataFrame([(m,) for m in todo + gone], "name string")
-    marked = {r["name"]: r["c"] for r in names.select("name", glob_match(F.col("name"), custom or []).alias("c")).collect()}
-    record_run(spark, path, [(f"{m}-{started.isoformat()}", started, m, ms, per.get(m, 0), bool(marked.get(m))) for m in todo + gone])
-    return sorted(todo + gone)
+    counts = {r["model"]: r["count"] for r in own.filter(F.col("status") != "removed").filter(F.col("model").isin(todo)).groupBy("model").count().collect()}
+    marked = {r["name"]: r["is_custom"] for r in info[0].select("name", "is_custom").collect()}
+    if names:
+        record_run(spark, path, [(f"{m}-{started.isoformat()}", started, m, ms, counts.get(m, 0), bool(marked.get(m))) for m in names])
+    return names
 
 
 def update_labels(labels: DataFrame, changes: DataFrame) -> DataFrame:

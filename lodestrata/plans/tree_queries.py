@@ -713,14 +713,33 @@ def changed_models(t):
 
 @query("select c_name as name, n_name as model from customer join nation on n_nationkey=c_nationkey where n_nationkey not in (4,5) union all select c_name||'*', n_name from customer join nation on n_nationkey=c_nationkey where n_nationkey=5")
 def replaced_models(t):
-    """The writer's own path: the models of a store are replaced, one of them by nothing."""
+    """The writer's own path: of a store's models one is replaced, one keeps no row, and a write that no version names is not seen."""
     import uuid
 
-    from lodestrata.plans.catalogue import write_models
+    from lodestrata.plans.snapshots import Snapshots
     from lodestrata.session import shared_dir
 
-    path = f"{shared_dir(t.spark)}/stores/{uuid.uuid4().hex}"
+    store = Snapshots(t.spark, f"{shared_dir(t.spark)}/stores/{uuid.uuid4().hex}")
     rows = customers(t).select(F.col("c_name").alias("name"), F.col("n_name").alias("model"))
-    write_models({"tables": rows}, path, [])
-    write_models({"tables": rows.filter("model = 'NATION_5'").withColumn("name", F.concat("name", F.lit("*")))}, path, ["NATION_4", "NATION_5"])
-    return t.spark.read.parquet(f"{path}/tables").select("name", "model")
+    changed = rows.filter("model = 'NATION_5'").withColumn("name", F.concat("name", F.lit("*")))
+    models = [r["n_name"] for r in t.nation.select("n_name").collect()]
+    for df, replaced, seen in ((rows, models, True), (changed, ["NATION_4", "NATION_5"], True), (rows, models, False)):
+        version, write = store.manifest().following(), store.new_write()
+        store.put("tables", df, write)
+        version.replaced("objects", replaced, write)
+        if seen:
+            store.commit(version)
+    return store.rows(store.manifest(), "tables", rows.schema, "objects")
+
+
+@query("""select 'r/'||coalesce(a.o_orderkey,b.o_orderkey) as source_path, coalesce(a.o_orderstatus,b.o_orderstatus) as model, case when a.o_orderkey is null then 'removed' when b.o_orderkey is null then 'added'
+ when a.o_orderkey%5<>0 then 'same' when a.o_orderkey%2=0 then 'changed' else 'touched' end as status from (select * from orders where o_orderkey%7<>0) a full join (select * from orders where o_orderkey%11<>0) b on a.o_orderkey=b.o_orderkey""")
+def changed_files(t):
+    """Orders as files of two listings: some are new, gone, of another time, or of other content too."""
+    from lodestrata.sources.changes import compared
+
+    k = F.col("o_orderkey")
+    state = lambda later, mark: t.orders.select(F.concat(F.lit("r/"), k.cast("string")).alias("source_path"), F.lit("P").alias("package"), F.col("o_orderstatus").alias("model"), F.lit("AxTable").alias("kind"), (k % 100).alias("size"),
+        F.timestamp_seconds(F.lit(0) + F.when(k % 5 == 0, later).otherwise(0)).alias("modified"), F.concat(k.cast("string"), F.when((k % 10 == 0), mark).otherwise("")).alias("hash"), k)
+    now, before = state(60, "new").filter(k % 7 != 0).drop("o_orderkey"), state(0, "").filter(k % 11 != 0).drop("o_orderkey")
+    return compared(now.drop("hash"), before, now.select("source_path", "hash")).select("source_path", "model", "status")

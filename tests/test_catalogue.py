@@ -60,7 +60,7 @@ def tree(tmp_path_factory):
 @pytest.fixture(scope="module")
 def store(spark, tree, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("store"))
-    assert {"ModelA", "ModelB"} <= set(cat.refresh(spark, tree, path))
+    assert cat.refresh(spark, tree, path) == ["ModelA", "ModelB"]
     return path
 
 
@@ -151,16 +151,18 @@ def test_resolve_token(spark):
 def test_refresh_reads_what_changed(spark, tmp_path):
     root, path = str(tmp_path / "tree"), str(tmp_path / "store")
     write(root, {"P/A/AxTable/T.xml": "<AxTable><Name>T</Name></AxTable>", "P/B/AxTable/U.xml": "<AxTable><Name>U</Name></AxTable>", "P/B/AxLabelFile/L.en.label.txt": "k=v"})
-    assert {"A", "B"} <= set(cat.refresh(spark, root, path))
-    before = rows(spark.read.parquet(f"{path}/tables"), "name", "model")
+    held = lambda: rows(cat.Catalogue(spark, path).table("tables"), "name", "model")
+    assert cat.refresh(spark, root, path) == ["A", "B"]
+    before = held()
     assert cat.refresh(spark, root, path) == []
-    assert "A" in cat.refresh(spark, root, path, force=True)
-    assert rows(spark.read.parquet(f"{path}/tables"), "name", "model") == before == [("T", "A"), ("U", "B")]
+    assert cat.refresh(spark, root, path, force=True) == ["A", "B"]
+    assert held() == before == [("T", "A"), ("U", "B")]
     write(root, {"P/A/AxTable/T3.xml": "<AxTable><Name>T3</Name></AxTable>"})
     assert cat.refresh(spark, root, path, since=datetime.datetime(2100, 1, 1)) == []
     assert cat.refresh(spark, root, path) == ["A"]
-    assert rows(spark.read.parquet(f"{path}/tables"), "name", "model") == [("T", "A"), ("T3", "A"), ("U", "B")]
-    assert not cat.ensure_schema(spark, path) and spark.read.parquet(f"{path}/extraction_runs").count() >= 3
+    assert held() == [("T", "A"), ("T3", "A"), ("U", "B")]
+    assert not cat.ensure_schema(spark, path)
+    assert rows(spark.read.parquet(f"{path}/extraction_runs"), "model", "n_objects") == [("A", 1), ("A", 1), ("A", 2), ("B", 2), ("B", 2)]
 
 
 def test_refresh_drops_what_is_gone(spark, tmp_path, monkeypatch):
@@ -173,15 +175,105 @@ def test_refresh_drops_what_is_gone(spark, tmp_path, monkeypatch):
         return {t: spark.createDataFrame([(k, m) for k, m in found if k == t], "name string, model string") for t in kinds.values()}
 
     monkeypatch.setattr(cat, "read_tree", read_tree)
-    held = lambda m: {t for t in os.listdir(path) if f"model={m}" in os.listdir(f"{path}/{t}")}
+    held = lambda m: {t for t in kinds.values() if m in {r["model"] for r in cat.Catalogue(spark, path).table(t).collect()}}
     assert cat.refresh(spark, root, path) == ["A b", "B", "C"]
-    assert held("A b") == {"forms", "tables", "fingerprints"} and held("C") == {"tables", "fingerprints"}
+    assert held("A b") == {"forms", "tables"} and held("C") == {"tables"}
     os.remove(f"{root}/P/A b/AxForm/F.xml")
     os.remove(f"{root}/P/C/AxTable/U.xml")
     assert cat.refresh(spark, root, path) == ["A b", "C"]
-    assert held("A b") == {"tables", "fingerprints"} and held("B") == {"forms", "fingerprints"} and held("C") == set()
-    assert rows(spark.read.parquet(f"{path}/forms"), "model") == [("B",)]
+    assert held("A b") == {"tables"} and held("B") == {"forms"} and held("C") == set()
+    assert rows(cat.Catalogue(spark, path).table("forms"), "model") == [("B",)]
     assert cat.refresh(spark, root, path) == []
+    assert rows(cat.Catalogue(spark, path).table("models"), "name") == [("A b",), ("B",)]
+
+
+DESCRIPTOR = "<AxModelInfo><Name>{}</Name><Publisher>{}</Publisher><Layer>usr</Layer><ModuleReferences>{}</ModuleReferences></AxModelInfo>"
+
+
+def test_refresh_follows_descriptors_and_knows_models_from_packages(spark, tmp_path):
+    root, path = str(tmp_path / "tree"), str(tmp_path / "store")
+    ref = lambda *names: "".join(f"<string>{n}</string>" for n in names)
+    write(root, {"Pkg/A/AxTable/T.xml": "<AxTable><Name>T</Name></AxTable>", "Pkg/B/AxTable/U.xml": "<AxTable><Name>U</Name></AxTable>", "Pkg/Descriptor/A.xml": DESCRIPTOR.format("a", "One", ref("Base"))})
+    assert cat.refresh(spark, root, path) == ["A", "B"]
+    info = lambda: (rows(cat.Catalogue(spark, path).table("models"), "name", "publisher"), rows(cat.Catalogue(spark, path).table("model_dependencies"), "model", "target"))
+    assert info() == ([("A", "One"), ("B", None)], [("A", "Base")])
+    held = cat.Catalogue(spark, path).version.models("objects")
+    write(root, {"Pkg/Descriptor/A.xml": DESCRIPTOR.format("a", "Another", ref("Base", "Core"))})
+    assert cat.refresh(spark, root, path) == ["A"]
+    assert info() == ([("A", "Another"), ("B", None)], [("A", "Base"), ("A", "Core")])
+    assert cat.Catalogue(spark, path).version.models("objects") == held  # no object was read again
+    write(root, {"Pkg/Descriptor/B.xml": DESCRIPTOR.format("B", "Two", "")})
+    assert cat.refresh(spark, root, path) == ["B"]
+    os.remove(f"{root}/Pkg/Descriptor/A.xml")
+    assert cat.refresh(spark, root, path) == ["A"]
+    assert info() == ([("A", None), ("B", "Two")], [])
+    assert cat.refresh(spark, root, path) == []
+    assert {r["model"] for r in spark.read.parquet(f"{path}/extraction_runs").collect()} == {"A", "B"}
+
+
+def test_a_file_of_a_new_time_alone_is_not_read_again(spark, tmp_path):
+    root, path = str(tmp_path / "tree"), str(tmp_path / "store")
+    write(root, {"P/A/AxTable/T.xml": TABLE, "P/B/AxTable/U.xml": TABLE, "P/A/AxLabelFile/L.en.label.txt": "k=v\n", "P/A/Other/x.xml": "<x/>"})
+    assert cat.refresh(spark, root, path) == ["A", "B"]
+    held = cat.Catalogue(spark, path).version
+    os.utime(f"{root}/P/A/AxTable/T.xml", (2_000_000_000, 2_000_000_000))
+    assert cat.refresh(spark, root, path) == []
+    now = cat.Catalogue(spark, path).version
+    assert now.models("objects") == held.models("objects") and now.number == held.number + 1
+    assert cat.refresh(spark, root, path) == [] and cat.Catalogue(spark, path).version.number == now.number  # its time is known now
+    os.utime(f"{root}/P/A/AxTable/T.xml", (1_000_000_000, 1_000_000_000))
+    write(root, {"P/A/AxLabelFile/L.en.label.txt": "k=w\n"})  # as long as before
+    os.utime(f"{root}/P/A/AxLabelFile/L.en.label.txt", (1_500_000_000, 1_500_000_000))
+    assert cat.refresh(spark, root, path) == ["A"]
+    assert rows(cat.Catalogue(spark, path).table("labels"), "value") == [("w",)]
+    assert {r["source_path"].split("/P/")[1] for r in cat.Catalogue(spark, path).table("files").collect()} == {"A/AxTable/T.xml", "B/AxTable/U.xml", "A/AxLabelFile/L.en.label.txt"}
+
+
+def test_readers_see_one_version_whatever_a_refresh_does(spark, tmp_path, monkeypatch):
+    from lodestrata.plans.snapshots import Snapshots, VersionConflict
+
+    root, path = str(tmp_path / "tree"), str(tmp_path / "store")
+    write(root, {"P/A/AxTable/T.xml": "<AxTable><Name>T</Name></AxTable>", "P/A/AxEdt/E.xml": "<AxEdt><Name>E</Name></AxEdt>"})
+    cat.refresh(spark, root, path)
+    reader = cat.Catalogue(spark, path)
+    write(root, {"P/A/AxTable/T.xml": "<AxTable><Name>Tnew</Name></AxTable>", "P/A/AxEdt/E.xml": "<AxEdt><Name>Enew</Name></AxEdt>"})
+    whole, seen = Snapshots.put, []
+
+    def broken(self, name, df, write, by_model=True):
+        if name == "tables":  # edts, written before or after, must not show either
+            raise OSError("killed")
+        seen.append(name)
+        return whole(self, name, df, write, by_model)
+
+    monkeypatch.setattr(Snapshots, "put", broken)
+    with pytest.raises(OSError):
+        cat.refresh(spark, root, path)
+    names = lambda c: (rows(c.table("tables"), "name"), rows(c.table("edts"), "name"))
+    assert names(cat.Catalogue(spark, path)) == names(reader) == ([("T",)], [("E",)])
+    monkeypatch.setattr(Snapshots, "put", whole)
+    assert cat.refresh(spark, root, path) == ["A"]
+    assert names(cat.Catalogue(spark, path)) == ([("Tnew",)], [("Enew",)])
+    late = cat.Catalogue(spark, path, version=1)
+    assert names(late) == ([("T",)], [("E",)])
+    store = Snapshots(spark, path)
+    with pytest.raises(VersionConflict):
+        store.commit(store.manifest(1))
+    assert store.manifest().number == 2 and not [f for f in os.listdir(f"{path}/manifests") if f.startswith("_")]
+    assert store.expire(3600) == [] and store.expire(-5) == [1]
+    assert names(cat.Catalogue(spark, path)) == ([("Tnew",)], [("Enew",)]) and len(os.listdir(f"{path}/data/tables")) == 1
+
+
+def test_a_store_of_the_first_schema_version_opens(spark, tmp_path):
+    root, path = str(tmp_path / "tree"), str(tmp_path / "store")
+    spark.sql("SELECT 1 AS version, current_timestamp() AS applied_utc").write.parquet(f"{path}/schema_version")
+    spark.createDataFrame([("T", "A"), ("U", "B c")], "name string, model string").write.partitionBy("model").parquet(f"{path}/tables")
+    spark.createDataFrame([("A", "A", "P")], "name string, model string, publisher string").write.partitionBy("model").parquet(f"{path}/models")
+    assert cat.ensure_schema(spark, path) and not cat.ensure_schema(spark, path)
+    c = cat.Catalogue(spark, path)
+    assert rows(c.table("tables"), "name", "model", "label") == [("T", "A", None), ("U", "B c", None)] and rows(c.table("models"), "name", "publisher", "is_custom") == [("A", "P", None)]
+    write(root, {"P/A/AxTable/V.xml": "<AxTable><Name>V</Name></AxTable>"})
+    assert cat.refresh(spark, root, path) == ["A", "B c"]
+    assert rows(cat.Catalogue(spark, path).table("tables"), "name") == [("V",)]
 
 
 def test_stream(spark, tmp_path):
