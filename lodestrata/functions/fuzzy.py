@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.functions.text import contains_ci
+
 # Endings that names add to a root, in the order in which they are tried; only the first is removed.
 SUFFIXES = ("Id", "Ids", "No", "Num", "Number", "Name", "Account", "Amount", "Code", "Key", "Value")
 # Confidences of equal names, of the root as a name, of equal roots, of containment, of a contained root;
@@ -38,8 +40,8 @@ def rank_by_distance(names: DataFrame, needle: str, col: str = "name", limit: in
 def suggest_names(objects: DataFrame, kind: str, needle: str, limit: int = 5, pool: int = 50) -> DataFrame:
     """Names of a kind that contain the needle, else those that contain its first three letters, nearest first."""
     own = objects.filter(F.col("kind") == kind).select("name").distinct()
-    whole = own.filter(F.col("name").ilike(f"%{needle}%")).withColumn("branch", F.lit(0))
-    part = own.filter(F.col("name").ilike(f"%{needle[:3]}%")).withColumn("branch", F.lit(1))
+    whole = own.filter(contains_ci(F.col("name"), needle)).withColumn("branch", F.lit(0))
+    part = own.filter(contains_ci(F.col("name"), needle[:3])).withColumn("branch", F.lit(1))
     found = whole.orderBy("name").limit(pool).unionByName(part.orderBy("name").limit(pool))
     best = found.agg(F.min("branch").alias("best"))  # one row
     return found.join(F.broadcast(best), F.col("branch") == F.col("best")).select("name", distance(F.col("name"), needle).alias("dist")).orderBy("dist", F.lower("name"), "name").limit(limit)

@@ -6,18 +6,24 @@ import re
 import unicodedata
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def contains_ci(col: Column, needle: str, strict: bool = False) -> Column:
-    """`%needle%` without regard to case. `%` and `_` of the needle are wildcards; strict folds ASCII letters only."""
-    pattern = f"%{needle}%"
+    """`%needle%` without regard to case. `%` and `_` of the needle are wildcards, a backslash is itself; strict folds ASCII letters only."""
+    pattern = like_part(needle)
     return F.translate(col, UPPER, LOWER).like(pattern.translate(str.maketrans(UPPER, LOWER))) if strict else col.ilike(pattern)
 
 
+def like_part(needle: str) -> str:
+    """A LIKE pattern for texts that contain the needle, whose wildcards count and whose backslashes don't escape."""
+    return "%" + needle.replace("\\", "\\\\") + "%"
+
+
 def prefix(col: Column, start: str) -> Column:
     """A prefix test that reaches the Parquet scan."""
     return col.startswith(start)
@@ -71,14 +77,21 @@ def tail(col: Column, n: int) -> Column:
     return F.array_join(F.slice(parts, F.greatest(F.size(parts) - n, F.lit(0)) + 1, F.lit(n)), "\n")
 
 
+def is_regex(spark: SparkSession, pattern: str) -> bool:
+    """Whether the engine that will match it takes the pattern; that engine is Java's, not Python's."""
+    try:
+        spark._jvm.java.util.regex.Pattern.compile(f"(?i){pattern}")
+    except IllegalArgumentException:
+        return False
+    return True
+
+
 def around_pattern(df: DataFrame, col: str, pattern: str, context: int = 3, into: str = "context") -> DataFrame:
     """Numbered lines within `context` of a matching line, in one text; `---` stands where lines are left out.
 
     A pattern that is not a regular expression matches nothing; so does a null text.
     """
-    try:
-        re.compile(pattern)
-    except re.error:
+    if not is_regex(df.sparkSession, pattern):
         return df.withColumn(into, F.lit(""))
     number = lambda t, i: F.when(t.rlike(f"(?i){pattern}"), i + 1)
     df = df.withColumn("_lines", F.coalesce(lines(F.col(col)), F.array().cast("array<string>")))
@@ -124,7 +137,7 @@ def rounded(col: Column, places: int) -> Column:
 # compiler messages.
 ATTRIBUTE = r"\[\s*([A-Z][A-Za-z0-9_]+)\s*(?:\(\s*([^\]]*)\))?\s*\]"
 EXTENSION_OF = r"\[\s*ExtensionOf\s*\(\s*\w+Str\s*\(\s*(\w+)"
-STR_CALL = r"\b\w+Str\s*\(\s*(\w+)\s*(?:,\s*(\w+)\s*)?\)"
+STR_CALL = r"\b\w+Str\s*\(\s*(\w+)\s*(?:,\s*(\w+))?"
 EVENT_TYPE = r"\w+EventType(?:\.|::)(\w+)"
 DIAGNOSTIC = r"^\s*(.+?)\((\d+),(\d+)\)\s*:\s*(?i:(error|warning|info))\s+(\w+)\s*:\s*(.*)$"
 # Words that may precede a return type.

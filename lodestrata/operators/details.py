@@ -29,7 +29,7 @@ def csv_of(children: DataFrame, key: str, value: str, order: list[str], name: st
     return children.groupBy(key).agg(F.array_join(F.transform(rows, lambda x: x[value].cast("string")), ",").alias(name))
 
 
-def first_child(children: DataFrame, key: str, order: list[str]) -> DataFrame:
+def first_child(children: DataFrame, key: str | list[str], order: list[str]) -> DataFrame:
     """The first child in order of each parent, with the number of children as `child_count`."""
     own = Window.partitionBy(key)
     return children.withColumn("_n", F.row_number().over(own.orderBy(*order))).withColumn("child_count", F.count("*").over(own)).filter("_n = 1").drop("_n")

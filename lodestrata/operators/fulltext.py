@@ -1,7 +1,8 @@
 """Full-text search: an inverted index with positions, boolean and phrase queries, BM25 ranks.
 
-The score of a text is the sum over the query's words of max(ln((N - n + 0.5) / (n + 0.5)), 1e-6) * f * 2.2 /
-(f + 1.2 * (0.25 + 0.75 * D / avg D)): f occurrences in the text of D words, n of N texts with the word.
+The score of a text is the sum over the query's terms of max(ln((N - n + 0.5) / (n + 0.5)), 1e-6) * f * 2.2 /
+(f + 1.2 * (0.25 + 0.75 * D / avg D)): f occurrences in the text of D words, n of N texts with the term. A phrase and a
+prefix are one term each, and a term of one column occurs in that column alone.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.functions.text import contains_ci, words
+from lodestrata.operators.search import limited
 from lodestrata.session import checkpoint
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -61,16 +63,28 @@ def bm25(postings: DataFrame, lengths: DataFrame, key: str, terms: list[str]) ->
     return scores(postings, lengths, key, terms).filter(F.col("n_terms") == len(set(terms))).select(key, "score")
 
 
-def _phrase(postings: DataFrame, key: str, term: dict) -> DataFrame:
-    """Keys of texts where the words stand in a row in one column; a starred last word is a prefix."""
-    own = postings if term["col"] is None else postings.filter(F.col("col") == term["col"])
+def _occurrences(postings: DataFrame, key: str, term: dict) -> DataFrame:
+    """(key, f): how often the words stand in a row in one column; a starred last word is a prefix."""
+    own = postings if term["col"] is None else postings.filter(F.lower("col") == term["col"].lower())
+    if len(term["words"]) == 1:
+        word = term["words"][0]
+        hit = own.filter(F.col("token").startswith(word) if term["prefix"] else F.col("token") == word)
+        return hit.groupBy(key).agg(F.sum("tf").alias("f"))
     out = None
     for i, w in enumerate(term["words"]):
         last = term["prefix"] and i == len(term["words"]) - 1
         hit = own.filter(F.col("token").startswith(w) if last else F.col("token") == w)
         at = hit.select(key, "col", F.explode("positions").alias("p")).select(key, "col", (F.col("p") - i).alias("p")).distinct()
         out = at if out is None else out.join(at, [key, "col", "p"])
-    return out.select(key).distinct()
+    return out.groupBy(key).agg(F.count("*").alias("f"))
+
+
+def term_score(hits: DataFrame, lengths: DataFrame, key: str) -> DataFrame:
+    """(key, score) of the texts that hold one term f times. Statistics cover all texts."""
+    one = hits.agg(F.count("*").alias("d")).join(F.broadcast(lengths.agg(F.count("*").alias("nn"), F.avg("n_words").alias("a"))))  # one row each
+    idf = F.greatest(F.ln((F.col("nn") - F.col("d") + 0.5) / (F.col("d") + 0.5)), F.lit(LEAST_IDF))
+    part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("n_words") / F.col("a")))
+    return hits.join(lengths, key).join(F.broadcast(one)).select(key, part.alias("score"))
 
 
 def match(docs: DataFrame, key: str, columns: list[str], query: str, limit: int | None = None, stored: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
@@ -83,15 +97,15 @@ def match(docs: DataFrame, key: str, columns: list[str], query: str, limit: int
         terms = parse(query)
     except ValueError:
         hit = reduce(Column.__or__, [contains_ci(F.col(c), query) for c in columns])
-        return docs.filter(hit).select(key, F.lit(0.0).alias("score")).orderBy(key)
+        return limited(docs.filter(hit).select(key, F.lit(0.0).alias("score")).orderBy(key), limit)
     postings, lengths = stored or index(docs, key, columns)
     if stored is None:  # the query's words and the lengths come from one pass over the texts
         postings, lengths = selected(docs, key, columns, terms)
-    keys = reduce(lambda a, b: a.join(b, key, "left_semi"), [_phrase(postings, key, t) for t in terms])
-    plain = [w for t in terms if not t["prefix"] for w in t["words"]]
-    ranked = keys.join(scores(postings, lengths, key, plain), key, "left").select(key, F.coalesce("score", F.lit(0.0)).alias("score"))
-    ranked = ranked.orderBy(F.desc("score"), key)
-    return ranked if limit is None else ranked.limit(limit)
+    ranked = None
+    for t in terms:
+        one = term_score(_occurrences(postings, key, t), lengths, key)
+        ranked = one if ranked is None else ranked.join(one.withColumnRenamed("score", "more"), key).select(key, (F.col("score") + F.col("more")).alias("score"))
+    return limited(ranked.orderBy(F.desc("score"), key), limit)
 
 
 def selected(docs: DataFrame, key: str, columns: list[str], terms: list[dict]) -> tuple[DataFrame, DataFrame]:
@@ -99,13 +113,14 @@ def selected(docs: DataFrame, key: str, columns: list[str], terms: list[dict]) -
     exact = sorted({w for t in terms for w in (t["words"][:-1] if t["prefix"] else t["words"])})
     starts = sorted({t["words"][-1] for t in terms if t["prefix"]})
     wanted = lambda w: reduce(Column.__or__, [w.startswith(x) for x in starts], w.isin(*exact) if exact else F.lit(False))
-    made = docs.select(key, *[words(F.col(c)).alias(f"_{i}") for i, c in enumerate(columns)])
+    made = docs.select(key, *[F.coalesce(words(F.col(c)), F.array().cast("array<string>")).alias(f"_{i}") for i, c in enumerate(columns)])
     numbered = lambda i: F.filter(F.transform(f"_{i}", lambda w, p: F.struct(p.alias("pos"), w.alias("token"))), lambda x: wanted(x["token"]))
-    parts = [made.select(key, F.lit(c).alias("col"), F.explode(numbered(i)).alias("x")).select(key, "col", "x.*") for i, c in enumerate(columns)]
-    tokens = reduce(DataFrame.unionByName, parts)
+    size = reduce(Column.__add__, [F.size(f"_{i}") for i in range(len(columns))])
+    # one pass over the texts, of which only the wanted words and the lengths are kept
+    made = checkpoint(made.select(key, size.cast("bigint").alias("n_words"), *[numbered(i).alias(f"_{i}") for i in range(len(columns))]))
+    tokens = reduce(DataFrame.unionByName, [made.select(key, F.lit(c).alias("col"), F.explode(f"_{i}").alias("x")).select(key, "col", "x.*") for i, c in enumerate(columns)])
     postings = tokens.groupBy(key, "col", "token").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
-    size = reduce(Column.__add__, [F.coalesce(F.array_size(f"_{i}"), F.lit(0)) for i in range(len(columns))])
-    return checkpoint(postings), made.select(key, size.cast("bigint").alias("n_words")).filter("n_words > 0")
+    return postings, made.select(key, "n_words").filter("n_words > 0")
 
 
 def phrase_scan(docs: DataFrame, text: str, phrase: list[str]) -> DataFrame:

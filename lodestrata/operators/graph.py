@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.session import checkpoint
+from lodestrata.session import materialise
 
 
 def canonical_edges(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -37,16 +39,64 @@ def ranked(metrics: DataFrame, top: int | None = None) -> DataFrame:
 
 
 def trimmed(edges: DataFrame) -> DataFrame:
-    """Edges between nodes that have both an edge in and an edge out, over and over: all cycles stay."""
+    """Edges between nodes that have both an edge in and an edge out: all cycles stay."""
+    src, dst = edges.select(F.col("src").alias("x")).distinct(), edges.select(F.col("dst").alias("x")).distinct()
+    both = src.join(dst, "x")
+    return materialise(edges.join(both.toDF("src"), "src", "left_semi").join(both.toDF("dst"), "dst", "left_semi").select("src", "dst"))
+
+
+def jumped(steps: DataFrame, n: int) -> DataFrame:
+    """(v, to, least): where each v comes to by its steps (v, to) until it meets no other v, and the least v on the way.
+
+    Each round doubles the way, so rounds grow with the logarithm of the longest. On a ring nothing else is met; after
+    enough rounds for `n` nodes `least` is the least of the ring.
+    """
+    state, reach = steps.withColumn("least", F.col("v")), 1
+    while reach < n:
+        far = state.select(F.col("v").alias("to"), F.col("to").alias("far"), F.col("least").alias("l"))
+        new = materialise(state.join(far, "to", "left").select("v", F.coalesce("far", "to").alias("to"), F.least("least", F.coalesce("l", "least")).alias("least"), F.col("far").isNotNull().alias("moved")))
+        state, reach = new.select("v", "to", "least"), reach * 2
+        if new.filter("moved").isEmpty():
+            break
+    return state
+
+
+def contracted(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """Edges without the insides of chains, which (v, before, after) they were, and rings (v, comp); None where no node has one edge in and one out.
+
+    A node inside a chain is on a cycle where the chain's two ends are in one component, and in no other case.
+    """
+    into, out = edges.groupBy(F.col("dst").alias("v")).agg(F.count("*").alias("i"), F.first("src").alias("prior")), edges.groupBy(F.col("src").alias("v")).agg(F.count("*").alias("o"), F.first("dst").alias("next"))
+    inside = materialise(into.join(out, "v").filter("i = 1 AND o = 1 AND next <> v").select("v", "prior", "next"))
+    n = inside.count()
+    if not n:
+        return None
+    ahead = jumped(inside.select("v", F.col("next").alias("to")), n)
+    rings = ahead.join(inside.select(F.col("v").alias("to")), "to", "left_semi").select("v", F.col("least").alias("comp"))
+    chains = ahead.join(inside.select(F.col("v").alias("to")), "to", "left_anti").select("v", F.col("to").alias("after"))
+    steps = inside.join(chains, "v").select("v", F.col("prior").alias("to"))
+    back = jumped(steps, n).select("v", F.col("to").alias("before"))
+    chains = materialise(chains.join(back, "v").select("v", "before", "after"))
+    ends = inside.select("v")
+    other = edges.join(ends.toDF("src"), "src", "left_anti").join(ends.toDF("dst"), "dst", "left_anti")
+    short = materialise(other.select("src", "dst").unionByName(chains.select(F.col("before").alias("src"), F.col("after").alias("dst"))).distinct())
+    return short, chains, materialise(rings)
+
+
+def reduced(edges: DataFrame, chains: list[DataFrame], rings: list[DataFrame]) -> DataFrame:
+    """Edges after chains are contracted and nodes that are on no cycle left out, until neither finds any; what was contracted is added to the lists."""
     n = edges.count()
-    while True:
-        src, dst = edges.select(F.col("src").alias("x")).distinct(), edges.select(F.col("dst").alias("x")).distinct()
-        both = src.join(dst, "x")
-        edges = checkpoint(edges.join(both.toDF("src"), "src", "left_semi").join(both.toDF("dst"), "dst", "left_semi").select("src", "dst"))
-        left = edges.count()
-        if left == n:
-            return edges
-        n = left
+    while n:
+        if (short := contracted(edges)) is not None:
+            edges = short[0]
+            chains.append(short[1])
+            rings.append(short[2])
+        edges = trimmed(edges)
+        m = edges.count()
+        if m == n and short is None:
+            break
+        n = m
+    return edges
 
 
 def spread_least(labels: DataFrame, edges: DataFrame) -> DataFrame:
@@ -54,7 +104,7 @@ def spread_least(labels: DataFrame, edges: DataFrame) -> DataFrame:
     while True:
         came = edges.join(labels, edges["src"] == labels["v"]).groupBy("dst").agg(F.min("label").alias("near"))
         new = labels.join(came, labels["v"] == came["dst"], "left").select("v", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        new = checkpoint(new.withColumn("label", F.coalesce("label", "old")))
+        new = materialise(new.withColumn("label", F.coalesce("label", "old")))
         labels = new.select("v", "label")
         if new.filter("label <> old").isEmpty():
             return labels
@@ -69,7 +119,7 @@ def closure(edges: DataFrame) -> DataFrame:
     pairs, n = edges, -1
     while True:
         longer = pairs.toDF("src", "mid").join(pairs.toDF("mid", "dst"), "mid").select("src", "dst")
-        pairs = checkpoint(pairs.unionByName(longer).distinct())
+        pairs = materialise(pairs.unionByName(longer).distinct())
         if (m := pairs.count()) == n:
             return pairs
         n = m
@@ -78,37 +128,47 @@ def closure(edges: DataFrame) -> DataFrame:
 def strong_components(edges: DataFrame, closure_nodes: int = CLOSURE_NODES) -> DataFrame:
     """(v, comp) of all nodes on a cycle: comp is the least node of the strongly connected component.
 
-    Graphs of few nodes (counted first) go by their closure, all others by colours. Forward-backward colouring: least labels spread forward give colours; within a colour, what reaches its root
-    backward is the root's component. Found components leave, the rest goes on. No closure of pairs is built.
+    Graphs of few nodes (counted first) go by their closure, all others by colours. Chains are contracted first, in rounds
+    that grow with the logarithm of their length. Forward-backward colouring: least labels spread forward give colours;
+    within a colour, what reaches its root backward is the root's component. Found components leave, the rest goes on. No
+    closure of pairs is built.
     """
-    edges = checkpoint(edges.select("src", "dst").distinct())
+    edges = materialise(edges.select("src", "dst").distinct())
     if nodes_of(edges).limit(closure_nodes + 1).count() <= closure_nodes:
         pairs = closure(edges)
         return pairs.join(pairs.toDF("dst", "src"), ["src", "dst"]).groupBy(F.col("src").alias("v")).agg(F.min("dst").alias("comp"))
-    found = None
+    found, chains, rings = edges.select(F.col("src").alias("v"), F.col("dst").alias("comp")).limit(0), [], []
     while True:
-        edges = trimmed(edges)
+        edges = reduced(edges, chains, rings)
         if edges.isEmpty():
-            empty = edges.select(F.col("src").alias("v"), F.col("dst").alias("comp")).limit(0)
-            return empty if found is None else found
+            return expanded(reduce(DataFrame.unionByName, rings, found), chains)
         nodes = nodes_of(edges)
         colour = spread_least(nodes.select("v", F.col("v").alias("label")), edges)
         c1, c2 = colour.toDF("src", "c1"), colour.toDF("dst", "c2")
-        inside = checkpoint(edges.join(c1, "src").join(c2, "dst").filter("c1 = c2").select("src", "dst", F.col("c1").alias("label")))
+        inside = materialise(edges.join(c1, "src").join(c2, "dst").filter("c1 = c2").select("src", "dst", F.col("c1").alias("label")))
         back = inside.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-        seen = checkpoint(colour.filter("v = label"))
+        seen = materialise(colour.filter("v = label"))
         front = seen
         while not front.isEmpty():  # backward from the roots, within their colours
             step = front.join(back, front["v"] == back["src"]).select(F.col("dst").alias("v"), "label").distinct()
-            front = checkpoint(step.join(seen.select("v"), "v", "left_anti"))
-            seen = checkpoint(seen.unionByName(front))
+            front = materialise(step.join(seen.select("v"), "v", "left_anti"))
+            seen = materialise(seen.unionByName(front))
         # a root alone is a component only with a loop
         size = seen.groupBy("label").agg(F.count("*").alias("n"))
         loops = edges.filter("src = dst").select(F.col("src").alias("label")).distinct().withColumn("loop", F.lit(True))
         keep = seen.join(size, "label").join(loops, "label", "left").filter("n > 1 OR loop").select("v", F.col("label").alias("comp"))
-        found = checkpoint(keep if found is None else found.unionByName(keep))
+        found = materialise(found.unionByName(keep))
         gone = seen.select("v")
-        edges = checkpoint(edges.join(gone.toDF("src"), "src", "left_anti").join(gone.toDF("dst"), "dst", "left_anti"))
+        edges = materialise(edges.join(gone.toDF("src"), "src", "left_anti").join(gone.toDF("dst"), "dst", "left_anti"))
+
+
+def expanded(found: DataFrame, chains: list[DataFrame]) -> DataFrame:
+    """The components with the insides of the chains, the last contracted first, each named by its least node."""
+    for chain in reversed(chains):
+        a, b = found.toDF("before", "c1"), found.toDF("after", "c2")
+        found = materialise(found.unionByName(chain.join(a, "before").join(b, "after").filter("c1 = c2").select("v", F.col("c1").alias("comp"))))
+    least = found.groupBy("comp").agg(F.min("v").alias("least"))
+    return found.join(least, "comp").select("v", F.col("least").alias("comp"))
 
 
 def cycles(edges: DataFrame) -> DataFrame:
@@ -122,11 +182,11 @@ def dependencies(edges: DataFrame, name: str, transitive: bool = False) -> tuple
         near = edges.filter(F.lower(a) == name.lower()).select(F.col(b).alias("v")).distinct()
         if not transitive:
             return near.orderBy("v")
-        seen = front = checkpoint(near)
+        seen = front = materialise(near)
         while not front.isEmpty():
             step = edges.join(front, edges[a] == front["v"]).select(F.col(b).alias("v")).distinct()
-            front = checkpoint(step.join(seen, "v", "left_anti"))
-            seen = checkpoint(seen.unionByName(front))
+            front = materialise(step.join(seen, "v", "left_anti"))
+            seen = materialise(seen.unionByName(front))
         return seen.orderBy("v")
 
     return reach("src", "dst"), reach("dst", "src")

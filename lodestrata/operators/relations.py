@@ -27,14 +27,18 @@ def event_subscribers(subscribers: DataFrame, source: str, kind: str | None = No
     return (df if kind is None else df.filter(F.col("source_kind") == kind)).orderBy("subscriber_class", "subscriber_method", "model", "source_kind", "source_member", "event_type")
 
 
-def with_first_child(parents: DataFrame, children: DataFrame, key: str, child_key: str, order: list[str], value: str, name: str, count: str) -> DataFrame:
-    """Parents with a value of their first child and the number of children (0 without any)."""
-    one = first_child(children, child_key, order).select(F.col(child_key).alias("_k"), F.col(value).alias(name), F.col("child_count"))
-    return parents.join(one, parents[key] == F.col("_k"), "left").withColumn(count, F.coalesce("child_count", F.lit(0)).cast("bigint")).drop("_k", "child_count")
+def with_first_child(parents: DataFrame, children: DataFrame, key: str | list[str], child_key: str | list[str], order: list[str], value: str, name: str, count: str) -> DataFrame:
+    """Parents with a value of their first child and the number of children (0 without any); a key may have several columns."""
+    keys, own = ([k] if isinstance(k, str) else k for k in (key, child_key))
+    one = first_child(children, own, order).select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(own)], F.col(value).alias(name), F.col("child_count"))
+    on = [parents[k] == F.col(f"_k{i}") for i, k in enumerate(keys)]
+    found = parents.join(one, on, "left").withColumn(count, F.coalesce("child_count", F.lit(0)).cast("bigint"))
+    return found.drop("child_count", *[f"_k{i}" for i in range(len(keys))])
 
 
-def having_child(parents: DataFrame, children: DataFrame, key: str, child_key: str) -> DataFrame:
-    return parents.join(children.select(F.col(child_key).alias(key)), key, "left_semi")
+def having_child(parents: DataFrame, children: DataFrame, key: str | list[str], child_key: str | list[str]) -> DataFrame:
+    keys, own = ([k] if isinstance(k, str) else k for k in (key, child_key))
+    return parents.join(children.select(*[F.col(c).alias(k) for c, k in zip(own, keys, strict=True)]), keys, "left_semi")
 
 
 def form_patterns(forms: DataFrame, data_sources: DataFrame, pattern: str | None = None, table: str | None = None, model: str | None = None, limit: int | None = 50) -> DataFrame:
@@ -45,8 +49,8 @@ def form_patterns(forms: DataFrame, data_sources: DataFrame, pattern: str | None
     if model is not None:
         df = df.filter(F.col("model") == model)
     if table is not None:
-        df = df.withColumn("form", F.col("name")).join(data_sources.filter(F.col("table_name") == table).select("form"), "form", "left_semi").drop("form")
-    df = with_first_child(df, data_sources, "name", "form", ["order_index"], "table_name", "primary_table", "data_source_count")
+        df = having_child(df, data_sources.filter(F.col("table_name") == table), ["name", "model"], ["form", "model"])
+    df = with_first_child(df, data_sources, ["name", "model"], ["form", "model"], ["order_index", "name"], "table_name", "primary_table", "data_source_count")
     return limited(df.orderBy("name", "model"), limit)
 
 

@@ -52,7 +52,7 @@ TOOLS |= {
     "source_paths": lambda c, model=None: search.source_paths(c.objects(), model),
     "suggest_names": lambda c, kind, name, limit=5: fuzzy.suggest_names(c.objects(), kind, name, limit),
     "search_labels": lambda c, query, languages=None, limit=100: search.search_labels(c.table("labels"), query, languages, limit=limit),
-    "search_labels_fts": lambda c, query, limit=100: c.search_label_texts(query, limit),
+    "search_labels_fts": lambda c, query, languages=None, limit=100: c.search_label_texts(query, limit, languages),
     "get_label": lambda c, label_file, language, key: details.get_label(c.table("labels"), label_file, language, key),
     "get_label_by_key": lambda c, key: details.get_label_by_key(c.table("labels"), key),
     "resolve_label": lambda c, token, languages=None: search.resolve_token(c.table("labels"), c.spark.createDataFrame([(token,)], "token string"), languages),
@@ -91,6 +91,10 @@ TOOLS |= {
 }
 
 
+#: Rows that an envelope holds at most; `truncated` says that there are more.
+MOST_ROWS = 10_000
+
+
 def call(catalogue: Catalogue, tool: str, **params) -> dict:
     """The result as an envelope: ok and data, or an error with a code and a message. Absent values are left out."""
     if tool not in TOOLS:
@@ -99,10 +103,11 @@ def call(catalogue: Catalogue, tool: str, **params) -> dict:
         df = TOOLS[tool](catalogue, **params)
     except TypeError as e:
         return {"ok": False, "error": {"code": "BAD_INPUT", "message": str(e)}}
-    rows = [json.loads(x) for x in df.toJSON().collect()]  # what a front end shows: limited or small by its query
+    rows = [json.loads(x) for x in df.limit(MOST_ROWS + 1).toJSON().collect()]
+    rows, more = rows[:MOST_ROWS], len(rows) > MOST_ROWS
     if tool.startswith("get_") and not rows:
         return {"ok": False, "error": {"code": f"{tool[4:].upper()}_NOT_FOUND", "message": f"nothing is called {next(iter(params.values()), '')}"}}
-    return {"ok": True, "data": {"count": len(rows), "items": rows}}
+    return {"ok": True, "data": {"count": len(rows), "items": rows} | ({"truncated": True} if more else {})}
 
 
 def sarif(found: DataFrame, rule: str, message: str, uri: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql.types import StructType
 from lodestrata.functions.text import glob_match
 from lodestrata.operators import fulltext
 from lodestrata.operators.relations import security_map
+from lodestrata.operators.search import limited
 from lodestrata.operators.stats import count_all
 from lodestrata.plans.snapshots import Manifest, Snapshots
 from lodestrata.session import checkpoint
@@ -96,8 +97,12 @@ class Catalogue:
             return None
         return self.table("label_postings").drop("model"), self.table("label_lengths").drop("model")
 
-    def search_label_texts(self, query: str, limit: int | None = 100) -> DataFrame:
-        return fulltext.match(self.labels(), "id", ["value", "key"], query, limit, self.label_index())
+    def search_label_texts(self, query: str, limit: int | None = 100, languages: list[str] | None = None) -> DataFrame:
+        """Labels in these languages, best first, with their columns and score; ranks count all languages' texts."""
+        labels, found = self.labels(), fulltext.match(self.labels(), "id", ["value", "key"], query, None, self.label_index())
+        if languages:
+            labels = labels.filter(F.lower("language").isin(*[x.lower() for x in languages]))
+        return limited(labels.join(found, "id").select("id", "label_file", "language", "key", "value", "model", "score").orderBy(F.desc("score"), "id"), limit)
 
     def counts(self) -> DataFrame:
         return count_all({t: self.table(t) for t in sorted({t for t, _ in OBJECT_KINDS.values()})})

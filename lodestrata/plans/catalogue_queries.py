@@ -421,8 +421,9 @@ TOKENS = r"select doc_id, unnest(regexp_split_to_array(lower(strip_accents(text)
 @query(f"""with tok as (select * from ({TOKENS}) where t<>''), dl as (select doc_id, count(*) n from tok group by 1), st as (select count(*) nn, avg(n) a from dl), tf as (select doc_id, t, count(*) f from tok where t in ('zu','nicht') group by 1,2), df as (select t, count(*) d from tf group by 1)
  select tf.doc_id, round(sum(greatest(ln((nn-d+0.5)/(d+0.5)),1e-6)*f*2.2/(f+1.2*(0.25+0.75*n/a))),6) as score from tf join df using(t) join dl on dl.doc_id=tf.doc_id cross join st group by tf.doc_id having count(*)=2""")
 def bm25_fts5(t):
-    postings, lengths = fulltext.index(t.documents, "doc_id", ["text"])
-    return fulltext.bm25(postings, lengths, "doc_id", ["zu", "nicht"]).select("doc_id", F.round("score", 6).alias("score"))
+    terms = ["zu", "nicht"]
+    postings, lengths = fulltext.selected(t.documents, "doc_id", ["text"], [{"words": [w], "prefix": False} for w in terms])
+    return fulltext.bm25(postings, lengths, "doc_id", terms).select("doc_id", F.round("score", 6).alias("score"))
 
 
 PHRASE = r"select doc_id from documents where regexp_matches(text,'(?i)(^|[^\p{L}\p{N}])of[^\p{L}\p{N}]+the([^\p{L}\p{N}]|$)')"

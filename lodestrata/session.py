@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,3 +46,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """Cut a plan's lineage in the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Cut a plan's lineage by a table in the shared folder, which goes with the session.
+
+    Loops that join many times want this rather than `checkpoint`, whose result keeps the constraints of its plan.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return spark.read.schema(df.schema).parquet(path)

@@ -390,3 +390,124 @@ def test_cross_references_over_jdbc(spark):
         s.execute(x)
     got = relations.cross_references(*read_xref(spark, url, driver, parts=2, bounds=(1, 3)), "Cust", "call")
     assert rows(got, "source", "target", "line", "module") == [("/Classes/A", "/Tables/Cust", 10, "App"), ("/Classes/A", "/Tables/Customs", 11, "App")]
+
+
+def components(edges):
+    after = {}
+    for a, b in edges:
+        after.setdefault(a, set()).add(b)
+
+    def reach(v):
+        seen, todo = set(), [v]
+        while todo:
+            for w in after.get(todo.pop(), ()):
+                if w not in seen:
+                    seen.add(w)
+                    todo.append(w)
+        return seen
+
+    far = {v: reach(v) for v in after}
+    return {v: min(w for w in far[v] if v in far.get(w, ())) for v in after if v in far[v]}
+
+
+def test_components_of_chains_rings_and_what_hangs_on_them(spark):
+    import random
+
+    from lodestrata.operators import graph
+
+    r = random.Random(3)
+    shapes = {
+        "chain": [(i, i + 1) for i in range(70)],
+        "rings": [(i, (i + 1) % 40) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (200, 200)],
+        "ears": [(0, 1), (1, 2), (2, 0), (2, 3), (3, 4), (4, 1), (4, 9), (9, 8), (8, 7), (0, 5), (5, 6), (6, 0), (50, 0), (51, 50), (52, 50)],
+        "legs": [(i, i + 1) for i in range(30)] + [(100 + i, i) for i in range(30)] + [(31, 60), (60, 61), (61, 31), (30, 31)],
+        "random": [(r.randint(0, 60), r.randint(0, 60)) for _ in range(75)],
+    }
+    edges = [(1000 * k + a, 1000 * k + b) for k, shape in enumerate(shapes.values()) for a, b in shape]
+    got = graph.strong_components(spark.createDataFrame(edges, "src int, dst int"), closure_nodes=0)
+    assert {x["v"]: x["comp"] for x in got.collect()} == components(edges)
+    assert graph.strong_components(spark.createDataFrame([], "src int, dst int"), closure_nodes=0).collect() == []
+
+
+@pytest.mark.parametrize("shape", ["chain", "ring"])
+def test_rounds_grow_with_the_logarithm_of_a_path(spark, monkeypatch, shape):
+    from lodestrata.operators import graph
+
+    rounds, whole = [0], graph.materialise
+
+    def counted(df):
+        rounds[0] += 1
+        return whole(df)
+
+    monkeypatch.setattr(graph, "materialise", counted)
+    used = {}
+    for n in (16, 64):
+        rounds[0] = 0
+        edges = [(i, i + 1) for i in range(n)] + ([(n, 0)] if shape == "ring" else [])
+        assert graph.strong_components(spark.createDataFrame(edges, "src int, dst int"), closure_nodes=0).count() == (n + 1 if shape == "ring" else 0)
+        used[n] = rounds[0]
+    assert used[64] <= used[16] + 2 * 2 + 1, used
+
+
+def test_form_patterns_are_those_of_the_model(spark):
+    forms = spark.createDataFrame([("F", "M1", "P"), ("F", "M2", "P"), ("G", "M1", "P")], "name string, model string, pattern string")
+    sources = spark.createDataFrame([("F", "M1", "A", "A", 0), ("F", "M2", "B", "B", 0), ("F", "M2", "C", "C", 1)], "form string, model string, name string, table_name string, order_index int")
+    got = lambda **how: rows(relations.form_patterns(forms, sources, **how), "name", "model", "primary_table", "data_source_count")
+    assert got() == [("F", "M1", "A", 1), ("F", "M2", "B", 2), ("G", "M1", None, 0)]
+    assert got(table="A") == [("F", "M1", "A", 1)] and got(table="C") == [("F", "M2", "B", 2)]
+
+
+def test_label_search_by_language_limit_column_and_rank(spark, tmp_path):
+    from lodestrata.operators import fulltext
+
+    root, path = str(tmp_path / "tree"), str(tmp_path / "store")
+    label = "P/M/AxLabelFile/L.{}.label.txt"
+    write(root, {label.format("en-us"): "a=customer world\nb=Customer group of the world customers\nworld=x\n", label.format("cs"): "a=customer\n"})
+    cat.refresh(spark, root, path)
+    c = cat.Catalogue(spark, path)
+    got = lambda q, **how: [(x["language"], x["key"]) for x in c.search_label_texts(q, **how).collect()]
+    assert got("customer", languages=["CS"]) == [("cs", "a")] and got("customer")[0] == ("cs", "a")
+    assert got("Value:customer", languages=["en-us"]) == [("en-us", "a"), ("en-us", "b")] and got("KEY:world") == [("en-us", "world")]
+    assert len(got('customer"', limit=1)) == 0 and len(got('"', limit=1)) == 0
+    assert set(c.search_label_texts("customer").columns) == {"id", "label_file", "language", "key", "value", "model", "score"}
+    texts = spark.createDataFrame([(i, t) for i, t in enumerate(["a\\b say \"x", "word of", "of words of worth words", "the wide word " * 3])], "id int, t string")
+    assert [x["id"] for x in fulltext.match(texts, "id", ["t"], '\\b say "', limit=3).collect()] == [0]
+    ranks = {x["id"]: x["score"] for x in fulltext.match(texts, "id", ["t"], "wor*").collect()}
+    assert len(ranks) == 3 and all(v > 0 for v in ranks.values()) and len(set(ranks.values())) == 3
+    phrase = [x["score"] for x in fulltext.match(texts, "id", ["t"], '"wide word"').collect()]
+    plain = [x["score"] for x in fulltext.match(texts, "id", ["t"], "wide word").collect()]
+    assert len(phrase) == len(plain) == 1 and phrase[0] < plain[0]  # one term, not two
+
+
+def test_backslashes_and_patterns_of_the_engine(spark):
+    from pyspark.sql import functions as F
+
+    from lodestrata.functions import fuzzy, text
+
+    names = spark.createDataFrame([("a\\b", "Table"), ("ab", "Table"), ("a\\%", "Table")], "name string, kind string")
+    for strict in (False, True):
+        assert rows(names.filter(text.contains_ci(F.col("name"), "A\\B", strict)), "name") == [("a\\b",)]
+    assert rows(names.filter(text.contains_ci(F.col("name"), "\\")), "name") == [("a\\%",), ("a\\b",)]
+    assert [x["name"] for x in fuzzy.suggest_names(names, "Table", "a\\b").collect()] == ["a\\b"]
+    lines = spark.createDataFrame([("one\nword\n",)], "t string")
+    found = lambda p: text.around_pattern(lines, "t", p, 0).first()["context"]
+    assert found("(?P<x>word)") == "" and found("[") == "" and found("(?<x>word)") == "2: word" and found("w\\Qord\\E") == "2: word"
+
+
+def test_handlers_with_three_arguments(spark):
+    from pyspark.sql import functions as F
+
+    from lodestrata.functions import text
+
+    source = "[FormControlEventHandler(formControlStr(FormA, GroupB, ControlC), FormControlEventType::Clicked)]\nvoid x()"
+    got = spark.createDataFrame([(source,)], "s string").select(F.explode(text.handlers(F.col("s"))).alias("h")).select("h.*").collect()
+    assert [tuple(x) for x in got] == [("FormControl", "FormA", "GroupB", "Clicked")]
+
+
+def test_envelopes_say_that_there_is_more(catalogue, monkeypatch):
+    from lodestrata.plans import api
+
+    monkeypatch.setattr(api, "MOST_ROWS", 2)
+    got = api.call(catalogue, "source_paths")["data"]
+    assert got["count"] == len(got["items"]) == 2 and got["truncated"] is True
+    assert "truncated" not in api.call(catalogue, "list_models")["data"]
