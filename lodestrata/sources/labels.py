@@ -10,13 +10,14 @@ from lodestrata.functions.text import key_value
 DEFAULT_LANGUAGE = "en-us"
 
 
-def label_rows(text: DataFrame) -> DataFrame:
-    """model, label_file, language, key, value of lines (`line`, `path`); blank and `;` lines are skipped, a value may hold `=`, a mark at the start is dropped."""
+def label_rows(text: DataFrame, keep_path: bool = False) -> DataFrame:
+    """model, label_file, language, key, value (and source_path) of lines (`line`, `path`); blank and `;` lines are skipped, a value may hold `=`, a mark at the start is dropped."""
     name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.label\.txt$", "")
     line = F.regexp_replace(F.ltrim(F.regexp_replace("line", "^\ufeff", "")), "\r$", "")
     key, value = key_value(F.col("line"))
-    df = text.select(F.regexp_extract("path", r"/([^/]+)/AxLabelFile/", 1).alias("model"), F.regexp_extract(name, r"^(.*?)\.[^.]*$", 1).alias("label_file"), F.regexp_extract(name, r"\.([^.]*)$", 1).alias("language"), line.alias("line"))
-    return df.filter((F.col("line") != "") & ~F.col("line").startswith(";")).select("model", "label_file", "language", F.trim(key).alias("key"), value.alias("value")).filter("key <> ''")
+    df = text.select(F.regexp_extract("path", r"/([^/]+)/AxLabelFile/", 1).alias("model"), F.regexp_extract(name, r"^(.*?)\.[^.]*$", 1).alias("label_file"), F.regexp_extract(name, r"\.([^.]*)$", 1).alias("language"), line.alias("line"), F.col("path").alias("source_path"))
+    own = ["model", "label_file", "language", *(["source_path"] if keep_path else [])]
+    return df.filter((F.col("line") != "") & ~F.col("line").startswith(";")).select(*own, F.trim(key).alias("key"), value.alias("value")).filter("key <> ''")
 
 
 def read_label_files(spark: SparkSession, root: str, languages: list[str] | None = None) -> DataFrame:

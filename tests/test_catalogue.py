@@ -511,3 +511,26 @@ def test_envelopes_say_that_there_is_more(catalogue, monkeypatch):
     got = api.call(catalogue, "source_paths")["data"]
     assert got["count"] == len(got["items"]) == 2 and got["truncated"] is True
     assert "truncated" not in api.call(catalogue, "list_models")["data"]
+
+
+def test_a_stream_follows_files_that_change(spark, tmp_path):
+    from lodestrata.streaming import ingest
+
+    root, at = str(tmp_path / "tree"), lambda x: str(tmp_path / x)
+    label = "P/A/AxLabelFile/L.en.label.txt"
+    run = lambda: ingest.ingest_tree(spark, root, at("out"), at("log"), at("cp"))
+    got = lambda: (rows(ingest.tree_table(spark, at("out"), "labels"), "key", "value"), sorted(r["source_path"].rsplit("/", 1)[1] + ":" + (r["props"] or {}).get("Label", "") for r in ingest.tree_table(spark, at("out"), "parsed").collect()))
+    table = "<AxTable><Name>T</Name><Label>{}</Label></AxTable>"
+    write(root, {label: "\ufeffa=1\n;c\nb=2\n", "P/A/AxTable/T.xml": table.format("one"), "P/B/AxTable/U.xml": table.format("u")})
+    assert run() == 1 and got() == ([("a", "1"), ("b", "2")], ["T.xml:one", "U.xml:u"])
+    assert run() == 0 and got()[1] == ["T.xml:one", "U.xml:u"]
+    write(root, {label: "a=edited\n", "P/A/AxTable/T.xml": table.format("another"), "P/A/AxTable/New.xml": table.format("new")})
+    os.remove(f"{root}/P/B/AxTable/U.xml")
+    assert ingest.log_changes(spark, root, at("log")) == 2  # two looks before the stream runs again
+    write(root, {label: ""})
+    os.utime(f"{root}/{label}", (2_000_000_000, 2_000_000_000))
+    assert run() == 3 and got() == ([], ["New.xml:new", "T.xml:another"])
+    store = ingest.Snapshots(spark, at("out"))
+    held, last = store.manifest().number, int(store.manifest().notes["batch"])
+    ingest.put_versions(spark, at("out"), spark.read.schema(ingest.LOG).parquet(at("log")), last)  # a batch given again
+    assert store.manifest().number == held and got() == ([], ["New.xml:new", "T.xml:another"])
