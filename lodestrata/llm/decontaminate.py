@@ -3,16 +3,18 @@
 Words are lower-cased runs of letters and digits. Every n-gram of an item is a seed, however common: a choice by count
 would prefer those that an edited copy lacks. Three words in a row are rare enough to be a seed alone; pairs, which a
 copy keeps that is edited every third word, are so where two of an item stand about as far apart as in it. Short items
-have their words as seeds, half of which a passage must hold, and those of one or two words themselves. One pass over the corpus looks for seeds, cuts out the passages
+have their words as seeds, half of which a passage must hold. An item of two words is met by both, in a row or with one
+word between, and one word by itself: their score must be above a half, as half of two words is one. One pass over the corpus looks for seeds, cuts out the passages
 around them (with room for insertions, overlaps joined) and aligns each with its item, all where the text is. Only a
 passage that shares too few words with its item to reach the threshold is left out before, which loses none.
 The score is the best local alignment's, as a share of what the whole item would get: 1 is a copy, and each changed
 word costs a little.
 
-Items come in blocks of bounded size, each a stated query set against all documents; nothing else is sent to tasks.
+Items come in blocks of bounded size, each a stated query set against all documents; nothing else is sent to tasks. In a
+task the hits of seeds are counted before they are written out, by parts of the texts and, for a text with very many, by
+parts of the items.
 
-Defined results: null texts have no words. Items without words are ignored, and of those of one or two words whole
-copies are found; of items with one id each counts, and the best score is reported. Repeated documents each have their rows. Empty tables give empty results. Other
+Defined results: null texts have no words. Items without words are ignored; of items with one id each counts, and the best score is reported. Repeated documents each have their rows. Empty tables give empty results. Other
 columns are kept by `drop_contaminated` and not read otherwise.
 """
 
@@ -34,36 +36,44 @@ GRAM, LONG_ITEM = 3, 8
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Least score that counts as contaminated.
 THRESHOLD = 0.5
-#: Characters of a text block, characters of items sent to tasks at once, words of passages aligned together.
-BLOCK, ITEM_CHARS, WORDS = 1_000_000, 8_000_000, 32_768
+#: Words up to which an item is short, and the least score of such items where the threshold is lower: one gap in two words.
+SHORT, SHORT_SCORE = 2, 0.75
+#: Characters of a text block, characters of items sent to tasks at once, words of passages aligned together, hits of seeds at once.
+BLOCK, ITEM_CHARS, WORDS, HITS = 1_000_000, 8_000_000, 32_768, 1_000_000
 
 
 def hashed_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return word_hashes([t.lower().encode("utf-8", "surrogatepass") for t in texts], ALNUM)
 
 
-def grams(doc: np.ndarray, word: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(word index, hash) of all n-grams of `size` words that stay in one text."""
-    n = len(word) - size + 1
+def grams(doc: np.ndarray, word: np.ndarray, places: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """(word index, hash) of the words at these places from each word on, where they stay in one text."""
+    n = len(word) - places[-1]
     if n <= 0:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
     h = np.zeros(n, dtype=np.uint64)
-    for j in range(size):
+    for j in places:
         h = h * ODD + word[j : j + n]
-    at = np.flatnonzero(doc[:n] == doc[size - 1 :])
+    at = np.flatnonzero(doc[:n] == doc[places[-1] :])
     return at, mix64(h[at])
 
 
 class Seeds:
-    """The n-grams of one size of some items, in order, and how many of an item must lie in a passage."""
+    """The n-grams of some items, in order, how their words stand in texts, and how many of an item must lie in a passage."""
 
-    def __init__(self, size: int, gram: np.ndarray, item: np.ndarray, offset: np.ndarray, least: np.ndarray):
+    def __init__(self, places: tuple[int, ...], gram: np.ndarray, item: np.ndarray, offset: np.ndarray, least: np.ndarray):
         order = np.lexsort((offset, item, gram))
         gram, item, offset = gram[order], item[order], offset[order]
         new = np.ones(len(gram) + 1, dtype=bool)
         new[1:-1] = (gram[1:] != gram[:-1]) | (item[1:] != item[:-1])
         ends = np.flatnonzero(new[:-1] | new[1:])  # of an item's equal n-grams the first and the last, whose passages meet
-        self.size, self.gram, self.item, self.offset, self.least = size, gram[ends], item[ends], offset[ends], least
+        self.places, self.gram, self.item, self.offset, self.least = places, gram[ends], item[ends], offset[ends], least
+
+    def parts(self, n: int) -> Iterator[Seeds]:
+        """The seeds of every n-th item."""
+        for k in range(n):
+            own = self.item % n == k
+            yield Seeds(self.places, self.gram[own], self.item[own], self.offset[own], self.least)
 
 
 class Items:
@@ -75,12 +85,16 @@ class Items:
         self.ids, self.words = ids, [word[edges[i] : edges[i + 1]] for i in range(len(texts))]
         self.size = np.diff(edges)
         self.seeds: list[Seeds] = []
-        long, pair = self.size >= LONG_ITEM, self.size == 2
-        for n, whose, least in ((1, ~(long | pair), (self.size + 1) // 2), (2, long | pair, np.where(pair, 1, 2)), (GRAM, long, np.ones_like(self.size))):
-            at, gram = grams(doc, word, n)
+        long, pair, one = self.size >= LONG_ITEM, self.size == 2, np.ones_like(self.size)
+        kinds = (
+            (1, (0,), ~(long | pair), (self.size + 1) // 2), (2, (0, 1), long | pair, np.where(pair, 1, 2)),
+            (2, (0, 2), pair, one), (GRAM, tuple(range(GRAM)), long, one),
+        )
+        for n, places, whose, least in kinds:
+            at, gram = grams(doc, word, tuple(range(n)))
             at, gram = at[whose[doc[at]]], gram[whose[doc[at]]]
             if len(at):
-                self.seeds.append(Seeds(n, gram, doc[at], at - edges[doc[at]], least))
+                self.seeds.append(Seeds(places, gram, doc[at], at - edges[doc[at]], least))
         self.vocabulary, code = np.unique(word, return_inverse=True)
         self.held, self.times = np.unique(doc * len(self.vocabulary) + code, return_counts=True)  # (item, word) and how often
 
@@ -115,11 +129,37 @@ def find_passages(items: Items, doc: np.ndarray, word: np.ndarray) -> tuple[np.n
     return tuple(map(np.concatenate, zip(*none, *(passages_of(s, items, doc, word) for s in items.seeds), strict=True)))
 
 
-def passages_of(seeds: Seeds, items: Items, doc: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, ...]:
-    at, gram = grams(doc, word, seeds.size)
+def looked_up(seeds: Seeds, at: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(place, gram, first seed, end seed) of the n-grams that are seeds: how many hits each has is known before they are written out."""
     lo = np.searchsorted(seeds.gram, gram, side="left")
     near = np.flatnonzero(seeds.gram[np.minimum(lo, len(seeds.gram) - 1)] == gram)
-    at, lo, hi = at[near], lo[near], np.searchsorted(seeds.gram, gram[near], side="right")
+    return at[near], gram[near], lo[near], np.searchsorted(seeds.gram, gram[near], side="right")
+
+
+def passages_of(seeds: Seeds, items: Items, doc: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The passages around one kind of seeds, found with at most about HITS hits at once."""
+    at, gram, lo, hi = looked_up(seeds, *grams(doc, word, seeds.places))
+    found = [(np.empty(0, np.int64),) * 5]
+    text, edges = np.unique(doc[at], return_index=True)
+    edges = np.r_[edges, len(at)]
+    total = np.r_[0, np.cumsum(hi - lo)][edges]  # hits before each text
+    a = 0
+    while a < len(text):
+        b = max(a + 1, int(np.searchsorted(total, total[a] + HITS, side="right")) - 1)
+        own, hits = slice(edges[a], edges[b]), int(total[b] - total[a])
+        if hits > HITS:  # one text, by parts of the items
+            for part in seeds.parts(hits // HITS + 1):
+                if len(part.gram):
+                    p_at, _, p_lo, p_hi = looked_up(part, at[own], gram[own])
+                    found.append(around_hits(part, items, doc, p_at, p_lo, p_hi))
+        else:
+            found.append(around_hits(seeds, items, doc, at[own], lo[own], hi[own]))
+        a = b
+    return tuple(map(np.concatenate, zip(*found, strict=True)))
+
+
+def around_hits(seeds: Seeds, items: Items, doc: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The passages around the hits of whole texts: seeds lo..hi at each place."""
     hit = np.flatnonzero(hi > lo)
     times = hi[hit] - lo[hit]
     which = np.repeat(lo[hit], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
@@ -178,11 +218,12 @@ def scored(texts: list[str], items: Items, threshold: float) -> Iterator[tuple[i
         doc, word = hashed_words(texts[lo:hi])
         text, item, first, last, seeds = find_passages(items, doc, word)
         # each match gives MATCH and nothing else gives anything, so the score is at most the share of words matched
-        able = np.flatnonzero(most_matches(items, word, item, first, last) >= threshold * items.size[item])
+        least = np.where(items.size <= SHORT, max(threshold, SHORT_SCORE), threshold)
+        able = np.flatnonzero(most_matches(items, word, item, first, last) >= (least * items.size)[item])
         scores = align([(items.words[item[k]], word[first[k] : last[k]]) for k in able])
         best: dict[tuple[int, int], tuple[float, int]] = defaultdict(lambda: (0.0, 0))
         for k, s in zip(able.tolist(), scores.tolist(), strict=True):
-            if s >= threshold:
+            if s >= least[item[k]]:
                 pair = int(text[k]), int(item[k])
                 best[pair] = max(best[pair], (s, int(seeds[k])))
         for (d, i), (s, n) in best.items():
@@ -190,11 +231,12 @@ def scored(texts: list[str], items: Items, threshold: float) -> Iterator[tuple[i
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(document, item, score, seeds) of all pairs whose score reaches the threshold."""
+    """(document, item, score, seeds) of all pairs whose score reaches the threshold; an item id named like the documents' is `item_<name>`."""
     short_batches(docs.sparkSession)
     kinds = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
-    columns = f"{item_col} {kinds[1]}, score double, n_seeds bigint"
-    out = docs.sparkSession.createDataFrame([], f"{id_col} {kinds[0]}, {columns}")
+    shown = f"item_{item_col}" if item_col.lower() in (id_col.lower(), "t") else item_col
+    columns = f"`{shown}` {kinds[1]}, score double, n_seeds bigint"
+    out = docs.sparkSession.createDataFrame([], f"`{id_col}` {kinds[0]}, {columns}")
     for items in item_blocks(benchmark, item_col, text_col):
         def run(batches: Iterator[pd.DataFrame], items: Items = items) -> Iterator[pd.DataFrame]:
             for b in batches:
@@ -202,7 +244,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
                 for d, i, s, n in scored(b["t"].tolist(), items, threshold):
                     rows[d, items.ids[i]] = max(rows.get((d, items.ids[i]), (0.0, 0)), (s, n))
                 if rows:
-                    yield pd.DataFrame({id_col: b[id_col].iloc[[d for d, _ in rows]].to_numpy(), item_col: [i for _, i in rows], "score": [s for s, _ in rows.values()], "n_seeds": [n for _, n in rows.values()]})
+                    yield pd.DataFrame({id_col: b[id_col].iloc[[d for d, _ in rows]].to_numpy(), shown: [i for _, i in rows], "score": [s for s, _ in rows.values()], "n_seeds": [n for _, n in rows.values()]})
 
         out = out.unionByName(map_texts(docs, run, columns, id_col, text_col))
     return out

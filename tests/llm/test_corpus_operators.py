@@ -244,8 +244,46 @@ def test_seeds_find_what_alignment_of_all_pairs_finds(size):
 
 def test_items_of_one_and_two_words(spark):
     bench = spark.createDataFrame([(1, "alpha"), (2, "beta gamma"), (3, ""), (4, "--")], "item_id long, text string")
-    got = dc.contamination(docs(spark, [(1, "x Alpha y"), (2, "beta x gamma"), (3, "beta gamma")]), bench)
-    assert {(x["doc_id"], x["item_id"], x["score"]) for x in got.collect()} == {(1, 1, 1.0), (3, 2, 1.0)}
+    got = dc.contamination(docs(spark, [(1, "x Alpha y"), (2, "beta x gamma"), (3, "beta gamma"), (4, "beta x x gamma"), (5, "gamma beta"), (6, "beta beta gamma x")]), bench)
+    assert {(x["doc_id"], x["item_id"], x["score"]) for x in got.collect()} == {(1, 1, 1.0), (2, 2, 0.75), (3, 2, 1.0), (6, 2, 1.0)}
+
+
+def test_short_items_find_all_that_their_score_admits():
+    r = random.Random(5)
+    for size in (1, 2):
+        items = [[r.choice("abcdefgh") for _ in range(size)] for _ in range(30)]
+        texts = [[r.choice("abcdefghxyz") for _ in range(r.randint(0, 9))] for _ in range(200)]
+        block = dc.Items(list(range(len(items))), [" ".join(w) for w in items])
+        got = {(d, i): s for d, i, s, _ in dc.scored([" ".join(t) for t in texts], block, 0.5)}
+        assert got == {(d, i): s for d, t in enumerate(texts) for i, w in enumerate(items) if t and (s := smith_waterman(w, t)) >= dc.SHORT_SCORE}
+
+
+def test_hits_at_once_are_bounded_and_none_is_lost(monkeypatch):
+    r = random.Random(2)
+    vocabulary = ["the", "of", "and", "to", *(f"w{i}" for i in range(30))]
+    items = [" ".join(r.choice(vocabulary) for _ in range(r.choice([2, 5, 20]))) for _ in range(60)]
+    texts = [" ".join(r.choice(vocabulary) for _ in range(r.choice([30, 900]))) for _ in range(25)] + ["", items[0]]
+    block = dc.Items(list(range(len(items))), items)
+    doc, word = dc.hashed_words(texts)
+    want = sorted(zip(*(x.tolist() for x in dc.find_passages(block, doc, word)), strict=True))
+    most, whole = [0], dc.around_hits
+
+    def measured(seeds, items, doc, at, lo, hi):
+        most[0] = max(most[0], int((hi - lo).sum()))
+        return whole(seeds, items, doc, at, lo, hi)
+
+    monkeypatch.setattr(dc, "around_hits", measured)
+    dc.find_passages(block, doc, word)
+    assert most[0] > 5000
+    most[0] = 0
+    monkeypatch.setattr(dc, "HITS", 500)
+    assert sorted(zip(*(x.tolist() for x in dc.find_passages(block, doc, word)), strict=True)) == want and most[0] <= 2000
+
+
+def test_ids_of_one_name_in_both_tables(spark):
+    bench = spark.createDataFrame([(7, "alpha beta gamma delta epsilon")], "doc_id long, text string")
+    got = dc.contamination(docs(spark, [(1, "x alpha beta gamma delta epsilon y"), (2, "z")]), bench, item_col="doc_id")
+    assert [(x["doc_id"], x["item_doc_id"]) for x in got.collect()] == [(1, 7)]
 
 
 # ---------------------------------------------------------------- urls
