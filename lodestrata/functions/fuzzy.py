@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions.text import contains_ci
@@ -64,3 +64,43 @@ def suggest_types(types: DataFrame, field: str, limit: int = 5, col: str = "name
     """Types of least confidence `least` for a field name, best first; all types are scored. A blank name has none."""
     scored = types.select(col, type_confidence(F.col(col), field or "").alias("conf"))
     return scored.filter((F.col("conf") >= least) & F.lit(bool((field or "").strip()))).orderBy(F.desc("conf"), F.lower(col), col).limit(limit)
+
+
+# ---------------------------------------------------------------- names for a table of needles
+
+
+def _segments(length: Column, most: int) -> Column:
+    """Number, start (from 0) and length of the most + 1 segments that a text of this length is cut into; the last are the longer."""
+    base, longer = F.floor(length / (most + 1)).cast("int"), length % (most + 1)
+    first = F.lit(most + 1) - longer  # the first that is one longer
+    return F.transform(F.sequence(F.lit(0), F.lit(most)), lambda i: F.struct(i.alias("i"), (i * base + F.greatest(i - first, F.lit(0))).alias("start"), (base + F.when(i >= first, 1).otherwise(0)).alias("size")))
+
+
+def near_pairs(names: DataFrame, needles: DataFrame, most: int, name_col: str, needle_col: str) -> DataFrame:
+    """(needle, wanted, name, low) of the pairs that may be near, lower-cased too; all that are near are among them.
+
+    An equi-join: a name is cut into most + 1 segments, of which that many edits leave one whole, at a place in the needle
+    that is at most `most` away from its own. So needles meet names of about their length by such a segment.
+    """
+    own = names.select(F.col(name_col).alias("name")).dropna().distinct().withColumn("low", F.lower("name")).withColumn("len", F.length("low"))
+    own = own.select("name", "low", "len", F.explode(_segments(F.col("len"), most)).alias("s"))
+    own = own.select("name", "low", "len", F.col("s.i").alias("i"), F.substring("low", F.col("s.start") + 1, F.col("s.size")).alias("part"))
+    asked = needles.select(F.col(needle_col).alias("needle")).dropna().distinct().withColumn("wanted", F.lower("needle")).withColumn("m", F.length("wanted"))
+    asked = asked.select("needle", "wanted", "m", F.explode(F.sequence(F.greatest(F.col("m") - most, F.lit(0)), F.col("m") + most)).alias("len"))
+    asked = asked.select("*", F.explode(_segments(F.col("len"), most)).alias("s"))
+    asked = asked.select("needle", "wanted", "m", "len", "s", F.explode(F.sequence(F.greatest(F.col("s.start") - most, F.lit(0)), F.col("s.start") + most)).alias("at"))
+    asked = asked.filter(F.col("at") + F.col("s.size") <= F.col("m"))
+    asked = asked.select("needle", "wanted", "len", F.col("s.i").alias("i"), F.substring("wanted", F.col("at") + 1, F.col("s.size")).alias("part")).distinct()
+    return asked.join(own, ["len", "i", "part"]).select("needle", "wanted", "name", "low").distinct()
+
+
+def within_distance(names: DataFrame, needles: DataFrame, most: int = 2, name_col: str = "name", needle_col: str = "needle") -> DataFrame:
+    """(needle, name, dist) of all pairs of distinct needles and names whose distance, without regard to case, is `most` or less."""
+    pairs = near_pairs(names, needles, most, name_col, needle_col)
+    return pairs.withColumn("dist", F.levenshtein("wanted", "low", most)).filter("dist >= 0").select("needle", "name", "dist")
+
+
+def suggest_many(names: DataFrame, needles: DataFrame, most: int = 2, limit: int = 5, name_col: str = "name", needle_col: str = "needle") -> DataFrame:
+    """The nearest names of each needle within a distance, with their rank: by distance, ties by name."""
+    order = Window.partitionBy("needle").orderBy("dist", F.lower("name"), "name")
+    return within_distance(names, needles, most, name_col, needle_col).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)

@@ -47,7 +47,7 @@ CHILDREN = {
     "classes": [("methods", "class", ["name", "signature", "return_type", "is_static"], ["name"], "methods")],
     "enums": [("enum_values", "enum", ["name", "value", "label", "value_order"], ["value_order", "name"], "values")],
     "forms": [("form_data_sources", "form", ["name", "table_name", "order_index", "join_source"], ["order_index"], "data_sources")],
-    "queries": [("query_data_sources", "query", ["name", "table_name", "join_mode", "parent_ds"], ["name"], "data_sources")],
+    "queries": [("query_data_sources", "query", ["name", "table_name", "join_mode", "parent_ds", "depth", "path", "place"], ["name", "place"], "data_sources")],
     "views": [("view_fields", "view", ["name", "data_source", "data_field"], ["name"], "fields")],
     "data_entities": [("data_entity_fields", "entity", ["name", "data_source", "data_field", "is_mandatory", "is_read_only"], ["name"], "fields")],
     "reports": [("report_data_sets", "report", ["name", "kind", "query_or_class"], ["name"], "data_sets")],

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 from lodestrata.operators.details import first_child
 from lodestrata.operators.search import limited
@@ -99,7 +100,26 @@ def source_references(methods: DataFrame, name: str, body: str = "source", sampl
 
     pattern = "(?i)" + (name if regex else rf"\b{re.escape(name)}\b")
     rows = F.filter(F.split(F.replace(F.col(body), F.lit("\r\n"), F.lit("\n")), "\n"), lambda x: x.rlike(pattern))
-    return methods.filter(F.col(body).rlike(pattern)).withColumn("sample_lines", F.transform(F.slice(rows, 1, samples), F.trim)).drop(body)
+    return methods.filter(F.col(body).rlike(pattern)).withColumn("sample_lines", F.transform(F.slice(rows, 1, samples), lambda x: F.trim(x))).drop(body)
+
+
+def identifier_postings(methods: DataFrame, body: str = "source", samples: int = 3) -> DataFrame:
+    """token, the columns of `methods` but the body, sample_lines: a row for each distinct word of each body, lower-cased.
+
+    Written once and sorted by token, it answers any number of `source_references` by an equi-join.
+    """
+    own = [c for c in methods.columns if c != body]
+    lines = methods.select(*own, F.xxhash64(F.col(body)).alias("_body"), F.posexplode(F.split(F.replace(F.col(body), F.lit("\r\n"), F.lit("\n")), "\n")).alias("_n", "_line"))
+    words = lines.select("*", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("_line"), F.lit(r"\w+"), F.lit(0)))).alias("token"))
+    first = F.slice(F.array_sort(F.collect_set(F.struct("_n", "_line"))), 1, samples)
+    found = words.groupBy("token", *own, "_body").agg(first.alias("_lines"))
+    return found.select("token", *own, F.transform("_lines", lambda x: F.trim(x["_line"])).alias("sample_lines"))
+
+
+def references_of(postings: DataFrame, names: DataFrame, name_col: str = "name") -> DataFrame:
+    """The bodies that hold each of many names as a word, without regard to case: the name as `searched`, and the posting's columns."""
+    asked = names.select(F.col(name_col).alias("searched")).dropna().distinct().withColumn("token", F.lower("searched"))
+    return asked.join(postings, "token").drop("token")
 
 
 # The strategy for the first kind of extension that is there, in this order.
@@ -122,20 +142,64 @@ def extension_points(targets: DataFrame, key: str, counts: dict[str, DataFrame])
     return df.withColumn("strategy", strategy({k: F.col(k) for k in counts}))
 
 
-def inline_labels(rows: DataFrame, labels: DataFrame, text: str, key: str, languages: list[str] | None = None) -> DataFrame:
-    """Tokens like @SYS1 of a text followed by nothing known stay; known ones become `label [[@SYS1]]`.
+TOKEN = r"@[A-Za-z]+\d+"
 
-    All tokens are looked up at once; of several languages the first of the list wins.
-    """
-    token = r"@[A-Za-z]+\d+"
+
+def label_texts(labels: DataFrame, languages: list[str] | None = None) -> DataFrame:
+    """(token, text) of labels; of several languages the first of the list wins."""
     rank = F.lit(0)
     if languages:
         rank = F.coalesce(F.array_position(F.array(*[F.lit(x.lower()) for x in languages]), F.lower("language")), F.lit(0))
         labels = labels.filter(F.lower("language").isin(*[x.lower() for x in languages]))
-    best = labels.select(F.concat(F.lit("@"), F.regexp_replace("key", "^@", "")).alias("token"), F.struct(rank.alias("r"), F.col("language"), F.col("label_file"), F.col("value")).alias("v")).groupBy("token").agg(F.min("v").alias("v"))
-    found = rows.select(key, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(token), F.lit(0)))).alias("token")).join(best, "token")
-    packed = found.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("token", F.col("v.value")))).alias("_known"))
-    parts = F.arrays_zip(F.split(text, token, -1).alias("a"), F.regexp_extract_all(text, F.lit(token), F.lit(0)).alias("b"))
+    best = F.min(F.struct(rank.alias("r"), F.col("language"), F.col("label_file"), F.col("value")))
+    return labels.groupBy(F.concat(F.lit("@"), F.regexp_replace("key", "^@", "")).alias("token")).agg(best.alias("v")).select("token", F.col("v.value").alias("text"))
+
+
+def inlined(text: Column, known: Column) -> Column:
+    """A text whose tokens that the map `known` has are followed by nothing else: `label [[@SYS1]]`; null stays null."""
+    parts = F.arrays_zip(F.split(text, TOKEN, -1).alias("a"), F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)).alias("b"))
     shown = F.transform(parts, lambda x: F.concat(F.coalesce(x["a"], F.lit("")), F.when(x["b"].isNull(), "").otherwise(
-        F.coalesce(F.concat(F.element_at("_known", x["b"]), F.lit(" [["), x["b"], F.lit("]]")), x["b"]))))
-    return rows.join(packed, key, "left").withColumn("_known", F.coalesce("_known", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))).withColumn(text, F.when(F.col(text).isNotNull(), F.array_join(shown, ""))).drop("_known")
+        F.coalesce(F.concat(F.element_at(known, x["b"]), F.lit(" [["), x["b"], F.lit("]]")), x["b"]))))
+    return F.when(text.isNotNull(), F.array_join(shown, ""))
+
+
+def with_known(rows: DataFrame, tokens: Column, labels: DataFrame, key: str, languages: list[str] | None = None) -> DataFrame:
+    """Rows with the map `_known` from those of their tokens that are labels to the labels' texts; all are looked up at once."""
+    found = rows.select(key, F.explode(F.array_distinct(tokens)).alias("token")).distinct().join(label_texts(labels, languages), "token")
+    packed = found.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("token", "text"))).alias("_known"))
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    return rows.join(packed, key, "left").withColumn("_known", F.coalesce("_known", none))
+
+
+def rewritten(value: Column, kind: DataType, change) -> Column:
+    """A value of any nesting with change(string) in place of every string; keys of maps stay."""
+    if isinstance(kind, StringType):
+        return change(value)
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: rewritten(x, kind.elementType, change)) if holds_text(kind.elementType) else value
+    if isinstance(kind, MapType):
+        return F.transform_values(value, lambda _, x: rewritten(x, kind.valueType, change)) if holds_text(kind.valueType) else value
+    if isinstance(kind, StructType) and holds_text(kind):
+        return F.when(value.isNotNull(), F.struct(*[rewritten(value[f.name], f.dataType, change).alias(f.name) for f in kind.fields]))
+    return value
+
+
+def holds_text(kind: DataType) -> bool:
+    if isinstance(kind, StructType):
+        return any(holds_text(f.dataType) for f in kind.fields)
+    return isinstance(kind, StringType) or (isinstance(kind, ArrayType) and holds_text(kind.elementType)) or (isinstance(kind, MapType) and holds_text(kind.valueType))
+
+
+def inline_nested(rows: DataFrame, labels: DataFrame, key: str, columns: list[str] | None = None, languages: list[str] | None = None) -> DataFrame:
+    """Rows whose tokens are shown with their labels in every string of these columns, however deep it lies; the key stays."""
+    columns = columns or [c for c in rows.columns if c != key]
+    tokens = F.regexp_extract_all(F.to_json(F.struct(*columns)), F.lit(TOKEN), F.lit(0))
+    found = with_known(rows, tokens, labels, key, languages)
+    shown = {c: rewritten(F.col(c), rows.schema[c].dataType, lambda s: inlined(s, F.col("_known"))) for c in columns}
+    return found.withColumns(shown).drop("_known")
+
+
+def inline_labels(rows: DataFrame, labels: DataFrame, text: str, key: str, languages: list[str] | None = None) -> DataFrame:
+    """The same for one column of text."""
+    tokens = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+    return with_known(rows, tokens, labels, key, languages).withColumn(text, inlined(F.col(text), F.col("_known"))).drop("_known")

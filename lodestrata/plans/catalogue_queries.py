@@ -213,11 +213,42 @@ def inline_labels(t):
     return relations.inline_labels(rows, labels, "txt", "c_custkey", ["en-us"])
 
 
+@query("""select o_custkey, string_agg(o_orderkey||'='||case when o_orderkey%3=0 then coalesce(n_name||' [[@N'||o_orderkey%30||']]', '@N'||o_orderkey%30) else 'plain' end, ',' order by o_orderkey) as leaves,
+ any_value(case when c_nationkey is null then null else n2||' [[@N'||c_nationkey||']]/@Z1' end) as top from orders left join nation on n_nationkey=o_orderkey%30 join (select c_custkey, c_nationkey, n_name as n2 from customer join nation on n_nationkey=c_nationkey) on c_custkey=o_custkey group by o_custkey""")
+def inline_nested_labels(t):
+    """Tokens in structs in an array of a struct, as details of objects have them."""
+    token = lambda c: F.concat(F.lit("@N"), c.cast("string"))
+    leaf = F.struct("o_orderkey", F.struct(F.when(F.col("o_orderkey") % 3 == 0, token(F.col("o_orderkey") % 30)).otherwise("plain").alias("text")).alias("label"))
+    rows = t.orders.groupBy("o_custkey").agg(F.sort_array(F.collect_list(leaf)).alias("fields"))
+    rows = rows.join(t.customer, F.col("c_custkey") == F.col("o_custkey")).select("o_custkey", F.struct(F.concat(token(F.col("c_nationkey")), F.lit("/@Z1")).alias("top"), "fields").alias("object"))
+    labels = t.nation.select(F.lit("N").alias("label_file"), F.lit("en-us").alias("language"), F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("key"), F.col("n_name").alias("value"))
+    got = relations.inline_nested(rows, labels, "o_custkey", languages=["en-us"])
+    leaves = F.transform("object.fields", lambda x: F.concat(x["o_orderkey"].cast("string"), F.lit("="), x["label"]["text"]))
+    return got.select("o_custkey", F.array_join(leaves, ",").alias("leaves"), F.col("object.top").alias("top"))
+
+
+@query("""with n as (select distinct replace(s_name,'Supplier','Custome') as needle from supplier), p as (select needle, c_name as name, levenshtein(lower(needle), lower(c_name))::int as dist from n, (select distinct c_name from customer))
+ select needle, name, dist, rank::int as rank from (select *, row_number() over (partition by needle order by dist, lower(name), name) as rank from p where dist<=2) where rank<=5""")
+def suggest_many(t):
+    """Misspelt names, all at once, with the nearest names of customers."""
+    needles = t.supplier.select(F.replace("s_name", F.lit("Supplier"), F.lit("Custome")).alias("needle"))
+    return fuzzy.suggest_many(t.customer, needles, name_col="c_name")
+
+
 @query(r"select doc_id from documents where regexp_matches(text,'(?i)\bthe\b')")
 def refs_regex(t):
     return relations.source_references(t.documents.select("doc_id", "text"), "the", "text").select("doc_id")
 
 
+@query(r"""select searched, count(*) as n from documents, (select distinct lower(regexp_extract(text,'\w+',0)) as searched from benchmark where regexp_extract(text,'\w+',0)<>'')
+ where regexp_matches(text,'(?i)\b'||searched||'\b') group by searched""")
+def references_of_many(t):
+    """How many documents hold each of many words, by one look at every document."""
+    names = t.benchmark.select(F.lower(F.regexp_extract("text", r"\w+", 0)).alias("name")).filter("name <> ''")
+    postings = relations.identifier_postings(t.documents.select("doc_id", "text"), "text")
+    return relations.references_of(postings, names).groupBy("searched").agg(F.count("*").alias("n"))
+
+
 # ---------------------------------------------------------------- statistics
 
 

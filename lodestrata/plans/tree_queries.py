@@ -431,7 +431,16 @@ NESTED = """select r_name as query, r_name as model, 'Root' as name, 'Region' as
 
 @query(NESTED)
 def tree_query_data_sources(t):
-    return extracted(query_files(t))["query_data_sources"]
+    return extracted(query_files(t))["query_data_sources"].drop("depth", "path", "place")
+
+
+@query("""with recursive up(id, above, name, place) as (select 'r'||r_regionkey, null, 'Root', 0 from region union all select 'n'||n_nationkey, 'r'||n_regionkey, n_name, row_number() over (partition by n_regionkey order by n_nationkey)-1 from nation
+ union all select 's'||s_suppkey, 'n'||s_nationkey, s_name, row_number() over (partition by s_nationkey order by s_suppkey)-1 from supplier),
+ walk(id, query, name, depth, path, place) as (select id, r_name, name, 1, name, '0' from up join region on id='r'||r_regionkey union all
+ select u.id, w.query, u.name, w.depth+1, w.path||'/'||u.name, w.place||'/'||u.place from walk w join up u on u.above=w.id) select query, name, depth::int as depth, path, place from walk""")
+def query_source_paths(t):
+    """Depth, names and positions from the outermost data source on."""
+    return extracted(query_files(t))["query_data_sources"].select("query", "name", "depth", "path", "place")
 
 
 @query(f"select query as name, string_agg(name||':'||coalesce(parent_ds,''), ',' order by name) as sources from ({NESTED}) where query='AFRICA' group by all")

@@ -94,7 +94,7 @@ def extract(parsed: DataFrame) -> dict[str, DataFrame]:
     queries = objects_of(parsed, "^AxQuery$")
     t["queries"] = queries.select("name", "model", "source_path")
     ds = named(children_of(queries, "DataSources", "query", "AxQuery", top=False))
-    t["query_data_sources"] = ds.select("query", "model", p("Name").alias("name"), p("Table").alias("table_name"), p("JoinMode").alias("join_mode"), F.col("parent").alias("parent_ds"))
+    t["query_data_sources"] = ds.select("query", "model", p("Name").alias("name"), p("Table").alias("table_name"), p("JoinMode").alias("join_mode"), F.col("parent").alias("parent_ds"), "depth", "path", "place")
     views = objects_of(parsed, "^AxView$")
     t["views"] = views.select("name", "model", p("Label").alias("label"), p("Query").alias("query_name"), "source_path")
     t["view_fields"] = named(children_of(views, "Fields", "view")).select("view", "model", p("Name").alias("name"), p("DataSource").alias("data_source"), p("DataField").alias("data_field"))

@@ -21,7 +21,7 @@ from lodestrata.functions.text import glob_match
 LISTS = ("Fields", "Relations", "Indexes", "DeleteActions", "EnumValues", "DataSources", "Duties", "Privileges", "EntryPoints", "DataSets", "Operations", "Services")
 PARSED = (
     "package string, model string, kind string, source_path string, modified timestamp, root string, props map<string,string>, design map<string,string>, declaration string, "
-    "children array<struct<list:string,position:int,parent:string,tag:string,props:map<string,string>>>, methods array<struct<name:string,source:string,nested:boolean>>, error string"
+    "children array<struct<list:string,position:int,parent:string,tag:string,props:map<string,string>,depth:int,path:string,place:string>>, methods array<struct<name:string,source:string,nested:boolean>>, error string"
 )
 
 
@@ -38,16 +38,20 @@ def values(e: ET.Element) -> dict[str, str]:
     return out
 
 
-def nested(e: ET.Element, parent: str | None, out: list[dict]) -> None:
-    """Objects in the lists below an element, each with the object around it, to any depth."""
+def nested(e: ET.Element, parent: str | None, out: list[dict], above: tuple[str, ...] = (), places: tuple[str, ...] = ()) -> None:
+    """Objects in the lists below an element, each with the object around it, to any depth.
+
+    path names the objects from the outermost one on, place gives their positions, which tell apart those of one name.
+    """
     for box in e:
         if local(box) in LISTS:
             for i, x in enumerate(box):
                 props = values(x)
                 if not len(x) and (x.text or "").strip():
                     props.setdefault("Name", x.text.strip())
-                out.append({"list": local(box), "position": i, "parent": parent, "tag": local(x), "props": props})
-                nested(x, props.get("Name"), out)
+                path, place = (*above, props.get("Name") or local(x)), (*places, str(i))
+                out.append({"list": local(box), "position": i, "parent": parent, "tag": local(x), "props": props, "depth": len(path), "path": "/".join(path), "place": "/".join(place)})
+                nested(x, props.get("Name"), out, path, place)
         elif parent is None and local(box) != "Methods":
             nested(box, None, out)
 

@@ -534,3 +534,24 @@ def test_a_stream_follows_files_that_change(spark, tmp_path):
     held, last = store.manifest().number, int(store.manifest().notes["batch"])
     ingest.put_versions(spark, at("out"), spark.read.schema(ingest.LOG).parquet(at("log")), last)  # a batch given again
     assert store.manifest().number == held and got() == ([], ["New.xml:new", "T.xml:another"])
+
+
+def test_depth_and_path_tell_data_sources_of_one_name_apart(spark):
+    from lodestrata.sources.entities import extract
+    from lodestrata.sources.tree import parse_files
+
+    box = lambda *inner: f"<DataSources>{''.join(inner)}</DataSources>"
+    one = lambda name, *inner: f"<AxQuerySimpleEmbeddedDataSource><Name>{name}</Name>{box(*inner) if inner else ''}</AxQuerySimpleEmbeddedDataSource>"
+    xml = f"<AxQuery><Name>Q</Name>{box(one('A', one('B', one('C')), one('B', one('C'), one('D'))))}</AxQuery>"
+    files = spark.createDataFrame([("P", "M", "AxQuery", "x/Q.xml", None, xml.encode())], "package string, model string, kind string, source_path string, modified timestamp, content binary")
+    got = rows(extract(parse_files(files))["query_data_sources"], "place", "depth", "path")
+    assert got == [("0", 1, "A"), ("0/0", 2, "A/B"), ("0/0/0", 3, "A/B/C"), ("0/1", 2, "A/B"), ("0/1/0", 3, "A/B/C"), ("0/1/1", 3, "A/B/D")]
+
+
+def test_labels_are_inlined_at_any_depth(spark):
+    schema = "id int, name string, fields array<struct<label:string,more:map<string,string>,n:int>>, own struct<a:string,b:array<string>>"
+    data = [(1, "@SYS1", [("x @SYS12 y", {"@SYS1": "@SYS1"}, 1), (None, None, 2)], ("@no1", ["@SYS1", None])), (2, None, None, None)]
+    labels = spark.createDataFrame([("SYS", "en-us", "SYS1", "one"), ("SYS", "cs", "SYS1", "jedna"), ("SYS", "en-us", "@SYS12", "twelve @SYS1")], "label_file string, language string, key string, value string")
+    got = {r["id"]: r for r in relations.inline_nested(spark.createDataFrame(data, schema), labels, "id", languages=["en-us", "cs"]).collect()}
+    assert got[1]["name"] == "one [[@SYS1]]" and got[1]["fields"][0]["label"] == "x twelve @SYS1 [[@SYS12]] y" and got[1]["fields"][0]["more"] == {"@SYS1": "one [[@SYS1]]"}
+    assert got[1]["fields"][1]["label"] is None and tuple(got[1]["own"]) == ("@no1", ["one [[@SYS1]]", None]) and tuple(got[2])[1:] == (None, None, None)

@@ -144,3 +144,45 @@ def test_coupling(spark):
     got = {r["v"]: (r["fan_out"], r["fan_in"], r["instability"]) for r in graph.coupling(e, graph.nodes_of(e)).collect()}
     assert got == {"P": (0, 2, 0.0), "C": (2, 0, 1.0), "S": (1, 1, 0.5)}
     assert {r["v"] for r in graph.dependencies(e, "c")[0].collect()} == {"P", "S"}
+
+
+def test_names_within_a_distance_are_all_found_and_few_are_measured(spark):
+    import random
+
+    from lodestrata.functions import fuzzy
+
+    r = random.Random(4)
+    names = sorted({"".join(r.choice("abC") for _ in range(r.randint(0, 7))) for _ in range(150)} | {"CustTable", "CustTrans", "VendTable"})
+    needles = ["", "a", "AB", "cusTabel", "VendTables", "x" * 9] + ["".join(r.choice("abc") for _ in range(r.randint(1, 8))) for _ in range(25)]
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            new = [i + 1]
+            for j, y in enumerate(b):
+                new.append(min(row[j] + (x != y), row[j + 1] + 1, new[j] + 1))
+            row = new
+        return row[-1]
+
+    for most in (1, 2):
+        got = fuzzy.within_distance(spark.createDataFrame([(n,) for n in [*names, None]], "name string"), spark.createDataFrame([(n,) for n in [*needles, None]], "needle string"), most)
+        want = sorted((a, b, d) for a in set(needles) for b in names if (d := distance(a.lower(), b.lower())) <= most)
+        assert sorted(map(tuple, got.collect())) == want and len(want) > 20
+    long = [f"{r.randrange(10**9):09d}" for _ in range(300)]
+    given = spark.createDataFrame([(n,) for n in long], "name string"), spark.createDataFrame([(n[:-1] + "x",) for n in long[:20]], "needle string"), 2, "name", "needle"
+    df = fuzzy.within_distance(*given)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert {x["name"] for x in df.collect()} >= set(long[:20]) and "Cartesian" not in plan and "NestedLoop" not in plan
+    assert fuzzy.near_pairs(*given).count() < 0.1 * len(long) * 20
+
+
+def test_postings_answer_as_the_scan_does(spark):
+    from lodestrata.operators import relations
+
+    sources = ["x = DemoTable.find();\r\n demotable y;\nDemoTableX z", "int demo; // DemoTable\nfoo", "", None, "a\na\nA\na b"]
+    methods = spark.createDataFrame([(f"C{i % 2}", f"m{i}", s) for i, s in enumerate(sources)], "class string, name string, source string")
+    postings = relations.identifier_postings(methods)
+    names = ["DEMOTABLE", "demo", "a", "B", "zz", "find"]
+    got = relations.references_of(postings, spark.createDataFrame([(n,) for n in names], "asked string"), "asked").collect()
+    want = [(n, r["class"], r["name"], r["sample_lines"]) for n in names for r in relations.source_references(methods, n).collect()]
+    assert sorted((r["searched"], r["class"], r["name"], r["sample_lines"]) for r in got) == sorted(want) and len(want) > 5
