@@ -378,3 +378,21 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # the key of both steps is one row's, so no text's copies meet in one task
     rows = with_number(docs, id_col, ranks, number, LAST_ID).withColumn(key, F.unhex(F.md5(_text(text_col))))
     return rows.join(stay, [number, key], "left_semi").dropDuplicates([number, key]).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def near_duplicate_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(a, b, similarity): verified links between different texts, by the least ids that have them; they join the same texts as all links do.
+
+    Not every pair of a class is among them: a text is compared with its bucket's leader first, and texts of one class
+    are not compared again. With `near_duplicate_classes`, which says what texts are equal, they show why texts are joined.
+    """
+    short_batches(docs.sparkSession)
+    ranks = id_ranks(docs, id_col)
+    keyed = _keyed(docs, id_col, text_col, ranks)
+    texts = distinct_texts(keyed)
+    _, met = find_classes(texts, keyed)
+    ids = texts.select("rid", F.when(F.col("id") != LAST_ID, F.col("id")).alias("id"))
+    if ranks is not None:
+        ids = ids.join(ranks, F.col("id") == F.col("_rank"), "left").select("rid", F.col("_id").alias("id"))
+    links = met.filter(F.col("similarity") >= SIMILAR).join(ids.toDF("a", "id_a"), "a").join(ids.toDF("b", "id_b"), "b")
+    return links.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), "similarity")

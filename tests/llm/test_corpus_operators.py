@@ -388,6 +388,27 @@ def test_near_duplicates(spark, seed):
     assert nd.near_duplicate_classes(empty(spark)).count() == nd.keep_first(empty(spark)).count() == 0
 
 
+def test_links_are_near_pairs_and_join_what_is_near(spark):
+    rows = near_texts(0)
+    want, last = class_of(rows), 1 << 63
+    first = {}
+    for i, t in rows:
+        first[t or ""] = min(first.get(t or "", last), last if i is None else i)
+    text_of = {i: t for t, i in first.items()}
+    links = nd.near_duplicate_links(docs(spark, rows)).collect()
+    parent = {i: i for i in text_of}
+
+    def root(i):
+        return i if parent[i] == i else root(parent[i])
+
+    for x in links:
+        exact = similarity(counted(text_of[x["a"]]), counted(text_of[x["b"]]))
+        assert x["a"] < x["b"] and abs(x["similarity"] - exact) < 1e-9 and exact >= 0.8
+        parent[max(root(x["a"]), root(x["b"]))] = min(root(x["a"]), root(x["b"]))
+    assert len(links) > 10 and all(root(i) == (last if want[t] is None else want[t]) for i, t in text_of.items())
+    assert nd.near_duplicate_links(empty(spark)).count() == 0
+
+
 def test_near_duplicates_take_ids_and_columns_of_any_name_and_type(spark):
     near = [" ".join(f"n{i}" for i in range(100)), " ".join(f"n{i}" for i in range(98)) + " x y"]
     rows = [("b", near[0], "mine", 7), ("a", near[1], "mine", 8), (None, near[0], "own", 9), ("c", "alone", "own", None)]

@@ -239,6 +239,33 @@ def test_attention_finds_the_bad_passage():
     assert ((m.score(bags[1000:]) > 0.5) == (np.array(y[1000:]) > 0.5)).mean() > 0.9
 
 
+def test_attention_equals_a_loop_over_passages():
+    """Scores of bags of any length, word for word as the method says: gated attention, weighted passages, a logistic."""
+    import math
+
+    r = np.random.default_rng(9)
+    bags = [r.normal(0, 3, size=(k, qc.N_FEATURES)) for k in (1, 4, 2, 30)]
+    m = qc.Attention(qc.N_FEATURES)
+    m.mean, m.scale = r.normal(size=qc.N_FEATURES), r.uniform(0.5, 2, qc.N_FEATURES)
+    for v in m.p.values():
+        v += r.normal(0, 0.2, v.shape)
+    p, scores = {k: v.tolist() for k, v in m.p.items()}, []
+    logistic = lambda x: 1 / (1 + math.exp(-x))
+    dot = lambda row, matrix, j: sum(x * w[j] for x, w in zip(row, matrix, strict=True))
+    for bag in bags:
+        encoded, energy = [], []
+        for passage in bag.tolist():
+            x = [max(-8.0, min(8.0, (f - a) / b)) for f, a, b in zip(passage, m.mean.tolist(), m.scale.tolist(), strict=True)]
+            h = [math.tanh(dot(x, p["W"], j) + p["b"][j]) for j in range(qc.HIDDEN)]
+            energy.append(sum(math.tanh(dot(h, p["V"], j)) * logistic(dot(h, p["U"], j)) * p["w"][j] for j in range(qc.ATTENTION)))
+            encoded.append(h)
+        total = sum(math.exp(e) for e in energy)
+        z = [sum(math.exp(e) / total * h[j] for e, h in zip(energy, encoded, strict=True)) for j in range(qc.HIDDEN)]
+        scores.append(logistic(sum(a * b for a, b in zip(z, p["c"], strict=True)) + p["d"][0]))
+    assert np.allclose(m.score(bags), scores, atol=1e-9)
+    assert np.allclose(m.score([bags[2]]), scores[2], atol=1e-9) and len(m.score([])) == 0
+
+
 def test_attention_learns_down_its_gradient():
     """The fit's step against the loss measured at two near points, for every weight."""
     r = np.random.default_rng(4)
