@@ -69,29 +69,35 @@ def suggest_types(types: DataFrame, field: str, limit: int = 5, col: str = "name
 # ---------------------------------------------------------------- names for a table of needles
 
 
-def _segments(length: Column, most: int) -> Column:
-    """Number, start (from 0) and length of the most + 1 segments that a text of this length is cut into; the last are the longer."""
-    base, longer = F.floor(length / (most + 1)).cast("int"), length % (most + 1)
-    first = F.lit(most + 1) - longer  # the first that is one longer
-    return F.transform(F.sequence(F.lit(0), F.lit(most)), lambda i: F.struct(i.alias("i"), (i * base + F.greatest(i - first, F.lit(0))).alias("start"), (base + F.when(i >= first, 1).otherwise(0)).alias("size")))
+def _shortened(low: Column, most: int) -> Column:
+    """Hashes of a text without any `most` or fewer of its characters, most being 1 or 2."""
+    length = F.length(low)
+
+    def without(i: Column, j: Column) -> Column:
+        """Without the characters i < j, counted from 1; 0 is none."""
+        left = F.when(i > 0, F.substring(low, F.lit(1), i - 1)).otherwise("")
+        return F.xxhash64(F.concat(left, F.substring(low, i + 1, j - i - 1), F.substring(low, j + 1, length)))
+
+    one = F.transform(F.sequence(F.lit(0), length), lambda j: without(F.lit(0), j))
+    if most == 1:
+        return F.array_distinct(one)
+    first = F.when(length > 1, F.sequence(F.lit(1), length - 1)).otherwise(F.array().cast("array<int>"))
+    two = F.flatten(F.transform(first, lambda i: F.transform(F.sequence(i + 1, length), lambda j: without(i, j))))
+    return F.array_distinct(F.concat(one, two))
 
 
 def near_pairs(names: DataFrame, needles: DataFrame, most: int, name_col: str, needle_col: str) -> DataFrame:
     """(needle, wanted, name, low) of the pairs that may be near, lower-cased too; all that are near are among them.
 
-    An equi-join: a name is cut into most + 1 segments, of which that many edits leave one whole, at a place in the needle
-    that is at most `most` away from its own. So needles meet names of about their length by such a segment.
+    An equi-join over deletions: texts at most `most` edits apart have a text in common that is left when each loses at
+    most that many characters. What all names share, such as a beginning, is a part of every such text and joins none.
     """
-    own = names.select(F.col(name_col).alias("name")).dropna().distinct().withColumn("low", F.lower("name")).withColumn("len", F.length("low"))
-    own = own.select("name", "low", "len", F.explode(_segments(F.col("len"), most)).alias("s"))
-    own = own.select("name", "low", "len", F.col("s.i").alias("i"), F.substring("low", F.col("s.start") + 1, F.col("s.size")).alias("part"))
-    asked = needles.select(F.col(needle_col).alias("needle")).dropna().distinct().withColumn("wanted", F.lower("needle")).withColumn("m", F.length("wanted"))
-    asked = asked.select("needle", "wanted", "m", F.explode(F.sequence(F.greatest(F.col("m") - most, F.lit(0)), F.col("m") + most)).alias("len"))
-    asked = asked.select("*", F.explode(_segments(F.col("len"), most)).alias("s"))
-    asked = asked.select("needle", "wanted", "m", "len", "s", F.explode(F.sequence(F.greatest(F.col("s.start") - most, F.lit(0)), F.col("s.start") + most)).alias("at"))
-    asked = asked.filter(F.col("at") + F.col("s.size") <= F.col("m"))
-    asked = asked.select("needle", "wanted", "len", F.col("s.i").alias("i"), F.substring("wanted", F.col("at") + 1, F.col("s.size")).alias("part")).distinct()
-    return asked.join(own, ["len", "i", "part"]).select("needle", "wanted", "name", "low").distinct()
+    if most not in (1, 2):
+        raise ValueError("deletions are made for distances of 1 and 2")
+    own = names.select(F.col(name_col).alias("name")).dropna().distinct().withColumn("low", F.lower("name"))
+    asked = needles.select(F.col(needle_col).alias("needle")).dropna().distinct().withColumn("wanted", F.lower("needle"))
+    own, asked = own.select("*", F.explode(_shortened(F.col("low"), most)).alias("rest")), asked.select("*", F.explode(_shortened(F.col("wanted"), most)).alias("rest"))
+    return asked.join(own, "rest").select("needle", "wanted", "name", "low").distinct()
 
 
 def within_distance(names: DataFrame, needles: DataFrame, most: int = 2, name_col: str = "name", needle_col: str = "needle") -> DataFrame:

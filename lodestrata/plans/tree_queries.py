@@ -6,12 +6,15 @@ SQL that gives its rows from the tables that the files came from. Models are nat
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.operators import details, graph, lint, relations, search, stats
 from lodestrata.plans.catalogue import Catalogue
 from lodestrata.plans.tables import Tables
+from lodestrata.session import checkpoint
 from lodestrata.sources.entities import extract
 from lodestrata.sources.labels import inline_labels, label_rows
 from lodestrata.sources.tree import parse_descriptors, parse_files, source_blocks
@@ -78,6 +81,11 @@ def extracted(*made: DataFrame) -> dict[str, DataFrame]:
     return extract(parse_files(out))
 
 
+def extracted_once(*made: DataFrame) -> dict[str, DataFrame]:
+    """The same for queries that ask for several tables: the files are parsed once for all of them."""
+    return extract(checkpoint(parse_files(reduce(DataFrame.unionByName, made))))
+
+
 def listed(column: str, *fields: str) -> Column:
     """A list of children as text: fields joined by a colon, children by a comma; null fields are empty."""
     return F.array_join(F.transform(column, lambda x: F.concat_ws(":", *[F.coalesce(x[f].cast("string"), F.lit("")) for f in fields])), ",")
@@ -131,7 +139,8 @@ def tree_table_indexes(t):
  (select string_agg('I'||o_orderkey, ',' order by 'I'||o_orderkey) from orders where o_custkey=c_custkey and o_orderkey%7=0 and o_orderkey in (select l_orderkey from lineitem)) as indexes, c_mktsegment||':Cascade' as delete_actions, c_name||':'||c_mktsegment||':'||case when c_acctbal>0 then 'ZeroMore' else '' end as relations
  from customer join nation on n_nationkey=c_nationkey where c_name='Customer#000000007'""")
 def get_table(t):
-    got = details.get(Catalogue(t.spark, tables=extracted(table_files(t))), "tables", "Customer#000000007")
+    own = table_files(t).filter(F.col("source_path").endswith("/Customer#000000007.xml"))  # a file bears its object's name
+    got = details.get(Catalogue(t.spark, tables=extracted_once(own)), "tables", "Customer#000000007")
     return got.select("name", "model", "label", listed("fields", "name").alias("fields"), listed("indexes", "name").alias("indexes"), listed("delete_actions", "related_table", "delete_action").alias("delete_actions"), listed("relations", "from_table", "to_table", "cardinality").alias("relations"))
 
 
@@ -233,7 +242,7 @@ def find_coc_extensions(t):
 
 @query(f"select name, model, string_agg(m, ',' order by m) as methods from (select class as name, model, name as m from ({METHOD}) where class='Supplier#000000004_Extension') group by all")
 def get_class(t):
-    got = details.get(Catalogue(t.spark, tables=extracted(class_files(t))), "classes", "Supplier#000000004_Extension")
+    got = details.get(Catalogue(t.spark, tables=extracted_once(class_files(t))), "classes", "Supplier#000000004_Extension")
     return got.select("name", "model", listed("methods", "name").alias("methods"))
 
 
@@ -278,7 +287,7 @@ def tree_enum_values(t):
 
 @query(f"""select "enum" as name, model, string_agg(name||':'||coalesce(value::varchar,''), ',' order by coalesce(value,position), name) as vals from ({ENUM_VALUE}) where "enum"='NATION_15' group by all""")
 def get_enum(t):
-    got = details.get(Catalogue(t.spark, tables=extracted(enum_files(t))), "enums", "NATION_15")
+    got = details.get(Catalogue(t.spark, tables=extracted_once(enum_files(t))), "enums", "NATION_15")
     return got.select("name", "model", listed("values", "name", "value").alias("vals"))
 
 
@@ -299,7 +308,7 @@ def tree_edts(t):
 
 @query(f"select * from ({EDT}) where name='E12'")
 def get_edt(t):
-    return details.get(Catalogue(t.spark, tables=extracted(edt_files(t))), "edts", "E12")
+    return details.get(Catalogue(t.spark, tables=extracted_once(edt_files(t))), "edts", "E12")
 
 
 def menu_files(t) -> DataFrame:
@@ -317,7 +326,7 @@ def tree_menu_items(t):
 
 @query(f"select * from ({MENU}) where name='Customer#000000005'")
 def get_menu_item(t):
-    return details.get(Catalogue(t.spark, tables=extracted(menu_files(t))), "menu_items", "Customer#000000005")
+    return details.get(Catalogue(t.spark, tables=extracted_once(menu_files(t))), "menu_items", "Customer#000000005")
 
 
 def form_files(t) -> DataFrame:
@@ -346,7 +355,7 @@ def tree_form_data_sources(t):
 
 @query(f"select f.name, f.model, f.pattern, string_agg(s.name||':'||s.table_name||':'||coalesce(s.join_source,''), ',' order by s.order_index) as sources from ({FORM}) f join ({SOURCE}) s on s.form=f.name where f.name='F201' group by all")
 def get_form(t):
-    got = details.get(Catalogue(t.spark, tables=extracted(form_files(t))), "forms", "F201")
+    got = details.get(Catalogue(t.spark, tables=extracted_once(form_files(t))), "forms", "F201")
     return got.select("name", "model", "pattern", listed("data_sources", "name", "table_name", "join_source").alias("sources"))
 
 
@@ -398,19 +407,19 @@ def tree_security(t):
 
 @query("""select r_name as name, r_name as model, (select string_agg(n_name, ',' order by n_name) from nation where n_regionkey=r_regionkey) as duties, (select string_agg(s_name, ',' order by s_name) from supplier join nation on n_nationkey=s_nationkey where n_regionkey=r_regionkey) as privileges from region where r_name='ASIA'""")
 def get_security_role(t):
-    got = details.get(Catalogue(t.spark, tables=extracted(*security_files(t))), "security_roles", "ASIA")
+    got = details.get(Catalogue(t.spark, tables=extracted_once(*security_files(t))), "security_roles", "ASIA")
     return got.select("name", "model", listed("duties", "duty").alias("duties"), listed("privileges", "privilege").alias("privileges"))
 
 
 @query("select n_name as name, (select string_agg(c_name, ',' order by c_name) from customer where c_nationkey=n_nationkey) as privileges from nation where n_name='NATION_3'")
 def get_security_duty(t):
-    got = details.get(Catalogue(t.spark, tables=extracted(*security_files(t))), "security_duties", "NATION_3")
+    got = details.get(Catalogue(t.spark, tables=extracted_once(*security_files(t))), "security_duties", "NATION_3")
     return got.select("name", listed("privileges", "privilege").alias("privileges"))
 
 
 @query("select c_name as name, n_name as model, coalesce((select string_agg('O'||o_orderkey||':'||o_orderstatus, ',' order by 'O'||o_orderkey) from orders where o_custkey=c_custkey and o_totalprice>300000),'') as points from customer join nation on n_nationkey=c_nationkey where c_name='Customer#000000085'")
 def get_security_privilege(t):
-    got = details.get(Catalogue(t.spark, tables=extracted(*security_files(t))), "security_privileges", "Customer#000000085")
+    got = details.get(Catalogue(t.spark, tables=extracted_once(*security_files(t))), "security_privileges", "Customer#000000085")
     return got.select("name", "model", listed("entry_points", "object_name", "access_level").alias("points"))
 
 
@@ -445,7 +454,7 @@ def query_source_paths(t):
 
 @query(f"select query as name, string_agg(name||':'||coalesce(parent_ds,''), ',' order by name) as sources from ({NESTED}) where query='AFRICA' group by all")
 def get_query(t):
-    got = details.get(Catalogue(t.spark, tables=extracted(query_files(t))), "queries", "AFRICA")
+    got = details.get(Catalogue(t.spark, tables=extracted_once(query_files(t))), "queries", "AFRICA")
     return got.select("name", listed("data_sources", "name", "parent_ds").alias("sources"))
 
 
@@ -470,7 +479,7 @@ def tree_view_fields(t):
 
 @query("select p_brand as name, 'Q' as query_name, string_agg('V'||p_partkey||':'||p_name, ',' order by 'V'||p_partkey) as fields from part where p_brand='Brand#13' group by all")
 def get_view(t):
-    got = details.get(Catalogue(t.spark, tables=extracted(view_files(t))), "views", "Brand#13")
+    got = details.get(Catalogue(t.spark, tables=extracted_once(view_files(t))), "views", "Brand#13")
     return got.select("name", "query_name", listed("fields", "name", "data_field").alias("fields"))
 
 
@@ -487,7 +496,7 @@ def tree_data_entity_fields(t):
 
 @query("select p_brand as name, 'Public5' as public_entity_name, string_agg('V'||p_partkey||':'||(p_size>20), ',' order by 'V'||p_partkey) as fields from part where p_brand='Brand#5' group by all")
 def get_data_entity(t):
-    got = details.get(Catalogue(t.spark, tables=extracted(entity_files(t))), "data_entities", "Public5")
+    got = details.get(Catalogue(t.spark, tables=extracted_once(entity_files(t))), "data_entities", "Public5")
     return got.select("name", "public_entity_name", listed("fields", "name", "is_read_only").alias("fields"))
 
 
@@ -503,7 +512,7 @@ def tree_report_data_sets(t):
 
 @query("select p_brand as name, 'Report' as kind, string_agg('V'||p_partkey||':'||p_type, ',' order by 'V'||p_partkey) as sets from part where p_brand='Brand#7' group by all")
 def get_report(t):
-    got = details.get(Catalogue(t.spark, tables=extracted(report_files(t))), "reports", "Brand#7")
+    got = details.get(Catalogue(t.spark, tables=extracted_once(report_files(t))), "reports", "Brand#7")
     return got.select("name", "kind", listed("data_sets", "name", "query_or_class").alias("sets"))
 
 
@@ -522,13 +531,13 @@ def tree_service_operations(t):
 
 @query("select p_brand as name, 'C' as class, string_agg('V'||p_partkey, ',' order by 'V'||p_partkey) as operations from part where p_brand='Brand#2' group by all")
 def get_service(t):
-    got = details.get(Catalogue(t.spark, tables=extracted(*service_files(t))), "services", "Brand#2")
+    got = details.get(Catalogue(t.spark, tables=extracted_once(*service_files(t))), "services", "Brand#2")
     return got.select("name", "class", listed("operations", "operation_name").alias("operations"))
 
 
 @query("select p_brand as name, string_agg('V'||p_partkey, ',' order by 'V'||p_partkey) as members from part where p_brand='Brand#2' group by all")
 def get_service_group(t):
-    got = details.get(Catalogue(t.spark, tables=extracted(*service_files(t))), "service_groups", "Brand#2")
+    got = details.get(Catalogue(t.spark, tables=extracted_once(*service_files(t))), "service_groups", "Brand#2")
     return got.select("name", listed("members", "service_name").alias("members"))
 
 
