@@ -114,3 +114,19 @@ def sarif(found: DataFrame, rule: str, message: str, uri: str) -> DataFrame:
     """Findings as results of a static analysis log, one JSON text a row."""
     place = F.array(F.struct(F.struct(F.struct(F.col(uri).alias("uri")).alias("artifactLocation")).alias("physicalLocation")))
     return found.select(F.to_json(F.struct(F.col(rule).alias("ruleId"), F.struct(F.col(message).alias("text")).alias("message"), place.alias("locations"))).alias("result"))
+
+
+# The version of the log format and where its schema lies.
+SARIF_VERSION, SARIF_SCHEMA = "2.1.0", "https://json.schemastore.org/sarif-2.1.0.json"
+
+
+def sarif_document(found: DataFrame, rule: str, message: str, uri: str, tool: str = "lodestrata") -> dict:
+    """A whole static analysis log of findings: its version, the tool with the rules that were broken, and their results in order.
+
+    It holds MOST_ROWS results at most and says in its properties when there are more; `sarif` gives all as rows.
+    """
+    shown = found.select(rule, message, uri).orderBy(rule, uri, message).limit(MOST_ROWS + 1)
+    rows = [json.loads(r["result"]) for r in sarif(shown, rule, message, uri).collect()]
+    rules = [{"id": r[0]} for r in found.select(rule).distinct().orderBy(rule).collect()]  # a row a rule
+    run = {"tool": {"driver": {"name": tool, "rules": rules}}, "results": rows[:MOST_ROWS]}
+    return {"version": SARIF_VERSION, "$schema": SARIF_SCHEMA, "runs": [run | ({"properties": {"truncated": True}} if len(rows) > MOST_ROWS else {})]}

@@ -555,3 +555,17 @@ def test_labels_are_inlined_at_any_depth(spark):
     got = {r["id"]: r for r in relations.inline_nested(spark.createDataFrame(data, schema), labels, "id", languages=["en-us", "cs"]).collect()}
     assert got[1]["name"] == "one [[@SYS1]]" and got[1]["fields"][0]["label"] == "x twelve @SYS1 [[@SYS12]] y" and got[1]["fields"][0]["more"] == {"@SYS1": "one [[@SYS1]]"}
     assert got[1]["fields"][1]["label"] is None and tuple(got[1]["own"]) == ("@no1", ["one [[@SYS1]]", None]) and tuple(got[2])[1:] == (None, None, None)
+
+
+def test_a_static_analysis_log_is_whole(spark, monkeypatch):
+    from lodestrata.plans import api
+
+    found = spark.createDataFrame([("B", "second", "x/T.xml"), ("A", "first", "x/U.xml"), ("B", "first", "x/T.xml")], "rule string, text string, path string")
+    got = api.sarif_document(found, "rule", "text", "path")
+    run = got["runs"][0]
+    assert got["version"] == "2.1.0" and run["tool"]["driver"] == {"name": "lodestrata", "rules": [{"id": "A"}, {"id": "B"}]} and "properties" not in run
+    assert [(r["ruleId"], r["message"]["text"]) for r in run["results"]] == [("A", "first"), ("B", "first"), ("B", "second")]
+    assert run["results"][0]["locations"][0]["physicalLocation"]["artifactLocation"]["uri"] == "x/U.xml"
+    monkeypatch.setattr(api, "MOST_ROWS", 1)
+    assert api.sarif_document(found, "rule", "text", "path")["runs"][0]["properties"] == {"truncated": True}
+    assert api.sarif_document(found.limit(0), "rule", "text", "path")["runs"][0]["results"] == []
