@@ -22,9 +22,12 @@ to front-code. So beyond `DIRECT` buckets both exchanges go by way of cells of n
 cell has buckets. A part of a cell, of bounded size, merges the runs that came to it and deals them to its buckets as
 fewer and longer ones.
 
-Hot anchors. A string that very many documents hold with other bytes around it would fill one bucket with different
-suffixes. Such strings are counted first; theirs go as the windows around them, each a suffix of its own in the bucket
-of all its bytes, where equal ones are again sent once by a task.
+Crowded buckets. A string that very many documents hold with other bytes around it would fill one bucket with different
+suffixes. So a bucket has slots, whose anchors are counted first. Where a bucket has more than twice the mean, its slots
+beyond an eighth of the mean go as the windows around their anchors, each a suffix of its own in the bucket of all its
+bytes, where equal ones are again sent once by a task and once by a part of a cell. The mean is bounded by PER_BUCKET, so
+what a bucket keeps is, at any size of the input. The counts are estimates from one anchor in SAMPLED, by its hash; they
+choose the way of an anchor and no result. The driver holds a bit a slot, that is a bit for each 750 KB of text.
 
 Defined results: texts are UTF-8; a null text is empty. Ids that aren't integers are compared in their own order. Texts shorter than SPAN lose nothing. Of equal texts all but the
 smallest id's go. Rows with the same id don't remove each other's bytes; identical rows each keep a row. Null ids come
@@ -43,7 +46,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import groups_of, id_ranks, mix64, partitions, short_batches, with_number
+from lodestrata.llm.common import groups_of, id_ranks, materialise, mix64, partitions, short_batches, with_number
 
 SPAN, GRAM = 50, 20
 #: Anchors that a window has room for, and the most bytes before an anchor that a window holds.
@@ -51,8 +54,8 @@ ROOM = SPAN - GRAM + 1
 BEFORE = SPAN - GRAM
 #: Bytes hashed at once, bytes whose anchors and whose suffixes are grouped in a task, bytes of text that a bucket's anchors come from.
 BLOCK, GROUP, RUN_GROUP, PER_BUCKET = 1_000_000, 8_000_000, 4_000_000, 12_000_000
-#: A hot anchor: occurrences in all texts at least, and the most of them that are told apart; occurrences in GROUP bytes that count.
-HOT, HOT_MOST, HOT_LOCAL = 20_000, 500_000, 8
+#: Slots of a bucket, one anchor of how many is counted, and anchors up to which a bucket is never crowded.
+SLOTS, SAMPLED, FEW = 16, 16, 20_000
 #: Buckets that a task sends to directly, and bytes of text that a part of a cell comes from.
 DIRECT, PER_PART = 4096, 16_000_000
 LAST_ID = (1 << 63) - 1
@@ -137,22 +140,35 @@ def grouped(batches: Iterator[pd.DataFrame], text: str, most: int) -> Iterator[p
         yield pd.concat(held, ignore_index=True)
 
 
-def frequent_anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(gram, n) of the anchors that are frequent in a group of texts."""
-    for b in grouped(batches, "text", GROUP):
-        texts = [bytes(t) for t in b["text"]]
-        found = [anchors(texts[lo:hi])[2] for lo, hi in groups_of([len(t) for t in texts], BLOCK)]
-        gram, n = np.unique(np.concatenate(found), return_counts=True)
-        often = n >= HOT_LOCAL
-        if often.any():
-            yield pd.DataFrame({"gram": gram[often].view(np.int64), "n": n[often]})
+def slot_counts(slots: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """(slot, n) of a group of texts: how many of its anchors that are counted lie in each slot."""
+        for b in grouped(batches, "text", GROUP):
+            texts, which = [bytes(t) for t in b["text"]], mix64(b["id"].to_numpy(np.int64).view(np.uint64)) ^ b["key"].to_numpy(np.int64).view(np.uint64)
+            found = []
+            for lo, hi in groups_of([len(t) for t in texts], BLOCK):
+                doc, at, h = anchors(texts[lo:hi])
+                found.append(h[mix64(which[lo + doc] + at.astype(np.uint64) * ODD) % np.uint64(SAMPLED) == 0])
+            slot, n = np.unique(np.concatenate(found) % np.uint64(slots), return_counts=True)
+            yield pd.DataFrame({"slot": slot.astype(np.int64), "n": n})
 
+    return run
 
-def hot_anchors(keyed: DataFrame, total: int) -> np.ndarray:
-    """Hashes of the hot anchors, HOT_MOST at most by the threshold: of `total` bytes about one in 15 starts an anchor."""
-    least = max(HOT, total // 15 // HOT_MOST)
-    counts = keyed.select("text").mapInPandas(frequent_anchors, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-    return np.sort(np.array([r["gram"] for r in counts.filter(F.col("n") >= least).select("gram").collect()], dtype=np.int64).view(np.uint64))
+
+def crowded_slots(keyed: DataFrame, buckets: int) -> tuple[np.ndarray, int]:
+    """A bit for each slot, set where its anchors go as windows, and about how many anchors these are."""
+    slots = buckets * SLOTS
+    counts = materialise(keyed.select("id", "key", "text").mapInPandas(slot_counts(slots), "slot bigint, n bigint").groupBy("slot").agg((F.sum("n") * SAMPLED).alias("n")))
+    mean = (counts.agg(F.sum("n")).first()[0] or 0) // buckets
+    own = counts.groupBy((F.col("slot") / SLOTS).cast("bigint").alias("bucket")).agg(F.sum("n").alias("total"), F.collect_list(F.struct("slot", "n")).alias("own"))  # SLOTS at most
+    full = own.filter(F.col("total") > max(2 * mean, FEW)).select(F.inline("own")).filter(F.col("n") > max(mean, FEW) // 8).toPandas()
+    bits = np.zeros(slots, dtype=bool)
+    bits[full["slot"].to_numpy(np.int64)] = True
+    return np.packbits(bits, bitorder="little"), int(full["n"].sum())
+
+
+def is_set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
 ANCHORS = "bucket int, shared boolean, ids binary, keys binary, doc binary, pos binary, gram binary, fine binary"
@@ -168,6 +184,11 @@ def anchor_row(bucket: int, shared: bool, ids: np.ndarray, keys: np.ndarray, doc
     return bucket, shared, ids[used].tobytes(), keys[used].tobytes(), planes(local), planes(pos), planes(np.diff(gram, prepend=gram[:0].dtype.type(0))), b"" if fine is None else planes(fine)
 
 
+def one_of(keys: np.ndarray, n: int) -> int:
+    """A number below n for rows that may go anywhere."""
+    return int(mix64(keys[:1].view(np.uint64))[0] % np.uint64(n))
+
+
 def cells_of(buckets: int) -> int:
     """Buckets of a cell: 1 where tasks send to buckets directly."""
     return 1 if buckets <= DIRECT else math.isqrt(buckets - 1) + 1
@@ -195,6 +216,13 @@ def pairs_of(ids: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return both[:, 0], both[:, 1], doc.ravel()
 
 
+def met(ids: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted anchors whose hash is `new` where it differs from the one before: those that two documents have, and the first of each."""
+    start = np.flatnonzero(new)
+    two = np.minimum.reduceat(ids, start) != np.maximum.reduceat(ids, start)
+    return np.repeat(two, np.diff(np.r_[start, len(ids)])), new
+
+
 def dealt_anchors(width: int):
     """The anchors of a part of a cell by bucket; those known to be shared pass."""
 
@@ -209,9 +237,15 @@ def dealt_anchors(width: int):
         order = np.lexsort((gram, fine))
         ids, keys, doc = pairs_of(ids, keys)
         doc, pos, gram, fine = doc[order], pos[order], gram[order].astype(np.uint64), fine[order]
-        edges = np.flatnonzero(np.r_[True, fine[1:] != fine[:-1], True])
-        start = int(sent["bucket"].iloc[0]) * width
-        rows = [anchor_row(start + int(fine[lo]), False, ids, keys, doc[lo:hi], pos[lo:hi], gram[lo:hi], None) for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
+        shared, first = met(ids[doc], np.r_[True, (gram[1:] != gram[:-1]) | (fine[1:] != fine[:-1])])
+        start, rows = int(sent["bucket"].iloc[0]) * width, []
+        if shared.any():  # of an anchor that this part shows to be shared, one goes on
+            rows.append(anchor_row(start + one_of(keys, width), True, ids, keys, doc[shared], pos[shared], gram[shared], None))
+        send = np.flatnonzero(~shared | first)
+        edges = np.flatnonzero(np.r_[True, fine[send][1:] != fine[send][:-1], True])
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            at = send[lo:hi]
+            rows.append(anchor_row(start + int(fine[at[0]]), False, ids, keys, doc[at], pos[at], gram[at], None))
         return pd.concat([known, pd.DataFrame(rows, columns=names(ANCHORS))], ignore_index=True)
 
     return run
@@ -235,12 +269,7 @@ def anchor_blocks(buckets: int):
             full = ((h % np.uint64(buckets)) << np.uint64(32)) | (h >> np.uint64(32))
             order = np.argsort(full, kind="stable")
             full, doc, pos = full[order], doc[order], pos[order]
-            start = np.flatnonzero(np.r_[True, full[1:] != full[:-1]])
-            sizes = np.diff(np.r_[start, len(full)])
-            mine = ids[doc]
-            shared = np.repeat(np.minimum.reduceat(mine, start) != np.maximum.reduceat(mine, start), sizes)
-            first = np.zeros(len(full), dtype=bool)
-            first[start] = True
+            shared, first = met(ids[doc], np.r_[True, full[1:] != full[:-1]])
             rows = []
 
             def add(bucket: int, known: bool, at: np.ndarray) -> None:
@@ -248,7 +277,7 @@ def anchor_blocks(buckets: int):
                 rows.append(anchor_row(bucket, known, ids, keys, doc[at], pos[at], full[at] & np.uint64(0xFFFFFFFF), fine))
 
             if shared.any():
-                add(int(mix64(keys[:1].view(np.uint64))[0] % np.uint64(buckets)), True, np.flatnonzero(shared))
+                add(one_of(keys, buckets), True, np.flatnonzero(shared))
             send = np.flatnonzero(~shared | first)
             edges = np.searchsorted((full[send] >> np.uint64(32)) // np.uint64(width), np.arange(cells + 1).astype(np.uint64))
             for k in np.flatnonzero(np.diff(edges)):
@@ -274,9 +303,7 @@ def shared_anchors(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, keys, pos, gram = map(np.concatenate, parts)
         order = np.argsort(gram, kind="stable")
         gram, mine = gram[order], ids[order]
-        start = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
-        two = np.minimum.reduceat(mine, start) != np.maximum.reduceat(mine, start)
-        at = order[np.repeat(two, np.diff(np.r_[start, len(gram)]))]
+        at = order[met(mine, np.r_[True, gram[1:] != gram[:-1]])[0]]
         out.append(pd.DataFrame({"id": ids[at], "key": keys[at], "pos": pos[at].astype(np.int32)}))
     return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"id": [], "key": [], "pos": []}).astype({"id": np.int64, "key": np.int64, "pos": np.int32})
 
@@ -313,10 +340,13 @@ def front_decode(same: np.ndarray, fresh: bytes, width: int) -> np.ndarray:
     return m[source, np.arange(width)]
 
 
-def sorted_runs(buckets: int, hot: np.ndarray):
-    """Front-coded runs of a task's suffixes at shared anchors, and spans that are known already (buckets below 0)."""
-    width = cells_of(buckets)
-    cells = (buckets - 1) // width + 1
+def sorted_runs(buckets: int, crowded: np.ndarray, wide: int):
+    """Front-coded runs of a task's suffixes at shared anchors, and spans that are known already (buckets below 0).
+
+    crowded: a bit a slot; their windows go to all of `wide` buckets.
+    """
+    width = cells_of(wide)
+    cells = (wide - 1) // width + 1
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in grouped(batches, "text", RUN_GROUP):
@@ -328,10 +358,12 @@ def sorted_runs(buckets: int, hot: np.ndarray):
             starts = BEFORE + np.cumsum(lengths + SPAN) - (lengths + SPAN)
             doc, at = np.repeat(np.arange(len(b)), sizes), np.concatenate(pos)
             windows = np.lib.stride_tricks.sliding_window_view(flat, SPAN)
-            spread = np.isin(gram_hash(windows[starts[doc] + at], GRAM), hot) if len(hot) else np.zeros(len(at), dtype=bool)
+            slot = (gram_hash(windows[starts[doc] + at], GRAM) % np.uint64(buckets * SLOTS)).astype(np.int64)
+            spread = is_set(crowded, slot)
             own_doc, own_at = windows_around(doc[spread], at[spread], lengths)
             alone = np.repeat([False, True], [int((~spread).sum()), len(own_at)])
             doc, at = np.r_[doc[~spread], own_doc], np.r_[at[~spread], own_at]
+            bucket = np.r_[slot[~spread] // SLOTS, (gram_hash(windows[starts[own_doc] + own_at], SPAN) % np.uint64(wide)).astype(np.int64)]
             here = starts[doc] + at
             after = windows[here]
             left, right = np.where(alone, 0, np.minimum(at, BEFORE)), np.minimum(lengths[doc] - at, SPAN)
@@ -339,24 +371,15 @@ def sorted_runs(buckets: int, hot: np.ndarray):
             prior[np.arange(BEFORE) >= left[:, None]] = 0
             room = np.stack([left, right], axis=1).astype(np.uint8)
             ids, keys = b["id"].to_numpy(np.int64), b["key"].to_numpy(np.int64)
-            whole = np.concatenate([after, prior, room], axis=1)
-            lines = np.ascontiguousarray(whole).view(f"V{whole.shape[1]}").ravel()
-            order = np.argsort(ids[doc], kind="stable")
-            order = order[np.argsort(lines[order], kind="stable")]  # by content and then by id
-            content = lines[order]
-            new = np.r_[True, content[1:] != content[:-1]]
-            least = ids[doc][order][new][np.cumsum(new) - 1]
-            known = order[ids[doc][order] > least]
+            first, known = least_of_equals(after, prior, room, ids[doc])
             rows = []
 
             def add(bucket: int, pick: np.ndarray, fine: np.ndarray | None = None) -> None:
                 rows.append(run_row(bucket, after[pick], prior[pick], room[pick], ids, keys, doc[pick], at[pick], fine))
 
             if len(known):
-                add(-1 - int(mix64(keys[:1].view(np.uint64))[0] % np.uint64(buckets)), known)
-            first = order[ids[doc][order] == least]
-            shown = np.where(np.arange(SPAN) < np.where(alone[first], SPAN, GRAM)[:, None], after[first], 0)
-            bucket = (gram_hash(shown, SPAN) % np.uint64(buckets)).astype(np.int64)
+                add(-1 - one_of(keys, wide), known)
+            bucket = bucket[first]
             by = np.argsort(bucket // width, kind="stable")
             edges = np.searchsorted(bucket[by] // width, np.arange(cells + 1))
             for k in np.flatnonzero(np.diff(edges)):
@@ -367,6 +390,18 @@ def sorted_runs(buckets: int, hot: np.ndarray):
     return run
 
 
+def least_of_equals(after: np.ndarray, prior: np.ndarray, room: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes in order, of equal ones with equal bytes before them only the least document's, and the others."""
+    whole = np.concatenate([after, prior, room], axis=1)
+    lines = np.ascontiguousarray(whole).view(f"V{whole.shape[1]}").ravel()
+    order = np.argsort(ids, kind="stable")
+    order = order[np.argsort(lines[order], kind="stable")]  # by content and then by id
+    content = lines[order]
+    new = np.r_[True, content[1:] != content[:-1]][: len(order)]
+    least = ids[order][new][np.cumsum(new) - 1]
+    return order[ids[order] == least], order[ids[order] > least]
+
+
 def gram_hash(rows: np.ndarray, k: int) -> np.ndarray:
     """Hash of the first k bytes of each row, the same as that of `gram_hashes`."""
     h, each = np.zeros(len(rows), dtype=np.uint64), mix64(np.arange(1, 257, dtype=np.uint64))
@@ -511,11 +546,18 @@ def dealt_runs(width: int):
         room, (ids, keys, pos) = rooms(pdf), numbered(pdf)
         ids, keys, doc = pairs_of(ids, keys)
         fine = np.concatenate([unplanes(x) for x in pdf["fine"]]).astype(np.int64)
+        # of suffixes that are equal with what is before them only the least document's go on, as in a task
+        known = least_of_equals(after, prior, room, ids[doc])[1]
+        go = np.ones(len(order), dtype=bool)
+        go[known] = False
+        order = order[go[order]]
         order = order[np.argsort(fine[order], kind="stable")]
         edges = np.flatnonzero(np.r_[True, fine[order][1:] != fine[order][:-1], True])
         start = int(pdf["bucket"].iloc[0]) * width
         picks = [order[lo:hi] for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
         rows = [run_row(start + int(fine[k[0]]), after[k], prior[k], room[k], ids, keys, doc[k], pos[k], None) for k in picks]
+        if len(known):
+            rows.append(run_row(-1 - start - one_of(keys, width), after[known], prior[known], room[known], ids, keys, doc[known], pos[known], None))
         return pd.DataFrame(rows, columns=names(RUNS))
 
     return run
@@ -567,8 +609,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = by_cells(found, dealt_anchors, ANCHORS, total, buckets).groupBy("bucket").applyInPandas(shared_anchors, "id bigint, key bigint, pos int")
     at = found.groupBy("id", "key").agg(F.collect_list("pos").alias("at"))
     # both joins deal `keyed` out by the same key, so the texts move once
-    runs = keyed.join(at, ["id", "key"]).select("own_id", "id", "key", "text", "at").mapInPandas(sorted_runs(buckets, hot_anchors(keyed, total)), RUNS)
-    runs = by_cells(runs, dealt_runs, RUNS, total, buckets)
+    crowded, spread = crowded_slots(keyed, buckets)
+    wide = max(buckets, buckets * spread * ROOM // 2 // (total // 15 + 1))  # windows of neighbours overlap, so about half of ROOM an anchor
+    runs = keyed.join(at, ["id", "key"]).select("own_id", "id", "key", "text", "at").mapInPandas(sorted_runs(buckets, crowded, wide), RUNS)
+    runs = by_cells(runs, dealt_runs, RUNS, total, wide)
     spans = runs.groupBy("bucket").applyInPandas(merged_spans, SPANS).groupBy("id", "key").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     return keyed.join(spans, ["id", "key"], "left").select(F.col("own_id").alias(id_col), "text", "spans")
 

@@ -85,24 +85,54 @@ def test_suffix_dedup(spark, seed):
     assert sorted((tuple(r) for r in sd.dedup_report(docs(spark, rows)).collect()), key=key) == removed(rows)
 
 
-@pytest.mark.parametrize("hot", [1, 30])
-def test_suffix_dedup_with_hot_anchors(spark, hot, monkeypatch):
-    """Anchors count as hot from a few occurrences on; a phrase stands in most texts with other bytes around it."""
-    monkeypatch.setattr(sd, "HOT", hot)
-    monkeypatch.setattr(sd, "HOT_LOCAL", 1)
-    r = random.Random(hot)
-    phrase = "the same long phrase in the middle of it, over and over again"
-    more = [(1000 + i, "".join(r.choice("abcd") for _ in range(r.randint(0, 70))) + phrase[r.randint(0, 20) :] + "".join(r.choice("abcd") for _ in range(r.randint(0, 70)))) for i in range(60)]
-    rows = repeated_texts(hot) + more
-    keyed = docs(spark, rows).selectExpr("encode(coalesce(text, ''), 'UTF-8') AS text")
-    assert len(sd.hot_anchors(keyed, 0)) > 0
+#: Of these strings the one of least hash, which is an anchor wherever it stands.
+SHARED = min((b"%020d" % i for i in range(1000)), key=lambda x: sd.gram_hash(np.frombuffer(x, np.uint8)[None], sd.GRAM)[0])
+
+
+def in_most_texts(seed, n):
+    r = random.Random(seed)
+    around = lambda: "".join(r.choice("abcd") for _ in range(r.randint(40, 70)))
+    return [(1000 + i, around() + SHARED.decode() + around()) for i in range(n)]
+
+
+@pytest.mark.parametrize("few", [1, 30])
+def test_suffix_dedup_with_crowded_buckets(spark, few, monkeypatch):
+    """Buckets are many, and crowded from a few anchors on; a string stands in most texts with other bytes around it."""
+    for k, v in {"FEW": few, "SAMPLED": 1, "PER_BUCKET": 500}.items():
+        monkeypatch.setattr(sd, k, v)
+    rows = [x for x in repeated_texts(few) if len(x[1] or "") < 1000] + in_most_texts(few, 150)
+    keyed = docs(spark, rows).selectExpr("coalesce(doc_id, 0) AS id", "xxhash64(text) AS key", "encode(coalesce(text, ''), 'UTF-8') AS text")
+    assert sd.crowded_slots(keyed, 80)[0].any()
     assert sorted((tuple(r) for r in sd.dedup_report(docs(spark, rows)).collect()), key=key) == removed(rows)
+    rows = repeated_texts(few)
+    assert sorted((tuple(r) for r in sd.dedup_report(docs(spark, rows)).collect()), key=key) == removed(rows)
+
+
+def test_a_string_in_many_surroundings_fills_no_bucket(spark, monkeypatch):
+    """The largest bucket stays near the mean, however many surroundings a string has; without the slots it holds all of them."""
+    monkeypatch.setattr(sd, "FEW", 1)
+    for n in (2_000, 8_000):
+        rows, buckets = in_most_texts(n, n), n // 50
+        keyed = docs(spark, rows).selectExpr("doc_id AS id", "xxhash64(text) AS key", "encode(text, 'UTF-8') AS text")
+        crowded, anchors = sd.crowded_slots(keyed, buckets)
+        assert anchors > n / 4
+        batch = keyed.toPandas()
+        at = [bytes(t).find(SHARED) for t in batch["text"]]
+        batch["at"] = [[k] for k in at]
+
+        def largest(bits, batch=batch, buckets=buckets):
+            runs = pd.concat(sd.sorted_runs(buckets, bits, buckets)(iter([batch])))
+            runs = runs[runs["bucket"] >= 0]
+            return runs["pos"].map(lambda x: len(sd.unplanes(x))).groupby(runs["bucket"]).sum().max()
+
+        assert largest(np.zeros_like(crowded)) == n
+        assert largest(crowded) < 2 * sd.ROOM * n / buckets
 
 
-@pytest.mark.parametrize("hot", [20_000, 1])
-def test_suffix_dedup_by_way_of_cells(spark, hot, monkeypatch):
+@pytest.mark.parametrize("few", [20_000, 1])
+def test_suffix_dedup_by_way_of_cells(spark, few, monkeypatch):
     """Few bytes a bucket and few buckets that are sent to directly: runs go by cells, in several parts, and get longer."""
-    for k, v in {"HOT": hot, "HOT_LOCAL": 1, "DIRECT": 3, "PER_BUCKET": 2_000, "PER_PART": 5_000}.items():
+    for k, v in {"FEW": few, "SAMPLED": 1, "DIRECT": 3, "PER_BUCKET": 2_000, "PER_PART": 5_000}.items():
         monkeypatch.setattr(sd, k, v)
     rows = repeated_texts(7)
     assert sd.cells_of(100) == 10 and sd.cells_of(101) == 11 and sd.cells_of(3) == 1
@@ -113,8 +143,8 @@ def test_dealt_runs_are_fewer_and_longer(monkeypatch):
     monkeypatch.setattr(sd, "DIRECT", 3)
     texts = [t.encode() for _, t in repeated_texts(3) if t and len(t) >= sd.SPAN]
     batch = lambda part, at: pd.DataFrame({"id": np.arange(at, at + len(part)), "key": np.arange(at, at + len(part)) + 7, "text": part, "at": [list(range(len(t) - sd.GRAM + 1)) for t in part]})
-    none = np.empty(0, np.uint64)
-    sent = pd.concat([x for k in range(0, len(texts), 10) for x in sd.sorted_runs(400, none)(iter([batch(texts[k : k + 10], k)]))])
+    none = np.zeros(400 * sd.SLOTS // 8, np.uint8)
+    sent = pd.concat([x for k in range(0, len(texts), 10) for x in sd.sorted_runs(400, none, 400)(iter([batch(texts[k : k + 10], k)]))])
     sent, width = sent[sent["bucket"] >= 0], sd.cells_of(400)
     dealt = pd.concat([sd.dealt_runs(width)(g) for _, g in sent.groupby("bucket")])
 
@@ -127,7 +157,13 @@ def test_dealt_runs_are_fewer_and_longer(monkeypatch):
             out += zip(map(int, where), ids.tolist(), keys.tolist(), pos.tolist(), map(bytes, text), strict=True)
         return sorted(out)
 
-    assert held(sent, True) == held(dealt, False) and len(dealt) == dealt["bucket"].nunique() > len(sent)
+    known, dealt = dealt[dealt["bucket"] < 0], dealt[dealt["bucket"] >= 0]
+    before, after = held(sent, True), held(dealt, False)
+    assert set(after) <= set(before) and len(dealt) == dealt["bucket"].nunique() > len(sent)
+    again = [x for part in (known, dealt) for x in zip(*map(list, sd.numbered(part)), strict=True)]
+    assert len(known) and sorted(again) == sorted(x[1:4] for x in before)  # each goes on or is known, once
+    windows = lambda found: {(b, text) for b, _, _, _, text in found}
+    assert windows(before) == windows(after)
 
 
 def test_suffix_dedup_takes_ids_of_any_type(spark):
