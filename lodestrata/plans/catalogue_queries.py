@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +13,9 @@ from lodestrata.operators import details, fulltext, graph, lint, relations, sear
 from lodestrata.plans import tree_queries
 from lodestrata.plans.catalogue import merge_fingerprints, replace_by, update_labels
 from lodestrata.plans.tables import Tables
+from lodestrata.session import shared_dir
+from lodestrata.sources import label_files
+from lodestrata.sources.labels import read_label_files
 
 
 QUERIES: dict = {}
@@ -356,6 +362,28 @@ def label_changes(t):
     return update_labels(labels, on.unionByName(added))
 
 
+@query("""with p as (select 'L'||(p_size%7) as label_file, 'en-us' as language, p_partkey%10 as m, p_partkey, p_name, p_type from part)
+select label_file, language, case when m=1 then 'N' else 'K' end||p_partkey as key, case when m=0 then p_type||'\\n'||p_partkey else p_name end as value from p where m<>2
+union all select label_file, language, 'A'||p_partkey, p_type from p where m=3""")
+def changed_label_files(t):
+    """Label files, written, changed by keys (set, renamed, deleted and added ones) and read again."""
+    path = F.concat(F.lit("P/M/AxLabelFile/L"), (F.col("p_size") % 7).cast("string"), F.lit(".en-us.label.txt"))
+    part = t.part.select(path.alias("path"), (F.col("p_partkey") % 10).alias("m"), "p_partkey", F.concat(F.lit("K"), "p_partkey").alias("key"), "p_name", "p_type")
+    root = f"{shared_dir(t.spark)}/trees/{uuid.uuid4().hex}"
+    folder = t.spark._jvm.org.apache.hadoop.fs.Path(root)
+    folder.getFileSystem(t.spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    text = lambda n, line: part.select("path", (F.col("p_partkey") * 2 + n).cast("bigint").alias("n"), line.alias("line"))
+    label_files.write_lines(text(0, F.concat(F.lit(";"), "p_type")).unionByName(text(1, F.concat("key", F.lit("="), "p_name"))), root)
+    change = lambda m, key, value, new_key: part.filter(F.col("m") == m).select(F.col("p_partkey").alias("change_id"), "path", key.alias("key"), value.cast("string").alias("value"), new_key.cast("string").alias("new_key"))
+    none, key = F.lit(None), F.col("key")
+    of = [
+        change(0, key, F.concat("p_type", F.lit("\n"), "p_partkey"), none), change(1, key, none, F.concat(F.lit("N"), "p_partkey")), change(2, key, none, none),
+        change(3, F.concat(F.lit("A"), "p_partkey"), F.col("p_type"), none),
+    ]
+    label_files.change_label_files(t.spark, root, reduce(DataFrame.unionByName, of), overwrite=True)
+    return read_label_files(t.spark, root).select("label_file", "language", "key", "value")
+
+
 # ---------------------------------------------------------------- text
 
 
