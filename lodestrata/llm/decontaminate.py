@@ -1,45 +1,58 @@
-"""Benchmark decontamination: n-gram seeds find passages, Smith-Waterman alignment scores them.
-
-Words are lower-cased runs of letters and digits. Every n-gram of an item is a seed, however common: a choice by count
-would prefer those that an edited copy lacks. Three words in a row are rare enough to be a seed alone; pairs, which a
-copy keeps that is edited every third word, are so where two of an item stand about as far apart as in it. Short items
-have their words as seeds, half of which a passage must hold. An item of two words is met by both, in a row or with one
-word between, and one word by itself: their score must be above a half, as half of two words is one. One pass over the corpus looks for seeds, cuts out the passages
-around them (with room for insertions, overlaps joined) and aligns each with its item, all where the text is. Only a
-passage that shares too few words with its item to reach the threshold is left out before, which loses none.
+"""Benchmark decontamination: rare n-gram seeds join passages with items, Smith-Waterman alignment scores them.
+
+Words are lower-cased runs of letters and digits. A seed is a few words that follow each other with at most one word put
+in, left out or changed among them: three words of items of eight words or more, two of shorter ones, one of items of one
+word. So a seed does not need a run that an edited copy may lack: where an alignment reaches half of an item's score,
+either such words lie in it, or nearly every word has another put in behind it, which a wider pattern on the texts' side
+meets. Both sides are hashed, whatever the gaps, and joined on the hash.
+
+1. The n-grams of all items are a table. One pass over the corpus counts them.
+2. Seeds are chosen by these counts. N-grams that the corpus lacks find nothing. One that would bring more than SHARE hits
+   a word of the corpus is heavy, and left to the rarer ones of its stretch of the item, of which at least RARE stay.
+3. A second pass gives the places of seeds, which are joined with the items. Hits of a text and an item fall into slots as
+   long as the item; what a slot needs is its least and largest start, so a text with very many hits needs few rows.
+4. Only the texts so found are read for their words, in pieces; the pieces around each slot are put together and aligned,
+   if they share enough words with the item to reach the threshold at all.
+
+The corpus is read a fixed number of times, whatever the number of items. What tasks get beforehand is a field of bits, of
+at most 2^MAX_BITS, that tells n-grams which may be an item's; the joins are exact. Texts and items are known by their MD5, so copies
+of a text are judged once.
 The score is the best local alignment's, as a share of what the whole item would get: 1 is a copy, and each changed
 word costs a little.
 
-Items come in blocks of bounded size, each a stated query set against all documents; nothing else is sent to tasks. In a
-task the hits of seeds are counted before they are written out, by parts of the texts and, for a text with very many, by
-parts of the items.
-
-Defined results: null texts have no words. Items without words are ignored; of items with one id each counts, and the best score is reported. Repeated documents each have their rows. Empty tables give empty results. Other
-columns are kept by `drop_contaminated` and not read otherwise.
+Defined results: null texts have no words. Items without words are ignored; of items with one id each counts, and the best
+score is reported. Items of one and two words need SHORT_SCORE, and all that it admits are found. Repeated documents each
+have their rows. Empty tables give empty results. Other columns are kept by `drop_contaminated` and not read otherwise.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import ALNUM, ODD, groups_of, map_rows, map_texts, mix64, short_batches, word_hashes
+from lodestrata.llm.common import ALNUM, ODD, free_names, groups_of, materialise, mix64, short_batches, word_hashes
 
-#: Words of a seed that counts alone, and from how many words on an item has such seeds and pairs instead of words.
-GRAM, LONG_ITEM = 3, 8
+#: By kind of seed: words of an item up to which it has this kind, places of a seed's words in items, and in texts.
+KINDS = (
+    (1, ((0,),), ((0,),)),
+    (7, ((0, 1), (0, 2)), ((0, 1), (0, 2))),
+    (None, ((0, 1, 2), (0, 1, 3), (0, 2, 3)), ((0, 1, 2), (0, 1, 3), (0, 2, 3), (0, 2, 4))),
+)
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Least score that counts as contaminated.
 THRESHOLD = 0.5
 #: Words up to which an item is short, and the least score of such items where the threshold is lower: one gap in two words.
 SHORT, SHORT_SCORE = 2, 0.75
-#: Characters of a text block, characters of items sent to tasks at once, words of passages aligned together, hits of seeds at once.
-BLOCK, ITEM_CHARS, WORDS, HITS = 1_000_000, 8_000_000, 32_768, 1_000_000
+#: Words of a stretch of an item, its rarest n-grams that are always seeds, and hits a word of the corpus that make one heavy.
+STRETCH, RARE, SHARE = 6, 6, 1e-3
+#: Characters of a text block, words of a piece of a text, words of passages aligned together.
+BLOCK, PIECE, WORDS = 1_000_000, 4_096, 32_768
+#: Bits an n-gram in the field that tasks get, the most that it has (as a power of two), and those of a part that a task sets.
+BITS, MAX_BITS, PART_BITS = 64, 29, 19
 
 
 def hashed_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -58,47 +71,6 @@ def grams(doc: np.ndarray, word: np.ndarray, places: tuple[int, ...]) -> tuple[n
     return at, mix64(h[at])
 
 
-class Seeds:
-    """The n-grams of some items, in order, how their words stand in texts, and how many of an item must lie in a passage."""
-
-    def __init__(self, places: tuple[int, ...], gram: np.ndarray, item: np.ndarray, offset: np.ndarray, least: np.ndarray):
-        order = np.lexsort((offset, item, gram))
-        gram, item, offset = gram[order], item[order], offset[order]
-        new = np.ones(len(gram) + 1, dtype=bool)
-        new[1:-1] = (gram[1:] != gram[:-1]) | (item[1:] != item[:-1])
-        ends = np.flatnonzero(new[:-1] | new[1:])  # of an item's equal n-grams the first and the last, whose passages meet
-        self.places, self.gram, self.item, self.offset, self.least = places, gram[ends], item[ends], offset[ends], least
-
-    def parts(self, n: int) -> Iterator[Seeds]:
-        """The seeds of every n-th item."""
-        for k in range(n):
-            own = self.item % n == k
-            yield Seeds(self.places, self.gram[own], self.item[own], self.offset[own], self.least)
-
-
-class Items:
-    """A block of items: their words, how often each has a word, and their n-grams as seeds."""
-
-    def __init__(self, ids: list, texts: list[str]):
-        doc, word = hashed_words(texts)
-        edges = np.searchsorted(doc, np.arange(len(texts) + 1))
-        self.ids, self.words = ids, [word[edges[i] : edges[i + 1]] for i in range(len(texts))]
-        self.size = np.diff(edges)
-        self.seeds: list[Seeds] = []
-        long, pair, one = self.size >= LONG_ITEM, self.size == 2, np.ones_like(self.size)
-        kinds = (
-            (1, (0,), ~(long | pair), (self.size + 1) // 2), (2, (0, 1), long | pair, np.where(pair, 1, 2)),
-            (2, (0, 2), pair, one), (GRAM, tuple(range(GRAM)), long, one),
-        )
-        for n, places, whose, least in kinds:
-            at, gram = grams(doc, word, tuple(range(n)))
-            at, gram = at[whose[doc[at]]], gram[whose[doc[at]]]
-            if len(at):
-                self.seeds.append(Seeds(places, gram, doc[at], at - edges[doc[at]], least))
-        self.vocabulary, code = np.unique(word, return_inverse=True)
-        self.held, self.times = np.unique(doc * len(self.vocabulary) + code, return_counts=True)  # (item, word) and how often
-
-
 def align(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """Best local alignment score of each (item words, passage words), as a share of the item's own."""
     out = np.zeros(len(pairs))
@@ -123,140 +95,230 @@ def align(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     return out
 
 
-def find_passages(items: Items, doc: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(text, item, first word, end word, seeds) of passages around seeds, as columns; words numbered through all texts."""
-    none = [(np.empty(0, np.int64),) * 5]
-    return tuple(map(np.concatenate, zip(*none, *(passages_of(s, items, doc, word) for s in items.seeds), strict=True)))
-
-
-def looked_up(seeds: Seeds, at: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(place, gram, first seed, end seed) of the n-grams that are seeds: how many hits each has is known before they are written out."""
-    lo = np.searchsorted(seeds.gram, gram, side="left")
-    near = np.flatnonzero(seeds.gram[np.minimum(lo, len(seeds.gram) - 1)] == gram)
-    return at[near], gram[near], lo[near], np.searchsorted(seeds.gram, gram[near], side="right")
-
-
-def passages_of(seeds: Seeds, items: Items, doc: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The passages around one kind of seeds, found with at most about HITS hits at once."""
-    at, gram, lo, hi = looked_up(seeds, *grams(doc, word, seeds.places))
-    found = [(np.empty(0, np.int64),) * 5]
-    text, edges = np.unique(doc[at], return_index=True)
-    edges = np.r_[edges, len(at)]
-    total = np.r_[0, np.cumsum(hi - lo)][edges]  # hits before each text
-    a = 0
-    while a < len(text):
-        b = max(a + 1, int(np.searchsorted(total, total[a] + HITS, side="right")) - 1)
-        own, hits = slice(edges[a], edges[b]), int(total[b] - total[a])
-        if hits > HITS:  # one text, by parts of the items
-            for part in seeds.parts(hits // HITS + 1):
-                if len(part.gram):
-                    p_at, _, p_lo, p_hi = looked_up(part, at[own], gram[own])
-                    found.append(around_hits(part, items, doc, p_at, p_lo, p_hi))
-        else:
-            found.append(around_hits(seeds, items, doc, at[own], lo[own], hi[own]))
-        a = b
-    return tuple(map(np.concatenate, zip(*found, strict=True)))
-
-
-def around_hits(seeds: Seeds, items: Items, doc: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The passages around the hits of whole texts: seeds lo..hi at each place."""
-    hit = np.flatnonzero(hi > lo)
-    times = hi[hit] - lo[hit]
-    which = np.repeat(lo[hit], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-    at, item = np.repeat(at[hit], times), seeds.item[which]
-    start = at - seeds.offset[which]
-    order = np.lexsort((start, item, doc[at]))
-    at, item, start = at[order], item[order], start[order]
-    text, size = doc[at], items.size[item]
-    room = size // 2 + 3
-    first = np.maximum(start - room, np.searchsorted(doc, text))
-    last = np.minimum(start + size + room, np.searchsorted(doc, text, side="right"))
-    # of one text and item, both ends grow with `start`, so a passage begins where one starts beyond the end before it
-    new = np.ones(len(at), dtype=bool)
-    new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (first[1:] > last[:-1])
-    begin = np.flatnonzero(new)
-    held = np.diff(np.r_[begin, len(at)])
-    many = held >= seeds.least[item[begin]]
-    begin, held = begin[many], held[many]
-    return text[begin], item[begin], first[begin], last[begin + held - 1], held
-
-
-def most_matches(items: Items, word: np.ndarray, item: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Upper bound of the words that each passage can match with its item: those it shares, as often as both have them."""
-    code = np.minimum(np.searchsorted(items.vocabulary, word), len(items.vocabulary) - 1)
-    own = np.flatnonzero(items.vocabulary[code] == word)
-    code = code[own]
-    lo, hi = np.searchsorted(own, first), np.searchsorted(own, last)
-    most = np.zeros(len(item), dtype=np.int64)
-    for a, b in groups_of((hi - lo).tolist(), BLOCK):
-        n = hi[a:b] - lo[a:b]
-        which = np.repeat(np.arange(b - a), n)
-        k = code[np.repeat(lo[a:b], n) + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)]
-        wanted = item[a:b][which] * len(items.vocabulary) + k
-        place = np.minimum(np.searchsorted(items.held, wanted), len(items.held) - 1)
-        both = items.held[place] == wanted
-        found, count = np.unique(which[both] * len(items.held) + place[both], return_counts=True)
-        most[a:b] = np.bincount(found // len(items.held), weights=np.minimum(count, items.times[found % len(items.held)]), minlength=b - a)
-    return most
-
-
-def item_blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[Items]:
-    """The items in blocks of bounded size."""
-    items = benchmark.select(F.col(item_col).alias("id"), F.col(text_col).alias("t")).dropna(subset=["t"])
-    n = (items.agg(F.sum(F.length("t"))).first()[0] or 0) // ITEM_CHARS + 1
-    for k in range(n):
-        part = items if n == 1 else items.filter(F.pmod(F.xxhash64("id", "t"), F.lit(n)) == k)
-        rows = sorted(part.collect(), key=lambda r: (r["t"], str(r["id"])))  # about ITEM_CHARS characters
-        block = Items([r["id"] for r in rows], [r["t"] for r in rows])
-        if block.seeds:
-            yield block
-
-
-def scored(texts: list[str], items: Items, threshold: float) -> Iterator[tuple[int, int, float, int]]:
-    """(text, item, score, seeds), the best passage of each pair whose score reaches the threshold."""
+class Field:
+    """A field of 2^width bits, two of them set for each n-gram; n-grams with an unset one are none of these."""
+
+    def __init__(self, bits: bytes, width: int):
+        self.bits, self.width = bits, width
+
+    def held(self, gram: np.ndarray) -> np.ndarray:
+        """Where the n-grams may be some of the field's."""
+        bits, low = np.frombuffer(self.bits, np.uint8), np.uint64((1 << self.width) - 1)
+        at = np.arange(len(gram))
+        for place in (lambda g: g >> np.uint64(64 - self.width), lambda g: g & low):
+            p = place(gram[at])
+            at = at[(bits[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1]
+        return at
+
+
+def field_of(table: DataFrame) -> Field | None:
+    """The field of the column `gram`, set in parts by tasks; its size is bounded, and so is what comes to the driver."""
+    own = table.select("gram").distinct()
+    n = own.count()
+    if not n:
+        return None
+    width = min(max(PART_BITS, (n * BITS).bit_length()), MAX_BITS)
+    g = F.col("gram")
+    places = own.select(F.explode(F.array(F.shiftrightunsigned(g, 64 - width), g.bitwiseAND(F.lit((1 << width) - 1)))).alias("place")).distinct()
+
+    def set_bits(part: pd.DataFrame) -> pd.DataFrame:
+        on = np.zeros(1 << PART_BITS, np.uint8)
+        on[part["place"].to_numpy() & ((1 << PART_BITS) - 1)] = 1
+        return pd.DataFrame({"part": [int(part["place"].iloc[0]) >> PART_BITS], "bits": [np.packbits(on, bitorder="little").tobytes()]})
+
+    size = 1 << (PART_BITS - 3)
+    bits = bytearray(1 << (width - 3))
+    for r in places.groupBy(F.shiftright("place", PART_BITS)).applyInPandas(set_bits, "part long, bits binary").toLocalIterator():
+        bits[r["part"] * size : (r["part"] + 1) * size] = r["bits"]
+    return Field(bytes(bits), width)
+
+
+def keyed(docs: DataFrame, text_col: str, key: str = "text_key", text: str = "t") -> DataFrame:
+    """Texts with the key that copies share; null is empty."""
+    t = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    return docs.select(key_of(text_col).alias(key), t.alias(text))
+
+
+def key_of(text_col: str) -> Column:
+    return F.unhex(F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")))
+
+
+def item_grams(items: DataFrame) -> DataFrame:
+    """(item_key, size, kind, stretch, offset, gram): of an item's equal n-grams one a quarter of the item."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            doc, word = hashed_words(b["t"].tolist())
+            edges = np.searchsorted(doc, np.arange(len(b) + 1))
+            size = np.diff(edges)
+            least = 1
+            for kind, (most, patterns, _) in enumerate(KINDS):
+                own = (size >= least) & (size <= (most or size))
+                least = (most or 0) + 1
+                for at, gram in (grams(doc, word, p) for p in patterns):
+                    at, gram = at[own[doc[at]]], gram[own[doc[at]]]
+                    offset = at - edges[doc[at]]
+                    yield pd.DataFrame({"item_key": b["item_key"].to_numpy()[doc[at]], "size": size[doc[at]], "kind": kind, "stretch": offset // STRETCH, "offset": offset, "gram": gram.view(np.int64)})
+
+    rows = items.mapInPandas(run, "item_key binary, size long, kind int, stretch long, offset long, gram long")
+    quarter = F.expr("offset div greatest(size div 4, 1)")
+    return rows.groupBy("item_key", "size", "kind", "gram", quarter.alias("quarter")).agg(F.min("offset").alias("offset"), F.min("stretch").alias("stretch")).drop("quarter")
+
+
+def places_of(texts: list[str], kinds: list[int], field: Field) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+    """By blocks of texts: text, place in it and n-gram where the field may have it, and the block's words."""
     for lo, hi in groups_of([len(t) for t in texts], BLOCK):
         doc, word = hashed_words(texts[lo:hi])
-        text, item, first, last, seeds = find_passages(items, doc, word)
-        # each match gives MATCH and nothing else gives anything, so the score is at most the share of words matched
-        least = np.where(items.size <= SHORT, max(threshold, SHORT_SCORE), threshold)
-        able = np.flatnonzero(most_matches(items, word, item, first, last) >= (least * items.size)[item])
-        scores = align([(items.words[item[k]], word[first[k] : last[k]]) for k in able])
-        best: dict[tuple[int, int], tuple[float, int]] = defaultdict(lambda: (0.0, 0))
-        for k, s in zip(able.tolist(), scores.tolist(), strict=True):
-            if s >= least[item[k]]:
-                pair = int(text[k]), int(item[k])
-                best[pair] = max(best[pair], (s, int(seeds[k])))
-        for (d, i), (s, n) in best.items():
-            yield d + lo, i, s, n
+        first = np.searchsorted(doc, np.arange(hi - lo))
+        text, places, found = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+        for pattern in (p for k in kinds for p in KINDS[k][2]):
+            at, gram = grams(doc, word, pattern)
+            own = field.held(gram)
+            text.append(doc[at[own]] + lo)
+            places.append(at[own] - first[doc[at[own]]])
+            found.append(gram[own])
+        yield np.concatenate(text), np.concatenate(places), np.concatenate(found).view(np.int64), len(word)
+
+
+def chosen_seeds(corpus: DataFrame, own: DataFrame, kinds: list[int]) -> DataFrame:
+    """The item n-grams that are seeds, by their counts in the whole corpus."""
+    sc = corpus.sparkSession.sparkContext
+    field = sc.broadcast(field_of(own))
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for _, _, gram, n in places_of(b["t"].tolist(), kinds, field.value):
+                g, times = np.unique(gram, return_counts=True)
+                yield pd.DataFrame({"gram": pd.array(g, "Int64"), "n": times})
+                yield pd.DataFrame({"gram": pd.array([None], "Int64"), "n": [n]})  # the words
+
+    counts = materialise(corpus.select("t").mapInPandas(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")))
+    words = counts.filter("gram IS NULL").select("n").first()
+    held = own.groupBy("gram").agg(F.count(F.lit(1)).alias("places"))
+    hits = held.join(counts, "gram").select("gram", (F.col("n") * F.col("places")).alias("hits"))
+    rarest = F.rank().over(Window.partitionBy("item_key", "kind", "stretch").orderBy("hits"))
+    known = own.join(hits, "gram").withColumn("rarest", rarest)
+    stay = (F.col("hits") <= SHARE * (words["n"] if words else 0)) | (F.col("rarest") <= RARE) | (F.col("kind") < len(KINDS) - 1)
+    return materialise(known.filter(stay).select("item_key", "size", "offset", "gram"))
+
+
+def slots_of(corpus: DataFrame, seeds: DataFrame, kinds: list[int], field: Field) -> DataFrame:
+    """(text_key, item_key, slot) with the least and largest start of the item that its seeds name, and their number."""
+    sent = corpus.sparkSession.sparkContext.broadcast(field)
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b = b.drop_duplicates("text_key")
+            for text, at, gram, _ in places_of(b["t"].tolist(), kinds, sent.value):
+                yield pd.DataFrame({"text_key": b["text_key"].to_numpy()[text], "at": at, "gram": gram})
+
+    hits = corpus.mapInPandas(find, "text_key binary, at long, gram long").distinct()
+    start = hits.join(seeds, "gram").withColumn("start", F.col("at") - F.col("offset"))
+    return start.groupBy("text_key", "item_key", "size", F.floor(F.col("start") / F.col("size")).alias("slot")).agg(
+        F.min("start").alias("lo"), F.max("start").alias("hi"), F.count(F.lit(1)).alias("n_seeds")
+    )
+
+
+def pieces_of(texts: DataFrame) -> DataFrame:
+    """(text_key, piece, words): the hashes of the words of texts, PIECE words a row."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for lo, hi in groups_of([len(t) for t in b["t"]], BLOCK):
+                doc, word = hashed_words(b["t"].tolist()[lo:hi])
+                edges = np.searchsorted(doc, np.arange(hi - lo + 1))
+                rows = [(k, p, word[s : min(s + PIECE, edges[k + 1])].tobytes()) for k in range(hi - lo) for p, s in enumerate(range(edges[k], edges[k + 1], PIECE))]
+                yield pd.DataFrame({"text_key": b["text_key"].to_numpy()[[lo + k for k, *_ in rows]], "piece": [p for _, p, _ in rows], "words": [w for *_, w in rows]})
+
+    return texts.mapInPandas(cut, "text_key binary, piece long, words binary")
+
+
+def most_matches(items: list[np.ndarray], passages: list[np.ndarray]) -> np.ndarray:
+    """Upper bound of the words that each passage can match with its item: those it shares, as often as both have them."""
+
+    def counted(lists: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+        row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+        key, first, times = np.unique(mix64(np.concatenate(lists) + row.astype(np.uint64) * ODD), return_index=True, return_counts=True)
+        return key, row[first], times
+
+    a, row, x = counted(items)
+    b, _, y = counted(passages)
+    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    return np.bincount(row[i], weights=np.minimum(x[i], y[j]), minlength=len(items))
+
+
+def scored(slots: DataFrame, pieces: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
+    """(text_key, item_key, score, n_seeds), the best passage of each pair whose score reaches the threshold."""
+    # an alignment that reaches the threshold has at most 2 * (1 - threshold) gaps a word; a seed's place may be off by a quarter
+    room = F.ceil(F.col("size") * (max(0.0, MATCH * (1 - threshold)) + 0.25)) + 2
+    first, last = F.greatest(F.col("lo") - room, F.lit(0)), F.col("hi") + F.col("size") + room
+    wide = slots.withColumns({"first": first, "last": last})
+    each = wide.withColumn("piece", F.explode(F.expr(f"sequence(first div {PIECE}, (last - 1) div {PIECE})")))
+    begin = F.greatest(F.col("first") - F.col("piece") * PIECE, F.lit(0))
+    end = F.least(F.col("last") - F.col("piece") * PIECE, F.lit(PIECE))
+    cut = F.substring("words", (begin * 8 + 1).cast("int"), ((end - begin) * 8).cast("int"))
+    held = each.join(pieces, ["text_key", "piece"]).select("text_key", "item_key", "slot", "n_seeds", F.struct("piece", cut.alias("words")).alias("part"))
+    passages = held.groupBy("text_key", "item_key", "slot", "n_seeds").agg(F.sort_array(F.collect_list("part"))["words"].alias("parts"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            own = [np.frombuffer(w, np.uint64) for w in b["item"]]
+            near = [np.frombuffer(b"".join(p), np.uint64) for p in b["parts"]]
+            size = np.array([len(w) for w in own])
+            # each match gives MATCH and nothing else gives anything, so the score is at most the share of words matched
+            least = np.where(size <= SHORT, max(threshold, SHORT_SCORE), threshold)
+            able = np.flatnonzero(most_matches(own, near) >= least * size) if len(b) else np.empty(0, np.int64)
+            score = align([(own[k], near[k]) for k in able])
+            good = able[score >= least[able]]
+            yield b.iloc[good][["text_key", "item_key"]].assign(score=score[score >= least[able]], n_seeds=b["n_seeds"].to_numpy()[good])
+
+    rows = passages.join(items, "item_key").select("text_key", "item_key", "n_seeds", "parts", "item")
+    best = rows.mapInPandas(run, "text_key binary, item_key binary, score double, n_seeds long").groupBy("text_key", "item_key")
+    return best.agg(F.max(F.struct("score", "n_seeds")).alias("best")).select("text_key", "item_key", "best.*")
+
+
+def matches(docs: DataFrame, items: DataFrame, threshold: float, text_col: str) -> DataFrame | None:
+    """(text_key, item_key, score, n_seeds) of distinct texts and items whose score reaches the threshold; None without items."""
+    short_batches(docs.sparkSession)
+    texts = items.distinct()
+    own = materialise(item_grams(texts))
+    kinds = sorted(r["kind"] for r in own.select("kind").distinct().collect())  # at most three
+    corpus = keyed(docs, text_col)
+    if not kinds:
+        return None
+    seeds = chosen_seeds(corpus, own, kinds)
+    field = field_of(seeds)
+    if field is None:
+        return None
+    slots = materialise(slots_of(corpus, seeds, kinds, field))
+    wanted = corpus.join(materialise(slots.select("text_key").distinct()), "text_key", "left_semi").distinct()
+
+    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"item_key": b["item_key"], "item": [hashed_words([t])[1].tobytes() for t in b["t"]]})
+
+    return materialise(scored(slots, pieces_of(wanted), texts.mapInPandas(words, "item_key binary, item binary"), threshold))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """(document, item, score, seeds) of all pairs whose score reaches the threshold; an item id named like the documents' is `item_<name>`."""
-    short_batches(docs.sparkSession)
     kinds = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
-    shown = f"item_{item_col}" if item_col.lower() in (id_col.lower(), "t") else item_col
-    columns = f"`{shown}` {kinds[1]}, score double, n_seeds bigint"
-    out = docs.sparkSession.createDataFrame([], f"`{id_col}` {kinds[0]}, {columns}")
-    for items in item_blocks(benchmark, item_col, text_col):
-        def run(batches: Iterator[pd.DataFrame], items: Items = items) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                rows: dict[tuple[int, object], tuple[float, int]] = {}
-                for d, i, s, n in scored(b["t"].tolist(), items, threshold):
-                    rows[d, items.ids[i]] = max(rows.get((d, items.ids[i]), (0.0, 0)), (s, n))
-                if rows:
-                    yield pd.DataFrame({id_col: b[id_col].iloc[[d for d, _ in rows]].to_numpy(), shown: [i for _, i in rows], "score": [s for s, _ in rows.values()], "n_seeds": [n for _, n in rows.values()]})
-
-        out = out.unionByName(map_texts(docs, run, columns, id_col, text_col))
-    return out
+    shown = f"item_{item_col}" if item_col.lower() == id_col.lower() else item_col
+    found = matches(docs, keyed(benchmark, text_col, "item_key"), threshold, text_col)
+    if found is None:
+        return docs.sparkSession.createDataFrame([], f"`{id_col}` {kinds[0]}, `{shown}` {kinds[1]}, score double, n_seeds bigint")
+    ids = benchmark.select(key_of(text_col).alias("_item_key"), F.col(f"`{item_col}`").alias("_item"))
+    best = found.join(ids, F.col("item_key") == F.col("_item_key")).groupBy("text_key", "_item").agg(F.max(F.struct("score", "n_seeds")).alias("best"))
+    rows = docs.select(key_of(text_col).alias("_text_key"), F.col(f"`{id_col}`").alias("_id"))
+    pairs = rows.join(best, F.col("_text_key") == F.col("text_key"))
+    return pairs.select(F.col("_id").alias(id_col), F.col("_item").alias(shown), "best.score", "best.n_seeds")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """The rows that hold no item, with all their columns."""
-    short_batches(docs.sparkSession)
-    for items in item_blocks(benchmark, item_col, text_col):
-        def change(b: pa.RecordBatch, texts: list[str], items: Items = items) -> pa.RecordBatch:
-            bad = {d for d, *_ in scored(texts, items, threshold)}
-            return b.filter(pa.array([i not in bad for i in range(len(texts))], pa.bool_()))
-
-        docs = map_rows(docs, text_col, change)
-    return docs
+    found = matches(docs, keyed(benchmark, text_col, "item_key"), threshold, text_col)
+    if found is None:
+        return docs
+    key, other = free_names(docs, "_text_key", "_bad_key")
+    bad = found.select(F.col("text_key").alias(other)).distinct()
+    return docs.withColumn(key, key_of(text_col)).join(bad, F.col(key) == F.col(other), "left_anti").drop(key)

@@ -258,24 +258,88 @@ def test_copies_edited_every_few_words_are_found(spark, exact):
     assert {x["doc_id"] for x in kept.collect()} == {i for i, _ in common}
 
 
+def every_alignment(items, texts):
+    """(text, item): score of the alignment of every pair, by the vectors that are held against the plain recurrence."""
+    code = {w: k + 1 for k, w in enumerate({w for x in [*items, *texts] for w in x})}
+    coded = lambda x: np.array([code[w] for w in x], np.uint64)
+    own, near = [coded(w) for w in items], [coded(t) for t in texts]
+    pairs = [(d, i) for d in range(len(texts)) if len(texts[d]) for i in range(len(items))]
+    return dict(zip(pairs, dc.align([(own[i], near[d]) for d, i in pairs]).tolist(), strict=True))
+
+
 @pytest.mark.parametrize("size", [3, 6, 8, 12, 20, 40])
-def test_seeds_find_what_alignment_of_all_pairs_finds(size):
+def test_seeds_find_what_alignment_of_all_pairs_finds(spark, size):
     """Recall against the alignment of every pair, for copies with every k-th word changed, words dropped or put in."""
     r = random.Random(size)
     vocabulary = [f"word{i}" for i in range(2000)] + ["the", "of", "and"] * 100
+    items, texts = [], []
     for k in (3, 4, 5, 6):
-        items = [[r.choice(vocabulary) for _ in range(size)] for _ in range(40)]
-        texts = []
-        for w in items:
+        for _ in range(40):
+            w = [r.choice(vocabulary) for _ in range(size)]
             first, how = r.randrange(k), r.choice(["change", "drop", "insert"])
             copy = [x for i, x in enumerate(w) for x in ((x,) if i % k != first else ("odd",) if how == "change" else () if how == "drop" else (x, "odd"))]
+            items.append(w)
             texts.append([r.choice(vocabulary) for _ in range(30)] + copy + [r.choice(vocabulary) for _ in range(30)])
-        block = dc.Items(list(range(len(items))), [" ".join(w) for w in items])
-        got = {(d, i): s for d, i, s, _ in dc.scored([" ".join(t) for t in texts], block, 0.5)}
-        want = {(d, i): s for d, t in enumerate(texts) for i, w in enumerate(items) if (s := smith_waterman(w, t)) >= 0.5}
-        found = sum(p in got for p in want)
-        assert len(want) >= 20 and found >= 0.9 * len(want), (size, k, found, len(want))
-        assert all(abs(got[p] - want[p]) < 1e-9 for p in got) and set(got) <= set(want)
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    found = dc.contamination(docs(spark, [(d, " ".join(t)) for d, t in enumerate(texts)]), bench).collect()
+    got = {(x["doc_id"], x["item_id"]): x["score"] for x in found}
+    want = {p: s for p, s in every_alignment(items, texts).items() if s >= 0.5}
+    for k in range(4):
+        own = {p for p in want if p[0] // 40 == k}
+        assert len(own) >= 20 and sum(p in got for p in own) >= 0.9 * len(own), (size, k, len(own))
+    assert set(got) <= set(want) and sum(abs(got[p] - want[p]) < 1e-9 for p in got) == len(got) == len(found)
+
+
+def test_any_alignment_above_a_half_holds_a_seed(spark):
+    """Random edits of every kind: what reaches the threshold is found, to the last pair."""
+    r = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(400)]
+    items, texts = [[r.choice(vocabulary) for _ in range(r.choice([3, 5, 7, 8, 9, 15, 30]))] for _ in range(60)], []
+    for w in items * 4:
+        rate = r.choice([0.2, 0.35, 0.5])
+        edit = lambda x: (x,) if r.random() > rate else r.choice([("odd",), (), (x, "odd"), ("odd", "odd"), (x, x)])  # noqa: B023, E731
+        texts.append([r.choice(vocabulary) for _ in range(9)] + [y for x in w for y in edit(x)] + ["end"])
+    texts += [[y for x in w for y in (x, "odd")] for w in items]  # a word put in behind every word
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]): x["score"] for x in dc.contamination(docs(spark, [(d, " ".join(t)) for d, t in enumerate(texts)]), bench).collect()}
+    want = {p: s for p, s in every_alignment(items, texts).items() if s >= 0.5}
+    assert len(want) > 150 and got == pytest.approx(want)
+
+
+def test_heavy_seeds_are_left_to_rarer_ones(spark):
+    r = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(2000)]
+    heavy = ["one", "of", "the", "most"]
+    items = [[r.choice(vocabulary) for _ in range(12)] + heavy + [r.choice(vocabulary) for _ in range(12)] for _ in range(8)]
+    items += [heavy * 3, heavy + ["things", "that", "all", "say"]]  # every text has the last one
+    texts = [[r.choice(vocabulary) for _ in range(60)] + items[9] for _ in range(120)]
+    for k, w in enumerate(items[:8]):
+        texts[k][20:20] = [x if n % 4 else "odd" for n, x in enumerate(w)]
+    texts[8][20:20] = items[8]
+    for k, w in enumerate(items[:8]):
+        texts[20 + k][20:20] = w
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    rows = docs(spark, [(d, " ".join(t)) for d, t in enumerate(texts)])
+    keys = dc.keyed(bench, "text", "item_key")
+    own = dc.item_grams(keys)
+    seeds = dc.chosen_seeds(dc.keyed(rows, "text"), own, [2])
+    code = int(dc.grams(*dc.hashed_words(["one of the"]), (0, 1, 2))[1].view(np.int64)[0])
+    assert own.filter(f"gram = {code}").select("item_key").distinct().count() == 10
+    assert seeds.filter(f"gram = {code}").count() == 0 and seeds.select("item_key").distinct().count() == 10
+    got = {(x["doc_id"], x["item_id"]) for x in dc.contamination(rows, bench).collect()}
+    assert got == {p for p, s in every_alignment(items, texts).items() if s >= 0.5} == {(k, k) for k in range(9)} | {(20 + k, k) for k in range(8)} | {(d, 9) for d in range(120)}
+
+
+def test_a_field_of_bits_loses_nothing(spark, monkeypatch):
+    monkeypatch.setattr(dc, "PART_BITS", 8)
+    r = np.random.default_rng(1)
+    own, others = r.integers(-(2**63), 2**63 - 1, 3000), r.integers(-(2**63), 2**63 - 1, 20000)
+    field = dc.field_of(spark.createDataFrame([(int(x),) for x in [*own, *own[:9]]], "gram long"))
+    assert len(field.held(own.view(np.uint64))) == 3000 and len(field.held(others.view(np.uint64))) < 200
+    monkeypatch.setattr(dc, "MAX_BITS", 12)  # a crowded field lets more through, and still loses none
+    field = dc.field_of(spark.createDataFrame([(int(x),) for x in own], "gram long"))
+    assert len(field.bits) == 512 and len(field.held(own.view(np.uint64))) == 3000
+    assert dc.field_of(spark.createDataFrame([], "gram long")) is None
 
 
 def test_items_of_one_and_two_words(spark):
@@ -284,36 +348,31 @@ def test_items_of_one_and_two_words(spark):
     assert {(x["doc_id"], x["item_id"], x["score"]) for x in got.collect()} == {(1, 1, 1.0), (2, 2, 0.75), (3, 2, 1.0), (6, 2, 1.0)}
 
 
-def test_short_items_find_all_that_their_score_admits():
+def test_short_items_find_all_that_their_score_admits(spark):
     r = random.Random(5)
     for size in (1, 2):
         items = [[r.choice("abcdefgh") for _ in range(size)] for _ in range(30)]
         texts = [[r.choice("abcdefghxyz") for _ in range(r.randint(0, 9))] for _ in range(200)]
-        block = dc.Items(list(range(len(items))), [" ".join(w) for w in items])
-        got = {(d, i): s for d, i, s, _ in dc.scored([" ".join(t) for t in texts], block, 0.5)}
+        bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+        got = {(x["doc_id"], x["item_id"]): x["score"] for x in dc.contamination(docs(spark, [(d, " ".join(t)) for d, t in enumerate(texts)]), bench).collect()}
         assert got == {(d, i): s for d, t in enumerate(texts) for i, w in enumerate(items) if t and (s := smith_waterman(w, t)) >= dc.SHORT_SCORE}
 
 
-def test_hits_at_once_are_bounded_and_none_is_lost(monkeypatch):
+def test_hits_of_a_text_need_few_rows_and_none_is_lost(spark, monkeypatch):
+    """A text of one item's words over and over: rows grow with its length in items, pieces are put together at any cut."""
+    monkeypatch.setattr(dc, "PIECE", 7)
     r = random.Random(2)
     vocabulary = ["the", "of", "and", "to", *(f"w{i}" for i in range(30))]
-    items = [" ".join(r.choice(vocabulary) for _ in range(r.choice([2, 5, 20]))) for _ in range(60)]
-    texts = [" ".join(r.choice(vocabulary) for _ in range(r.choice([30, 900]))) for _ in range(25)] + ["", items[0]]
-    block = dc.Items(list(range(len(items))), items)
-    doc, word = dc.hashed_words(texts)
-    want = sorted(zip(*(x.tolist() for x in dc.find_passages(block, doc, word)), strict=True))
-    most, whole = [0], dc.around_hits
-
-    def measured(seeds, items, doc, at, lo, hi):
-        most[0] = max(most[0], int((hi - lo).sum()))
-        return whole(seeds, items, doc, at, lo, hi)
-
-    monkeypatch.setattr(dc, "around_hits", measured)
-    dc.find_passages(block, doc, word)
-    assert most[0] > 5000
-    most[0] = 0
-    monkeypatch.setattr(dc, "HITS", 500)
-    assert sorted(zip(*(x.tolist() for x in dc.find_passages(block, doc, word)), strict=True)) == want and most[0] <= 2000
+    items = [[r.choice(vocabulary) for _ in range(r.choice([2, 5, 20]))] for _ in range(40)] + [["the"] * 30]
+    texts = [[r.choice(vocabulary) for _ in range(r.choice([30, 600]))] for _ in range(15)] + [[], items[0], ["the"] * 900]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    rows = docs(spark, [(d, " ".join(t)) for d, t in enumerate(texts)])
+    got = {(x["doc_id"], x["item_id"]): x["score"] for x in dc.contamination(rows, bench).collect()}
+    least = lambda w: dc.SHORT_SCORE if len(w) <= dc.SHORT else 0.5
+    assert got == pytest.approx({p: s for p, s in every_alignment(items, texts).items() if s >= least(items[p[1]])})
+    own = dc.item_grams(dc.keyed(bench.filter("item_id = 40"), "text", "item_key"))
+    slots = dc.slots_of(dc.keyed(rows.filter("doc_id = 17"), "text"), own, [2], dc.field_of(own)).collect()
+    assert len(slots) <= 900 // 30 + 2 and sum(s["n_seeds"] for s in slots) > 3000 and all(s["hi"] - s["lo"] < 30 for s in slots)
 
 
 def test_ids_of_one_name_in_both_tables(spark):
