@@ -11,8 +11,8 @@ meets. Both sides are hashed, whatever the gaps, and joined on the hash.
    a word of the corpus is heavy, and left to the rarer ones of its stretch of the item, of which at least RARE stay.
 3. A second pass gives the places of seeds, which are joined with the items. Hits of a text and an item fall into slots as
    long as the item; what a slot needs is its least and largest start, so a text with very many hits needs few rows.
-4. Only the texts so found are read for their words, in pieces; the pieces around each slot are put together and aligned,
-   if they share enough words with the item to reach the threshold at all.
+4. Only the texts so found are sent on, once each, to their slots. The passage around each slot is cut out and aligned, if
+   it shares enough words with the item to reach the threshold at all.
 
 The corpus is read a fixed number of times, whatever the number of items. What tasks get beforehand is a field of bits, of
 at most 2^MAX_BITS, that tells n-grams which may be an item's; the joins are exact. Texts and items are known by their MD5, so copies
@@ -49,8 +49,8 @@ THRESHOLD = 0.5
 SHORT, SHORT_SCORE = 2, 0.75
 #: Words of a stretch of an item, its rarest n-grams that are always seeds, and hits a word of the corpus that make one heavy.
 STRETCH, RARE, SHARE = 6, 6, 1e-3
-#: Characters of a text block, words of a piece of a text, words of passages aligned together.
-BLOCK, PIECE, WORDS = 1_000_000, 4_096, 32_768
+#: Characters of a text block, words of passages aligned together.
+BLOCK, WORDS = 1_000_000, 32_768
 #: Bits an n-gram in the field that tasks get, the most that it has (as a power of two), and those of a part that a task sets.
 BITS, MAX_BITS, PART_BITS = 64, 29, 19
 
@@ -219,18 +219,32 @@ def slots_of(corpus: DataFrame, seeds: DataFrame, kinds: list[int], field: Field
     )
 
 
-def pieces_of(texts: DataFrame) -> DataFrame:
-    """(text_key, piece, words): the hashes of the words of texts, PIECE words a row."""
+def passages_of(corpus: DataFrame, slots: DataFrame, threshold: float) -> DataFrame:
+    """(text_key, item_key, n_seeds, words): the words around each slot, cut where its text is sent to, once a text."""
+    # an alignment that reaches the threshold has at most 2 * (1 - threshold) gaps a word; a seed's place may be off by a quarter
+    room = F.ceil(F.col("size") * (max(0.0, MATCH * (1 - threshold)) + 0.25)) + 2
+    first, last = F.greatest(F.col("lo") - room, F.lit(0)), F.col("hi") + F.col("size") + room
+    near = F.collect_list(F.struct("item_key", "n_seeds", first.alias("first"), last.alias("last")))
+    of_text = slots.groupBy("text_key").agg(near.alias("near"))
+    texts = corpus.join(materialise(slots.select("text_key").distinct()), "text_key", "left_semi").groupBy("text_key").agg(F.first("t").alias("t"))
+    rows = texts.join(of_text, "text_key").select("text_key", "t", *(F.col(f"near.{c}").alias(c) for c in ("item_key", "n_seeds", "first", "last")))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for lo, hi in groups_of([len(t) for t in b["t"]], BLOCK):
-                doc, word = hashed_words(b["t"].tolist()[lo:hi])
+                part = b.iloc[lo:hi]
+                doc, word = hashed_words(part["t"].tolist())
                 edges = np.searchsorted(doc, np.arange(hi - lo + 1))
-                rows = [(k, p, word[s : min(s + PIECE, edges[k + 1])].tobytes()) for k in range(hi - lo) for p, s in enumerate(range(edges[k], edges[k + 1], PIECE))]
-                yield pd.DataFrame({"text_key": b["text_key"].to_numpy()[[lo + k for k, *_ in rows]], "piece": [p for _, p, _ in rows], "words": [w for *_, w in rows]})
+                times = part["first"].map(len).to_numpy()
+                row = np.repeat(np.arange(hi - lo), times)
+                first, last, n_seeds, item = (np.concatenate(part[c].tolist()) for c in ("first", "last", "n_seeds", "item_key"))
+                first, last = edges[row] + first, np.minimum(edges[row] + last, edges[row + 1])
+                for x in range(0, len(row), 1_000):
+                    here = slice(x, x + 1_000)
+                    words = [word[f:e].tobytes() for f, e in zip(first[here], last[here], strict=True)]
+                    yield pd.DataFrame({"text_key": part["text_key"].to_numpy()[row[here]], "item_key": item[here], "n_seeds": n_seeds[here], "words": words})
 
-    return texts.mapInPandas(cut, "text_key binary, piece long, words binary")
+    return rows.mapInPandas(cut, "text_key binary, item_key binary, n_seeds long, words binary")
 
 
 def most_matches(items: list[np.ndarray], passages: list[np.ndarray]) -> np.ndarray:
@@ -247,23 +261,13 @@ def most_matches(items: list[np.ndarray], passages: list[np.ndarray]) -> np.ndar
     return np.bincount(row[i], weights=np.minimum(x[i], y[j]), minlength=len(items))
 
 
-def scored(slots: DataFrame, pieces: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
+def scored(passages: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
     """(text_key, item_key, score, n_seeds), the best passage of each pair whose score reaches the threshold."""
-    # an alignment that reaches the threshold has at most 2 * (1 - threshold) gaps a word; a seed's place may be off by a quarter
-    room = F.ceil(F.col("size") * (max(0.0, MATCH * (1 - threshold)) + 0.25)) + 2
-    first, last = F.greatest(F.col("lo") - room, F.lit(0)), F.col("hi") + F.col("size") + room
-    wide = slots.withColumns({"first": first, "last": last})
-    each = wide.withColumn("piece", F.explode(F.expr(f"sequence(first div {PIECE}, (last - 1) div {PIECE})")))
-    begin = F.greatest(F.col("first") - F.col("piece") * PIECE, F.lit(0))
-    end = F.least(F.col("last") - F.col("piece") * PIECE, F.lit(PIECE))
-    cut = F.substring("words", (begin * 8 + 1).cast("int"), ((end - begin) * 8).cast("int"))
-    held = each.join(pieces, ["text_key", "piece"]).select("text_key", "item_key", "slot", "n_seeds", F.struct("piece", cut.alias("words")).alias("part"))
-    passages = held.groupBy("text_key", "item_key", "slot", "n_seeds").agg(F.sort_array(F.collect_list("part"))["words"].alias("parts"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             own = [np.frombuffer(w, np.uint64) for w in b["item"]]
-            near = [np.frombuffer(b"".join(p), np.uint64) for p in b["parts"]]
+            near = [np.frombuffer(w, np.uint64) for w in b["words"]]
             size = np.array([len(w) for w in own])
             # each match gives MATCH and nothing else gives anything, so the score is at most the share of words matched
             least = np.where(size <= SHORT, max(threshold, SHORT_SCORE), threshold)
@@ -272,7 +276,7 @@ def scored(slots: DataFrame, pieces: DataFrame, items: DataFrame, threshold: flo
             good = able[score >= least[able]]
             yield b.iloc[good][["text_key", "item_key"]].assign(score=score[score >= least[able]], n_seeds=b["n_seeds"].to_numpy()[good])
 
-    rows = passages.join(items, "item_key").select("text_key", "item_key", "n_seeds", "parts", "item")
+    rows = passages.join(items, "item_key").select("text_key", "item_key", "n_seeds", "words", "item")
     best = rows.mapInPandas(run, "text_key binary, item_key binary, score double, n_seeds long").groupBy("text_key", "item_key")
     return best.agg(F.max(F.struct("score", "n_seeds")).alias("best")).select("text_key", "item_key", "best.*")
 
@@ -291,13 +295,12 @@ def matches(docs: DataFrame, items: DataFrame, threshold: float, text_col: str)
     if field is None:
         return None
     slots = materialise(slots_of(corpus, seeds, kinds, field))
-    wanted = corpus.join(materialise(slots.select("text_key").distinct()), "text_key", "left_semi").distinct()
-
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"item_key": b["item_key"], "item": [hashed_words([t])[1].tobytes() for t in b["t"]]})
 
-    return materialise(scored(slots, pieces_of(wanted), texts.mapInPandas(words, "item_key binary, item binary"), threshold))
+    items = materialise(texts.mapInPandas(words, "item_key binary, item binary"))  # its size says whether it is broadcast
+    return materialise(scored(passages_of(corpus, slots, threshold), items, threshold))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:

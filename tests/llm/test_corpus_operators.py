@@ -358,9 +358,8 @@ def test_short_items_find_all_that_their_score_admits(spark):
         assert got == {(d, i): s for d, t in enumerate(texts) for i, w in enumerate(items) if t and (s := smith_waterman(w, t)) >= dc.SHORT_SCORE}
 
 
-def test_hits_of_a_text_need_few_rows_and_none_is_lost(spark, monkeypatch):
-    """A text of one item's words over and over: rows grow with its length in items, pieces are put together at any cut."""
-    monkeypatch.setattr(dc, "PIECE", 7)
+def test_hits_of_a_text_need_few_rows_and_none_is_lost(spark):
+    """A text of one item's words over and over: rows grow with its length in items."""
     r = random.Random(2)
     vocabulary = ["the", "of", "and", "to", *(f"w{i}" for i in range(30))]
     items = [[r.choice(vocabulary) for _ in range(r.choice([2, 5, 20]))] for _ in range(40)] + [["the"] * 30]
