@@ -90,14 +90,16 @@ def near_pairs(names: DataFrame, needles: DataFrame, most: int, name_col: str, n
     """(needle, wanted, name, low) of the pairs that may be near, lower-cased too; all that are near are among them.
 
     An equi-join over deletions: texts at most `most` edits apart have a text in common that is left when each loses at
-    most that many characters. What all names share, such as a beginning, is a part of every such text and joins none.
+    most that many characters. What all names share, such as a beginning, is a part of every such text and joins none. Either
+    side has hundreds of rows a name, which Spark's estimate does not know; it must not send one of them whole by way of
+    the driver, so the join is a merge of both.
     """
     if most not in (1, 2):
         raise ValueError("deletions are made for distances of 1 and 2")
     own = names.select(F.col(name_col).alias("name")).dropna().distinct().withColumn("low", F.lower("name"))
     asked = needles.select(F.col(needle_col).alias("needle")).dropna().distinct().withColumn("wanted", F.lower("needle"))
     own, asked = own.select("*", F.explode(_shortened(F.col("low"), most)).alias("rest")), asked.select("*", F.explode(_shortened(F.col("wanted"), most)).alias("rest"))
-    return asked.join(own, "rest").select("needle", "wanted", "name", "low").distinct()
+    return asked.hint("merge").join(own, "rest").select("needle", "wanted", "name", "low").distinct()
 
 
 def within_distance(names: DataFrame, needles: DataFrame, most: int = 2, name_col: str = "name", needle_col: str = "needle") -> DataFrame:

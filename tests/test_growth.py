@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from lodestrata.functions import fuzzy
 from lodestrata.operators import search
 
 
@@ -19,3 +20,10 @@ def test_lists_of_names_are_never_sent_whole(spark):
         joins = [x for x in plan_of(found).split("Generate explode")[0].splitlines() if "Join" in x and "_start" in x]
         assert joins and all(("BuildRight" in x or "BuildLeft" not in x) for x in joins)
         assert ("SortMergeJoin" in joins[0]) == (sent == 10)
+
+
+def test_texts_with_deletions_are_merged(spark):
+    names = spark.range(200).select(F.concat(F.lit("Name"), "id").alias("name"))
+    needles = spark.range(20).select(F.concat(F.lit("Nam"), "id").alias("needle"))
+    plan = plan_of(fuzzy.near_pairs(names, needles, 2, "name", "needle"))
+    assert "SortMergeJoin [rest" in plan and "Broadcast" not in plan
