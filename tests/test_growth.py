@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import fuzzy
 from lodestrata.operators import search
+from lodestrata.sources import tree
+from lodestrata.sources.entities import extract
 
 
 def plan_of(df) -> str:
@@ -27,3 +29,21 @@ def test_texts_with_deletions_are_merged(spark):
     needles = spark.range(20).select(F.concat(F.lit("Nam"), "id").alias("needle"))
     plan = plan_of(fuzzy.near_pairs(names, needles, 2, "name", "needle"))
     assert "SortMergeJoin [rest" in plan and "Broadcast" not in plan
+
+
+def test_rows_of_parsed_files_are_bounded(spark):
+    field = lambda i: f"<AxTableField><Name>F{i}</Name><Label>L{i}</Label></AxTableField>"
+    index = lambda i: f"<AxTableIndex><Name>I{i}</Name><Fields><AxTableIndexField><DataField>F{i}</DataField></AxTableIndexField><AxTableIndexField><DataField>G</DataField></AxTableIndexField></Fields></AxTableIndex>"
+    body = f"<Fields>{''.join(map(field, range(5000)))}</Fields><Indexes>{''.join(map(index, range(2500)))}</Indexes><SourceCode><Methods>{''.join(f'<Method><Name>m{i}</Name><Source>void m{i}()</Source></Method>' for i in range(4500))}</Methods></SourceCode>"
+    deep = "<a>" * 30_000 + "</a>" * 30_000
+    xml = {"T": f"<AxTable>{body}<Name>T</Name><Label>own</Label></AxTable>", "Bad": f"<AxTable>{body}<Name>Bad</Name>", "Deep": f"<AxTable>{body}{deep}</AxTable>", "U": "<AxTable><Name>U</Name></AxTable>"}
+    files = spark.createDataFrame([("P", "M", "AxTable", f"x/{k}.xml", None, v.encode()) for k, v in xml.items()], "package string, model string, kind string, source_path string, modified timestamp, content binary")
+    parsed = tree.parse_files(files).cache()
+    assert parsed.filter((F.size("children") > tree.PIECE) | (F.size("methods") > tree.PIECE)).isEmpty()
+    assert sorted(r["source_path"] for r in parsed.filter("error IS NOT NULL").collect()) == ["x/Bad.xml", "x/Deep.xml"]
+    assert parsed.filter("source_path IN ('x/Bad.xml', 'x/Deep.xml', 'x/U.xml')").count() == 3
+    t = extract(parsed)
+    assert sorted((r["name"], r["label"]) for r in t["tables"].collect()) == [("T", "own"), ("U", None)]
+    assert sorted((r["table"], r["name"], r["label"]) for r in t["table_fields"].collect()) == sorted(("T", f"F{i}", f"L{i}") for i in range(5000))
+    assert sorted((r["name"], tuple(r["fields"])) for r in t["table_indexes"].collect()) == sorted((f"I{i}", (f"F{i}", "G")) for i in range(2500))
+    assert sorted(r["name"] for r in t["table_methods"].collect()) == sorted(f"m{i}" for i in range(4500))
