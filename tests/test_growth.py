@@ -47,3 +47,30 @@ def test_rows_of_parsed_files_are_bounded(spark):
     assert sorted((r["table"], r["name"], r["label"]) for r in t["table_fields"].collect()) == sorted(("T", f"F{i}", f"L{i}") for i in range(5000))
     assert sorted((r["name"], tuple(r["fields"])) for r in t["table_indexes"].collect()) == sorted((f"I{i}", (f"F{i}", "G")) for i in range(2500))
     assert sorted(r["name"] for r in t["table_methods"].collect()) == sorted(f"m{i}" for i in range(4500))
+
+
+def test_parsed_files_are_dealt_out_and_hold_what_is_asked_for(spark):
+    from lodestrata.plans.tree_queries import extracted
+
+    body = "<Fields><AxTableField><Name>F</Name></AxTableField></Fields><Indexes><AxTableIndex><Name>I</Name><Fields><AxTableIndexField><DataField>F</DataField></AxTableIndexField></Fields></AxTableIndex></Indexes><Methods><Method><Name>m</Name><Source>void m()</Source></Method></Methods>"
+    deep = "<Fields><A>" * 20_000 + "</A></Fields>" * 20_000
+    xml = {f"T{i}": f"<AxTable><Name>T{i}</Name>{body}</AxTable>" for i in range(50)} | {"Deep": f"<AxTable><Name>Deep</Name>{deep}</AxTable>"}
+    files = spark.createDataFrame([("P", "M", "AxTable", f"x/{k}.xml", None, v.encode()) for k, v in xml.items()], "package string, model string, kind string, source_path string, modified timestamp, content binary").coalesce(1)
+    whole, names = extract(tree.parse_files(files)), ["tables", "table_fields", "table_indexes", "table_methods"]
+    for name in names:
+        part = extracted(files, name)[name]
+        assert sorted(map(str, part.collect())) == sorted(map(str, whole[name].collect())) and part.count() == 50
+        assert "hashpartitioning(source_path" in plan_of(part)
+    assert [len(p[4]) for p in tree.parse(xml["T0"].encode(), frozenset(["Indexes"]), False)] == [1]
+    assert [(len(p[4]), len(p[5])) for p in tree.parse(xml["T0"].encode(), frozenset(), False)] == [(0, 0)]
+
+
+def test_indexes_and_their_fields_meet_in_one_grouping(spark):
+    part = lambda *f: "".join(f"<AxTableIndexField><DataField>{x}</DataField></AxTableIndexField>" for x in f)
+    index = lambda name, inner: f"<AxTableIndex><Name>{name}</Name><Fields>{inner}</Fields><AlternateKey>Yes</AlternateKey></AxTableIndex>"
+    xml = f"<AxTable><Name>T</Name><Indexes>{index('A', part('x', 'y'))}{index('A', part('z'))}{index('E', '')}{index('', part('lost'))}</Indexes></AxTable>"
+    files = spark.createDataFrame([("P", "M", "AxTable", "x/T.xml", None, xml.encode())], "package string, model string, kind string, source_path string, modified timestamp, content binary")
+    found = extract(tree.parse_files(files))["table_indexes"]
+    plan = plan_of(found)
+    assert "Join" not in plan and plan.count("MapInArrow") == 1
+    assert sorted((r["name"], r["allow_duplicates"], r["alternate_key"], sorted(r["fields"])) for r in found.collect()) == [("A", True, True, ["x", "y", "z"])] * 2 + [("E", True, True, [])]
