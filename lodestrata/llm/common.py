@@ -130,6 +130,19 @@ ALNUM = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
+#: 1 / ODD modulo 2^64, bytes and 1, and the powers that are multiplied to others.
+INVERSE = np.uint64(pow(int(ODD), -1, 1 << 64))
+PLUS_ONE = np.arange(1, 257, dtype=np.uint64)
+STEP = 4096
+
+
+def powers(n: int, base: np.uint64, at: np.ndarray | None = None) -> np.ndarray:
+    """base^0 to base^(n-1) modulo 2^64, or those at some places, from two short rows of powers."""
+    low = np.r_[np.uint64(1), np.multiply.accumulate(np.full(STEP - 1, base, dtype=np.uint64))]
+    high = np.r_[np.uint64(1), np.multiply.accumulate(np.full(n // STEP, pow(int(base), STEP, 1 << 64), dtype=np.uint64))]
+    return (high[:, None] * low).ravel()[:n] if at is None else high[at // STEP] * low[at % STEP]
+
+
 def word_hashes(texts: list[bytes], in_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(text, hash) of the words of all texts, in order; a word is a run of bytes for which `in_word` holds."""
     b = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
@@ -138,8 +151,10 @@ def word_hashes(texts: list[bytes], in_word: np.ndarray) -> tuple[np.ndarray, np
     first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(first):
         return np.empty(0, np.int64), np.empty(0, np.uint64)
-    width = last - first
-    at = np.flatnonzero(own)
-    powers = np.multiply.accumulate(np.full(int(width.max()), ODD, dtype=np.uint64))
-    h = mix64(np.add.reduceat((b[at].astype(np.uint64) + np.uint64(1)) * powers[at - np.repeat(first, width)], np.cumsum(width) - width))
+    # a word's hash is the sum of its bytes times powers of ODD: a difference of running sums, moved back to the word's start
+    sums = powers(len(b), ODD)
+    sums *= PLUS_ONE[b]
+    np.cumsum(sums, out=sums)
+    h = sums[last - 1] - np.where(first > 0, sums[first - 1], np.uint64(0))
+    h = mix64(h * powers(len(b), INVERSE, first) * ODD)
     return np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), first, side="right"), h

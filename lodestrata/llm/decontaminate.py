@@ -51,6 +51,8 @@ SHORT, SHORT_SCORE = 2, 0.75
 STRETCH, RARE, SHARE = 6, 6, 1e-3
 #: Characters of a text block, words of passages aligned together.
 BLOCK, WORDS = 1_000_000, 32_768
+#: Slots of the table that tells which pairs of a batch may match, as a power of two.
+TABLE_BITS = 20
 #: Bits an n-gram in the field that tasks get, the most that it has (as a power of two), and those of a part that a task sets.
 BITS, MAX_BITS, PART_BITS = 64, 29, 19
 
@@ -261,16 +263,31 @@ def most_matches(items: list[np.ndarray], passages: list[np.ndarray]) -> np.ndar
     return np.bincount(row[i], weights=np.minimum(x[i], y[j]), minlength=len(items))
 
 
+def may_match(items: list[bytes], passages: list[bytes]) -> np.ndarray:
+    """Cheap upper bound of the same: an item's words whose slot in a table, dealt by pair and word, a word of its passage fills."""
+
+    def slots(lists: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        row = np.repeat(np.arange(len(lists)), np.fromiter(map(len, lists), np.int64, len(lists)) // 8)
+        return row, (np.frombuffer(b"".join(lists), np.uint64) + row.astype(np.uint64) * ODD) >> np.uint64(64 - TABLE_BITS)
+
+    filled = np.zeros(1 << TABLE_BITS, dtype=bool)
+    filled[slots(passages)[1]] = True
+    row, slot = slots(items)
+    return np.bincount(row[filled[slot]], minlength=len(items))
+
+
 def scored(passages: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
     """(text_key, item_key, score, n_seeds), the best passage of each pair whose score reaches the threshold."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            own = [np.frombuffer(w, np.uint64) for w in b["item"]]
-            near = [np.frombuffer(w, np.uint64) for w in b["words"]]
-            size = np.array([len(w) for w in own])
+            size = b["item"].map(len).to_numpy(np.int64) // 8
             # each match gives MATCH and nothing else gives anything, so the score is at most the share of words matched
             least = np.where(size <= SHORT, max(threshold, SHORT_SCORE), threshold)
+            some = may_match(b["item"].tolist(), b["words"].tolist()) >= least * size
+            b, size, least = b[some], size[some], least[some]
+            own = [np.frombuffer(w, np.uint64) for w in b["item"]]
+            near = [np.frombuffer(w, np.uint64) for w in b["words"]]
             able = np.flatnonzero(most_matches(own, near) >= least * size) if len(b) else np.empty(0, np.int64)
             score = align([(own[k], near[k]) for k in able])
             good = able[score >= least[able]]
