@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from lodestrata.llm.common import materialise, short_batches
 
 #: Entries of a worker's store of words, a full store starts anew; bytes of texts whose ids are made together.
-STORE, GROUP = 500_000, 8_000_000
+STORE, GROUP = 200_000, 2_000_000
 #: Hash buckets of a length, by which pieces are ranked: so many at least, and so many pieces in one at most.
 BUCKETS, PER_BUCKET = 1024, 50_000
 # The word split of the tokenizer file, where all characters are ASCII, Latin letters or white space.
