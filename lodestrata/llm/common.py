@@ -147,8 +147,10 @@ def word_hashes(texts: list[bytes], in_word: np.ndarray) -> tuple[np.ndarray, np
     """(text, hash) of the words of all texts, in order; a word is a run of bytes for which `in_word` holds."""
     b = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
     own = in_word[b]
-    edge = np.diff(np.r_[False, own].astype(np.int8))
-    first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    edge = np.flatnonzero(own[1:] != own[:-1]) + 1  # words begin and end by turns, the last before the blank at the end
+    if own[0]:
+        edge = np.r_[0, edge]
+    first, last = edge[::2], edge[1::2]
     if not len(first):
         return np.empty(0, np.int64), np.empty(0, np.uint64)
     # a word's hash is the sum of its bytes times powers of ODD: a difference of running sums, moved back to the word's start
@@ -157,4 +159,5 @@ def word_hashes(texts: list[bytes], in_word: np.ndarray) -> tuple[np.ndarray, np
     np.cumsum(sums, out=sums)
     h = sums[last - 1] - np.where(first > 0, sums[first - 1], np.uint64(0))
     h = mix64(h * powers(len(b), INVERSE, first) * ODD)
-    return np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), first, side="right"), h
+    upto = np.searchsorted(first, np.cumsum([len(t) + 1 for t in texts]))
+    return np.repeat(np.arange(len(texts)), np.diff(upto, prepend=0)), h

@@ -12,10 +12,10 @@ meets. Both sides are hashed, whatever the gaps, and joined on the hash.
 3. A second pass gives the places of seeds, which are joined with the items. Hits of a text and an item fall into slots as
    long as the item; what a slot needs is its least and largest start, so a text with very many hits needs few rows.
 4. Only the texts so found are sent on, once each, to their slots. The passage around each slot is cut out and aligned, if
-   it shares enough words with the item to reach the threshold at all.
+   it shares enough words with the item to reach the threshold at all; the task that holds the text judges this first.
 
-The corpus is read a fixed number of times, whatever the number of items. What tasks get beforehand is a field of bits, of
-at most 2^MAX_BITS, that tells n-grams which may be an item's; the joins are exact. Texts and items are known by their MD5, so copies
+The corpus is read a fixed number of times, whatever the number of items. What tasks get beforehand is fields of bits, of
+at most 2^MAX_BITS each, that tell n-grams and words which may be an item's; the joins are exact. Texts and items are known by their MD5, so copies
 of a text are judged once.
 The score is the best local alignment's, as a share of what the whole item would get: 1 is a copy, and each changed
 word costs a little.
@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,8 +50,8 @@ THRESHOLD = 0.5
 SHORT, SHORT_SCORE = 2, 0.75
 #: Words of a stretch of an item, its rarest n-grams that are always seeds, and hits a word of the corpus that make one heavy.
 STRETCH, RARE, SHARE = 6, 6, 1e-3
-#: Characters of a text block, words of passages aligned together.
-BLOCK, WORDS = 1_000_000, 32_768
+#: Characters of a text block, words of passages aligned together, and of passages judged together.
+BLOCK, WORDS, JUDGED = 1_000_000, 32_768, 1 << 17
 #: Slots of the table that tells which pairs of a batch may match, as a power of two.
 TABLE_BITS = 20
 #: Bits an n-gram in the field that tasks get, the most that it has (as a power of two), and those of a part that a task sets.
@@ -61,16 +62,19 @@ def hashed_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return word_hashes([t.lower().encode("utf-8", "surrogatepass") for t in texts], ALNUM)
 
 
-def grams(doc: np.ndarray, word: np.ndarray, places: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """(word index, hash) of the words at these places from each word on, where they stay in one text."""
+def grams(doc: np.ndarray, word: np.ndarray, places: tuple[int, ...], known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(word index, hash) of the words at these places from each word on, where they stay in one text and all are `known`."""
     n = len(word) - places[-1]
     if n <= 0:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
-    h = np.zeros(n, dtype=np.uint64)
+    same = doc[:n] == doc[places[-1] :]
+    for j in places if known is not None else ():
+        same &= known[j : j + n]
+    at = np.flatnonzero(same)
+    h = np.zeros(len(at), dtype=np.uint64)
     for j in places:
-        h = h * ODD + word[j : j + n]
-    at = np.flatnonzero(doc[:n] == doc[places[-1] :])
-    return at, mix64(h[at])
+        h = h * ODD + word[at + j]
+    return at, mix64(h)
 
 
 def align(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -167,14 +171,66 @@ def item_grams(items: DataFrame) -> DataFrame:
     return rows.groupBy("item_key", "size", "kind", "gram", quarter.alias("quarter")).agg(F.min("offset").alias("offset"), F.min("stretch").alias("stretch")).drop("quarter")
 
 
-def places_of(texts: list[str], kinds: list[int], field: Field) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+def pair_hashes(item: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hashes of a word in an item, known by a hash of its own."""
+    return mix64(word + item * ODD)
+
+
+def again(pair: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Hashes of a word in an item, found so many times before."""
+    return np.where(times > 0, mix64(pair + times.astype(np.uint64) * ODD), pair)
+
+
+def times_before(key: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """How often each key has stood in its row before."""
+    order = np.lexsort((key, row))
+    k, r = key[order], row[order]
+    new = np.r_[True, (k[1:] != k[:-1]) | (r[1:] != r[:-1])][: len(k)]
+    at, out = np.arange(len(k)), np.empty(len(k), np.int64)
+    out[order] = at - np.maximum.accumulate(np.where(new, at, 0))
+    return out
+
+
+def own_hash(keys: list[bytes]) -> np.ndarray:
+    """The first half of each item's MD5."""
+    return np.frombuffer(b"".join(keys), np.uint64)[::2]
+
+
+def item_words(items: DataFrame) -> DataFrame:
+    """(gram): the hashes of items' words, and of each word in its item, as often as it has it."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            doc, word = hashed_words(b["t"].tolist())
+            pair = pair_hashes(own_hash(b["item_key"].tolist())[doc], word)
+            yield pd.DataFrame({"gram": np.r_[np.unique(word), again(pair, times_before(pair, doc))].view(np.int64)})
+
+    return items.mapInPandas(run, "gram long")
+
+
+def most_shared(item: np.ndarray, row: np.ndarray, word: np.ndarray, field: Field) -> np.ndarray:
+    """Upper bound of the words that each passage can match with its item, from the field of the items' words; `row` and `word` are the passages' words."""
+    pair = pair_hashes(item[row], word)
+    at = field.held(pair)
+    pair, row = pair[at], row[at]
+    times = times_before(pair, row)
+    more = np.flatnonzero(times > 0)
+    lost = np.delete(more, field.held(again(pair[more], times[more])))
+    return np.bincount(np.delete(row, lost), minlength=len(item))
+
+
+def places_of(texts: list[str], kinds: list[int], field: Field, vocabulary: Field | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
     """By blocks of texts: text, place in it and n-gram where the field may have it, and the block's words."""
     for lo, hi in groups_of([len(t) for t in texts], BLOCK):
         doc, word = hashed_words(texts[lo:hi])
         first = np.searchsorted(doc, np.arange(hi - lo))
+        known = None
+        if vocabulary:
+            known = np.zeros(len(word), dtype=bool)
+            known[vocabulary.held(word)] = True
         text, places, found = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
         for pattern in (p for k in kinds for p in KINDS[k][2]):
-            at, gram = grams(doc, word, pattern)
+            at, gram = grams(doc, word, pattern, known)
             own = field.held(gram)
             text.append(doc[at[own]] + lo)
             places.append(at[own] - first[doc[at[own]]])
@@ -182,14 +238,14 @@ def places_of(texts: list[str], kinds: list[int], field: Field) -> Iterator[tupl
         yield np.concatenate(text), np.concatenate(places), np.concatenate(found).view(np.int64), len(word)
 
 
-def chosen_seeds(corpus: DataFrame, own: DataFrame, kinds: list[int]) -> DataFrame:
+def chosen_seeds(corpus: DataFrame, own: DataFrame, kinds: list[int], vocabulary: Broadcast | None = None) -> DataFrame:
     """The item n-grams that are seeds, by their counts in the whole corpus."""
     sc = corpus.sparkSession.sparkContext
     field = sc.broadcast(field_of(own))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for _, _, gram, n in places_of(b["t"].tolist(), kinds, field.value):
+            for _, _, gram, n in places_of(b["t"].tolist(), kinds, field.value, vocabulary and vocabulary.value):
                 g, times = np.unique(gram, return_counts=True)
                 yield pd.DataFrame({"gram": pd.array(g, "Int64"), "n": times})
                 yield pd.DataFrame({"gram": pd.array([None], "Int64"), "n": [n]})  # the words
@@ -204,14 +260,14 @@ def chosen_seeds(corpus: DataFrame, own: DataFrame, kinds: list[int]) -> DataFra
     return materialise(known.filter(stay).select("item_key", "size", "offset", "gram"))
 
 
-def slots_of(corpus: DataFrame, seeds: DataFrame, kinds: list[int], field: Field) -> DataFrame:
+def slots_of(corpus: DataFrame, seeds: DataFrame, kinds: list[int], field: Field, vocabulary: Broadcast | None = None) -> DataFrame:
     """(text_key, item_key, slot) with the least and largest start of the item that its seeds name, and their number."""
     sent = corpus.sparkSession.sparkContext.broadcast(field)
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             b = b.drop_duplicates("text_key")
-            for text, at, gram, _ in places_of(b["t"].tolist(), kinds, sent.value):
+            for text, at, gram, _ in places_of(b["t"].tolist(), kinds, sent.value, vocabulary and vocabulary.value):
                 yield pd.DataFrame({"text_key": b["text_key"].to_numpy()[text], "at": at, "gram": gram})
 
     hits = corpus.mapInPandas(find, "text_key binary, at long, gram long").distinct()
@@ -221,15 +277,20 @@ def slots_of(corpus: DataFrame, seeds: DataFrame, kinds: list[int], field: Field
     )
 
 
-def passages_of(corpus: DataFrame, slots: DataFrame, threshold: float) -> DataFrame:
-    """(text_key, item_key, n_seeds, words): the words around each slot, cut where its text is sent to, once a text."""
+def least_share(size: np.ndarray, threshold: float) -> np.ndarray:
+    """The least score of items of so many words. Each match gives MATCH and nothing else gives anything, so it is also the least share of words matched."""
+    return np.where(size <= SHORT, max(threshold, SHORT_SCORE), threshold)
+
+
+def passages_of(corpus: DataFrame, slots: DataFrame, threshold: float, vocabulary: Broadcast) -> DataFrame:
+    """(text_key, item_key, n_seeds, words): the words around each slot, cut where its text is sent to, once a text; those that can't reach the threshold are left out."""
     # an alignment that reaches the threshold has at most 2 * (1 - threshold) gaps a word; a seed's place may be off by a quarter
     room = F.ceil(F.col("size") * (max(0.0, MATCH * (1 - threshold)) + 0.25)) + 2
     first, last = F.greatest(F.col("lo") - room, F.lit(0)), F.col("hi") + F.col("size") + room
-    near = F.collect_list(F.struct("item_key", "n_seeds", first.alias("first"), last.alias("last")))
+    near = F.collect_list(F.struct("item_key", "size", "n_seeds", first.alias("first"), last.alias("last")))
     of_text = slots.groupBy("text_key").agg(near.alias("near"))
     texts = corpus.join(materialise(slots.select("text_key").distinct()), "text_key", "left_semi").groupBy("text_key").agg(F.first("t").alias("t"))
-    rows = texts.join(of_text, "text_key").select("text_key", "t", *(F.col(f"near.{c}").alias(c) for c in ("item_key", "n_seeds", "first", "last")))
+    rows = texts.join(of_text, "text_key").select("text_key", "t", *(F.col(f"near.{c}").alias(c) for c in ("item_key", "size", "n_seeds", "first", "last")))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -239,12 +300,16 @@ def passages_of(corpus: DataFrame, slots: DataFrame, threshold: float) -> DataFr
                 edges = np.searchsorted(doc, np.arange(hi - lo + 1))
                 times = part["first"].map(len).to_numpy()
                 row = np.repeat(np.arange(hi - lo), times)
-                first, last, n_seeds, item = (np.concatenate(part[c].tolist()) for c in ("first", "last", "n_seeds", "item_key"))
+                first, last, size, n_seeds, item = (np.concatenate(part[c].tolist()) for c in ("first", "last", "size", "n_seeds", "item_key"))
                 first, last = edges[row] + first, np.minimum(edges[row] + last, edges[row + 1])
-                for x in range(0, len(row), 1_000):
-                    here = slice(x, x + 1_000)
-                    words = [word[f:e].tobytes() for f, e in zip(first[here], last[here], strict=True)]
-                    yield pd.DataFrame({"text_key": part["text_key"].to_numpy()[row[here]], "item_key": item[here], "n_seeds": n_seeds[here], "words": words})
+                n, own, least = np.maximum(last - first, 0), own_hash(item.tolist()), least_share(size, threshold) * size
+                for x, y in groups_of(n.tolist(), JUDGED):
+                    near = np.repeat(np.arange(y - x), n[x:y])
+                    words = word[np.arange(len(near)) + np.repeat(first[x:y] - np.cumsum(n[x:y]) + n[x:y], n[x:y])]
+                    able = x + np.flatnonzero(most_shared(own[x:y], near, words, vocabulary.value) >= least[x:y])
+                    if len(able):
+                        cuts = [word[f:e].tobytes() for f, e in zip(first[able], last[able], strict=True)]
+                        yield pd.DataFrame({"text_key": part["text_key"].to_numpy()[row[able]], "item_key": item[able], "n_seeds": n_seeds[able], "words": cuts})
 
     return rows.mapInPandas(cut, "text_key binary, item_key binary, n_seeds long, words binary")
 
@@ -282,8 +347,7 @@ def scored(passages: DataFrame, items: DataFrame, threshold: float) -> DataFrame
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             size = b["item"].map(len).to_numpy(np.int64) // 8
-            # each match gives MATCH and nothing else gives anything, so the score is at most the share of words matched
-            least = np.where(size <= SHORT, max(threshold, SHORT_SCORE), threshold)
+            least = least_share(size, threshold)
             some = may_match(b["item"].tolist(), b["words"].tolist()) >= least * size
             b, size, least = b[some], size[some], least[some]
             own = [np.frombuffer(w, np.uint64) for w in b["item"]]
@@ -307,17 +371,18 @@ def matches(docs: DataFrame, items: DataFrame, threshold: float, text_col: str)
     corpus = keyed(docs, text_col)
     if not kinds:
         return None
-    seeds = chosen_seeds(corpus, own, kinds)
+    vocabulary = docs.sparkSession.sparkContext.broadcast(field_of(item_words(texts)))
+    seeds = chosen_seeds(corpus, own, kinds, vocabulary)
     field = field_of(seeds)
     if field is None:
         return None
-    slots = materialise(slots_of(corpus, seeds, kinds, field))
+    slots = materialise(slots_of(corpus, seeds, kinds, field, vocabulary))
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"item_key": b["item_key"], "item": [hashed_words([t])[1].tobytes() for t in b["t"]]})
 
     items = materialise(texts.mapInPandas(words, "item_key binary, item binary"))  # its size says whether it is broadcast
-    return materialise(scored(passages_of(corpus, slots, threshold), items, threshold))
+    return materialise(scored(passages_of(corpus, slots, threshold, vocabulary), items, threshold))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
