@@ -100,16 +100,24 @@ def reduced(edges: DataFrame, chains: list[DataFrame], rings: list[DataFrame]) -
 
 
 def spread_least(labels: DataFrame, edges: DataFrame) -> DataFrame:
-    """Each node's least label among the nodes that reach it (v, label), by rounds over the edges."""
+    """Each node's least label among the nodes that reach it (v, label), by rounds over the edges of nodes whose label has changed."""
+    moved = labels
     while True:
-        came = edges.join(labels, edges["src"] == labels["v"]).groupBy("dst").agg(F.min("label").alias("near"))
-        new = labels.join(came, labels["v"] == came["dst"], "left").select("v", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        new = materialise(new.withColumn("label", F.coalesce("label", "old")))
-        labels = new.select("v", "label")
-        if new.filter("label <> old").isEmpty():
+        came = edges.join(moved, edges["src"] == moved["v"]).groupBy("dst").agg(F.min("label").alias("near"))
+        new = labels.join(came, labels["v"] == came["dst"], "left").select("v", F.least("label", "near").alias("label"), F.coalesce(F.col("near") < F.col("label"), F.lit(False)).alias("moved"))
+        new = materialise(new)
+        labels, moved = new.select("v", "label"), new.filter("moved").select("v", "label")
+        if moved.isEmpty():
             return labels
 
 
+def numbered(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The edges between numbers, and (v, id): numbers are in the order of the nodes."""
+    ids = materialise(nodes_of(edges).orderBy("v").withColumn("id", F.monotonically_increasing_id()))  # partitions are in order, and so are rows in them
+    a, b = ids.toDF("src", "s"), ids.toDF("dst", "d")
+    return materialise(edges.join(a, "src").join(b, "dst").select(F.col("s").alias("src"), F.col("d").alias("dst"))), ids
+
+
 #: Nodes up to which all reachable pairs, their square at most, are written out.
 CLOSURE_NODES = 1000
 
@@ -129,7 +137,8 @@ def strong_components(edges: DataFrame, closure_nodes: int = CLOSURE_NODES) -> D
     """(v, comp) of all nodes on a cycle: comp is the least node of the strongly connected component.
 
     Graphs of few nodes (counted first) go by their closure, all others by colours. Chains are contracted first, in rounds
-    that grow with the logarithm of their length. Forward-backward colouring: least labels spread forward give colours;
+    that grow with the logarithm of their length. Nodes are numbered in their order meanwhile, so that rounds move numbers
+    and not names. Forward-backward colouring: least labels spread forward give colours;
     within a colour, what reaches its root backward is the root's component. Found components leave, the rest goes on. No
     closure of pairs is built.
     """
@@ -137,12 +146,16 @@ def strong_components(edges: DataFrame, closure_nodes: int = CLOSURE_NODES) -> D
     if nodes_of(edges).limit(closure_nodes + 1).count() <= closure_nodes:
         pairs = closure(edges)
         return pairs.join(pairs.toDF("dst", "src"), ["src", "dst"]).groupBy(F.col("src").alias("v")).agg(F.min("dst").alias("comp"))
+    edges, ids = numbered(edges.filter("src IS NOT NULL AND dst IS NOT NULL"))
     found, chains, rings = edges.select(F.col("src").alias("v"), F.col("dst").alias("comp")).limit(0), [], []
     while True:
         edges = reduced(edges, chains, rings)
         if edges.isEmpty():
-            return expanded(reduce(DataFrame.unionByName, rings, found), chains)
+            all_found = expanded(reduce(DataFrame.unionByName, rings, found), chains)
+            names = ids.toDF("name", "comp")
+            return all_found.join(ids.toDF("own", "v"), "v").join(names, "comp").select(F.col("own").alias("v"), F.col("name").alias("comp"))
         nodes = nodes_of(edges)
+        nodes = materialise(nodes)
         colour = spread_least(nodes.select("v", F.col("v").alias("label")), edges)
         c1, c2 = colour.toDF("src", "c1"), colour.toDF("dst", "c2")
         inside = materialise(edges.join(c1, "src").join(c2, "dst").filter("c1 = c2").select("src", "dst", F.col("c1").alias("label")))
