@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,11 +39,33 @@ def ranked(metrics: DataFrame, top: int | None = None) -> DataFrame:
     return df if top is None else df.limit(top)
 
 
-def trimmed(edges: DataFrame) -> DataFrame:
-    """Edges between nodes that have both an edge in and an edge out: all cycles stay."""
-    src, dst = edges.select(F.col("src").alias("x")).distinct(), edges.select(F.col("dst").alias("x")).distinct()
-    both = src.join(dst, "x")
-    return materialise(edges.join(both.toDF("src"), "src", "left_semi").join(both.toDF("dst"), "dst", "left_semi").select("src", "dst"))
+#: Rows up to which one side of a join is sent whole to all tasks.
+SENT_ROWS = 50_000
+
+
+def met(df: DataFrame, n: int) -> DataFrame:
+    """A side of a join that has `n` rows at most: few are sent to all tasks, more are dealt out by key.
+
+    Spark would go by the size of files, and files of numbers in order take a hundredth of what their rows take in the driver.
+    """
+    return df.hint("broadcast" if n <= SENT_ROWS else "merge")
+
+
+def dealt(edges: DataFrame, by: str) -> DataFrame:
+    """Edges dealt out by one of their ends and kept on the executors' disks: rounds that join by it move nodes only."""
+    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df = edges.repartition(n, by).sortWithinPartitions(by).persist(StorageLevel.DISK_ONLY)
+    df.count()
+    return df
+
+
+def odd_nodes(edges: DataFrame) -> DataFrame:
+    """(v, prior, next) of the nodes with one other node before and one after, and of those with none before or none after."""
+    none = F.lit(None).cast(edges.schema["src"].dataType)
+    out = edges.select(F.col("src").alias("v"), none.alias("prior"), F.col("dst").alias("next"))
+    into = edges.select(F.col("dst").alias("v"), F.col("src").alias("prior"), none.alias("next"))
+    df = out.unionByName(into).groupBy("v").agg(F.min("prior").alias("prior"), F.max("prior").alias("p"), F.min("next").alias("next"), F.max("next").alias("n"))
+    return df.filter("prior IS NULL OR next IS NULL OR (prior = p AND next = n AND next <> v)").select("v", "prior", "next")
 
 
 def jumped(steps: DataFrame, n: int) -> DataFrame:
@@ -53,7 +76,7 @@ def jumped(steps: DataFrame, n: int) -> DataFrame:
     """
     state, reach = steps.withColumn("least", F.col("v")), 1
     while reach < n:
-        far = state.select(F.col("v").alias("to"), F.col("to").alias("far"), F.col("least").alias("l"))
+        far = met(state.select(F.col("v").alias("to"), F.col("to").alias("far"), F.col("least").alias("l")), n)
         new = materialise(state.join(far, "to", "left").select("v", F.coalesce("far", "to").alias("to"), F.least("least", F.coalesce("l", "least")).alias("least"), F.col("far").isNotNull().alias("moved")))
         state, reach = new.select("v", "to", "least"), reach * 2
         if new.filter("moved").isEmpty():
@@ -61,61 +84,60 @@ def jumped(steps: DataFrame, n: int) -> DataFrame:
     return state
 
 
-def contracted(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame] | None:
-    """Edges without the insides of chains, which (v, before, after) they were, and rings (v, comp); None where no node has one edge in and one out.
+def contracted(inside: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """Between which nodes (v, before, after) the `n` insides of chains lie, and the rings (v, comp) that consist of insides alone.
 
     A node inside a chain is on a cycle where the chain's two ends are in one component, and in no other case.
     """
-    into, out = edges.groupBy(F.col("dst").alias("v")).agg(F.count("*").alias("i"), F.first("src").alias("prior")), edges.groupBy(F.col("src").alias("v")).agg(F.count("*").alias("o"), F.first("dst").alias("next"))
-    inside = materialise(into.join(out, "v").filter("i = 1 AND o = 1 AND next <> v").select("v", "prior", "next"))
-    n = inside.count()
-    if not n:
-        return None
+    ends = met(inside.select(F.col("v").alias("to")), n)
     ahead = jumped(inside.select("v", F.col("next").alias("to")), n)
-    rings = ahead.join(inside.select(F.col("v").alias("to")), "to", "left_semi").select("v", F.col("least").alias("comp"))
-    chains = ahead.join(inside.select(F.col("v").alias("to")), "to", "left_anti").select("v", F.col("to").alias("after"))
-    steps = inside.join(chains, "v").select("v", F.col("prior").alias("to"))
+    rings = ahead.join(ends, "to", "left_semi").select("v", F.col("least").alias("comp"))
+    chains = ahead.join(ends, "to", "left_anti").select("v", F.col("to").alias("after"))
+    steps = inside.join(met(chains, n), "v").select("v", F.col("prior").alias("to"))
     back = jumped(steps, n).select("v", F.col("to").alias("before"))
-    chains = materialise(chains.join(back, "v").select("v", "before", "after"))
-    ends = inside.select("v")
-    other = edges.join(ends.toDF("src"), "src", "left_anti").join(ends.toDF("dst"), "dst", "left_anti")
-    short = materialise(other.select("src", "dst").unionByName(chains.select(F.col("before").alias("src"), F.col("after").alias("dst"))).distinct())
-    return short, chains, materialise(rings)
+    return materialise(chains.join(met(back, n), "v").select("v", "before", "after")), materialise(rings)
 
 
 def reduced(edges: DataFrame, chains: list[DataFrame], rings: list[DataFrame]) -> DataFrame:
-    """Edges after chains are contracted and nodes that are on no cycle left out, until neither finds any; what was contracted is added to the lists."""
-    n = edges.count()
-    while n:
-        if (short := contracted(edges)) is not None:
-            edges = short[0]
-            chains.append(short[1])
-            rings.append(short[2])
-        edges = trimmed(edges)
-        m = edges.count()
-        if m == n and short is None:
-            break
-        n = m
-    return edges
+    """Edges after chains are contracted and nodes that are on no cycle left out, until neither finds any; what was contracted is added to the lists.
 
-
-def spread_least(labels: DataFrame, edges: DataFrame) -> DataFrame:
-    """Each node's least label among the nodes that reach it (v, label), by rounds over the edges of nodes whose label has changed."""
-    moved = labels
+    An edge may come twice where a chain lay beside it.
+    """
+    while True:
+        odd = materialise(odd_nodes(edges))
+        inside = odd.filter("prior IS NOT NULL AND next IS NOT NULL")
+        if not (n := odd.count()):
+            return edges
+        gone = met(odd.select("v"), n)
+        other = edges.join(gone.toDF("src"), "src", "left_anti").join(gone.toDF("dst"), "dst", "left_anti").select("src", "dst")
+        if m := inside.count():
+            chain, ring = contracted(inside, m)
+            chains.append(chain)
+            rings.append(ring)
+            short = chain.select(F.col("before").alias("src"), F.col("after").alias("dst")).distinct()
+            # the ends of a chain are no insides, but an end may be on no cycle
+            other = other.unionByName(short.join(gone.toDF("src"), "src", "left_anti").join(gone.toDF("dst"), "dst", "left_anti").select("src", "dst"))
+        edges = materialise(other)
+
+
+def spread_least(labels: DataFrame, edges: DataFrame, n: int) -> DataFrame:
+    """Each of `n` nodes' least label among the nodes that reach it (v, label), by rounds over the edges of nodes whose label has changed."""
+    moved, m = labels, n
     while True:
-        came = edges.join(moved, edges["src"] == moved["v"]).groupBy("dst").agg(F.min("label").alias("near"))
-        new = labels.join(came, labels["v"] == came["dst"], "left").select("v", F.least("label", "near").alias("label"), F.coalesce(F.col("near") < F.col("label"), F.lit(False)).alias("moved"))
+        came = edges.join(met(moved, m), edges["src"] == moved["v"]).groupBy("dst").agg(F.min("label").alias("near"))
+        new = labels.join(met(came, n), labels["v"] == came["dst"], "left").select("v", F.least("label", "near").alias("label"), F.coalesce(F.col("near") < F.col("label"), F.lit(False)).alias("moved"))
         new = materialise(new)
         labels, moved = new.select("v", "label"), new.filter("moved").select("v", "label")
-        if moved.isEmpty():
+        if not (m := moved.count()):
             return labels
 
 
-def numbered(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The edges between numbers, and (v, id): numbers are in the order of the nodes."""
+def numbered(edges: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """The edges between numbers, (v, id) and how many these are: numbers are in the order of the nodes."""
     ids = materialise(nodes_of(edges).orderBy("v").withColumn("id", F.monotonically_increasing_id()))  # partitions are in order, and so are rows in them
-    a, b = ids.toDF("src", "s"), ids.toDF("dst", "d")
-    return materialise(edges.join(a, "src").join(b, "dst").select(F.col("s").alias("src"), F.col("d").alias("dst"))), ids
+    n = ids.count()
+    a, b = met(ids.toDF("src", "s"), n), met(ids.toDF("dst", "d"), n)
+    return materialise(edges.join(a, "src").join(b, "dst").select(F.col("s").alias("src"), F.col("d").alias("dst"))), ids, n
 
 
 #: Nodes up to which all reachable pairs, their square at most, are written out.
@@ -146,42 +168,44 @@ def strong_components(edges: DataFrame, closure_nodes: int = CLOSURE_NODES) -> D
     if nodes_of(edges).limit(closure_nodes + 1).count() <= closure_nodes:
         pairs = closure(edges)
         return pairs.join(pairs.toDF("dst", "src"), ["src", "dst"]).groupBy(F.col("src").alias("v")).agg(F.min("dst").alias("comp"))
-    edges, ids = numbered(edges.filter("src IS NOT NULL AND dst IS NOT NULL"))
+    edges, ids, total = numbered(edges.filter("src IS NOT NULL AND dst IS NOT NULL"))
     found, chains, rings = edges.select(F.col("src").alias("v"), F.col("dst").alias("comp")).limit(0), [], []
     while True:
         edges = reduced(edges, chains, rings)
         if edges.isEmpty():
             all_found = expanded(reduce(DataFrame.unionByName, rings, found), chains)
-            names = ids.toDF("name", "comp")
-            return all_found.join(ids.toDF("own", "v"), "v").join(names, "comp").select(F.col("own").alias("v"), F.col("name").alias("comp"))
-        nodes = nodes_of(edges)
-        nodes = materialise(nodes)
-        colour = spread_least(nodes.select("v", F.col("v").alias("label")), edges)
-        c1, c2 = colour.toDF("src", "c1"), colour.toDF("dst", "c2")
-        inside = materialise(edges.join(c1, "src").join(c2, "dst").filter("c1 = c2").select("src", "dst", F.col("c1").alias("label")))
-        back = inside.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-        seen = materialise(colour.filter("v = label"))
-        front = seen
-        while not front.isEmpty():  # backward from the roots, within their colours
-            step = front.join(back, front["v"] == back["src"]).select(F.col("dst").alias("v"), "label").distinct()
-            front = materialise(step.join(seen.select("v"), "v", "left_anti"))
+            names = met(ids.toDF("name", "comp"), total)
+            return all_found.join(met(ids.toDF("own", "v"), total), "v").join(names, "comp").select(F.col("own").alias("v"), F.col("name").alias("comp"))
+        ahead, back = dealt(edges, "src"), dealt(edges, "dst")
+        nodes = materialise(nodes_of(ahead))
+        n = nodes.count()
+        colour = spread_least(nodes.select("v", F.col("v").alias("label")), ahead, n)
+        seen = front = materialise(colour.filter("v = label"))
+        while m := front.count():  # backward from the roots, within their colours
+            step = back.join(met(front, m), back["dst"] == front["v"]).select(F.col("src").alias("v"), "label").distinct()
+            front = materialise(step.join(met(colour, n), ["v", "label"], "left_semi").join(met(seen.select("v"), n), "v", "left_anti"))
             seen = materialise(seen.unionByName(front))
         # a root alone is a component only with a loop
         size = seen.groupBy("label").agg(F.count("*").alias("n"))
-        loops = edges.filter("src = dst").select(F.col("src").alias("label")).distinct().withColumn("loop", F.lit(True))
-        keep = seen.join(size, "label").join(loops, "label", "left").filter("n > 1 OR loop").select("v", F.col("label").alias("comp"))
+        loops = ahead.filter("src = dst").select(F.col("src").alias("label")).distinct().withColumn("loop", F.lit(True))
+        keep = seen.join(met(size, n), "label").join(met(loops, n), "label", "left").filter("n > 1 OR loop").select("v", F.col("label").alias("comp"))
         found = materialise(found.unionByName(keep))
-        gone = seen.select("v")
-        edges = materialise(edges.join(gone.toDF("src"), "src", "left_anti").join(gone.toDF("dst"), "dst", "left_anti"))
+        rest = materialise(nodes.join(met(seen.select("v"), n), "v", "left_anti"))
+        stay = met(rest, rest.count())
+        edges = materialise(ahead.join(stay.toDF("src"), "src", "left_semi").join(stay.toDF("dst"), "dst", "left_semi").select("src", "dst"))
+        ahead.unpersist()
+        back.unpersist()
 
 
 def expanded(found: DataFrame, chains: list[DataFrame]) -> DataFrame:
     """The components with the insides of the chains, the last contracted first, each named by its least node."""
+    n = found.count()
     for chain in reversed(chains):
-        a, b = found.toDF("before", "c1"), found.toDF("after", "c2")
+        a, b = met(found.toDF("before", "c1"), n), met(found.toDF("after", "c2"), n)
         found = materialise(found.unionByName(chain.join(a, "before").join(b, "after").filter("c1 = c2").select("v", F.col("c1").alias("comp"))))
+        n = found.count()
     least = found.groupBy("comp").agg(F.min("v").alias("least"))
-    return found.join(least, "comp").select("v", F.col("least").alias("comp"))
+    return found.join(met(least, n), "comp").select("v", F.col("least").alias("comp"))
 
 
 def cycles(edges: DataFrame) -> DataFrame:
