@@ -40,7 +40,7 @@ def ranked(metrics: DataFrame, top: int | None = None) -> DataFrame:
 
 
 #: Rows up to which one side of a join is sent whole to all tasks.
-SENT_ROWS = 50_000
+SENT_ROWS = 200_000
 
 
 def met(df: DataFrame, n: int) -> DataFrame:
@@ -176,9 +176,9 @@ def strong_components(edges: DataFrame, closure_nodes: int = CLOSURE_NODES) -> D
             all_found = expanded(reduce(DataFrame.unionByName, rings, found), chains)
             names = met(ids.toDF("name", "comp"), total)
             return all_found.join(met(ids.toDF("own", "v"), total), "v").join(names, "comp").select(F.col("own").alias("v"), F.col("name").alias("comp"))
-        ahead, back = dealt(edges, "src"), dealt(edges, "dst")
-        nodes = materialise(nodes_of(ahead))
+        nodes = materialise(nodes_of(edges))
         n = nodes.count()
+        ahead, back = (edges, edges) if n <= SENT_ROWS else (dealt(edges, "src"), dealt(edges, "dst"))
         colour = spread_least(nodes.select("v", F.col("v").alias("label")), ahead, n)
         seen = front = materialise(colour.filter("v = label"))
         while m := front.count():  # backward from the roots, within their colours
@@ -193,8 +193,9 @@ def strong_components(edges: DataFrame, closure_nodes: int = CLOSURE_NODES) -> D
         rest = materialise(nodes.join(met(seen.select("v"), n), "v", "left_anti"))
         stay = met(rest, rest.count())
         edges = materialise(ahead.join(stay.toDF("src"), "src", "left_semi").join(stay.toDF("dst"), "dst", "left_semi").select("src", "dst"))
-        ahead.unpersist()
-        back.unpersist()
+        if n > SENT_ROWS:
+            ahead.unpersist()
+            back.unpersist()
 
 
 def expanded(found: DataFrame, chains: list[DataFrame]) -> DataFrame:
